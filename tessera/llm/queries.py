@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, sharding, simhash, substring
+from . import bpe, embed_dedup, sharding, simhash, substring, topk
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,12 +36,18 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_shard": op5_shard,
     "op7_embed_dedup": op7_embed_dedup,
     "op8_substring": op8_substring,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {}
