@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, quality, sharding, simhash, substring, topk
+from . import bpe, embed_dedup, quality, sharding, simhash, substring, topk, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,6 +40,10 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_shard": op5_shard,
     "op7_embed_dedup": op7_embed_dedup,
     "op8_substring": op8_substring,
+    "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
 }
 
