@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, quality, sharding, simhash, substring, topk, toxicity
+from . import bpe, embed_dedup, pii, quality, sharding, simhash, substring, topk, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = {f"n_{kind}": F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)") for kind in pii.KINDS}
+    joined = {c: F.expr(f"concat_ws(',', transform({c}, s -> concat_ws(':', s.kind, s.start, s.end)))") for c in ("base", "spans")}
+    return found.select("doc_id", *(v.alias(k) for k, v in counts.items()), F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=3, shingle=3, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,6 +58,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_shard": op5_shard,
