@@ -139,7 +139,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     sample = [r.e for r in classes.orderBy(F.xxhash64("cid")).limit(KMEANS_SAMPLE).select("e").collect()]
     width = max(map(len, sample), default=1)
     x = _matrix(pa.array(sample, pa.list_(pa.float64())), width) if sample else np.ones((1, 1))
-    c = spherical_kmeans(unit(x), min(MOST_CELLS, math.ceil(math.sqrt(n) / 4)) or 1)
+    c = spherical_kmeans(unit(x), min(MOST_CELLS, math.ceil(math.cbrt(n) / 2)) or 1)
 
     fields = "label {}, e {}, cid long, size long, cell int, home boolean".format(*(classes.schema[k].dataType.simpleString() for k in ("label", "e")))
     visits = classes.select("label", "e", "cid", "size").mapInArrow(_cells(c, math.sqrt(2 - 2 * threshold)), fields).withColumn("width", F.size("e"))
