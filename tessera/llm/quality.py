@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_or_empty
+from .common import drop_stash, stash, text_or_empty
 
 #: Labelled documents, at most about, that the model is fitted on (those of the least hash), and parts that they are summed in.
 FIT_ROWS, FIT_PARTS = 40_000, 8
@@ -67,13 +67,6 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def _stats(batches):
-    for b in batches:
-        x = np.array([statistics(t) for t in b.column("text").to_pylist()], np.float32).reshape(b.num_rows, len(STATISTICS))
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(STATISTICS)).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "x"])
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit to y at ascending x with weights w (pool adjacent violators), joined by straight lines."""
     blocks: list[list[float]] = []  # mean, weight, weighted x
@@ -128,16 +121,27 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), len(STATISTICS))
 
 
-def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
-    """A model from doc_id and x (the statistics) and labels that are not held out. Null labels are left out, several of one document averaged; without any label all scores are 0.5."""
+def _measured(texts: list[str | None]) -> np.ndarray:
+    return np.array([statistics(t or "") for t in texts], np.float64).reshape(len(texts), len(STATISTICS))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> Model:
+    """A model from the labelled documents that are not held out, those of the least hash, FIT_ROWS at most about. Null labels are left out, several of one document averaged; without any all scores are 0.5."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    rows = stats.join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"))
-    n = rows.count()
-    if n > FIT_ROWS:
-        rows = rows.where(F.pmod(F.col("h"), F.lit(1_000_003)) < int(1_000_003 * FIT_ROWS / n))
+    if (n := known.count()) > FIT_ROWS:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * FIT_ROWS / n))
+
+    def measure(batches):
+        for b in batches:
+            x = _measured(b.column("text").to_pylist()).astype(np.float32)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(STATISTICS)).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([lists, b.column("y"), b.column("h")], ["x", "y", "h"])
+
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(known), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"))
+    rows = chosen.mapInArrow(measure, "x array<float>, y int, h long")
     rows = stash(rows.withColumn("fold", F.pmod(F.shiftright("h", 24), F.lit(FOLDS)).cast("int")).repartition(FIT_PARTS, "h"), "quality-fit")
     each = [F.col("x")[k].cast("double") for k in range(len(STATISTICS))]
-    got = rows.agg(*[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
+    n, *got = rows.agg(F.count("*"), *[F.avg(c) for c in each], *[F.stddev_pop(c) for c in each]).first()
     moments = np.array([v or 0.0 for v in got])
     model = Model(moments[: len(each)], np.maximum(moments[len(each) :], 1e-6))
     if not n:
@@ -164,6 +168,7 @@ def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str
             yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.clip(s, -1, 2) * BINS).astype(np.int64)), pa.array(s), b.column("y")], ["bin", "s", "y"])
 
     bins = rows.select("x", "y", "fold").mapInArrow(scored, "bin long, s double, y int").groupBy("bin").agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()  # 3 * BINS rows at most
+    drop_stash(rows)
     model.knots, model.values = isotonic(bins["s"].to_numpy(), bins["y"].to_numpy(), bins["n"].to_numpy(np.float64))
     return model
 
@@ -174,12 +179,23 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     The score follows from the text alone; null texts count as empty ones, which have a score like any other. Null ids
     and repeated rows pass through; other columns are ignored; an empty table gives none.
     """
-    stats = stash(docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(_stats, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, x array<float>"), "quality-statistics")
-    model = fit(stats, labels, doc_id, label)
+    model = fit(docs, labels, text, doc_id, label)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(_vectors(b.column("x"))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(_measured(b.column("text").to_pylist())))], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
+    scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The rows of docs, as they are, whose texts score at least 0.5."""
+    model = fit(docs, labels, text, doc_id, label)
+    place = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.score(_measured(b.column(place).to_pylist())) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, stash, text_or_empty
+from .common import LAST_ID, drop_stash, stash, text_or_empty
 from .components import components
 
 BITS, SEGMENTS = 64, 2
@@ -36,14 +36,15 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long")
+    body = text_or_empty(text)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, th long, fp long")
 
 
 def _keys(fps: DataFrame, name: str, bit: int) -> DataFrame:
@@ -68,7 +69,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links, its own included) of every row.
+    """doc_id, th (a hash of the text), fp, root (the same for all of a group) and component_id (the smallest doc_id
+    reachable over links, its own included) of every row.
 
     A null text is an empty one; texts without words have fingerprint 0 and link like any other. Null ids never become a
     component's id unless it has no other; repeated rows are returned as often as they come; other columns are ignored;
@@ -79,5 +81,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = components(links(distinct, distance), "a", "b", "fp-links")
     drop_stash(distinct)
     of = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs, as they are, less all but one of each group of near-duplicates: the one of the smallest doc_id stays, of rows with that id the one with the least hash."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
+    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    found = near_duplicates(docs, text, doc_id, distance, shingle, seed)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(rid).alias("_rid"), F.min("th").alias("_th"))
+    keyed = docs.withColumns({"_rid": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(text_or_empty(text))})
+    kept = keyed.join(first.select("_rid", "_th").hint("shuffle_hash"), ["_rid", "_th"], "left_semi")
+    if n > ids:
+        kept = kept.dropDuplicates(["_rid", "_th"])
+    return kept.select(*docs.columns)

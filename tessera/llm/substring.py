@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID
+from .common import LAST_ID, text_or_empty
 
 #: Words of a reference block, about; a longer document is a block of its own.
 BLOCK_WORDS = 1 << 20
@@ -238,49 +238,76 @@ def _crowded(rows: DataFrame, n: int, window: int) -> np.ndarray:
     return np.unique(np.array([r.key for r in sample.mapInArrow(run, "key long").distinct().collect()], np.int64).view(np.uint64))
 
 
-def _remove(doc_type: str):
-    """Third step: the spans of a document merged, its other words joined."""
+def _merged(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted((x["pos"], x["pos"] + x["n"]) for x in spans or ()):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _without(words: list[bytes], spans: list[list[int]]) -> bytes:
+    for s, e in reversed(spans):
+        del words[s:e]
+    return b" ".join(words)
+
+
+def _with_spans(docs: DataFrame, text: str, doc_id: str, window: int) -> DataFrame:
+    """docs with the column _spans: unmerged pieces (pos, n) of words that a smaller doc_id's windows cover."""
+    if window < ANCHOR_WORDS:
+        raise ValueError(f"a window has {ANCHOR_WORDS} words at least")
+    n, ids = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
+    body = F.encode(text_or_empty(text), "UTF-8")
+    th = F.xxhash64(body) if n > ids else F.lit(0).cast("long")  # a text's hash is only needed to tell rows of one id apart
+    rid = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
+
+    rows = docs.select(rid.alias("rid"), th.alias("th"), body.alias("body"))
+    asked = rows.mapInArrow(_ask(window, _crowded(rows, n, window)), _SENT)
+    found = asked.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_answer(window), "rid long, th long, pos int, n int")
+    spans = found.groupBy(F.col("rid").alias("_rid"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("pos", "n")).alias("_spans"))
+    return docs.withColumns({"_rid": rid, "_th": th}).join(spans.hint("shuffle_hash"), ["_rid", "_th"], "left").select(*docs.columns, "_spans")
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 13) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (merged, of word numbers, end exclusive) and kept of every row of docs.
+
+    Removed is each word that lies in a window whose words, in order, also start somewhere in a document with a smaller
+    doc_id. kept: the other words joined by one space. Null and empty texts have no words; a null id ranks last, and
+    rows with one id are one document, each judged by its own text; other columns are ignored; an empty table gives none.
+    """
+    plain = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+
     def run(batches):
         for b in batches:
             n_words, n_removed, merged, kept = [], [], [], []
-            for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                words = body.split()
-                own: list[list[int]] = []
-                for s in sorted((x["pos"], x["pos"] + x["n"]) for x in spans or ()):
-                    if own and s[0] <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], s[1])
-                    else:
-                        own.append(list(s))
+            for body, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+                words, own = body.split(), _merged(spans)
                 n_words.append(len(words))
                 n_removed.append(sum(e - s for s, e in own))
                 merged.append([{"start": s, "end": e} for s, e in own])
-                for s, e in reversed(own):
-                    del words[s:e]
-                kept.append(b" ".join(words))
+                kept.append(_without(words, own))
             out = pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), out, pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    return run, f"doc_id {doc_type}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
-
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return _with_spans(plain, "text", "doc_id", window).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (merged, of word numbers, end exclusive) and kept of every row of docs.
 
-    Removed is each word that lies in a window whose words, in order, also start somewhere in a document with a smaller
-    doc_id. kept: the other words joined by one space. Null and empty texts have no words; a null id ranks last, and
-    rows with one id are one document, each judged by its own text; other columns are ignored; an empty table gives none.
-    """
-    if window < ANCHOR_WORDS:
-        raise ValueError(f"a window has {ANCHOR_WORDS} words at least")
-    doc_type = docs.schema[doc_id].dataType.simpleString()
-    n, ids = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
-    repeated = n > ids  # only then a text's hash has to tell rows of one id apart
-    body = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("rid"), (F.xxhash64(body) if repeated else F.lit(0).cast("long")).alias("th"), body.alias("body"))
+def cut(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 13, n_chars: str = "n_chars") -> DataFrame:
+    """The rows of docs with repeated passages (see remove_repeats) taken out of the text and, where there is such a column, n_chars counted anew. Texts without any stay as they are; of those with some, the other words are joined by one space."""
+    place = docs.columns.index(text)
 
-    plain = rows.select("rid", "th", "body")
-    asked = plain.mapInArrow(_ask(window, _crowded(plain, n, window)), _SENT)
-    found = asked.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_answer(window), "rid long, th long, pos int, n int")
-    spans = found.groupBy("rid", "th").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    run, schema = _remove(doc_type)
-    return rows.join(spans.hint("shuffle_hash"), ["rid", "th"], "left").select("doc_id", "body", "spans").mapInArrow(run, schema)
+    def run(batches):
+        for b in batches:
+            texts = b.column(place).to_pylist()
+            for k, spans in enumerate(b.column("_spans").to_pylist()):
+                if spans:
+                    texts[k] = _without(texts[k].encode().split(), _merged(spans)).decode()
+            cols = list(b.columns[:-1])
+            cols[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+
+    done = _with_spans(docs, text, doc_id, window).mapInArrow(run, docs.schema)
+    return done.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else done
