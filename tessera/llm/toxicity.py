@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,13 @@ from .common import text_or_empty
 SEEDS = {"insult": ("idiot", "moron", "clown", "loser", "stupid"), "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting")}
 CATEGORIES = (*SEEDS, "covert", "toxic")
 #: Labelled documents, at most about, that the chain is fitted on, those of the least hash. Fixed here, whatever the corpus.
-FIT_ROWS = 8000
+FIT_ROWS = 4000
 #: Hash buckets of words and word beginnings, folds, steps of a fit, penalty on squared weights.
-BUCKETS, FOLDS, STEPS, PENALTY = 1 << 18, 4, 120, 2e-3
+BUCKETS, FOLDS, STEPS, PENALTY = 1 << 18, 3, 60, 1e-4
+#: Share of the documents beyond which a feature tells nothing.
+COMMON = 0.3
 #: Lengths of the word beginnings that count beside the word.
-HEADS = (4, 5, 6)
+HEADS = (5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,24 +43,24 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def _features(text: str) -> tuple[list[int], list[float]]:
+def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how much each counts: 1 for a word that is there, 1 + log(n) for a beginning of n different words."""
     n: dict[int, int] = {}
     for w in words_of(text):
         for b in _buckets(w):
             n[b] = n.get(b, 0) + 1
-    at = np.fromiter(n.keys(), np.int64, len(n))
-    return at.tolist(), (1 + np.log(np.fromiter(n.values(), np.float64, len(n)))).tolist()
+    return np.fromiter(n.keys(), np.int32, len(n)), (1 + np.log(np.fromiter(n.values(), np.float32, len(n)))).astype(np.float32)
 
 
 class Sparse:
-    """Rows of (columns, values), as arrays."""
+    """A matrix as row, column and value of its entries."""
 
-    def __init__(self, at: list, value: list):
-        self.n = len(at)
-        self.col = np.concatenate([np.asarray(a, np.int64) for a in at]) if at else np.zeros(0, np.int64)
-        self.val = np.concatenate([np.asarray(v, np.float64) for v in value]) if at else np.zeros(0)
-        self.row = np.repeat(np.arange(self.n), [len(a) for a in at])
+    def __init__(self, n: int, row: np.ndarray, col: np.ndarray, val: np.ndarray):
+        self.n, self.row, self.col, self.val = n, row, col, val
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, col: np.ndarray, val: np.ndarray) -> Sparse:
+        return cls(len(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), col, val)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], minlength=self.n)
@@ -70,23 +73,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the columns and of the dense extra ones (bias last), by accelerated gradient steps; weight: of the rows, 0 leaves one out."""
+def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the columns and of the dense extra ones (bias last), by accelerated gradient steps; weight: of the rows, 0 leaves one out.
+
+    A column enters times its log-odds between the classes of the rows that count, so that telling words lead.
+    """
     dense = np.hstack([extra, np.ones((x.n, 1))])
-    w, v = np.zeros(width), np.zeros(dense.shape[1])
-    pw, pv = w, v
     total = weight.sum()
+    for_, against = ((weight > 0) & (y > 0)).astype(np.float64), ((weight > 0) & (y == 0)).astype(np.float64)
+    ones = np.bincount(x.col, for_[x.row], minlength=width) + 0.5, np.bincount(x.col, against[x.row], minlength=width) + 0.5
+    scale = np.log(ones[0] / (for_.sum() + 1)) - np.log(ones[1] / (against.sum() + 1))
+    val = x.val * scale[x.col]
+    scaled = Sparse(x.n, x.row, x.col, val)
+    w, v = np.zeros(width), np.zeros(dense.shape[1])
     p = min(max((weight * y).sum() / total, 1e-3), 1 - 1e-3)
     v[-1] = np.log(p / (1 - p))
-    pv = v.copy()
-    norm = np.bincount(x.row, (x.val * scale[x.col]) ** 2, minlength=x.n) + (dense**2).sum(axis=1)
+    pw, pv = w, v
+    norm = np.bincount(x.row, val**2, minlength=x.n) + (dense**2).sum(axis=1)
     step = 4 / max(1e-9, np.percentile(norm, 95))
     for t in range(STEPS):
         m = t / (t + 3)
         yw, yv = w + m * (w - pw), v + m * (v - pv)
-        e = weight * (_sigmoid(x.dot(yw * scale) + dense @ yv) - y) / total
+        e = weight * (_sigmoid(scaled.dot(yw) + dense @ yv) - y) / total
         pw, pv = w, v
-        w = yw - step * (x.t_dot(e, width) * scale + PENALTY * yw / 10)
+        w = yw - step * (scaled.t_dot(e, width) + PENALTY * yw)
         v = yv - step * (dense.T @ e)
     return w * scale, v
 
@@ -99,17 +109,14 @@ class Chain:
             v[-1] = -30.0  # without labels nothing is toxic
         self.threshold = 0.5
 
-    def fit(self, at: list[list[int]], value: list[list[float]], y: np.ndarray, fold: np.ndarray) -> None:
+    def fit(self, raw: Sparse, y: np.ndarray, fold: np.ndarray) -> None:
         """y: a column of labels for each category."""
-        raw = Sparse(at, value)
         docs = np.bincount(raw.col, minlength=BUCKETS)
-        used = np.flatnonzero(docs >= (2 if len(at) < 1000 else 3))
+        used = np.flatnonzero((docs >= (2 if raw.n < 1000 else 3)) & (docs <= COMMON * raw.n))
         index = np.full(BUCKETS, -1)
         index[used] = np.arange(len(used))
         keep = index[raw.col] >= 0
-        x = Sparse([], [])
-        x.n, x.row, x.col, x.val = raw.n, raw.row[keep], index[raw.col[keep]], raw.val[keep]
-        scale = np.sqrt(np.log((1 + len(at)) / docs[used]) + 0.1) if len(used) else np.zeros(0)
+        x = Sparse(raw.n, raw.row[keep], index[raw.col[keep]].astype(np.int32), raw.val[keep])
         before = np.zeros((x.n, 0))
         for k in range(len(CATEGORIES)):
             target = y[:, k].astype(np.float64)
@@ -117,10 +124,10 @@ class Chain:
             weight = np.where(target > 0, rare, 1.0)
             out = np.zeros(x.n)
             for f in range(FOLDS):
-                w, v = logistic(x, before, target, weight * (fold != f), len(used), scale) if (fold != f).any() else (np.zeros(len(used)), np.zeros(k + 1))
+                w, v = logistic(x, before, target, weight * (fold != f), len(used)) if (fold != f).any() else (np.zeros(len(used)), np.zeros(k + 1))
                 own = fold == f
                 out[own] = _sigmoid(x.dot(w) + before @ v[:-1] + v[-1])[own]
-            w, v = logistic(x, before, target, weight, len(used), scale)
+            w, v = logistic(x, before, target, weight, len(used))
             self.words[used, k], self.links[k] = w, v
             before = np.hstack([before, out[:, None]])
         # the cut with the best F1 out of fold
@@ -130,8 +137,7 @@ class Chain:
         best = int(f1.argmax())
         self.threshold = float(np.clip((out[order[best]] + (out[order[best + 1]] if best + 1 < x.n else 0)) / 2, 0.05, 0.95)) if target.any() else 0.5
 
-    def predict(self, at: list[list[int]], value: list[list[float]]) -> np.ndarray:
-        x = Sparse(at, value)
+    def predict(self, x: Sparse) -> np.ndarray:
         out = np.zeros((x.n, 0))
         for k in range(len(CATEGORIES)):
             z = x.dot(self.words[:, k]) + out @ self.links[k][:-1] + self.links[k][-1]
@@ -164,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     open_ = seeded & y[:, None]
     targets = np.column_stack([open_, y & ~open_.any(axis=1), y])
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in got["doc_id"].to_pylist()])
-    chain.fit(got["at"].to_pylist(), got["value"].to_pylist(), targets, fold)
+    at, value = (got[c].combine_chunks() for c in ("at", "value"))
+    at, value = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (at, value))
+    chain.fit(Sparse.of(pa.compute.list_value_length(at).to_numpy(), at.flatten().to_numpy(), value.flatten().to_numpy()), targets, fold)
     return chain
 
 
@@ -179,10 +187,10 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def run(batches):
         chain = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 found = [_features(t) for t in part.column("text").to_pylist()]
-                p = chain.predict([f[0] for f in found], [f[1] for f in found])
+                p = chain.predict(Sparse.of(np.array([len(f[0]) for f in found]), *(np.concatenate([f[k] for f in found]) for k in (0, 1))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(p[:, j]) for j in range(len(CATEGORIES))), pa.array((p[:, -1] >= chain.threshold).astype(np.int32))], ["doc_id", *(f"p_{c}" for c in CATEGORIES), "predicted"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
