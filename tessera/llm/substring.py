@@ -29,7 +29,8 @@ CROWD_SAMPLE, CROWDED = 4096, 16
 #: Rows that a task of the second step holds at a time.
 STEP_ROWS = 100_000
 
-_SENT = "key long, rid long, th long, pos int, n int, tags array<int>"
+#: n: words of a span that needs no answer; tags: 32 hash bits of each window of a row, packed.
+_SENT = "key long, rid long, th long, pos int, n int, tags binary"
 
 
 class _WordHash(dict):
@@ -154,14 +155,14 @@ def _ask(window: int, crowded: np.ndarray):
                 d = block.doc[at]
                 pos = at - block.start[d]
                 spread = (block.rid[d] * 31 + pos) * np.int64(0x5851F42D4C957F2D)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(block.rid[d]), pa.array(block.th[d]), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.nulls(len(at), pa.list_(pa.int32()))], ["key", "rid", "th", "pos", "n", "tags"])
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(block.rid[d]), pa.array(block.th[d]), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.nulls(len(at), pa.binary())], ["key", "rid", "th", "pos", "n", "tags"])
             at, key, offsets, tags = block.questions(crowded)
             for k in range(0, len(at), STEP_ROWS):
                 part = slice(k, min(k + STEP_ROWS, len(at)))
                 o = offsets[part.start : part.stop + 1]
                 d = block.doc[at[part]]
-                lists = pa.ListArray.from_arrays(pa.array((o - o[0]).astype(np.int32)), pa.array(tags[o[0] : o[-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(block.rid[d]), pa.array(block.th[d]), pa.array((at[part] - block.start[d]).astype(np.int32)), pa.array(np.diff(o).astype(np.int32)), lists], ["key", "rid", "th", "pos", "n", "tags"])
+                packed = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(((o - o[0]) * 4).astype(np.int32)), pa.py_buffer(tags[o[0] : o[-1]])])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(block.rid[d]), pa.array(block.th[d]), pa.array((at[part] - block.start[d]).astype(np.int32)), pa.array(np.zeros(len(d), np.int32)), packed], ["key", "rid", "th", "pos", "n", "tags"])
 
     return run
 
@@ -177,7 +178,7 @@ def _answer(window: int):
         if own.num_rows:
             yield spans(*(own[c].to_numpy() for c in ("rid", "th", "pos", "n")))
         t = t.filter(pa.compute.is_valid(t["tags"]))
-        key, rid, th, pos, n = (t[c].to_numpy() for c in ("key", "rid", "th", "pos", "n"))
+        key, rid, th, pos = (t[c].to_numpy() for c in ("key", "rid", "th", "pos"))
         if not len(key):
             return
         same = key[1:] == key[:-1]
@@ -187,9 +188,9 @@ def _answer(window: int):
         kept |= (key == key[-1]) | (key == seen[0][0] if len(seen[0]) else False)
         if not kept.all():
             t = t.filter(pa.array(kept))
-            key, rid, th, pos, n = (x[kept] for x in (key, rid, th, pos, n))
-        tags = t["tags"].combine_chunks()
-        tags = (tags.chunk(0) if isinstance(tags, pa.ChunkedArray) else tags).flatten().to_numpy()
+            key, rid, th, pos = (x[kept] for x in (key, rid, th, pos))
+        n = pa.compute.binary_length(t["tags"]).to_numpy() // 4
+        tags = np.frombuffer(b"".join(t["tags"].to_pylist()), np.int32)
         row = np.repeat(np.arange(len(key)), n)
         within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         old = len(seen[0])
