@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 STOPWORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "do", "does", "for", "from", "has", "have", "how", "if", "in", "into", "is", "it", "its", "may", "must", "no", "not", "of", "on", "or", "our", "should", "so", "than", "that", "the", "their", "then", "there", "these", "they", "this", "to", "use", "was", "we", "what", "when", "which", "with")
 
 #: White space as ECMAScript's \s has it.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
 def tokens(text: Column) -> Column:
