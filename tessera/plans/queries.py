@@ -1,0 +1,395 @@
+"""The registered queries of the structural operators, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.globs import glob_match
+from ..functions.hashing import content_id, edge_fingerprint
+from ..functions.text import STOPWORDS, normalize_signature
+from ..operators import diff, graph, history, mapping, metrics, rules, search
+from ..schemas import Component, Resource, Rule, Waiver
+from ..streaming import sessions
+from . import carriers as C
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, uses: str = C.SQL):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"with recursive {uses} {sql}" if uses else sql
+        return f
+
+    return register
+
+
+def _fp(rule: str, kind: str = "edge", target: str = "et") -> str:
+    return f"left(sha256('{kind}' || chr(0) || '{rule}' || chr(0) || ef || chr(0) || {target} || chr(0) || kind), 16)"
+
+
+def _found(rule: str, where: str, src: str = "edges", to: str = "ct", target: str = "et", status: str = "'new'") -> str:
+    return f"select '{rule}' as \"rule\", cf as from_, {to} as to_, ef as file, line, {_fp(rule, target=target)} as fingerprint, {status} as status from {src} where {where}"
+
+
+def _findings(spark, sf_dir, *rule: Rule, edges=None, **more) -> DataFrame:
+    e = C.edges(spark, sf_dir) if edges is None else edges
+    return rules.edge_findings(e, rule, C.COMPONENTS, **more).select("rule", "from_", "to_", "file", "line", "fingerprint", "status")
+
+
+# hashes, paths, mapping
+
+
+@query("select distinct ef as from_, et as to_, kind, " + _fp("r") + " as fingerprint from edges")
+def fp_edge(spark, sf_dir):
+    return C.edges(spark, sf_dir).select("from_", "to_", "kind", edge_fingerprint("r", F.col("from_"), F.col("to_"), F.col("kind")).alias("fingerprint")).distinct()
+
+
+@query("select doc_id, sha1('blob ' || strlen(text) || chr(0) || text) as content_id from documents", "")
+def content_ids(spark, sf_dir):
+    return C.read(spark, sf_dir, "documents").select("doc_id", content_id(F.col("text")).alias("content_id"))
+
+
+@query(r"select path, loc from files where regexp_full_match(path, 'src/Brand#1[^/]*/(ECONOMY|STANDARD|PROMO)/.*') and not regexp_full_match(path, '(.*/)?p[^/]*7\.ts')")
+def glob_select(spark, sf_dir):
+    path = F.col("path")
+    return C.files(spark, sf_dir).where(glob_match(path, ["src/Brand#1*/{ECONOMY,STANDARD,PROMO}/**"]) & ~glob_match(path, ["**/p*7.ts"])).select("path", "loc")
+
+
+@query("select path, case when starts_with(path, 'src/Brand#1/') then 'one' when regexp_full_match(path, 'src/[^/]+/ECONOMY/.*') then 'economy' when regexp_full_match(path, 'src/Brand#2[^/]*/.*') then 'twenties' end as component from files")
+def component_map(spark, sf_dir):
+    parts = [Component("one", ("src/Brand#1",)), Component("economy", ("src/*/ECONOMY/",)), Component("twenties", ("src/Brand#2*/**",))]
+    return C.files(spark, sf_dir).select("path", mapping.component_of(F.col("path"), parts).alias("component"))
+
+
+@query("select path, case when starts_with(path, 'src/Brand#1/ECONOMY/') then 'inner' when starts_with(path, 'src/Brand#1/') then 'outer' when starts_with(path, 'src/Brand#2/') then 'other' else 'root' end as owner_workspace from files")
+def workspace_prefix(spark, sf_dir):
+    packages = spark.createDataFrame([("root", ""), ("outer", "src/Brand#1"), ("inner", "src/Brand#1/ECONOMY"), ("other", "src/Brand#2")], "name string, dir string")
+    return mapping.innermost_workspace(C.files(spark, sf_dir), packages).select("path", "owner_workspace")
+
+
+@query("select f.language, f.files, f.loc, f.unmapped, f.parse_errors, e.unresolved, e.dynamic from (select split_part(path, '/', 3) as language, count(*) as files, sum(loc)::bigint as loc, 0::bigint as unmapped, 0::bigint as parse_errors from files group by 1) f join (select split_part(ef, '/', 3) as language, 0::bigint as unresolved, count(*) filter (kind = 'dynamic') as dynamic from edges group by 1) e using (language)")
+def coverage_rollup(spark, sf_dir):
+    return metrics.coverage(C.files(spark, sf_dir), C.edges(spark, sf_dir))
+
+
+# rules
+
+
+@query(_found("forbid", "cf = 'Brand#1' and ct in ('Brand#2', 'Brand#3')"))
+def rule_forbid(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("forbid", "forbid", from_=("Brand#1",), to_=("Brand#2", "Brand#3")))
+
+
+@query(_found("allow", "cf = 'Brand#4' and ct <> 'Brand#4' and ct <> 'Brand#5' and not regexp_full_match(et, 'src/[^/]+/ECONOMY/.*')"))
+def rule_allow_only(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("allow", "allow-only", from_=("Brand#4",), to_=("Brand#5", "path:src/*/ECONOMY/**")))
+
+
+_LAYER = "case when {c} in ('Brand#1', 'Brand#2') then 0 when {c} = 'Brand#3' then 1 when {c} in ('Brand#4', 'Brand#5') then 2 end"
+_LAYERS = (("Brand#1", "Brand#2"), ("Brand#3",), ("Brand#4", "Brand#5"))
+
+
+@query(_found("layers", f"{_LAYER.format(c='ct')} < {_LAYER.format(c='cf')}"))
+def rule_layers(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("layers", "layers", layers=_LAYERS))
+
+
+@query(_found("strict", f"{_LAYER.format(c='ct')} < {_LAYER.format(c='cf')} or {_LAYER.format(c='ct')} > {_LAYER.format(c='cf')} + 1"))
+def rule_layers_noskip(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("strict", "layers", layers=_LAYERS, allow_skip=False))
+
+
+@query(_found("apart", "cf in ('Brand#6', 'Brand#7', 'Brand#8') and ct in ('Brand#6', 'Brand#7', 'Brand#8') and cf <> ct and kind <> 'type'"))
+def rule_independent(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("apart", "independent", members=("Brand#6", "Brand#7", "Brand#8"), include_type_imports=False))
+
+
+@query(_found("doors", "ct in ('Brand#9', 'Brand#10') and cf <> ct and not starts_with(et, 'src/' || ct || '/ECONOMY/')"))
+def rule_entrypoints(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("doors", "entrypoints", targets=("Brand#9", "Brand#10")))
+
+
+@query(_found("pure", "cf = 'Brand#11' and not builtin and pkg <> 'Supplier#000000001'", "packages", "pkg", "'pkg:' || pkg"))
+def rule_external_from(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("pure", "external-imports", from_=("Brand#11",), allow=("Supplier#000000001",), allow_builtins=True), edges=C.packages(spark, sf_dir))
+
+
+@query(_found("guarded", "regexp_full_match(pkg, 'Supplier#00000000[0-4]') and cf <> 'Brand#12'", "packages", "pkg", "'pkg:' || pkg"))
+def rule_external_packages(spark, sf_dir):
+    return _findings(spark, sf_dir, Rule("guarded", "external-imports", packages=("Supplier#00000000[0-4]",), allow_from=("Brand#12",)), edges=C.packages(spark, sf_dir))
+
+
+@query("select distinct component as from_, status as to_, path as file, line, left(sha256('key' || chr(0) || 'owner' || chr(0) || path || chr(0) || status), 16) as fingerprint from (select x.component, x.path, l_linestatus status, l_linenumber line from lineitem join files x on x.pk = l_partkey) where case status when 'F' then 'Brand#1' when 'O' then 'Brand#2' end <> component")
+def rule_state_owner(spark, sf_dir):
+    li = C.read(spark, sf_dir, "lineitem").join(C.files(spark, sf_dir).select(F.col("pk").alias("l_partkey"), F.col("path").alias("file")), "l_partkey")
+    writes = li.select("file", F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("resource"))
+    found = rules.state_findings(writes, Rule("owner", "state-owner", "warn"), (Resource("F", "Brand#1"), Resource("O", "Brand#2")), C.COMPONENTS)
+    return found.select("from_", "to_", "file", "line", "fingerprint").distinct()
+
+
+_REACH = "links as (select distinct {a} a, {b} b from edges where {a} <> {b}), reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)"
+
+
+@query(", " + _REACH.format(a="cf", b="ct") + ", scc as (select r.a node, least(r.a, min(r.b)) scc from reach r join reach s on s.a = r.b and s.b = r.a where r.a <> r.b group by r.a) select string_agg(node, ', ' order by encode(node)) as members, count(*) as size from scc group by scc")
+def rule_acyclic_components(spark, sf_dir):
+    found = rules.acyclic_findings(C.edges(spark, sf_dir), Rule("cycles", "acyclic"))
+    members = F.regexp_replace("message", "^cycle: ", "")
+    return found.select(members.alias("members"), F.size(F.split(members, ", ")).cast("long").alias("size"))
+
+
+@query(", " + _REACH.format(a="ef", b="et") + ", scc as (select r.a node, least(r.a, min(r.b)) scc from reach r join reach s on s.a = r.b and s.b = r.a where r.a <> r.b group by r.a) select node, scc from scc")
+def rule_acyclic_files(spark, sf_dir):
+    return graph.strong_components(C.edges(spark, sf_dir).select(F.col("from_").alias("a"), F.col("to_").alias("b")))
+
+
+_WAIVED = "case when ct = 'Brand#2' then 'waived' else 'new' end"
+
+
+@query("select status, count(*) as n from (" + _found("forbid", "cf = 'Brand#1' and ct in ('Brand#2', 'Brand#3')", status=_WAIVED) + ") group by status")
+def waiver_status(spark, sf_dir):
+    held = [Waiver("forbid", "Brand#1", "Brand#2", dt.date(2026, 12, 1)), Waiver("forbid", "*", "Brand#3", dt.date(2026, 11, 30))]
+    found = _findings(spark, sf_dir, Rule("forbid", "forbid", from_=("Brand#1",), to_=("Brand#2", "Brand#3")), waivers=held, today=dt.date(2026, 12, 1))
+    return found.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def _all(spark, sf_dir) -> DataFrame:
+    return rules.edge_findings(C.edges(spark, sf_dir), [Rule("layers", "layers", layers=_LAYERS)], C.COMPONENTS)
+
+
+_ALL = _found("layers", f"{_LAYER.format(c='ct')} < {_LAYER.format(c='cf')}")
+_KEPT = "kept as (select fingerprint, \"rule\", count(*) as n from found where line <= 2 group by all)"
+
+
+def _baseline(found: DataFrame) -> DataFrame:
+    return found.where("line <= 2").groupBy("fingerprint", "rule").agg(F.count("*").alias("count"))
+
+
+@query(f", found as ({_ALL}), {_KEPT} select f.file, f.line, case when row_number() over (partition by f.fingerprint order by f.file, f.line) <= k.n then 'baselined' else 'new' end as status from found f left join kept k using (fingerprint)")
+def baseline_apply(spark, sf_dir):
+    found = _all(spark, sf_dir)
+    return rules.apply_baseline(found, _baseline(found)).select("file", "line", "status")
+
+
+@query(f", found as ({_ALL}), {_KEPT}, late as (select fingerprint, count(*) as m from found where line > 2 group by 1) select k.fingerprint, k.\"rule\", (k.n - coalesce(m, 0)) as fixed from kept k left join late using (fingerprint) where k.n > coalesce(m, 0)")
+def baseline_fixed(spark, sf_dir):
+    found = _all(spark, sf_dir)
+    return rules.baseline_fixed(found.where("line > 2"), _baseline(found))
+
+
+@query(f", found as ({_ALL}), {_KEPT}, late as (select fingerprint, count(*) as m from found where line > 1 group by 1) select k.fingerprint, k.\"rule\", least(k.n, m) as count from kept k join late using (fingerprint)")
+def baseline_update(spark, sf_dir):
+    found = _all(spark, sf_dir)
+    return rules.baseline_update(found.where("line > 1"), _baseline(found))
+
+
+@query("select 'unused' as \"rule\", 0::bigint as in_scope where not exists (select 1 from edges where cf = 'Brand#99')")
+def inert_rules(spark, sf_dir):
+    given = [Rule("unused", "forbid", from_=("Brand#99",), to_=("*",)), Rule("used", "forbid", from_=("Brand#1",), to_=("Brand#2",)), Rule("layers", "layers", layers=_LAYERS)]
+    return rules.inert_rules(C.edges(spark, sf_dir), given)
+
+
+@query(f"select count(*) filter (status = 'new') as new_errors, 0::bigint as new_warnings, 0::bigint as infos, 0::bigint as existing, 0::bigint as baselined, count(*) filter (status = 'waived') as waived from ({_ALL})")
+def summary_counts(spark, sf_dir):
+    return rules.summary(_all(spark, sf_dir))
+
+
+# component graph and metrics
+
+
+_GRAPH = "cg as (select cf from_c, ct to_c, count(*) cnt, array_to_string(list_sort(list_distinct(list(kind))), ',') kinds from edges where cf <> ct group by 1, 2)"
+_METRICS = "m as (select component, count(*) as files, sum(loc)::bigint as loc, coalesce((select count(distinct from_c) from cg where to_c = component), 0) as fan_in, coalesce((select count(distinct to_c) from cg where from_c = component), 0) as fan_out from files group by component)"
+
+
+@query(f", {_GRAPH}, f as (select cf from_c, ct to_c, ef file, row_number() over (partition by cf, ct order by encode(ef), line, encode(et)) n from edges where cf <> ct) select cg.*, f.file as first_file from cg join f using (from_c, to_c) where n = 1")
+def component_graph(spark, sf_dir):
+    return metrics.component_graph(C.edges(spark, sf_dir)).select("from_c", "to_c", "cnt", F.array_join("kinds", ",").alias("kinds"), F.col("samples")[0]["file"].alias("first_file"))
+
+
+def _metrics(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    g, f = metrics.component_graph(C.edges(spark, sf_dir)), C.files(spark, sf_dir)
+    return metrics.coupling(f.select("component").distinct(), f, g), g
+
+
+@query(f", {_GRAPH}, {_METRICS} select *, round(fan_out / (fan_in + fan_out), 6) as instability from m")
+def metrics_coupling(spark, sf_dir):
+    return _metrics(spark, sf_dir)[0].withColumn("instability", F.round("instability", 6))
+
+
+@query(f", {_GRAPH}, reach as (select from_c a, to_c b from cg union select r.a, cg.to_c from reach r join cg on cg.from_c = r.b) select n, pairs + n as reachable, round((pairs + n) / (n * n), 6) as cost from (select count(distinct component) n from files), (select count(*) pairs from reach where a <> b)")
+def propagation_cost(spark, sf_dir):
+    g = metrics.component_graph(C.edges(spark, sf_dir))
+    return metrics.propagation_cost(C.files(spark, sf_dir).select("component").distinct(), g).withColumn("cost", F.round("cost", 6))
+
+
+@query(f", {_GRAPH}, {_METRICS} select component, fan_in, fan_out, least from m, (select greatest(3, ceil(0.3 * (count(*) - 1)))::bigint as least from m) where fan_in >= least and fan_out >= least")
+def hub(spark, sf_dir):
+    return metrics.hubs(_metrics(spark, sf_dir)[0])
+
+
+@query(f", {_GRAPH}, {_METRICS} select component, files, loc from m, (select sum(files) as af, sum(loc) as al from m) where files > 0.03 * af and loc > 0.03 * al")
+def god(spark, sf_dir):
+    return metrics.gods(_metrics(spark, sf_dir)[0], share=0.03)
+
+
+@query(f", {_GRAPH}, {_METRICS}, i as (select component, fan_out / (fan_in + fan_out) as v from m) select from_c, to_c, round(a.v, 6) as i_from, round(b.v, 6) as i_to from cg join i a on a.component = from_c join i b on b.component = to_c where b.v - a.v > 0.0001")
+def unstable_dep(spark, sf_dir):
+    m, g = _metrics(spark, sf_dir)
+    return metrics.unstable(g, m, by=0.0001).select("from_c", "to_c", F.round("i_from", 6).alias("i_from"), F.round("i_to", 6).alias("i_to"))
+
+
+# history
+
+
+@query("select path, sum(added + deleted)::bigint as churn, count(distinct sha) as commits from changes group by path")
+def churn(spark, sf_dir):
+    return history.churn(C.changes(spark, sf_dir))
+
+
+_COCHANGE = "once as (select distinct sha, {item} item from changes), t as (select item, count(*) n from once group by 1), p as (select x.item a, y.item b, count(*) support from once x join once y using (sha) where encode(x.item) < encode(y.item) group by 1, 2), pairs as (select a, b, support, round(support / least(u.n, v.n), 3) as confidence from p join t u on u.item = a join t v on v.item = b where support >= {s} and support / least(u.n, v.n) >= {c})"
+
+
+@query(", " + _COCHANGE.format(item="path", s=2, c=0.05) + " select * from pairs")
+def cochange_files(spark, sf_dir):
+    return history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.05)
+
+
+@query(", " + _COCHANGE.format(item="component", s=5, c=0.1) + " select * from pairs")
+def cochange_components(spark, sf_dir):
+    return history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("component").alias("item")), 5, 0.1)
+
+
+@query(", " + _COCHANGE.format(item="path", s=2, c=0.05) + " select * from pairs where not exists (select 1 from edges where ef = a and et = b or ef = b and et = a)")
+def hidden_coupling(spark, sf_dir):
+    pairs = history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.05)
+    return history.hidden_coupling(pairs, C.edges(spark, sf_dir).select(F.col("from_").alias("from_c"), F.col("to_").alias("to_c")))
+
+
+@query(", h as (select path, sum(added + deleted)::bigint as churn, count(distinct sha) as commits from changes group by path), s as (select h.*, f.loc, churn * f.loc as score from h join files f using (path) where churn > 0 and f.loc > 0) select path, churn, commits, loc, score from s where commits >= 3 and score >= (select quantile_disc(score, 0.75) from s) and loc >= (select quantile_disc(loc, 0.5) from s) order by score desc, encode(path) limit 20")
+def hotspots(spark, sf_dir):
+    return history.hotspots(C.changes(spark, sf_dir), C.files(spark, sf_dir))
+
+
+@query(", " + _COCHANGE.format(item="path", s=2, c=0.05) + ", u as (select a, b from pairs union select b, a from pairs), r as (select a, b from u union select r.a, u.b from r join u on u.a = r.b) select a as node, least(a, min(b)) as root from r group by a")
+def clusters(spark, sf_dir):
+    return graph.clusters(history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.05))
+
+
+@query(", links as (select distinct ef a, et b from edges where lf > lt), h as (select distinct b as node, 0 as height from links union select l.a, h.height + 1 from h join links l on l.b = h.node) select node, max(height)::int as height from h group by node")
+def layer_heights(spark, sf_dir):
+    loc = C.files(spark, sf_dir)
+    e = C.edges(spark, sf_dir).select("from_", "to_").distinct()
+    down = e.join(loc.select(F.col("path").alias("from_"), F.col("loc").alias("lf")), "from_").join(loc.select(F.col("path").alias("to_"), F.col("loc").alias("lt")), "to_").where("lf > lt")
+    return graph.heights(down.select(F.col("from_").alias("a"), F.col("to_").alias("b")))
+
+
+# versions
+
+
+@query(f", {C.VERSIONS_SQL}, b as (select distinct ef, et from base), h as (select distinct ef, et from head) select ef as from_c, et as to_c, 'added' as change from (from h except from b) union all select ef, et, 'removed' from (from b except from h)")
+def edge_delta(spark, sf_dir):
+    base, head = (v.select(F.col("from_").alias("from_c"), F.col("to_").alias("to_c")) for v in C.versions(spark, sf_dir))
+    return diff.edge_delta(base, head)
+
+
+@query(f", {C.VERSIONS_SQL} select h.ef as file, h.cf as from_c, h.ct as to_c, h.line from head h where h.ct in ('Brand#3', 'Brand#13') and h.cf <> h.ct and not exists (select 1 from base b where b.ef = h.ef and b.ct = h.ct)")
+def deprecated_new_dependents(spark, sf_dir):
+    base, head = (v.select(F.col("from_").alias("file"), F.col("src.component").alias("from_c"), F.col("dst.component").alias("to_c"), "line") for v in C.versions(spark, sf_dir))
+    return diff.new_dependents(base, head, spark.createDataFrame([("Brand#3",), ("Brand#13",)], "component string"))
+
+
+_OLD, _NEW = "'f(a: ' || p_type || ' ,b:number)'", "'f( a:' || case when p_size % 5 = 0 then 'X' else p_type end || ', b: number )'"
+
+
+@query("select p_brand as component, p_partkey::varchar as file, p_name as name, case when p_size >= 40 then 'added' when p_size < 10 then 'removed' else 'changed' end as change from part where p_size >= 40 or p_size < 10 or p_size % 5 = 0", "")
+def api_compare(spark, sf_dir):
+    p = C.read(spark, sf_dir, "part")
+    side = lambda where, signature: p.where(where).select(F.col("p_brand").alias("component"), F.col("p_partkey").cast("string").alias("file"), F.col("p_name").alias("name"), F.expr(signature).alias("signature"))
+    return diff.api_changes(side("p_size < 40", _OLD), side("p_size >= 10", _NEW))
+
+
+@query("select p_partkey, 'f(a:' || p_type || ',b:number)' as signature from part", "")
+def signature_normalize(spark, sf_dir):
+    return C.read(spark, sf_dir, "part").select("p_partkey", normalize_signature(F.expr(_OLD)).alias("signature"))
+
+
+@query(f", {C.VERSIONS_SQL}, f as (select e.ef, e.line, {_fp('r')} fp from head e), n as (select {_fp('r')} fp, count(*) n from base group by 1) select f.ef as file, f.line, case when row_number() over (partition by fp order by f.ef, f.line) <= coalesce(n.n, 0) then 'existing' else 'new' end as status from f left join n using (fp)")
+def diff_budget(spark, sf_dir):
+    base, head = (v.withColumn("fingerprint", edge_fingerprint("r", F.col("from_"), F.col("to_"), F.col("kind"))) for v in C.versions(spark, sf_dir))
+    found = head.select(F.col("from_").alias("file"), "line", F.lit("").alias("message"), "fingerprint", F.lit("new").alias("status"))
+    return diff.diff_budget(found, base.groupBy("fingerprint").agg(F.count("*").alias("occurrences"), F.lit(0).alias("baselined"))).select("file", "line", "status")
+
+
+@query(f", {C.VERSIONS_SQL}, b as (select {_fp('r')} fingerprint, count(*) n from base group by 1), h as (select {_fp('r')} fingerprint, count(*) n from head group by 1) select 'r' as \"rule\", fingerprint, b.n - coalesce(h.n, 0) as lost from b left join h using (fingerprint) where b.n > coalesce(h.n, 0)")
+def multiset_difference(spark, sf_dir):
+    base, head = (v.select(F.lit("r").alias("rule"), edge_fingerprint("r", F.col("from_"), F.col("to_"), F.col("kind")).alias("fingerprint")) for v in C.versions(spark, sf_dir))
+    return diff.lost_findings(base, head)
+
+
+@query(f", {C.VERSIONS_SQL}, b as (select {_fp('r')} fp, ct, count(*) n from base group by 1, 2), h as (select {_fp('r')} fp, ct, count(*) n from head group by 1, 2) select ct as \"rule\", sum(coalesce(h.n, 0) - coalesce(b.n, 0))::bigint as grown from h left join b using (fp, ct) where coalesce(h.n, 0) > coalesce(b.n, 0) and ct <> 'Brand#25' group by 1")
+def baseline_grown(spark, sf_dir):
+    base, head = (v.groupBy(edge_fingerprint("r", F.col("from_"), F.col("to_"), F.col("kind")).alias("fingerprint"), F.col("dst.component").alias("rule")).agg(F.count("*").alias("count")) for v in C.versions(spark, sf_dir))
+    return diff.baseline_growth(base, head, spark.createDataFrame([(b,) for b in C.BRANDS[:-1]], "rule string"))
+
+
+# text
+
+
+_STOP = "('" + "', '".join(STOPWORDS) + "')"
+_TOKENS = f"select id, case when length(w) > 4 and w like '%s' and w not like '%ss' then left(w, -1) else w end as term from (select id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as w from docs) where length(w) >= 2 and w not in {_STOP}"
+
+
+@query(f"select term, count(distinct id) as df, count(*) as tf from ({_TOKENS}) group by term", "docs as (select doc_id as id, text from documents)")
+def tokenize_df(spark, sf_dir):
+    tf = search.term_frequencies(C.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f", tk as ({_TOKENS}), len as (select docs.id, count(term) as l from docs left join tk using (id) group by 1), st as (select count(*) n, avg(l) m from len), tf as (select id, term, count(*) f from tk where term in ('eratsh', 'therin', 'blee', 'ening') group by 1, 2), d as (select term, count(*) df from tf group by 1) select id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / m))), 6) as score from tf join d using (term) join len using (id), st group by id order by score desc, id limit 10", "docs as (select doc_id as id, text from documents)")
+def bm25_topk(spark, sf_dir):
+    return search.bm25(C.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "eratsh therin blees ening the", 10)
+
+
+@query(f", p as (select distinct id, term from ({_TOKENS}) where length(term) >= 3), t as (select distinct id, term from ({_TOKENS.replace('from docs)', 'from titles)')}) where length(term) >= 3) select p.id as prompt_id, t.id as title_id, count(*) as shared from p join t using (term) group by 1, 2 having count(*) >= 5", "docs as (select conv_id * 1000 + turn as id, text from conversations where role = 'user'), titles as (select item_id as id, text from benchmark)")
+def prompt_match(spark, sf_dir):
+    prompts = C.read(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), "text")
+    return search.title_matches(prompts, C.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("title_id"), "text"), 5)
+
+
+@query(r"select doc_id as id, doc_id as source, contains(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), trim(regexp_replace(case when doc_id % 2 = 0 then substr(text, 5, 60) else upper(substr(text, 5, 60)) end, '[ \t\n\r]+', ' ', 'g'))) as found from documents", "")
+def evidence_quotes(spark, sf_dir):
+    d = C.read(spark, sf_dir, "documents")
+    quote = F.substring("text", 5, 60)
+    quotes = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.when(F.col("doc_id") % 2 == 0, quote).otherwise(F.upper(quote)).alias("quote"))
+    return search.evidence(quotes, d.select(F.col("doc_id").alias("source"), "text"))
+
+
+@query("select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''))::int as loc from documents", "")
+def line_counts(spark, sf_dir):
+    return C.read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"[ \t\r]", "") != "")).alias("loc"))
+
+
+# sessions
+
+
+@query("select event_id, user_id, fp from (select *, row_number() over (partition by user_id, fp order by ts, event_id) as n from (select event_id, user_id, ts, event_type || '|' || props as fp from events where ts >= timestamp '2024-01-10')) e left join (select user_id, event_type || '|' || props as fp, count(*) as k from events where ts < timestamp '2024-01-10' group by all) s using (user_id, fp) where n > coalesce(k, 0)", "")
+def session_introduced(spark, sf_dir):
+    e = C.read(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.concat_ws("|", "event_type", "props").alias("fp"))
+    return sessions.introduced(e.where("ts < timestamp_ntz'2024-01-10'"), e.where("ts >= timestamp_ntz'2024-01-10'"), "user_id", "fp", ["ts", "event_id"]).select("event_id", "user_id", "fp")
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) as state, arg_max(event_id, (ts, event_id)) as event_id from events group by user_id", "")
+def last_state_wins(spark, sf_dir):
+    return sessions.last_state(C.read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], {"state": "event_type", "event_id": "event_id"})
+
+
+@query("select event_id, printf('%08d', event_id) as key from events order by key limit 20 offset 40", "")
+def page_cursor(spark, sf_dir):
+    rows = C.read(spark, sf_dir, "events").select("event_id", F.lpad(F.col("event_id").cast("string"), 8, "0").alias("key"))
+    return search.page(rows, 40, 20)[0]
