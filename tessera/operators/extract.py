@@ -38,7 +38,7 @@ def script_imports(files: DataFrame) -> DataFrame:
     found = F.flatten(F.array(*(_form(text, kind, form) for kind, form in _FORMS)))
     rows = files.withColumn("_text", text).select("path", "_text", F.explode(found).alias("m"))
     module = F.regexp_extract("m.statement", r"""["']([^"'\n]+)["']\s*\)?$""", 1)
-    before = F.substring_index(F.col("_text"), F.col("m.statement"), 1)
+    before = F.call_function("substring_index", F.col("_text"), F.col("m.statement"), F.lit(1))
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     line = breaks(before) + breaks(F.regexp_extract("m.statement", r"^(\s*)", 1)) + 1
     names = F.filter(F.transform(F.split(F.regexp_extract("m.statement", r"\{([^}]*)\}", 1), ","), lambda x: F.regexp_extract(x, r"([\w$]+)", 1)), lambda x: x != "")

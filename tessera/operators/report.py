@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_RANK = F.create_map(F.lit("error"), F.lit(0), F.lit("warn"), F.lit(1), F.lit("info"), F.lit(2))
-
-
 def order() -> list[Column]:
-    return [_RANK[F.col("level")], F.col("rule"), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), F.col("message"), F.col("fingerprint")]
+    rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warn", 1).otherwise(2)
+    return [rank, F.col("rule"), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), F.col("message"), F.col("fingerprint")]
 
 
 def exit_code(summary: DataFrame, config_errors: int = 0, unapproved: int = 0) -> int:

@@ -65,7 +65,7 @@ def resolve_python(imports: DataFrame, files: DataFrame, roots: Sequence[str] =
     bases = F.when(dots > 0, F.array(F.concat_ws("/", F.nullif(up, F.lit("")), F.nullif(module, F.lit(""))))).otherwise(F.array(*(F.concat_ws("/", F.nullif(F.lit(r), F.lit("")), module) for r in roots)))
     name = F.nullif(F.col("_name"), F.lit(""))
     forms = F.flatten(F.transform(bases, lambda b: F.array(F.concat(b, F.lit("/"), name, F.lit("/__init__.py")), F.concat(b, F.lit("/"), name, F.lit(".py")), F.concat(b, F.lit("/__init__.py")), F.concat(b, F.lit(".py")))))
-    one = named.withColumn("specifier", F.when(name.isNotNull(), F.concat(spec, F.lit(":"), name)).otherwise(spec)).withColumns({"_forms": forms, "_dots": dots})
+    one = named.withColumns({"_forms": forms, "_dots": dots}).withColumn("specifier", F.when(name.isNotNull(), F.concat(spec, F.lit(":"), name)).otherwise(spec))
     found = _first_existing(one, F.col("_forms"), files)
     top = F.regexp_extract("specifier", r"^([^.:]+)", 1)
     own = files.select(F.explode(F.array(*(F.regexp_extract("path", rf"^{r + '/' if r else ''}([^/]+?)(?:\.py$|/)", 1) for r in roots))).alias("_top")).where("_top <> ''").distinct().withColumn("_own", F.lit(True))

@@ -16,56 +16,56 @@ from ..schemas import Component, Resource, Rule, Waiver
 from .graph import strong_components
 from .mapping import component_of, missing_target
 
-SRC, DST = F.col("src"), F.col("dst")
-
-
 def violates(rule: Rule, components: Sequence[Component]) -> Column:
     """Whether an enriched edge with a known target breaks the rule."""
-    same = F.coalesce(SRC["component"] == DST["component"], F.lit(False))
+    src, dst = F.col("src"), F.col("dst")
+    same = F.coalesce(src["component"] == dst["component"], F.lit(False))
     match rule.kind:
         case "forbid":
-            return any_selects(rule.from_, SRC) & any_selects(rule.to_, DST)
+            return any_selects(rule.from_, src) & any_selects(rule.to_, dst)
         case "allow-only":
-            outside = DST["external"] if (rule.scope or "internal") == "internal" else F.lit(False)
-            return any_selects(rule.from_, SRC) & ~outside & ~(~DST["external"] & same) & ~any_selects(rule.to_, DST)
+            outside = dst["external"] if (rule.scope or "internal") == "internal" else F.lit(False)
+            return any_selects(rule.from_, src) & ~outside & ~(~dst["external"] & same) & ~any_selects(rule.to_, dst)
         case "layers":
-            i, j = first_selecting(rule.layers, SRC), first_selecting(rule.layers, DST)
+            i, j = first_selecting(rule.layers, src), first_selecting(rule.layers, dst)
             return F.coalesce((j < i) if rule.allow_skip else (j < i) | (j > i + 1), F.lit(False))
         case "independent":
             groups = [(m,) for m in rule.members]
-            return F.coalesce(first_selecting(groups, SRC) != first_selecting(groups, DST), F.lit(False))
+            return F.coalesce(first_selecting(groups, src) != first_selecting(groups, dst), F.lit(False))
         case "entrypoints":
             entry = F.lit(False)
             for c in components:
                 globs = rule.entrypoints or c.entrypoints
-                entry = F.when(DST["component"] == c.id, glob_match(F.col("to_"), globs) if globs else F.lit(True)).otherwise(entry)
+                entry = F.when(dst["component"] == c.id, glob_match(F.col("to_"), globs) if globs else F.lit(True)).otherwise(entry)
             named = [t for t in rule.targets if not t.startswith(("path:", "pkg:"))]  # the target is looked at as a component, without its file
             aimed = F.lit(False)
             for t in named:
-                aimed = aimed | (F.lit(True) if t == "*" else DST["component"] == t)
-            return F.col("to_").isNotNull() & DST["component"].isNotNull() & ~same & aimed & ~entry
+                aimed = aimed | (F.lit(True) if t == "*" else dst["component"] == t)
+            return F.col("to_").isNotNull() & dst["component"].isNotNull() & ~same & aimed & ~entry
         case "external-imports":
-            bare = DST["external"]
+            bare = dst["external"]
             if rule.packages:
-                return bare & glob_match(DST["package"], rule.packages) & ~any_selects(rule.allow_from, SRC)
+                return bare & glob_match(dst["package"], rule.packages) & ~any_selects(rule.allow_from, src)
             excused = F.coalesce(F.col("builtin"), F.lit(False)) & F.lit(rule.allow_builtins)
-            refused = (~glob_match(DST["package"], rule.allow) if rule.allow is not None else F.lit(False)) | glob_match(DST["package"], rule.forbid)
-            return bare & any_selects(rule.from_, SRC) & ~excused & refused
+            refused = (~glob_match(dst["package"], rule.allow) if rule.allow is not None else F.lit(False)) | glob_match(dst["package"], rule.forbid)
+            return bare & any_selects(rule.from_, src) & ~excused & refused
     return F.lit(False)
 
 
 def waived(rule: Rule, waivers: Sequence[Waiver], today: dt.date) -> Column:
     """A waiver holds on the day it expires and covers the edges its selectors take."""
+    src, dst = F.col("src"), F.col("dst")
     out = F.lit(False)
     for w in waivers:
         if w.rule == rule.id and w.expires >= today:
-            out = out | (selects(w.from_, SRC) & (selects(w.to_, DST) if w.to_ else F.lit(True)))
+            out = out | (selects(w.from_, src) & (selects(w.to_, dst) if w.to_ else F.lit(True)))
     return out
 
 
 def edge_findings(edges: DataFrame, rules: Sequence[Rule], components: Sequence[Component], waivers: Sequence[Waiver] = (), today: dt.date = dt.date(1970, 1, 1), changed: DataFrame | None = None) -> DataFrame:
     """Findings of all edge rules, new or waived. edges: see with_endpoints. changed: paths; then only edges from these count."""
-    known = edges.where(DST.isNotNull() & ~missing_target(F.col("unresolved"), F.col("workspace"), F.col("to_")) | F.col("package").isNotNull() & ~F.coalesce("unresolved", F.lit(False)))
+    src, dst = F.col("src"), F.col("dst")
+    known = edges.where(dst.isNotNull() & ~missing_target(F.col("unresolved"), F.col("workspace"), F.col("to_")) | F.col("package").isNotNull() & ~F.coalesce("unresolved", F.lit(False)))
     if changed is not None:
         known = known.join(changed.select(F.col("path").alias("from_")).distinct(), "from_", "left_semi")
     target = target_key(F.col("to_"), F.col("workspace"), F.col("package"), F.col("specifier"))
@@ -81,8 +81,8 @@ def edge_findings(edges: DataFrame, rules: Sequence[Rule], components: Sequence[
     if not made:
         made = [F.lit(None).cast("struct<rule:string,kind:string,level:string,status:string>")]
     hits = known.withColumn("hit", F.explode(F.filter(F.array(*made), lambda h: h.isNotNull())))
-    source = F.coalesce(SRC["component"], SRC["file"])
-    aim = F.coalesce(DST["component"], DST["package"], DST["file"])
+    source = F.coalesce(src["component"], src["file"])
+    aim = F.coalesce(dst["component"], dst["package"], dst["file"])
     return hits.select(
         "hit.rule", F.col("hit.kind").alias("kind"), "hit.level", F.concat(source, F.lit(" must not import "), aim).alias("message"), source.alias("from_"), aim.alias("to_"),
         F.col("from_").alias("file"), "line", edge_fingerprint(F.col("hit.rule"), F.col("from_"), target, F.col("kind")).alias("fingerprint"), "hit.status", F.lit(False).alias("heuristic"),
@@ -102,13 +102,14 @@ def state_findings(writes: DataFrame, rule: Rule, resources: Sequence[Resource],
 
 def acyclic_findings(edges: DataFrame, rule: Rule) -> DataFrame:
     """One finding for each strongly connected component of two or more members, over files or components; within limits the members."""
+    src, dst = F.col("src"), F.col("dst")
     by = "component" if (rule.scope or "components") == "components" else "file"
-    known = edges.where(DST.isNotNull())
+    known = edges.where(dst.isNotNull())
     if not rule.include_type_imports:
         known = known.where("kind <> 'type'")
     if rule.within:
-        known = known.where(any_selects(rule.within, SRC) & any_selects(rule.within, DST))
-    pairs = known.select(SRC[by].alias("a"), DST[by].alias("b"), F.col("from_").alias("file"), "line").where("a is not null and b is not null and a <> b")
+        known = known.where(any_selects(rule.within, src) & any_selects(rule.within, dst))
+    pairs = known.select(src[by].alias("a"), dst[by].alias("b"), F.col("from_").alias("file"), "line").where("a is not null and b is not null and a <> b")
     members = strong_components(pairs.select("a", "b"))
     m = members.select(F.col("node").alias("a"), "scc")
     inside = pairs.join(m, "a").join(members.select(F.col("node").alias("b"), F.col("scc").alias("other")), "b").where("scc = other")
@@ -152,8 +153,9 @@ def summary(findings: DataFrame) -> DataFrame:
 
 def inert_rules(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """rule and in_scope (edges its source side takes) for edge rules that take no edge at all."""
+    src = F.col("src")
     spark = edges.sparkSession
-    sides = {r.id: any_selects(r.from_ or [s for g in r.layers for s in g] or r.members or ("*",), SRC) for r in rules if r.level != "off" and r.kind in ("forbid", "allow-only", "layers", "independent", "external-imports")}
+    sides = {r.id: any_selects(r.from_ or [s for g in r.layers for s in g] or r.members or ("*",), src) for r in rules if r.level != "off" and r.kind in ("forbid", "allow-only", "layers", "independent", "external-imports")}
     if not sides:
         return spark.createDataFrame([], "rule string, in_scope long")
     counts = edges.agg(*(F.count_if(c).alias(f"c{k}") for k, c in enumerate(sides.values())))

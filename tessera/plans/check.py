@@ -68,7 +68,7 @@ def brief(items: DataFrame, budget: int) -> DataFrame:
             if row.tokens <= left:
                 left -= row.tokens
                 kept.append(row.Index)
-        return t.loc[kept]
+        return t.loc[kept, ["rank", "id", "markdown", "tokens"]]
 
-    sized = items.select("rank", "id", "markdown", token_estimate(F.col("markdown")).alias("tokens"))
-    return sized.groupBy(F.lit(0)).applyInPandas(choose, "rank long, id string, markdown string, tokens long")
+    sized = items.select("rank", "id", "markdown", token_estimate(F.col("markdown")).alias("tokens"), F.lit(0).alias("group"))
+    return sized.groupBy("group").applyInPandas(choose, "rank long, id string, markdown string, tokens long")
