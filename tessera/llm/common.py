@@ -2,66 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import release as drop_stash
+from ..scratch import settle as stash
+
+__all__ = ["LAST_ID", "drop_stash", "stash", "table", "text_or_empty"]
+
 #: Stands for a null id where ids are compared; such rows rank behind all others.
 LAST_ID = 2**63 - 1
 
-_written: list[tuple[SparkSession, str]] = []
-_local_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    conf = spark.sparkContext.getConf()
-    if base := conf.get("spark.checkpoint.dir", None):
-        return base
-    if (master := conf.get("spark.master", "")).startswith("local") and not master.startswith("local-cluster"):
-        if not _local_dir:
-            _local_dir.append(tempfile.mkdtemp(prefix="tessera-"))
-        return f"file://{_local_dir[0]}"
-    return spark.conf.get("spark.sql.warehouse.dir")
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
-    return out
-
-
-def drop_stash(df: DataFrame) -> None:
-    """Deletes what stash() wrote, once nothing reads it any more."""
-    _delete(df.sparkSession, df.stash_path)
-    _written[:] = [x for x in _written if x[1] != df.stash_path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone by now
-            return
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
