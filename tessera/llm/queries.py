@@ -73,4 +73,29 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Those that SQL can express; tests/llm holds the others against brute force, the library's own encoder or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op7_embed_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] e from embeddings where vec_id is not null and label is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+        c as (select vec_id, (select count(*) from links where a = vec_id) n_links, least(vec_id, coalesce((select min(b) from reach where a = vec_id), vec_id)) component_id from embeddings)
+        select vec_id, n_links, component_id, vec_id = component_id as kept from c
+    """,
+    "op8_substring": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+        windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13)),
+        firsts as (select k, min(doc_id) f from windows group by k),
+        gone as (select distinct doc_id, unnest(range(i, i + 13)) p from windows join firsts using (k) where f < doc_id),
+        g as (select doc_id, list(p) ps, count(*) n from gone group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(array_to_string(list_filter(w, lambda x, j: ps is null or not list_contains(ps, j)), ' '), '')) as kept_sha256
+        from d left join g using (doc_id)
+    """,
+    "op10_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+        select query_id, "rank", vec_id, score from r where "rank" <= 5
+    """,
+}
