@@ -306,3 +306,31 @@ def test_sessions(spark, tmp_path):
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("sessions").collect()} == {("s", "x", 3, "block"), ("s", "w", 4, "context"), ("t", "x", 5, "block")}
     assert sessions.parse_events(spark.read.text(str(tmp_path / "in")))[1].count() == 2
+
+
+def test_weakenings(spark):
+    from tessera.operators.contract import contract_issues, weakenings
+
+    rules_ = (Rule("gone", "forbid"), Rule("low", "forbid", "error"), Rule("types", "forbid"), Rule("kind", "forbid"), Rule("less", "forbid", from_=("a", "b"), to_=("c",)), Rule("layers", "layers", layers=(("a",), ("b",), ("c",)), allow_skip=False), Rule("wide", "allow-only", from_=("a",), to_=("b",), scope="all"), Rule("ext", "external-imports", from_=("a",), allow=()), Rule("off", "forbid", "off"), Rule("same", "acyclic"))
+    head = (Rule("low", "forbid", "warn"), Rule("types", "forbid", include_type_imports=False), Rule("kind", "acyclic"), Rule("less", "forbid", from_=("a",), to_=("c",)), Rule("layers", "layers", layers=(("a",), ("b",), ("c",))), Rule("wide", "allow-only", from_=("a",), to_=("b", "c"), scope="internal"), Rule("ext", "external-imports", from_=("a",), allow=("zod",)), Rule("same", "acyclic"))
+    base = Contract((Component("a", ("a",), ("a/i",)), Component("b", ("b",), deprecated=True)), (), rules_, (Waiver("low", "a", None, dt.date(2026, 1, 1)),))
+    new = Contract((Component("a", ("a",)), Component("b", ("b",))), (), head, (Waiver("low", "a", None, dt.date(2026, 12, 1)), Waiver("low", "b", None, dt.date(2026, 1, 1))))
+    got = {(r.type, r.rule) for r in weakenings(spark, base, new, TODAY).collect()}
+    assert got == {("rule-removed", "gone"), ("level-lowered", "low"), ("type-imports-excluded", "types"), ("rule-changed", "kind"), ("selector-narrowed", "less"), ("selector-narrowed", "layers"), ("selector-narrowed", "wide"), ("selector-narrowed", "ext"), ("component-changed", "a"), ("component-changed", "b"), ("waiver-added", "low")}
+    assert weakenings(spark, base, base, TODAY).count() == 0
+    issues = set(contract_issues(Contract((Component("a", ()), Component("a", ())), (Resource("s", "x"),), (Rule("r", "forbid", because=(), from_=("b", "*", "pkg:z")),), (Waiver("q", "a", None, TODAY), Waiver("r", "a", None, dt.date(2020, 1, 1)))), TODAY))
+    assert issues == {("component a", "is there more than once"), ("rule r", "names the unknown component b"), ("rule r", "is an error without a reason"), ("resource s", "has the unknown owner x"), ("waiver of q", "names an unknown rule"), ("waiver of r", "has expired")}
+
+
+def test_inference(spark):
+    from tessera.operators import inference
+
+    f = spark.createDataFrame([(f"src/{d}/f{k}.ts", "") for d in ("domain", "Web UI", "packages/one", "packages/two", "lib/one") for k in range(3)] + [("README.md", "Hello\nThe domain must not import the web.\nshort never")], "path string, text string")
+    got = {(r.id, r.folder, r.files) for r in inference.infer_components(f).collect()}
+    assert got == {("domain", "src/domain", 3), ("web-ui", "src/Web UI", 3), ("one", "src/packages/one", 3), ("two", "src/packages/two", 3), ("lib", "src/lib", 3)}
+    named = spark.createDataFrame([("shop-web",), ("shop-domain",), ("shop-db",), ("other",)], "id string")
+    assert {(r.tier, tuple(r.ids)) for r in inference.layer_names(named).collect()} == {(0, ("shop-web",)), (3, ("shop-domain",)), (4, ("shop-db",))}
+    assert inference.layer_names(named.limit(2)).count() == 0
+    g = spark.createDataFrame([("a", "b"), ("b", "c")], "from_c string, to_c string")
+    assert [tuple(r) for r in inference.inferred_layers(g).collect()] == [("a", 2), ("b", 1), ("c", 0)]
+    assert [(r.line, r.text) for r in inference.guardrails(f).collect()] == [(2, "The domain must not import the web.")]
