@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 #: Distinct pre-tokens that a task remembers before it starts anew; speed only.
 MEMO = 400_000
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id:
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = list(shared.value.encode_batch(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
@@ -177,7 +177,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast({i: t for t, i in read_ranks(path).items()})
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [b"".join(map(shared.value.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
 

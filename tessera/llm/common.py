@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..scratch import release as drop_stash
 from ..scratch import settle as stash
 
-__all__ = ["LAST_ID", "drop_stash", "stash", "table", "text_or_empty"]
+__all__ = ["LAST_ID", "drop_stash", "slices", "stash", "table", "text_or_empty"]
 
 #: Stands for a null id where ids are compared; such rows rank behind all others.
 LAST_ID = 2**63 - 1
@@ -18,5 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces, so that a task holds the Python objects of few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

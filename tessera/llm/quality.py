@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stash, stash, text_or_empty
+from .common import drop_stash, slices, stash, text_or_empty
 
 #: Labelled documents, at most about, that the model is fitted on (those of the least hash), and parts that they are summed in.
 FIT_ROWS, FIT_PARTS = 40_000, 8
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * FIT_ROWS / n))
 
     def measure(batches):
-        for b in batches:
+        for b in slices(batches):
             x = _measured(b.column("text").to_pylist()).astype(np.float32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(STATISTICS)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([lists, b.column("y"), b.column("h")], ["x", "y", "h"])
@@ -182,7 +182,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     model = fit(docs, labels, text, doc_id, label)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(_measured(b.column("text").to_pylist())))], ["doc_id", "score"])
 
     scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double")
@@ -195,7 +195,7 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
     place = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(model.score(_measured(b.column(place).to_pylist())) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, drop_stash, stash, text_or_empty
+from .common import LAST_ID, drop_stash, slices, stash, text_or_empty
 from .components import components
 
 BITS, SEGMENTS = 64, 2
@@ -39,7 +39,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     """doc_id, th (a hash of the text) and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, text_or_empty
+from .common import LAST_ID, slices, text_or_empty
 
 #: Words of a reference block, about; a longer document is a block of its own.
 BLOCK_WORDS = 1 << 19
@@ -131,7 +131,7 @@ class Block:
 def _blocks(batches, window: int):
     """Reference blocks from batches of rid, th and body (bytes)."""
     memo, docs, n = _WordHash(), [], 0
-    for part in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+    for part in slices(batches):
         for rid, th, body in zip(*(part.column(c).to_pylist() for c in ("rid", "th", "body")), strict=True):
             words = body.split()  # of bytes: at ASCII white space
             if len(words) < window:
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     plain = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
 
     def run(batches):
-        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
+        for b in slices(batches):
             n_words, n_removed, merged, kept = [], [], [], []
             for body, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 words, own = body.split(), _merged(spans)
@@ -301,7 +301,7 @@ def cut(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int
     place = docs.columns.index(text)
 
     def run(batches):
-        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
+        for b in slices(batches):
             texts = b.column(place).to_pylist()
             for k, spans in enumerate(b.column("_spans").to_pylist()):
                 if spans:
