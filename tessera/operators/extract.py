@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import tomllib
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -119,3 +120,33 @@ def write_sites(files: DataFrame, resources: Sequence[Resource]) -> DataFrame:
     lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(~F.col("raw").rlike(r"^\s*(?://|#|\*|/\*)"))
     hit = F.array(*(F.when(F.col("raw").rlike("|".join(f"(?:{PRESETS.get(p, p)})" for p in r.patterns)), F.lit(r.id)) for r in resources if r.patterns))
     return lines.withColumn("resource", F.explode(F.array_distinct(F.array_compact(hit)))).select("file", (F.col("at") + 1).alias("line"), "resource", F.substring(F.trim("raw"), 1, 200).alias("text"))
+
+
+def cargo_imports(files: DataFrame) -> DataFrame:
+    """IMPORTS of Cargo manifests(path, text): a crate for each dependency, those of the build and of targets too, by its real name, at the line that declares it; development ones aren't imports."""
+
+    def crates(text: str) -> dict[str, str]:
+        data = tomllib.loads(text)
+        tables = [data, *data.get("target", {}).values()]
+        found = {}
+        for t in tables:
+            for kind in ("dependencies", "build-dependencies"):
+                for name, v in t.get(kind, {}).items():
+                    found[name] = v.get("package", name) if isinstance(v, dict) else name
+        return found
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
+                try:
+                    lines = (text or "").split("\n")
+                    for name, crate in crates(text or "").items():
+                        at = next((k for k, x in enumerate(lines) if x.strip().startswith((f"{name} ", f"{name}=", f"{name}.", f'"{name}"')) or x.strip().endswith(f".{name}]")), 0)
+                        rows.append((path, crate, "static", at + 1, []))
+                except tomllib.TOMLDecodeError as e:
+                    rows.append((path, str(e), "error", 0, []))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["path", "specifier", "kind", "line", "names"])
+
+    return files.select("path", "text").mapInArrow(run, IMPORTS)

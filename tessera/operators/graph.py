@@ -108,3 +108,28 @@ def heights(pairs: DataFrame, most: int = 10_000) -> DataFrame:
         if not moved:
             break
     return group.join(now, "group").select("node", "height")
+
+
+def cycle_paths(pairs: DataFrame, members: DataFrame, most: int = 10_000) -> DataFrame:
+    """scc and path: a shortest closed path through the smallest member of each component of members(node, scc); of equal ones the first by names.
+
+    All components are searched at once, breadth first: each round extends the paths that end at nodes reached for the first
+    time, and keeps the least path to each node.
+    """
+    m = members.select(F.col("node").alias("b"), F.col("scc"))
+    inside = settle(pairs.where("a <> b").join(members.select(F.col("node").alias("a"), "scc"), "a").join(m, ["b", "scc"]).select("scc", "a", "b").distinct(), "cycle-edges")
+    front = settle(members.select("scc").distinct().select("scc", F.col("scc").alias("node"), F.array("scc").alias("path")), "cycle-front")
+    seen, done = settle(front.select("scc", "node"), "cycle-seen"), None
+    for _ in range(most):
+        step = settle(front.join(inside.withColumnRenamed("a", "node"), ["scc", "node"]).select("scc", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path")), "cycle-step")
+        closed = step.where("node = scc").groupBy("scc").agg(F.min("path").alias("path"))
+        done = settle(closed if done is None else done.union(closed.join(done.select("scc"), "scc", "left_anti")), "cycle-done")
+        fresh = step.join(seen, ["scc", "node"], "left_anti").join(done.select("scc"), "scc", "left_anti").groupBy("scc", "node").agg(F.min("path").alias("path"))
+        nxt = settle(fresh.select("scc", "node", "path"), "cycle-front")
+        seen2 = settle(seen.union(nxt.select("scc", "node")), "cycle-seen")
+        release(front, step, seen)
+        front, seen = nxt, seen2
+        if not front.head(1):
+            break
+    release(inside, front, seen)
+    return done

@@ -75,3 +75,11 @@ def resolve_python(imports: DataFrame, files: DataFrame, roots: Sequence[str] =
         F.col("path").alias("from_"), "to_", F.lit(None).cast("string").alias("workspace"), F.when(outside, F.col("_top")).alias("package"), F.when(outside, F.col("_top").isin(*sorted(sys.stdlib_module_names))).alias("builtin"),
         F.regexp_replace("specifier", ":.*$", "").alias("specifier"), "kind", "line", F.lit("python").alias("analyzer"), (F.col("to_").isNull() & ~outside).alias("unresolved"),
     ).distinct()
+
+
+def resolve_cargo(imports: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Edges of Cargo imports: a crate of manifests(path, text) by its package name, else a package from outside."""
+    name = F.regexp_extract("text", r'(?m)^\[package\][^\[]*?^name\s*=\s*"([^"]+)"', 1)
+    crates = manifests.select(name.alias("specifier"), F.col("path").alias("to_")).where("specifier <> ''").groupBy("specifier").agg(F.min("to_").alias("to_"))
+    found = imports.where("kind <> 'error'").join(crates, "specifier", "left")
+    return found.select(F.col("path").alias("from_"), "to_", F.lit(None).cast("string").alias("workspace"), F.when(F.col("to_").isNull(), F.col("specifier")).alias("package"), F.when(F.col("to_").isNull(), F.lit(False)).alias("builtin"), "specifier", "kind", "line", F.lit("cargo").alias("analyzer"), F.lit(False).alias("unresolved"))

@@ -334,3 +334,61 @@ def test_inference(spark):
     g = spark.createDataFrame([("a", "b"), ("b", "c")], "from_c string, to_c string")
     assert [tuple(r) for r in inference.inferred_layers(g).collect()] == [("a", 2), ("b", 1), ("c", 0)]
     assert [(r.line, r.text) for r in inference.guardrails(f).collect()] == [(2, "The domain must not import the web.")]
+
+
+def test_context(spark):
+    from tessera.operators import context
+
+    p = spark.createDataFrame([("a", "b", 5, 0.9), ("c", "a", 7, 0.5), ("x", "y", 9, 1.0)], "a string, b string, support long, confidence double")
+    assert [(r.item, r.partner) for r in context.change_partners(p, spark.createDataFrame([("a",)], "item string")).collect()] == [("a", "c"), ("a", "b")]
+    touched = spark.createDataFrame([("domain", "src/domain/a.ts"), (None, "lib/x.ts")], "component string, path string")
+    given = [Rule("f", "forbid", from_=("domain",), to_=("infra",)), Rule("p", "forbid", from_=("path:lib/**",)), Rule("n", "forbid", from_=("app",)), Rule("l", "layers", layers=(("app",), ("domain",))), Rule("i", "independent", members=("domain", "app")), Rule("e", "entrypoints", targets=("domain",)), Rule("o", "allow-only", from_=("domain",))]
+    assert {r.rule for r in context.rules_touching(touched, given).collect()} == {"f", "p", "l", "i", "e", "o"}
+    assert context.constraints(given, "domain") == [("f", "must not import infra"), ("l", "must not import app"), ("i", "must not import app"), ("e", "is imported through its entry points only"), ("o", "may only import itself")]
+    d = spark.createDataFrame([("1", "t", "accepted", ["domain"]), ("2", "t", "superseded", ["domain"]), ("3", "t", "proposed", ["app"])], "id string, title string, status string, governs array<string>")
+    assert [r.id for r in context.governing(d, touched, SHOP).collect()] == ["1"]
+    q = spark.createDataFrame([(1, "move Domain-x and `src/app/a.ts`, infra."), (2, "domain")], "prompt_id long, text string")
+    assert {tuple(r) for r in context.mentioned_components(q, SHOP).collect()} == {(1, "app"), (1, "infra"), (2, "domain")}
+    assert [tuple(r) for r in context.mentioned_paths(q, spark.createDataFrame([("src/app/a.ts",)], "path string")).collect()] == [(1, "src/app/a.ts")]
+
+
+def test_status(spark, tmp_path):
+    from tessera.operators import status
+
+    r = spark.createDataFrame([("a", "error"), ("b", "error"), ("c", "off")], "rule string, level string")
+    d = spark.createDataFrame([("1", "accepted", "2020-01-01", "", None), ("1", "superseded", None, "t", "9"), ("2", "superseded", None, "t", "1")], "id string, status string, review_by string, title string, superseded_by string")
+    b = spark.createDataFrame([("x", "a", 3)], "fingerprint string, rule string, count int")
+    assert {tuple(x) for x in status.rollup(r, d, b).collect()} == {("rules", "error", 2), ("rules", "off", 1), ("decisions", "accepted", 1), ("decisions", "superseded", 2), ("baseline", "findings", 3)}
+    assert [x.id for x in status.overdue(d, "2026-01-01").collect()] == ["1"]
+    assert {tuple(x) for x in status.decision_problems(d).collect()} == {("1", "id is used more than once"), ("1", "names no known successor"), ("1", "has no title")}
+    assert tuple(one(spark, status.coverage_text(F.lit(1), F.lit(1000)), status.coverage_text(F.lit(6), F.lit(48)), status.coverage_text(F.lit(0), F.lit(0)))) == ("<1%", "12%", "100%")
+    f = spark.createDataFrame([("a", "t1", "1"), ("b", "t1", "1"), ("c", "t2", "2")], "path string, text string, content_id string")
+    calls = []
+
+    def facts(x):
+        calls.append(x.count())
+        return x.select("content_id", F.length("text").alias("n"))
+
+    for n in (2, 3):
+        assert status.with_cache(spark, f.limit(n), str(tmp_path / "c"), facts, "v1").count() == n
+    assert calls == [1, 1]
+    e = spark.createDataFrame([("a", "b", False), ("c", "d", False), ("e", None, True)], "from_ string, to_ string, unresolved boolean")
+    ch = spark.createDataFrame([("d", True), ("a", False)], "path string, deleted boolean")
+    assert {x.path for x in status.to_resolve_again(e, ch).collect()} == {"a", "c", "e"}
+    assert {x.from_ for x in status.refreshed(e, ch, e.limit(0)).collect()} == {"c", "e"}
+    paths = graph.cycle_paths(pairs(spark, "ab", "bc", "ca", "ac", "de", "ed", "cb"), graph.strong_components(pairs(spark, "ab", "bc", "ca", "ac", "de", "ed", "cb")))
+    assert {x.scc: x.path for x in paths.collect()} == {"a": ["a", "c", "a"], "d": ["d", "e", "d"]}
+
+
+def test_cargo_and_contract(spark):
+    from tessera.sources.contract import load_text
+
+    toml = '[package]\nname = "chats"\n\n[dependencies]\nserde = "1"\nproxy = { path = "../p", package = "real-proxy" }\n\n[dev-dependencies]\nno = "1"\n\n[target.x.dependencies.win]\nversion = "1"\n'
+    f = spark.createDataFrame([("c/Cargo.toml", toml), ("p/Cargo.toml", '[package]\nname = "real-proxy"\n'), ("bad/Cargo.toml", "[")], "path string, text string")
+    got = {(r.specifier, r.line, r.to_, r.package) for r in resolve.resolve_cargo(extract.cargo_imports(f), f).collect()}
+    assert got == {("serde", 5, None, "serde"), ("real-proxy", 6, "p/Cargo.toml", None), ("win", 11, None, "win")}
+    text = "components:\n  - {id: a, paths: [src/a], odd: 1}\n  - {paths: [x]}\nrules:\n  - {id: r, kind: forbid, from: [a], to: a, because: ['1']}\n  - {id: s, kind: none}\n  - {id: l, kind: layers, level: warn, layers: [a, [a]]}\nwaivers:\n  - {rule: r, from: a, reason: x, expires: 2020-01-01}\n  - {rule: r, from: a, expires: soon}\n"
+    contract, issues = load_text(text, TODAY)
+    assert [c.id for c in contract.components] == ["a"] and [(r.id, r.to_, r.layers) for r in contract.rules] == [("r", ("a",), ()), ("l", (), (("a",), ("a",)))] and contract.waivers == ()
+    assert {w for w, _ in issues} == {"components[0]", "components[1]", "rules[1]", "waivers[0]", "waivers[1]", "waiver of r"}
+    assert load_text("a: [", TODAY)[1] and load_text("[]", TODAY)[1]
