@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that search leaves out.
-STOPWORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "do", "does", "for", "from", "has", "have", "how", "if", "in", "into", "is", "it", "its", "may", "must", "no", "not", "of", "on", "or", "our", "should", "so", "than", "that", "the", "their", "then", "there", "these", "they", "this", "to", "use", "was", "we", "what", "when", "which", "with")
+STOPWORDS = tuple(
+    "a an and are as at be but by can do for from has have how i if in into is it its of on or should so that the their then there these this to use used using was we what when where which while who why will with you your".split()
+)
 
 #: White space as ECMAScript's \s has it.
 SPACE = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -29,10 +31,9 @@ def collapse(text: Column) -> Column:
 
 
 def normalize_signature(signature: Column) -> Column:
-    """A signature without what formatting alone changes: white space first, then spaces around punctuation, then separators before a closing bracket."""
-    one = collapse(signature)
-    tight = F.regexp_replace(one, r" ?([{}()\[\]<>,;:|&=?]) ?", "$1")
-    return F.regexp_replace(tight, r"[,;]([}\])>])", "$1")
+    """A signature without what formatting alone changes: runs of white space, spaces around punctuation, a comma before a closing bracket."""
+    tight = F.regexp_replace(collapse(signature), r" ?([\[\](){}<>,;:=|&?.]) ?", "$1")
+    return F.regexp_replace(tight, r",(?=[\])}>])", "")
 
 
 def slug(text: Column) -> Column:

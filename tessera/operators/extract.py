@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import tomllib
 from collections.abc import Sequence
 
@@ -104,21 +105,35 @@ def python_imports(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, IMPORTS)
 
 
-#: Calls that write, by the library they belong to.
-PRESETS = {
-    "sql": r"(?i)\b(?:insert\s+into|update\s+[\w.\"`]+\s+set|delete\s+from|merge\s+into|truncate\s+(?:table\s+)?)\b",
-    "prisma": r"\.\s*(?:create|createMany|update|updateMany|upsert|delete|deleteMany)\s*\(",
-    "drizzle": r"\.\s*(?:insert|update|delete)\s*\(",
-    "convex": r"\bdb\s*\.\s*(?:insert|patch|replace|delete)\s*\(",
-    "sqlalchemy": r"\bsession\s*\.\s*(?:add|add_all|merge|delete|bulk_save_objects)\s*\(",
-    "django": r"\.objects\s*\.\s*(?:create|update|bulk_create|get_or_create|update_or_create)\s*\(|\.\s*(?:save|delete)\s*\(\s*\)",
-}
+def write_pattern(pattern: str) -> str:
+    """The expression for a resource's pattern: <library>:<table> for the calls of a library that write a table or model, anything else is an expression as it is."""
+    library, _, name = pattern.partition(":")
+    n = re.escape(name)
+    alone, before = r"(?![\w$])", r"(?<![\w$.])"
+    match library if name else "":
+        case "prisma":  # the accessor starts with a lower-case letter
+            accessor = f"[{name[0].lower()}{name[0].upper()}]{re.escape(name[1:])}"
+            return rf"{before}[\w$]+\.{accessor}\.(?:create|createMany|createManyAndReturn|update|updateMany|updateManyAndReturn|upsert|delete|deleteMany)\s*\("
+        case "drizzle":
+            return rf"\.(?:insert|update|delete)\(\s*(?:[\w$]+\.)*{n}\s*\)"
+        case "sql":
+            table = rf"""(?:\\?["`\[]?[\w$]+\\?["`\]]?\.)?\\?["`\[]?{n}\\?["`\]]?{alone}"""
+            return rf"(?i:\b(?:insert\s+(?:or\s+\w+\s+)?into|delete\s+from|merge\s+into|truncate(?:\s+table)?)\s+{table}|\bupdate\s+{table}\s+(?:(?:as\s+)?\w+\s+)?set\b)"
+        case "sqlalchemy":
+            return rf"{before}(?:insert|update|delete)\(\s*{n}\s*\)|\bsession\.(?:add|merge)\(\s*{n}\s*\(|{before}{n}\.__table__\.(?:insert|update|delete)\s*\("
+        case "django":
+            return rf"{before}{n}\.objects\b.*\.(?:create|bulk_create|update|bulk_update|update_or_create|get_or_create|delete)\s*\("
+        case "convex":  # tables are plural, ids of their rows singular
+            row = "|".join(re.escape(x) for x in {name, name.removesuffix("s")} if x)
+            quoted = "|".join(f"{q}{n}{q}" for q in ("\"", "'", "`"))
+            return rf"\bctx\.db\.(?:insert\(\s*(?:{quoted})|(?:patch|replace|delete)\(\s*(?:(?:{quoted})|[^,)]*?(?<![\w$])(?i:{row})(?:Id|\._id|\.id){alone}))"
+    return pattern
 
 
 def write_sites(files: DataFrame, resources: Sequence[Resource]) -> DataFrame:
-    """file, line, resource, text of the lines that match a resource's patterns (a preset's name or an expression), comment lines left out, each line once a resource."""
+    """file, line, resource, text of the lines that match a resource's patterns (see write_pattern), comment lines left out, each line once a resource."""
     lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(~F.col("raw").rlike(r"^\s*(?://|#|\*|/\*)"))
-    hit = F.array(*(F.when(F.col("raw").rlike("|".join(f"(?:{PRESETS.get(p, p)})" for p in r.patterns)), F.lit(r.id)) for r in resources if r.patterns))
+    hit = F.array(*(F.when(F.col("raw").rlike("|".join(f"(?:{write_pattern(p)})" for p in r.patterns)), F.lit(r.id)) for r in resources if r.patterns))
     return lines.withColumn("resource", F.explode(F.array_distinct(F.array_compact(hit)))).select("file", (F.col("at") + 1).alias("line"), "resource", F.substring(F.trim("raw"), 1, 200).alias("text"))
 
 

@@ -10,7 +10,9 @@ from ..functions.globs import patterns_regex
 from ..scratch import release, settle
 
 #: Files that are not production code.
-NON_PRODUCTION = ("**/test/**", "**/tests/**", "**/__tests__/**", "**/fixtures/**", "**/__fixtures__/**", "**/mocks/**", "**/__mocks__/**", "**/e2e/**", "**/examples/**", "**/*.test.*", "**/*.spec.*", "**/test_*.py", "**/*_test.*", "**/conftest.py", "**/*.stories.*", "**/*.config.*", "**/*.d.ts")
+NON_PRODUCTION = (
+    "**/*.test.*", "**/*.spec.*", "**/*_test.*", "**/test_*.py", "**/*Tests.swift", "**/test/**", "**/tests/**", "**/testdata/**", "**/__tests__/**", "**/__mocks__/**", "**/fixtures/**", "**/__fixtures__/**", "**/e2e/**", "**/examples/**", "**/benches/**", "**/benchmarks/**", "**/scripts/**",
+)
 
 
 def is_non_production(path: Column) -> Column:

@@ -10,13 +10,16 @@ from ..functions.globs import glob_match
 from ..functions.hashing import content_id
 
 #: Folders that no analysis looks into.
-EXCLUDED = ("**/.git/**", "**/node_modules/**", "**/dist/**", "**/build/**", "**/out/**", "**/coverage/**", "**/vendor/**", "**/third_party/**", "**/.venv/**", "**/venv/**", "**/__pycache__/**", "**/target/**", "**/.next/**", "**/.turbo/**", "**/generated/**", "**/*.min.js", "**/*.d.ts")
-
-#: Languages by file extension.
-LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "swift": "swift",
-    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "scala": "scala", "ex": "elixir", "dart": "dart", "lua": "lua", "vue": "vue", "svelte": "svelte",
+EXCLUDED = (
+    "**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/out/**", "**/coverage/**", "**/vendor/**", "**/.venv/**", "**/venv/**", "**/__pycache__/**", "**/.tox/**", "**/.mypy_cache/**", "**/.pytest_cache/**", "**/.ruff_cache/**", "**/.eggs/**", "**/*.egg-info/**", "**/site-packages/**", "**/*.d.ts", "**/*.min.js",
+)
+
+#: Languages and their file extensions.
+EXTENSIONS = {
+    "c": "c h", "clojure": "clj cljs cljc", "cpp": "cc cpp cxx hh hpp hxx", "csharp": "cs", "dart": "dart", "elixir": "ex exs", "erlang": "erl", "fsharp": "fs", "go": "go", "haskell": "hs", "java": "java", "javascript": "js jsx mjs cjs", "julia": "jl", "kotlin": "kt kts", "lua": "lua", "objc": "m mm",
+    "ocaml": "ml mli", "php": "php", "python": "py pyi", "ruby": "rb", "rust": "rs", "scala": "scala", "svelte": "svelte", "swift": "swift", "typescript": "ts tsx mts cts", "vue": "vue", "zig": "zig",
 }
+LANGUAGES = {e: language for language, ends in EXTENSIONS.items() for e in ends.split()}
 ANALYZED = ("typescript", "javascript", "python")
 
 
@@ -35,7 +38,7 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def language_of(path: Column) -> Column:
-    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    extension = F.lower(F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)$", 1))
     names = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
     return F.try_element_at(names, extension)
 

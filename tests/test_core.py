@@ -108,7 +108,7 @@ def test_waivers(spark):
 
 
 def test_state_owner(spark):
-    writes = extract.write_sites(spark.createDataFrame([("src/app/a.ts", "x = db.insert('t')\n// db.insert('t')\nsql`INSERT INTO t`"), ("lib/b.ts", "await db.patch(id)"), ("src/infra/c.ts", "db.delete(1)")], "path string, text string"), [Resource("store", "infra", ("convex", "sql"))])
+    writes = extract.write_sites(spark.createDataFrame([("src/app/a.ts", "x = ctx.db.insert('users')\n// ctx.db.insert('users')\nsql`INSERT INTO users (a)`\nctx.db.insert('usersOld')"), ("lib/b.ts", "await ctx.db.patch(userId, x)"), ("src/infra/c.ts", "ctx.db.delete(user._id)")], "path string, text string"), [Resource("store", "infra", ("convex:users", "sql:users"))])
     assert sorted((r.file, r.line) for r in writes.collect()) == [("lib/b.ts", 1), ("src/app/a.ts", 1), ("src/app/a.ts", 3), ("src/infra/c.ts", 1)]
     got = rules.state_findings(writes, Rule("s", "state-owner", "warn"), [Resource("store", "infra")], SHOP)
     assert sorted((r.file, r.heuristic) for r in got.collect()) == [("lib/b.ts", True), ("src/app/a.ts", True), ("src/app/a.ts", True)]
@@ -194,7 +194,7 @@ def test_diff(spark):
 
 def test_text(spark):
     row = one(spark, tokens(F.lit("The classes of a Boss, and 2 x routers: routers!")), collapse(F.lit("  a \n b ")), normalize_signature(F.lit("fn( a : A,\n b: B, ): { x: C; }")), slug(F.lit("Keep the Domain pure!")), decision_id(F.lit("ADR-7")), decision_id(F.lit("none")), token_estimate(F.lit("12345")))
-    assert row[0] == ["classe", "boss", "router", "router"] and row[1] == "a b" and row[2] == "fn(a:A,b:B):{x:C}" and row[3] == "keep-the-domain-pure" and row[4] == "0007" and row[5] is None and row[6] == 2
+    assert row[0] == ["classe", "boss", "router", "router"] and row[1] == "a b" and row[2] == "fn(a:A,b:B):{x:C;}" and row[3] == "keep-the-domain-pure" and row[4] == "0007" and row[5] is None and row[6] == 2
     docs = spark.createDataFrame([("a", "cat cat dog"), ("b", "dog"), ("c", "bird dog cat"), ("d", None)], "id string, text string")
     assert [r.id for r in search.bm25(docs, "the cat", 10).collect()] == ["a", "c"]
     assert search.bm25(docs, "the", 10).count() == 0
@@ -325,7 +325,7 @@ def test_weakenings(spark):
 def test_inference(spark):
     from tessera.operators import inference
 
-    f = spark.createDataFrame([(f"src/{d}/f{k}.ts", "") for d in ("domain", "Web UI", "packages/one", "packages/two", "lib/one") for k in range(3)] + [("README.md", "Hello\nThe domain must not import the web.\nshort never")], "path string, text string")
+    f = spark.createDataFrame([(f"src/{d}/f{k}.ts", "") for d in ("domain", "Web UI", "packages/one", "packages/two", "lib/one") for k in range(3)] + [("AGENTS.md", "Hello\nThe domain must not import the web.\nonly import")], "path string, text string")
     got = {(r.id, r.folder, r.files) for r in inference.infer_components(f).collect()}
     assert got == {("domain", "src/domain", 3), ("web-ui", "src/Web UI", 3), ("one", "src/packages/one", 3), ("two", "src/packages/two", 3), ("lib", "src/lib", 3)}
     named = spark.createDataFrame([("shop-web",), ("shop-domain",), ("shop-db",), ("other",)], "id string")
@@ -392,3 +392,13 @@ def test_cargo_and_contract(spark):
     assert [c.id for c in contract.components] == ["a"] and [(r.id, r.to_, r.layers) for r in contract.rules] == [("r", ("a",), ()), ("l", (), (("a",), ("a",)))] and contract.waivers == ()
     assert {w for w, _ in issues} == {"components[0]", "components[1]", "rules[1]", "waivers[0]", "waivers[1]", "waiver of r"}
     assert load_text("a: [", TODAY)[1] and load_text("[]", TODAY)[1]
+
+
+@pytest.mark.parametrize("pattern, line, want", [
+    ("prisma:User", "await prisma.user.create({", True), ("prisma:User", "prisma.user.findMany()", False), ("prisma:User", "prisma.userLog.create()", False), ("drizzle:users", "db.insert(schema.users)", True), ("drizzle:users", "db.select(users)", False),
+    ("sql:users", 'UPDATE "public"."users" AS u SET a', True), ("sql:users", "truncate table users", True), ("sql:users", "INSERT OR REPLACE INTO users", True), ("sql:users", "insert into users_old", False), ("sql:users", "select * from users", False),
+    ("sqlalchemy:User", "session.add(User(name))", True), ("sqlalchemy:User", "update(User)", True), ("sqlalchemy:User", "x.update(User)", False), ("django:User", "User.objects.filter(a=1).update(b=2)", True), ("django:User", "User.objects.get(1)", False),
+    ("convex:users", "ctx.db.replace(args.userId, x)", True), ("convex:users", "ctx.db.patch(superuserId, x)", False), ("convex:users", 'ctx.db.delete("users")', True), (r"store\.set\(", "store.set(1)", True),
+])
+def test_write_patterns(spark, pattern, line, want):
+    assert one(spark, F.lit(line).rlike(extract.write_pattern(pattern)))[0] is want
