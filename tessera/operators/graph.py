@@ -82,6 +82,14 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     return found if found is not None else pairs.select(F.col("a").alias("node"), F.col("a").alias("scc")).limit(0)
 
 
+def mutual_components(pairs: DataFrame) -> DataFrame:
+    """The rows of strong_components by way of reachability: few rounds, but as many rows as pairs that reach each other. For graphs of components, whose number a contract bounds."""
+    reach = reachable(pairs.where("a <> b"), tag="mutual")
+    back = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = reach.where("a <> b").join(back, ["a", "b"]).groupBy("a").agg(F.min("b").alias("least"))
+    return both.select(F.col("a").alias("node"), F.least("a", "least").alias("scc"))
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """node and root (the smallest node it is connected with) for pairs(a, b) taken both ways."""
     both = settle(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "cluster")

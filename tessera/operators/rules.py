@@ -13,7 +13,7 @@ from ..functions.globs import glob_match
 from ..functions.hashing import cycle_fingerprint, edge_fingerprint, key_fingerprint, target_key
 from ..functions.selectors import any_selects, first_selecting, selects
 from ..schemas import Component, Resource, Rule, Waiver
-from .graph import strong_components
+from .graph import mutual_components, strong_components
 from .mapping import component_of, missing_target
 
 def violates(rule: Rule, components: Sequence[Component]) -> Column:
@@ -110,7 +110,7 @@ def acyclic_findings(edges: DataFrame, rule: Rule) -> DataFrame:
     if rule.within:
         known = known.where(any_selects(rule.within, src) & any_selects(rule.within, dst))
     pairs = known.select(src[by].alias("a"), dst[by].alias("b"), F.col("from_").alias("file"), "line").where("a is not null and b is not null and a <> b")
-    members = strong_components(pairs.select("a", "b"))
+    members = (mutual_components if by == "component" else strong_components)(pairs.select("a", "b").distinct())
     m = members.select(F.col("node").alias("a"), "scc")
     inside = pairs.join(m, "a").join(members.select(F.col("node").alias("b"), F.col("scc").alias("other")), "b").where("scc = other")
     at = inside.groupBy("scc").agg(F.min(F.struct("file", "line")).alias("at"))

@@ -15,10 +15,10 @@ from ..schemas import Contract
 from ..sources.files import source_files
 
 
-def code_graph(files: DataFrame, workspaces: DataFrame, contract: Contract, aliases=(), roots=("", "src")) -> DataFrame:
-    """Enriched edges of files(path, text): imports extracted, resolved and put in terms of components."""
+def code_graph(files: DataFrame, workspaces: DataFrame, contract: Contract, aliases=(), roots=("", "src"), known: DataFrame | None = None) -> DataFrame:
+    """Enriched edges of files(path, text): imports extracted, resolved and put in terms of components. known: all files there are, where only some are looked at."""
     own = source_files(files).select("path", "text", "language")
-    known = files.select("path")
+    known = (files if known is None else known).select("path")
     scripts = resolve.resolve_scripts(extract.script_imports(own.where("language in ('typescript', 'javascript')")), known, workspaces, aliases)
     pythons = resolve.resolve_python(extract.python_imports(own.where("language = 'python'")), known, roots)
     owners = workspaces.select("name", mapping.component_of_package(F.col("name"), F.col("dir"), contract.components).alias("component"))

@@ -147,6 +147,7 @@ def test_graph_random(spark):
         reach |= more
     want = {(n, min(m for m in nodes if m == n or (n, m) in reach and (m, n) in reach)) for n in nodes if any(m != n and (n, m) in reach and (m, n) in reach for m in nodes)}
     assert {tuple(x) for x in graph.strong_components(pairs(spark, *links)).collect()} == want
+    assert {tuple(x) for x in graph.mutual_components(pairs(spark, *links)).collect()} == want
 
 
 def test_metrics(spark):
@@ -402,3 +403,15 @@ def test_cargo_and_contract(spark):
 ])
 def test_write_patterns(spark, pattern, line, want):
     assert one(spark, F.lit(line).rlike(extract.write_pattern(pattern)))[0] is want
+
+
+def test_workload(spark):
+    from tessera.plans import workload
+
+    made = list(workload.texts())
+    assert len(made) == 5000 and made[0][0] == "src/c00/f0/m0.ts"
+    assert workload.contract().rules[1].layers[0] == ("c19",)
+    some = spark.createDataFrame(made[:500], "path string, text string")
+    e = plans.code_graph(some, spark.createDataFrame([], "name string, dir string"), workload.contract(), [("@/", "src/")])
+    assert e.where("unresolved").count() == 0 and e.where("kind = 'type'").count() == 250
+    assert plans.check(e, workload.contract(), TODAY).where("rule = 'layering'").count() == 0
