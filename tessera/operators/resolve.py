@@ -21,11 +21,12 @@ def normalized(path: Column) -> Column:
 
 
 def _first_existing(imports: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
-    """imports with to_: the candidate of least rank that is a file. Rows are told apart by path, specifier, kind, line."""
-    keys = ["path", "specifier", "kind", "line"]
-    ranked = imports.select(*keys, F.posexplode(candidates).alias("rank", "to_")).where("to_ is not null")
-    hit = ranked.join(files.select(F.col("path").alias("to_")).distinct(), "to_").groupBy(*keys).agg(F.min_by("to_", "rank").alias("to_"))
-    return imports.join(hit, keys, "left")
+    """Distinct imports with to_: the candidate of least rank that is a file; null if none is."""
+    columns = imports.columns
+    there = files.select(F.col("path").alias("_at"), F.lit(True).alias("_there")).distinct()
+    ranked = imports.withColumn("_candidates", candidates).select(*columns, F.posexplode_outer("_candidates").alias("_rank", "_at"))
+    best = F.min(F.when(F.col("_there"), F.struct("_rank", "_at")))
+    return ranked.join(there, "_at", "left").groupBy(*columns).agg(best.alias("_best")).select(*columns, F.col("_best._at").alias("to_"))
 
 
 def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame, aliases: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -37,16 +38,17 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame,
     for prefix, folder in aliases:
         target = F.when(target.isNull() & spec.startswith(prefix), normalized(F.concat(F.lit(folder), F.substring(spec, len(prefix) + 1, 10_000)))).otherwise(target)
         aliased = aliased | spec.startswith(prefix)
-    bare = F.regexp_replace(target, r"\.(?:js|jsx|mjs|cjs)$", "")
-    stems = F.array(target, *(F.concat(bare, F.lit(e)) for e in _SCRIPT_ENDS), *(F.concat(target, F.lit(e)) for e in _SCRIPT_ENDS))
-    found = _first_existing(imports, stems, files)
+    # columns of their own, so that the plan computes them once for all candidates
+    aimed = imports.withColumn("_target", target).withColumn("_bare", F.regexp_replace("_target", r"\.(?:js|jsx|mjs|cjs)$", ""))
+    stems = F.array(F.col("_target"), *(F.concat("_bare", F.lit(e)) for e in _SCRIPT_ENDS), *(F.concat("_target", F.lit(e)) for e in _SCRIPT_ENDS))
+    found = _first_existing(aimed, stems, files)
     package = F.when(spec.startswith("@"), F.regexp_extract(spec, r"^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract(spec, r"^([^/]+)", 1))
     node = F.regexp_replace(spec, "^node:", "")
     builtin = spec.startswith("node:") | F.regexp_extract(node, r"^([^/]+)", 1).isin(*NODE)
     known = found.withColumn("_package", F.when(~relative & ~aliased, package)).join(workspaces.select(F.col("name").alias("_package"), F.col("name").alias("workspace"), "dir"), "_package", "left")
     inside = normalized(F.concat_ws("/", "dir", F.lit("src"), F.coalesce(F.nullif(F.regexp_replace(F.substring(spec, F.length("_package") + 2, F.lit(10_000)), r"\.js$", ""), F.lit("")), F.lit("index"))))
-    entry = F.when(F.col("workspace").isNotNull(), F.array(*(F.concat(inside, F.lit(e)) for e in _SCRIPT_ENDS)))
-    again = _first_existing(known.withColumnRenamed("to_", "_to"), entry, files).withColumn("to_", F.coalesce("_to", "to_"))
+    entry = F.array(*(F.concat("_inside", F.lit(e)) for e in _SCRIPT_ENDS))
+    again = _first_existing(known.withColumn("_inside", F.when(F.col("workspace").isNotNull(), inside)).withColumnRenamed("to_", "_to"), entry, files).withColumn("to_", F.coalesce("_to", "to_"))
     outside = F.col("to_").isNull() & F.col("workspace").isNull() & ~relative & ~aliased
     return again.select(
         F.col("path").alias("from_"), "to_", "workspace", F.when(outside, F.when(builtin, F.concat(F.lit("node:"), node)).otherwise(F.col("_package"))).alias("package"), F.when(outside, builtin).alias("builtin"), "specifier", "kind", "line",
