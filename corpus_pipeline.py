@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, pii, quality, simhash, substring
+from tessera.llm import packing, pii, quality, similar, substring
 from tessera.llm.common import stash, table
 
 
@@ -15,8 +15,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.keep_first(docs, distance=3, shingle=3, seed=42)
+    """Keeps one document, that of the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return similar.keep_first(docs, similarity=0.8, shingle=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

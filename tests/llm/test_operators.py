@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, components, embed_dedup, packing, pii, quality, sharding, simhash, substring, topk, toxicity
+from tessera.llm import bpe, components, embed_dedup, packing, pii, quality, sharding, similar, simhash, substring, topk, toxicity
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,6 +99,48 @@ def test_simhash(docs, odd, none):
     assert len(kept) == len(set(group)) and kept[0].asDict().keys() == set(odd.columns)
 
 
+def brute_groups(given, similarity=0.8, n=5):
+    """A number for each text, the same for texts that links of that similarity join."""
+    words = [(t or "").encode().lower().split() for t in given]
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in words]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    return group
+
+
+def near_texts():
+    """Families of copies with few and with many changed words, from clearly near to clearly other, and a large family."""
+    r = random.Random(8)
+    out = []
+    for changes in (1, 2, 3, 5, 8, 12, 20, 40) * 3:
+        base = [r.choice(WORDS) for _ in range(300)]
+        other = list(base)
+        for k in r.sample(range(300), changes):
+            other[k] = "changed"
+        out += [" ".join(base), " ".join(other).upper()]
+    base = [r.choice(WORDS) for _ in range(200)]
+    return out + [" ".join([*base[:k], f"note{k}", *base[k + 1 :]]) for k in range(150)]
+
+
+def test_similar(spark, docs, odd, none, monkeypatch):
+    monkeypatch.setattr(similar, "TOGETHER", 40)
+    given = docs.collect() + [(1000 + k, t, "en", "s", len(t)) for k, t in enumerate(near_texts())]
+    group = brute_groups([r[1] for r in given])
+    ids = [2**63 if r[0] is None else r[0] for r in given]
+    want = sorted(min(i for i, h in zip(ids, group, strict=True) if h == g) for g in set(group))
+    for d in (spark.createDataFrame(given, SCHEMA).repartition(3), spark.createDataFrame(given, SCHEMA).coalesce(1)):
+        kept = similar.keep_first(d).collect()
+        assert sorted(2**63 if r.doc_id is None else r.doc_id for r in kept) == want
+    clash = odd.withColumns({c: F.lit("x") for c in ("_rid", "_th", "row", "root", "node", "a", "b", "s", "check")})
+    kept = similar.keep_first(clash).collect()
+    assert len(kept) == len(set(brute_groups([r.text for r in docs.collect()]))) and kept[0].asDict().keys() == set(clash.columns)
+    assert similar.keep_first(none).count() == 0
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_simhash_links(spark, distance):
     r = random.Random(distance)
