@@ -6,10 +6,10 @@ Each bit comes with a margin, and bits that differ between similar texts are tho
 STRUCK bits of the least margin are struck out in turn, and each such variant is a key. Texts that meet under a key and
 whose 64 further bits are close are candidates, and the shingles themselves decide.
 
-Chance that a pair of similarity 0.8 meets under a segment: about 0.14, under any of them: above 0.98, and more than 0.999
-from 0.85. Within a key a text so close to an earlier one that their link is as good as certain (ABSORB_BITS) links to that
-one alone and meets nobody else there, in the batch that made the key already: large groups of near copies neither travel
-whole nor form all their pairs.
+By the bits' chances a pair of similarity 0.8 meets under a segment with about 0.14 and under any of them with above 0.98,
+from 0.85 with more than 0.999. Within a key a text so close to an earlier one that their link is as good as certain (ABSORB_BITS) links to that one
+alone and meets nobody else there, in the batch that made the key already: very near copies neither travel whole nor form
+all their pairs. Groups whose members are similar at about 0.8 still form most of theirs.
 """
 
 from __future__ import annotations
