@@ -141,6 +141,52 @@ def test_similar(spark, docs, odd, none, monkeypatch):
     assert similar.keep_first(none).count() == 0
 
 
+def test_similar_follower_meets_others():
+    """1 leads 2 (3 bits), 3 is too far from 1 but not from 2: the pair (2, 3) comes in the second round, unless the first has joined them."""
+    ids, check = np.array([1, 2, 3]), np.array([0, 0b111, 0b111 | (2**18 - 1) << 3])
+    a, b, more = similar._nearest(ids, check)
+    assert (a.tolist(), b.tolist(), more) == ([2], [1], True)
+    left = lambda *root: {tuple(sorted(p)) for x, y in similar._across(ids, check, np.array(root)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert left(1, 2, 3) == {(1, 2), (2, 3)} and left(1, 1, 3) == {(2, 3)} and left(1, 1, 1) == set()
+
+
+def test_similar_of_one_template(spark):
+    """400 texts at about 0.73 of each other and 200 at about 0.85 of one of them: the groups are those of all pairs that meet under a key."""
+    r = np.random.default_rng(5)
+    base = [f"w{x}" for x in r.integers(0, 5000, 300)]
+
+    def vary(words):
+        out = list(words)
+        for at in r.choice(300, 5, replace=False):
+            out[at] = f"v{r.integers(10**6)}"
+        return out
+
+    made = [vary(base) for _ in range(400)]
+    made += [vary(made[i]) for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3)
+    words_of = similar._WordHash()
+    sets = [similar.shingles(" ".join(w), 5, words_of) for w in made]
+    keys, check = similar.signatures(sets)
+    group, linked, brute = list(range(600)), 0, 0
+    for i in range(600):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both < 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                continue
+            brute += 1
+            if len(np.intersect1d(keys[i], keys[j])) and int(np.bitwise_count((check[i] ^ check[j]).view(np.uint64))) <= similar.LINK_BITS:
+                linked += 1
+                if group[i] != group[j]:
+                    group = [group[j] if x == group[i] else x for x in group]
+    assert linked >= 0.98 * brute
+    th = {x.th: x.doc_id for x in df.select("doc_id", F.xxhash64("text").alias("th")).collect()}
+    got = list(range(600))
+    for x in similar.similar(df).collect():
+        got[th[x.node]] = got[th[x.root]] = 1000 + th[x.root]
+    same = lambda g: {frozenset(np.flatnonzero(np.array(g) == x).tolist()) for x in set(g)}
+    assert same(got) == same(group)
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_simhash_links(spark, distance):
     r = random.Random(distance)
