@@ -3,8 +3,8 @@
 The network is trained in numpy from labelled spans: those of the patterns in a bounded sample of documents, and made-up
 ones in other spellings set into lines of that sample, beside numbers that are not personal data. Whole texts are cut into
 overlapping windows; each is decoded by Viterbi, and the spans of all windows of a text are reconciled: those found
-farthest from a window's edge come first, and what overlaps an accepted span goes. A span must hold a digit or an at-sign,
-so windows without either are not decoded; they cannot yield one.
+farthest from a window's edge come first, and what overlaps an accepted span goes. Spans of one kind that windows cut are
+joined first. A span must hold a mark (a digit, an at-sign, or one spelled out), so windows that reach none are not decoded.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MARK = re.compile(r"[0-9@]")
+#: Every plausible span holds one of these.
+_MARK = re.compile(r"[0-9@]|\(at\)|\[at\]")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -79,12 +80,14 @@ SYMBOLS = 102
 
 
 def windows(text: str) -> Iterable[tuple[int, str]]:
-    """(start, characters) of the overlapping windows of a text that hold a digit or an at-sign."""
+    """(start, characters) of the overlapping windows of a text that hold a mark or a part of one, and of the ones beside an email's mark, which may hold the rest of its span."""
     need: set[int] = set()
     last = max(0, -(-(len(text) - WINDOW) // STRIDE))
     for m in _MARK.finditer(text):
         k = m.start() // STRIDE
-        need.update((min(k, last), min(max(0, k - 1), last)))
+        need.update((min(k, last), min(max(0, k - 1), last), min((m.end() - 1) // STRIDE, last)))
+        if m[0][0] in "@([":
+            need.update((min(max(0, k - 2), last), min(k + 1, last)))
     for k in sorted(need):
         yield k * STRIDE, text[k * STRIDE : k * STRIDE + WINDOW]
 
@@ -256,10 +259,25 @@ def plausible(kind: int, s: str) -> bool:
     return re.fullmatch(r"(?:\+|\(|00)?[0-9][0-9 ()./-]*[0-9]", s) is not None and 9 <= n <= 15 and re.search(r"[ ()./-]", s) is not None
 
 
+def _joined(found: Iterable[tuple[int, Span]]) -> set[tuple[int, Span]]:
+    """The pieces, and in order of their start those of one kind that overlap or touch put together; a joined span comes as if no edge had cut it."""
+    out = set(found)
+    for kind in range(len(KINDS)):
+        own = sorted((s, e) for _, (s, k, e) in out if k == kind)
+        for (s, e), more in zip(own, range(1, len(own) + 1), strict=True):
+            for a, b in own[more:]:
+                if a > e:
+                    break
+                if b > e:
+                    e = b
+                    out.add((WINDOW, (s, kind, e)))
+    return out
+
+
 def reconcile(text: str, base: list[Span], found: Iterable[tuple[int, Span]]) -> list[Span]:
     """Base spans and those of (distance from the window's edge, span) that are plausible and overlap neither a base span nor one accepted before."""
     out = list(base)
-    for _, (s, kind, e) in sorted(set(found), key=lambda f: (-f[0], f[1][0] - f[1][2], f[1])):
+    for _, (s, kind, e) in sorted(_joined(found), key=lambda f: (-f[0], f[1][0] - f[1][2], f[1])):
         while s < e and not (text[s].isalnum() or text[s] in "+("):
             s += 1
         while e > s and not text[e - 1].isalnum():

@@ -358,6 +358,24 @@ def test_pii_windows_cover_every_span():
             assert any(s <= k < s + len(w) for s, w in own) and all(t[s : s + len(w)] == w and (len(w) == pii.WINDOW or s + len(w) == n) for s, w in own)
 
 
+class Marks:
+    """In place of the network: marks all but line ends as an email."""
+
+    def decode(self, windows):
+        out = []
+        for w in windows:
+            on = np.array([c != "\n" for c in w])
+            out.append(np.where(on, np.where(np.append(False, on[:-1]) | (np.arange(len(w)) == 0), 2, 1), 0).astype(np.int8))
+        return out
+
+
+@pytest.mark.parametrize("address", ["jane.doe (at) corp (dot) org", "jo[at]corp[dot]org", "jane.alexandra.doe-smith (at) research-department.corp (dot) org"])
+def test_pii_spelled_out_addresses(address):
+    for k in range(200):
+        t = "\n" * k + address + "\n" * 150
+        assert pii.find([t], Marks())[0][1] == [(k, 0, k + len(address))], k
+
+
 def test_pii(docs, odd, none, monkeypatch):
     monkeypatch.setattr(pii, "EPOCHS", 6)
     spark = docs.sparkSession
