@@ -10,9 +10,11 @@ By the bits' chances a pair of similarity 0.8 meets under a segment with about 0
 Measured on 600 texts of one template, 248 of 249 pairs at 0.8 or more met.
 Candidates are verified in two rounds. In the first each text of a key meets one other, the
 closest leader before it, where a text within ABSORB_BITS of a leader leads no further; so a group of near copies takes pairs
-in proportion to its texts. The second takes all other candidates of the keys whose texts the verified links of the first have
-not joined, so the groups are those that all candidates give, whatever the first leaves out. Texts that are close and have no
-link, as those of one template at a similarity of 0.7 to 0.8, still form all their pairs there.
+in proportion to its texts. The second takes what else the keys hold of texts that the verified links of the first have not
+joined, so the groups are those that all candidates give, whatever the first leaves out. There the texts of a large loose
+cluster stand in blocks of bounded size; a text asks each block that holds a candidate of it once and is compared with the
+whole block in one task, so no pairs travel. A key that many texts of a sample share is dealt in parts by hash: texts of one
+part meet in the first round, those of different parts in the second.
 """
 
 from __future__ import annotations
@@ -34,6 +36,14 @@ SKETCH, SEGMENTS, WIDTH, STRUCK, CHECK = 2048, 28, 20, 6, 64
 LINK_BITS, ABSORB_BITS = 20, 4
 #: Documents whose repeats are left out together before their keys travel.
 TOGETHER = 2000
+#: Texts, about, whose keys are counted, and texts there that make a key heavy and are one part of it; so no part has many more than HEAVY / SAMPLE of all texts, and no more than SEGMENTS * STRUCK * SAMPLE / HEAVY keys are heavy.
+SAMPLE, HEAVY = 4096, 16
+#: Similarity of the links that make loose clusters, texts from which on a cluster stands in blocks, and texts, bytes of shingles and askers of a block, about.
+LOOSE, CLUSTER, BLOCK_TEXTS, BLOCK_BYTES, ASKERS = 0.5, 50, 1000, 16 << 20, 500
+#: Columns of a block's texts and of those who ask it.
+ASKED = ("place", "part", "th", "root", "s")
+#: Above the bits of a key: the part of a heavy one, from 1 on.
+PART = 32
 
 
 def shingles(text: str, n: int, words_of: _WordHash) -> np.ndarray:
@@ -63,7 +73,8 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(batches, columns: tuple[str, ...], same: str):
-    """The runs of two or more rows of one key, whole, as arrays, from batches in order of key; of rows of a run that agree in the column `same` one stays."""
+    """The runs of rows of one key, whole, as arrays, from batches in order of key; of rows of a run that agree in the column
+    `same` one stays. Runs of one row come for parts of heavy keys only."""
     held = [np.zeros(0, np.int64) for _ in columns]
     at = columns.index(same)
 
@@ -72,15 +83,16 @@ def _runs(batches, columns: tuple[str, ...], same: str):
         return run if len(first) == len(run[at]) else [c[np.sort(first)] for c in run]
 
     for x in batches:
-        rows = [np.r_[h, x.column(c).to_numpy()] for h, c in zip(held, columns, strict=True)]
+        rows = [np.r_[h, x.column(c).to_numpy(zero_copy_only=False)] for h, c in zip(held, columns, strict=True)]
         cut = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
         start, end = np.r_[0, cut], np.r_[cut, len(rows[0])]
-        for k in np.flatnonzero((end - start)[:-1] > 1).tolist():
+        wanted = ((end - start) > 1) | (rows[0][start] >> PART > 0) if len(rows[0]) else np.zeros(1, bool)
+        for k in np.flatnonzero(wanted[:-1]).tolist():
             run = distinct([c[start[k] : end[k]] for c in rows])
-            if len(run[0]) > 1:
+            if len(run[0]) > 1 or run[0][0] >> PART:
                 yield run
         held = distinct([c[start[-1] :] for c in rows])
-    if len(held[0]) > 1:
+    if len(held[0]) > 1 or (len(held[0]) and held[0][0] >> PART):
         yield held
 
 
@@ -100,17 +112,18 @@ def _nearest(ids: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[own], ids[whose[own]], more and len(ids) > 2
 
 
-def _across(ids: np.ndarray, check: np.ndarray, root: np.ndarray):
-    """The candidates among a key's texts that are of different groups, in pieces."""
+def _across(ids: np.ndarray, check: np.ndarray, root: np.ndarray, place: np.ndarray, block: np.ndarray):
+    """Of a key's texts each with the places of its candidates in other groups, in pieces: a block, or the text itself."""
     _, group, size = np.unique(root, return_inverse=True, return_counts=True)
     order = np.lexsort((root, size[group]))  # the largest, which looks for nothing after it, comes last
-    ids, check, root = ids[order], check[order], root[order]
+    ids, check, root, place, block = (x[order] for x in (ids, check, root, place, block))
     end = np.r_[np.flatnonzero(root[1:] != root[:-1]) + 1, len(root)]
     later = np.repeat(end, np.diff(np.r_[0, end]))
     for k in range(int(end[-2]) if len(end) > 1 else 0):
         near = later[k] + np.flatnonzero(np.bitwise_count((check[later[k] :] ^ check[k]).view(np.uint64)) <= LINK_BITS)
         if len(near):
-            yield np.full(len(near), ids[k]), ids[near]
+            near = near[np.unique(place[near], return_index=True)[1]]
+            yield np.full(len(near), ids[k]), place[near], block[near]
 
 
 def _pieces(pairs, rows: int = 100_000):
@@ -130,11 +143,8 @@ def _batch(columns, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _met(texts: DataFrame, shingle: int) -> DataFrame:
-    """Rows (key, a, b) for the hashes of texts(th, text). Of key -1: a pair that meets under some key, for each text of a
-    key that with its closest leader. Others: the texts a, with check bits b, of the keys that hold further candidates."""
-
-    def variants(batches):
+def _variants(shingle: int):
+    def run(batches):
         words_of = _WordHash()
         for part in slices(batches, TOGETHER):
             first = np.sort(np.unique(part.column("th").to_numpy(), return_index=True)[1])
@@ -143,34 +153,92 @@ def _met(texts: DataFrame, shingle: int) -> DataFrame:
                 n = SEGMENTS * STRUCK
                 yield _batch([keys.ravel(), np.repeat(few.column("th").to_numpy(), n), np.repeat(checks, n)], ["key", "a", "check"])
 
+    return run
+
+
+def _met(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (key, a, b) for the hashes of texts(th, text). Of key -1: a pair that meets under some key, for each text of a
+    key, or of a part of it, that with its closest leader. Others: the texts a, with check bits b, of the keys that hold
+    further candidates, and of all heavy ones."""
+
     def meet(batches):
         def found():
             for key, ids, check in _runs(batches, ("key", "a", "check"), "a"):
                 a, b, more = _nearest(ids, check)
                 if len(a):
                     yield np.full(len(a), -1), a, b
-                if more:
+                if more or key[0] >> PART:
                     yield key, ids, check
 
         for x in _pieces(found()):
             yield _batch(x, ["key", "a", "b"])
 
-    rows = texts.mapInArrow(variants, "key long, a long, check long")
+    each = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod("th", F.lit(each)) == 0).mapInArrow(_variants(shingle), "key long, a long, check long")
+    heavy = sample.groupBy("key").agg(F.count_distinct("a").alias("n")).where(F.col("n") >= HEAVY)
+    rows = texts.mapInArrow(_variants(shingle), "key long, a long, check long").join(F.broadcast(heavy), "key", "left")
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / HEAVY)) + 1).otherwise(0)
+    rows = rows.select((F.col("key") + F.shiftleft(part.cast("long"), PART)).alias("key"), "a", "check")
     # leaders of a key come in one order everywhere
     return rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "key long, a long, b long")
 
 
-def _left_over(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """The candidates (a, b) of the keys that _met kept, of texts that groups(node, root) does not join yet."""
+def _places(near: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, root, place, block): each text's group, and where it stands: in a block of its loose cluster, or on its own."""
+    loose = components(near, "a", "b", "similar-loose").select("node", F.col("root").alias("cluster"))
+    size = F.octet_length("s")
+    sized = loose.join(sets.select(F.col("th").alias("node"), size.alias("bytes")), "node")
+    counts = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= CLUSTER)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES))
+    stands = loose.join(counts, "cluster", "left").join(groups, "node", "left")
+    own = F.when(F.col("n").isNotNull(), F.xxhash64("cluster", F.pmod(F.xxhash64("node"), blocks))).otherwise(F.col("node"))
+    return stands.select("node", F.coalesce("root", "node").alias("root"), own.alias("place"), F.col("n").isNotNull().cast("long").alias("block"))
 
-    def meet(batches):
-        runs = _runs(batches, ("key", "a", "check", "root"), "a")
-        for x in _pieces(p for _, a, check, root in runs for p in _across(a, check, root)):
-            yield _batch(x, ["a", "b"])
 
-    rows = met.where("key >= 0").join(groups, F.col("a") == F.col("node"), "left")
-    rows = rows.select("key", "a", F.col("b").alias("check"), F.coalesce("root", "a").alias("root"))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+def _left_over(met: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b, block): each text a with the places b that hold a candidate of it which the groups do not join with it yet."""
+
+    def meet(batches):
+        runs = _runs(batches, ("key", "a", "check", "root", "place", "block"), "a")
+        for x in _pieces(p for _, *rest in runs for p in _across(*rest)):
+            yield _batch(x, ["a", "b", "block"])
+
+    rows = met.where("key >= 0").join(places, F.col("a") == F.col("node"), "left")
+    rows = rows.select("key", "a", F.col("b").alias("check"), F.coalesce("root", "a").alias("root"), F.coalesce("place", "a").alias("place"), F.coalesce("block", F.lit(0).cast("long")).alias("block"))
+    heavy = F.col("key") >= 1 << PART
+    within = rows.where(~heavy).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, block long")
+    # of a heavy key the places meet, not the texts: who is not of the key's largest group asks them all
+    rows = rows.where(heavy).withColumn("key", F.col("key").bitwiseAND((1 << PART) - 1))
+    counts = rows.groupBy("key", "root").agg(F.count_distinct("a").alias("n"))
+    largest = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    askers = rows.join(F.broadcast(largest), "key").where("root <> largest").select("a", F.col("place").alias("from")).distinct()
+    held = rows.select("key", "place", "block").distinct()
+    meeting = held.select("key", F.col("place").alias("from")).join(held, "key").select("from", "place", "block").distinct()
+    across = askers.join(meeting, "from").select("a", F.col("place").alias("b"), "block")
+    return within.union(across).distinct()
+
+
+def _ask(similarity: float):
+    """For a block's texts and the askers of one part: a link for each group of the block that holds a near copy of an asker."""
+
+    def run(texts: pa.Table, askers: pa.Table) -> pa.Table:
+        a, b = [], []
+        if texts.num_rows:
+            sets = [np.frombuffer(x, np.uint32) for x in texts["s"].to_pylist()]
+            th, root, size = texts["th"].to_numpy(), texts["root"].to_numpy(), np.array([len(x) for x in sets])
+            known, at = np.unique(np.concatenate(sets), return_inverse=True)
+            start = np.cumsum(size) - size
+            for q, own, s in zip(askers["th"].to_pylist(), askers["root"].to_pylist(), askers["s"].to_pylist(), strict=True):
+                s = np.frombuffer(s, np.uint32)
+                has = np.isin(known, s, assume_unique=True)
+                both = np.add.reduceat(has[at].astype(np.int32), start)
+                hit = np.flatnonzero((both >= similarity * (size + len(s) - both) - 1e-9) & (root != own))
+                hit = hit[np.unique(root[hit], return_index=True)[1]]
+                a += [q] * len(hit)
+                b += th[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def similar(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -189,30 +257,52 @@ def similar(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingl
             s = [np.unique(shingles(t, shingle, words_of).astype(np.uint32)).tobytes() for t in x.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([x.column("th"), pa.array(s, pa.binary())], ["th", "s"])
 
+    def sets_of(needed: DataFrame, tag: str) -> DataFrame:
+        return stash(texts.join(needed, "th", "left_semi").mapInArrow(sets, "th long, s binary").dropDuplicates(["th"]), tag)
+
+    least = min(similarity, LOOSE)
+
     def verify(batches):
         for x in slices(batches):
-            good = []
+            like = []
             for p, q in zip(x.column("p").to_pylist(), x.column("q").to_pylist(), strict=True):
                 p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                like.append(both / (len(p) + len(q) - both) + 1e-9)
+            like = np.array(like, np.float64)
+            out = pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(like >= similarity)], ["a", "b", "near"])
+            yield out.filter(pa.array(like >= least))
 
-    def links(found: DataFrame, tag: str) -> DataFrame:
-        pairs = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-pairs")
-        needed = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
-        held = stash(texts.join(needed, "th", "left_semi").mapInArrow(sets, "th long, s binary").dropDuplicates(["th"]), f"{tag}-sets")
+    def compared(pairs: DataFrame, held: DataFrame, tag: str) -> DataFrame:
         with_a = pairs.join(held.select(F.col("th").alias("a"), F.col("s").alias("p")), "a")
         with_both = with_a.join(held.select(F.col("th").alias("b"), F.col("s").alias("q")), "b")
-        good = stash(with_both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long"), f"{tag}-good")
-        drop_stash(pairs, held)
-        return good
-
-    near = links(met.where("key = -1").select("a", "b"), "similar-near")
-    groups = components(near, "a", "b", "similar-groups")
-    rest = links(_left_over(met, groups), "similar-rest")
-    found = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest), "a", "b", "similar-links")
-    drop_stash(met, near, rest)
+        return stash(with_both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long, near boolean"), tag)
+
+    def unordered(pairs: DataFrame, tag: str) -> DataFrame:
+        return stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tag)
+
+    pairs = unordered(met.where("key = -1").select("a", "b"), "similar-pairs")
+    held = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "similar-sets")
+    near = compared(pairs, held, "similar-near")
+    groups = components(near.where("near"), "a", "b", "similar-groups")
+    places = stash(_places(near, held, groups), "similar-places")
+    asks = stash(_left_over(met, places), "similar-asks")
+    drop_stash(pairs, met)
+
+    rest = unordered(asks.where("block = 0").select("a", "b"), "similar-rest")
+    asked = asks.where("block = 1").select("a", F.col("b").alias("place"))
+    parts = asked.groupBy("place").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("parts"))
+    blocks = places.where("block = 1").join(parts, "place").select("place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("th"), "root")
+    asked = asked.join(parts, "place").select("place", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("th"))
+    asked = asked.join(places.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    needed = rest.select(F.explode(F.array("a", "b")).alias("th")).union(asked.select("th")).union(blocks.select("th"))
+    more = sets_of(needed.distinct(), "similar-more")
+    pairwise = compared(rest, more, "similar-single").where("near").select("a", "b")
+    grouped = blocks.join(more, "th").select(*ASKED).groupBy("place", "part").cogroup(asked.join(more, "th").select(*ASKED).toDF(*ASKED).groupBy("place", "part"))
+    blockwise = stash(grouped.applyInArrow(_ask(similarity), "a long, b long"), "similar-blocks")
+    joined = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairwise).union(blockwise)
+    found = components(joined, "a", "b", "similar-links")
+    drop_stash(near, held, places, asks, rest, more, blockwise)
     return found
 
 

@@ -146,12 +146,14 @@ def test_similar_follower_meets_others():
     ids, check = np.array([1, 2, 3]), np.array([0, 0b111, 0b111 | (2**18 - 1) << 3])
     a, b, more = similar._nearest(ids, check)
     assert (a.tolist(), b.tolist(), more) == ([2], [1], True)
-    left = lambda *root: {tuple(sorted(p)) for x, y in similar._across(ids, check, np.array(root)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    alone = np.zeros(3, np.int64)
+    left = lambda *root: {tuple(sorted(p)) for x, y, _ in similar._across(ids, check, np.array(root), ids, alone) for p in zip(x.tolist(), y.tolist(), strict=True)}
     assert left(1, 2, 3) == {(1, 2), (2, 3)} and left(1, 1, 3) == {(2, 3)} and left(1, 1, 1) == set()
 
 
-def test_similar_of_one_template(spark):
-    """400 texts at about 0.73 of each other and 200 at about 0.85 of one of them: the groups are those of all pairs that meet under a key."""
+def test_similar_of_one_template(spark, monkeypatch):
+    """400 texts at about 0.73 of each other and 200 at about 0.85 of one of them: the groups hold those of all pairs that meet under a key, and lie in those of brute force. The template's keys are heavy, its texts stand in blocks."""
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", 100)
     r = np.random.default_rng(5)
     base = [f"w{x}" for x in r.integers(0, 5000, 300)]
 
@@ -167,13 +169,15 @@ def test_similar_of_one_template(spark):
     words_of = similar._WordHash()
     sets = [similar.shingles(" ".join(w), 5, words_of) for w in made]
     keys, check = similar.signatures(sets)
-    group, linked, brute = list(range(600)), 0, 0
+    group, whole, linked, brute = list(range(600)), list(range(600)), 0, 0
     for i in range(600):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if both < 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
                 continue
             brute += 1
+            if whole[i] != whole[j]:
+                whole = [whole[j] if x == whole[i] else x for x in whole]
             if len(np.intersect1d(keys[i], keys[j])) and int(np.bitwise_count((check[i] ^ check[j]).view(np.uint64))) <= similar.LINK_BITS:
                 linked += 1
                 if group[i] != group[j]:
@@ -184,7 +188,8 @@ def test_similar_of_one_template(spark):
     for x in similar.similar(df).collect():
         got[th[x.node]] = got[th[x.root]] = 1000 + th[x.root]
     same = lambda g: {frozenset(np.flatnonzero(np.array(g) == x).tolist()) for x in set(g)}
-    assert same(got) == same(group)
+    within = lambda g, h: all(any(x <= y for y in same(h)) for x in same(g))
+    assert within(group, got) and within(got, whole)
 
 
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
