@@ -105,35 +105,91 @@ def python_imports(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, IMPORTS)
 
 
-def write_pattern(pattern: str) -> str:
-    """The expression for a resource's pattern: <library>:<table> for the calls of a library that write a table or model, anything else is an expression as it is."""
+#: The client methods that the documentation of Prisma lists as writes, and the queryset methods that Django's lists.
+PRISMA_WRITES = ("create", "createMany", "createManyAndReturn", "update", "updateMany", "updateManyAndReturn", "upsert", "delete", "deleteMany")
+DJANGO_WRITES = ("create", "bulk_create", "update", "bulk_update", "update_or_create", "get_or_create", "delete")
+#: Statements of SQL that name the table they write right after these words; an update is one only with its set.
+SQL_WRITES = ("insert into", "insert or abort into", "insert or fail into", "insert or ignore into", "insert or replace into", "insert or rollback into", "delete from", "merge into", "truncate", "truncate table")
+#: Verbs that query builders share.
+BUILDER_WRITES = ("insert", "update", "delete")
+
+
+def _calls(line: Column) -> Column:
+    """The calls of a line, nested ones too: the parts of the name called (the first is empty where the call goes on a chain) and the start of the first argument."""
+    call = F.lit(r"([\w$.]+)\s*\((?=\s*([^(),]*))")
+    pairs = F.arrays_zip(F.regexp_extract_all(line, call, 1).alias("name"), F.regexp_extract_all(line, call, 2).alias("first"))
+    return F.transform(pairs, lambda c: F.struct(F.split(c["name"], r"\.").alias("name"), F.trim(c["first"]).alias("first")))
+
+
+def _end(parts: Column, k: int) -> Column:
+    return F.try_element_at(parts, F.lit(-k))
+
+
+def _prisma(line: Column, model: str) -> Column:
+    """<client>.<model>.<write>(...), where the client's property begins with a small letter."""
+    of = (model[0].lower() + model[1:], model[0].upper() + model[1:])
+    return F.exists(_calls(line), lambda c: (F.size(c["name"]) > 2) & _end(c["name"], 2).isin(*of) & _end(c["name"], 1).isin(*PRISMA_WRITES))
+
+
+def _drizzle(line: Column, table: str) -> Column:
+    """<database>.<verb>(<table>), the table perhaps as a member of its schema."""
+    return F.exists(_calls(line), lambda c: (F.size(c["name"]) > 1) & _end(c["name"], 1).isin(*BUILDER_WRITES) & (F.substring_index(c["first"], ".", -1) == table))
+
+
+def _sqlalchemy(line: Column, model: str) -> Column:
+    """<verb>(<model>), session.add(<model>(...)) or merge, and <model>.__table__.<verb>()."""
+
+    def write(c: Column) -> Column:
+        verb, on = _end(c["name"], 1), _end(c["name"], 2)
+        built = verb.isin(*BUILDER_WRITES) & ((c["first"] == model) | ((on == "__table__") & (_end(c["name"], 3) == model)))
+        return F.coalesce(built, F.lit(False)) | F.coalesce(verb.isin("add", "merge") & (on == "session") & (c["first"] == model), F.lit(False))
+
+    return F.exists(_calls(line), write)
+
+
+def _django(line: Column, model: str) -> Column:
+    """A write on <model>.objects, at once or later in the chain."""
+    calls = _calls(line)
+    write = lambda c: _end(c["name"], 1).isin(*DJANGO_WRITES)
+    manager = lambda c: F.contains(F.concat(F.lit("."), F.array_join(c["name"], ".")), F.lit(f".{model}.objects."))
+    return F.exists(calls, lambda c: manager(c) & write(c)) | (F.exists(calls, manager) & F.exists(calls, lambda c: (c["name"][0] == "") & write(c)))
+
+
+def _convex(line: Column, table: str) -> Column:
+    """ctx.db.<verb>("<table>", ...); all but insert also take an id alone, which is then named after the row: messageId, message._id."""
+    rows = {table.lower(), table.lower().removesuffix("s")} - {""}
+
+    def write(c: Column) -> Column:
+        verb, first = _end(c["name"], 1), c["first"]
+        named = F.regexp_extract(first, "^([\"'`])(.*)\\1$", 2) == table
+        path = F.split(F.lower(first), r"\.")
+        own = _end(path, 1).isin(*(f"{r}id" for r in rows)) | (_end(path, 1).isin("id", "_id") & F.coalesce(_end(path, 2).isin(*rows), F.lit(False)))
+        on = (_end(c["name"], 3) == "ctx") & (_end(c["name"], 2) == "db")
+        return F.coalesce(on & ((verb.isin("insert", "patch", "replace", "delete") & named) | (verb.isin("patch", "replace", "delete") & own)), F.lit(False))
+
+    return F.exists(_calls(line), write)
+
+
+def _sql(line: Column, table: str) -> Column:
+    """A statement that writes the table, with or without its schema; quotes and brackets around names don't matter."""
+    plain = F.regexp_replace(F.translate(F.lower(line), '"`[]\\', ""), r"\s+", " ")
+    name = rf"(?:[\w$]+\.)?{re.escape(table.lower())}(?![\w$])"
+    return plain.rlike(rf"\b(?:{'|'.join(SQL_WRITES)}) {name}") | plain.rlike(rf"\bupdate {name} (?:(?:as )?\w+ )?set\b")
+
+
+LIBRARIES = {"prisma": _prisma, "drizzle": _drizzle, "sqlalchemy": _sqlalchemy, "django": _django, "convex": _convex, "sql": _sql}
+
+
+def writes(line: Column, pattern: str) -> Column:
+    """Whether a line writes what a resource's pattern names: <library>:<table> for the calls of a library that write a table or model, anything else is an expression."""
     library, _, name = pattern.partition(":")
-    n = re.escape(name)
-    alone, before = r"(?![\w$])", r"(?<![\w$.])"
-    match library if name else "":
-        case "prisma":  # the accessor starts with a lower-case letter
-            accessor = f"[{name[0].lower()}{name[0].upper()}]{re.escape(name[1:])}"
-            return rf"{before}[\w$]+\.{accessor}\.(?:create|createMany|createManyAndReturn|update|updateMany|updateManyAndReturn|upsert|delete|deleteMany)\s*\("
-        case "drizzle":
-            return rf"\.(?:insert|update|delete)\(\s*(?:[\w$]+\.)*{n}\s*\)"
-        case "sql":
-            table = rf"""(?:\\?["`\[]?[\w$]+\\?["`\]]?\.)?\\?["`\[]?{n}\\?["`\]]?{alone}"""
-            return rf"(?i:\b(?:insert\s+(?:or\s+\w+\s+)?into|delete\s+from|merge\s+into|truncate(?:\s+table)?)\s+{table}|\bupdate\s+{table}\s+(?:(?:as\s+)?\w+\s+)?set\b)"
-        case "sqlalchemy":
-            return rf"{before}(?:insert|update|delete)\(\s*{n}\s*\)|\bsession\.(?:add|merge)\(\s*{n}\s*\(|{before}{n}\.__table__\.(?:insert|update|delete)\s*\("
-        case "django":
-            return rf"{before}{n}\.objects\b.*\.(?:create|bulk_create|update|bulk_update|update_or_create|get_or_create|delete)\s*\("
-        case "convex":  # tables are plural, ids of their rows singular
-            row = "|".join(re.escape(x) for x in {name, name.removesuffix("s")} if x)
-            quoted = "|".join(f"{q}{n}{q}" for q in ("\"", "'", "`"))
-            return rf"\bctx\.db\.(?:insert\(\s*(?:{quoted})|(?:patch|replace|delete)\(\s*(?:(?:{quoted})|[^,)]*?(?<![\w$])(?i:{row})(?:Id|\._id|\.id){alone}))"
-    return pattern
+    return LIBRARIES[library](line, name) if name and library in LIBRARIES else line.rlike(pattern)
 
 
 def write_sites(files: DataFrame, resources: Sequence[Resource]) -> DataFrame:
-    """file, line, resource, text of the lines that match a resource's patterns (see write_pattern), comment lines left out, each line once a resource."""
+    """file, line, resource, text of the lines that match a resource's patterns (see writes), comment lines left out, each line once a resource."""
     lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(~F.col("raw").rlike(r"^\s*(?://|#|\*|/\*)"))
-    hit = F.array(*(F.when(F.col("raw").rlike("|".join(f"(?:{write_pattern(p)})" for p in r.patterns)), F.lit(r.id)) for r in resources if r.patterns))
+    hit = F.array(*(F.when(F.coalesce(*(F.nullif(writes(F.col("raw"), p), F.lit(False)) for p in r.patterns), F.lit(False)), F.lit(r.id)) for r in resources if r.patterns))
     return lines.withColumn("resource", F.explode(F.array_distinct(F.array_compact(hit)))).select("file", (F.col("at") + 1).alias("line"), "resource", F.substring(F.trim("raw"), 1, 200).alias("text"))
 
 

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import heights
 
-#: Folders that hold units rather than being one.
-CONTAINERS = ("apps", "packages", "libs", "services", "modules", "crates", "features", "projects", "plugins")
-#: Names of layers, highest first.
-TIERS = (("ui", "web", "app", "pages", "views", "cli", "mcp"), ("api", "routes", "controllers", "handlers", "http"), ("application", "usecases", "services", "engine"), ("domain", "core", "model", "models", "entities"), ("infra", "infrastructure", "db", "storage", "store", "adapters", "persistence"))
+#: Folders that hold one unit for each child.
+CONTAINERS = ("apps", "components", "crates", "domains", "features", "libs", "modules", "packages", "plugins", "services", "sources", "targets")
+#: The ends of component names and the folders that stand for a layer, the top layer first.
+SUFFIX_TIERS = (("adapter", "adapters", "infrastructure", "ui"), ("feature", "features", "application"), ("core", "domain"))
+FOLDER_TIERS = (("adapters", "adapter", "infrastructure", "infra", "presentation"), ("application", "usecases", "use_cases", "use-cases", "features", "feature"), ("domain", "core"))
+#: Files that state rules for contributors and agents, folders whose documents do if named after structure, and scripts that check it.
+GUIDES = ("agents.md", "claude.md", "contributing.md", "architecture.md")
+GUIDE_FOLDERS = ("doc", "docs", ".github")
+GUIDE_WORDS = ("architecture", "boundar", "layer", "convention", "guideline")
+SCRIPT_WORDS = ("boundar", "layer", "architecture", "importlint", "import-lint", "import_lint", "dependencycheck", "dependency-check", "dependency_check", "checkimports", "check-imports", "check_imports")
+SCRIPT_ENDS = (".py", ".sh", ".ts", ".js", ".mjs", ".rb")
+#: What a line forbids with, what it then forbids, and the beginnings of words that a checking script forbids with.
+FORBIDDING = ("never", "must not", "mustn't", "do not", "don't", "may not", "cannot", "can't", "only", "forbidden", "not allowed")
+FORBIDDEN = ("import", "depend", "call", "reference", "reach into")
+SCRIPT_FORBIDDING = ("forbid", "disallow", "not allowed", "must not", "boundar", "layer")
 
 
 def infer_components(files: DataFrame, share: float = 0.8, depth: int = 3) -> DataFrame:
@@ -23,12 +36,12 @@ def infer_components(files: DataFrame, share: float = 0.8, depth: int = 3) -> Da
     parts = F.split("path", "/")
     root = ""
     for _ in range(depth):
-        below = files.where(F.col("path").startswith(root)).select(F.regexp_extract(F.substring("path", len(root) + 1, 10_000), "^([^/]+)/", 1).alias("top"))
+        below = files.where(F.col("path").startswith(root)).select(F.regexp_extract(F.col("path").substr(F.lit(len(root) + 1), F.length("path")), "^([^/]+)/", 1).alias("top"))
         best = below.groupBy("top").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy())).where("top <> ''").orderBy(F.desc("n"), "top").first()  # a row for each folder of one level
         if best is None or best["n"] < share * best["all"] or best.top in CONTAINERS:
             break
         root += best.top + "/"
-    rest = F.split(F.substring("path", len(root) + 1, 10_000), "/")
+    rest = F.split(F.col("path").substr(F.lit(len(root) + 1), F.length("path")), "/")
     deep = rest[0].isin(*CONTAINERS) & (F.size(rest) > 2)
     folder = F.concat(F.lit(root), F.when(deep, F.concat_ws("/", rest[0], rest[1])).otherwise(rest[0]))
     own = files.where(F.col("path").startswith(root) & (F.size(parts) > root.count("/") + 1))
@@ -43,21 +56,53 @@ def inferred_layers(graph: DataFrame) -> DataFrame:
     return heights(graph.select(F.col("from_c").alias("a"), F.col("to_c").alias("b"))).orderBy(F.desc("height"), "node")
 
 
+def _tier(word: Column, tiers: tuple[tuple[str, ...], ...]) -> Column:
+    return F.coalesce(*(F.when(word.isin(*names), k) for k, names in enumerate(tiers)))
+
+
 def layer_names(components: DataFrame, least: int = 3) -> DataFrame:
-    """tier (0 is the top) and ids of components(id) whose names end in a layer's; none if fewer than least components or two tiers are named."""
-    word = F.regexp_extract(F.lower("id"), "([a-z0-9]+)$", 1)
-    tier = F.lit(None).cast("int")
-    for k, names in enumerate(TIERS):
-        tier = F.when(word.isin(*names), F.lit(k)).otherwise(tier)
-    named = components.withColumn("tier", tier).where("tier is not null")
+    """tier (0 is the top) and ids of components(id, name) whose names, as written, end in a layer's word after a separator
+    or at a capital (chat-core, ChatCore, not score); none if fewer than least components or two tiers are named."""
+    last = F.regexp_extract("name", "(?:[-_.]|(?=[A-Z]))([A-Za-z]+)$", 1)  # the longest such end; shorter ones begin at its last capital
+    short = F.regexp_extract("name", "([A-Z][a-z]*)$", 1)
+    inside = lambda c: F.when(F.length(c) < F.length("name"), F.lower(c))
+    named = components.withColumn("tier", F.coalesce(_tier(inside(last), SUFFIX_TIERS), _tier(inside(short), SUFFIX_TIERS))).where("tier is not null")
     total = named.agg(F.count("*").alias("n"), F.count_distinct("tier").alias("tiers"))
     return named.crossJoin(F.broadcast(total)).where((F.col("n") >= least) & (F.col("tiers") >= 2)).groupBy("tier").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # total: one row
 
 
-def guardrails(files: DataFrame, by_file: int = 5, total: int = 15) -> DataFrame:
-    """file, line and text of lines that restrict imports or dependencies, in guides for contributors and agents and notes on architecture."""
-    said = r"(?i)\b(?:never|must not|mustn't|do not|don't|may not|cannot|can't|only|forbidden|not allowed)\b.*\b(?:import|depend|call|reference|reach into)"
-    lines = files.where(F.col("path").rlike(r"(?i)^(?:|.*/)(?:agents|claude|contributing|architecture)\.md$")).select(F.col("path").alias("file"), F.posexplode(F.split("text", r"\r?\n")).alias("at", "raw"))
-    kept = lines.select("file", (F.col("at") + 1).alias("line"), F.trim("raw").alias("text")).where(F.col("text").rlike(said) & F.length("text").between(12, 300))
-    few = kept.withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy("line"))).where(F.col("_n") <= by_file).drop("_n")
-    return few.orderBy("file", "line").limit(total)
+def layer_folders(files: DataFrame, least: int = 2) -> DataFrame:
+    """tier (0 is the top) and selectors of the layer folders that files(path, component) lie in, if at least so many components have
+    folders of two tiers each."""
+    found = files.where("component is not null").select("component", F.explode(F.slice(F.reverse(F.split("path", "/")), 2, 1000)).alias("word")).distinct()
+    found = found.withColumn("tier", _tier(F.lower("word"), FOLDER_TIERS)).where("tier is not null")
+    layered = found.groupBy("component").agg(F.count_distinct("tier").alias("tiers")).where("tiers >= 2").agg(F.count("*").alias("n"))
+    return found.crossJoin(F.broadcast(layered)).where(F.col("n") >= least).groupBy("tier").agg(F.transform(F.array_sort(F.collect_set("word")), lambda w: F.concat(F.lit("path:**/"), w, F.lit("/**"))).alias("selectors"))  # layered: one row
+
+
+def _says(text: Column, words: tuple[str, ...], whole: bool) -> Column:
+    return text.rlike(rf"(?i)\b(?:{'|'.join(map(re.escape, words))}){r'\b' if whole else ''}")
+
+
+def guardrails(files: DataFrame, by_file: int = 5, total: int = 15, managed: tuple[str, str] | None = None, left_out: tuple[str, ...] = ()) -> DataFrame:
+    """file, line, text and note of lines that restrict imports or dependencies: of guides for contributors and agents, of
+    documents on structure, and of scripts that check it; in the order of paths, of a file the first few different ones.
+
+    managed: the lines that open and close a block which a tool keeps up, left out. left_out: folders that don't count.
+    """
+    path, name = F.lower("path"), F.lower(F.regexp_extract("path", "([^/]+)$", 1))
+    holds = lambda words: F.greatest(*(F.contains(name, F.lit(w)) for w in words))
+    document = F.split(path, "/")[0].isin(*GUIDE_FOLDERS) & F.contains(path, F.lit("/")) & F.endswith(name, F.lit(".md")) & holds(GUIDE_WORDS)
+    script = holds(SCRIPT_WORDS) & F.greatest(*(F.endswith(name, F.lit(e)) for e in SCRIPT_ENDS))
+    counted = ~F.arrays_overlap(F.split("path", "/"), F.array(F.lit("node_modules"), *map(F.lit, left_out)))
+    given = files.where(counted & (name.isin(*GUIDES) | document | script)).select(F.col("path").alias("file"), script.alias("script"), F.posexplode(F.split("text", r"\r?\n")).alias("at", "raw"))
+    lines = given.select("file", "script", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text"))
+    if managed:
+        mark = F.when(F.col("text").isin(*managed), F.col("text"))
+        lines = lines.withColumn("_in", F.last(mark, True).over(W.partitionBy("file").orderBy("line"))).where(F.col("script") | ~F.col("_in").eqNullSafe(managed[0])).drop("_in")
+    after = F.regexp_extract("text", rf"(?i)\b(?:{'|'.join(map(re.escape, FORBIDDING))})\b(.*)", 1)
+    said = F.when(F.col("script"), _says(F.col("text"), SCRIPT_FORBIDDING, False)).otherwise(_says(after, FORBIDDEN, False))
+    kept = lines.where(said & F.length("text").between(12, 300)).groupBy("file", "script", "text").agg(F.min("line").alias("line"))
+    few = kept.withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy("line"))).where(F.col("_n") <= by_file)
+    note = F.when(F.col("script"), F.concat(F.lit("boundary check script "), F.regexp_extract("file", "([^/]+)$", 1)))
+    return few.select("file", "line", "text", note.alias("note")).orderBy("file", "line").limit(total)
