@@ -172,8 +172,8 @@ def _convex(line: Column, table: str) -> Column:
 
 def _sql(line: Column, table: str) -> Column:
     """A statement that writes the table, with or without its schema; quotes and brackets around names don't matter."""
-    plain = F.regexp_replace(F.translate(F.lower(line), '"`[]\\', ""), r"\s+", " ")
-    name = rf"(?:[\w$]+\.)?{re.escape(table.lower())}(?![\w$])"
+    plain = F.regexp_replace(F.lower(line), r'[\s"`\[\]\\]+', " ")
+    name = rf"(?:[\w$]+ ?\. ?)?{re.escape(table.lower())}(?![\w$])"
     return plain.rlike(rf"\b(?:{'|'.join(SQL_WRITES)}) {name}") | plain.rlike(rf"\bupdate {name} (?:(?:as )?\w+ )?set\b")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import key_fingerprint
+
+
 def order() -> list[Column]:
     rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warn", 1).otherwise(2)
     return [rank, F.col("rule"), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)), F.col("message"), F.col("fingerprint")]
@@ -36,15 +39,44 @@ def markdown(findings: DataFrame, rows: int = 50) -> str:
     return "\n".join(["| Level | Status | Rule | Place | Message |", "|-|-|-|-|-|", *lines, *more])
 
 
-def sarif(findings: DataFrame, tool: str = "tessera", most: int = 5000) -> str:
-    """SARIF 2.1.0 of the new findings. An ordinal tells findings of one fingerprint apart; SARIF readers take most results at most, so the errors come first."""
-    nth = F.row_number().over(W.partitionBy("fingerprint").orderBy("file", "line")) - 1
+def sarif_results(findings: DataFrame, weakenings: DataFrame | None = None, tool: str = "tessera", contract: str = "contract.yaml", baseline: str = "baseline.json") -> DataFrame:
+    """rule, level and value (one SARIF result as JSON) of all new findings, of approved ones (with the column approved_by), which
+    count as suppressed notes, and of weakenings(rule, type, message, approved_by) that no decision approved, at the contract's file.
+
+    A weakening's fingerprint is that of its rule and type; several of one pair get an ordinal.
+    """
     level = F.create_map(F.lit("error"), F.lit("error"), F.lit("warn"), F.lit("warning"), F.lit("info"), F.lit("note"))[F.col("level")]
-    new = findings.where("status = 'new'").withColumn("nth", nth).orderBy(*order()).limit(most)
-    got = new.select("rule", level.alias("level"), "message", "file", "line", "fingerprint", "nth").collect()
-    results = [{"ruleId": r.rule, "level": r.level, "message": {"text": r.message}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.file}, "region": {"startLine": r.line or 1}}}] if r.file else [], "partialFingerprints": {"tessera/v1": f"{r.fingerprint}:{r.nth}"}} for r in got]
-    rules = [{"id": x} for x in sorted({r.rule for r in got})]
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}, indent=2)
+    approved = F.col("approved_by") if "approved_by" in findings.columns else F.lit(None).cast("string")
+    reason = F.concat(F.lit("Approved by decision "), approved, F.lit("."))
+    place = lambda file, line: F.array(F.struct(F.struct(F.struct(file.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.when(line.isNotNull(), F.struct(line.alias("startLine"))).alias("region")).alias("physicalLocation")))
+
+    def result(rule: Column, lv: Column, text: Column, at: Column, mark: Column, *more: Column) -> Column:
+        return F.to_json(F.struct(rule.alias("ruleId"), lv.alias("level"), F.struct(text.alias("text")).alias("message"), at.alias("locations"), F.create_map(F.lit(f"{tool}/v1"), mark).alias("partialFingerprints"), F.lit("new").alias("baselineState"), *more))
+
+    excuse = F.when(approved.isNotNull(), F.array(F.struct(F.lit("external").alias("kind"), F.lit("accepted").alias("status"), reason.alias("justification")))).alias("suppressions")
+    lv = F.when(approved.isNotNull(), F.lit("note")).otherwise(level)
+    text = F.when(approved.isNotNull(), F.concat("message", F.lit(" "), reason)).otherwise(F.col("message"))
+    out = findings.where((F.col("status") == "new") | approved.isNotNull()).select(
+        *(c.alias(f"o{k}") for k, c in enumerate(order())), "rule", lv.alias("level"), result(F.col("rule"), lv, text, place(F.coalesce("file", F.lit(contract)), F.col("line").cast("int")), F.col("fingerprint"), excuse).alias("value")
+    ).orderBy(*(f"o{k}" for k in range(6))).select("rule", "level", "value")
+    if weakenings is None:
+        return out
+    open_ = weakenings.where("approved_by is null").withColumn("nth", F.row_number().over(W.partitionBy("rule", "type").orderBy("message")) - 1)
+    kind = F.lit("unapproved-weakening")
+    mark = F.when(F.col("nth") == 0, key_fingerprint("unapproved-weakening", F.col("rule"), F.col("type"))).otherwise(key_fingerprint("unapproved-weakening", F.col("rule"), F.col("type"), F.col("nth").cast("string")))
+    at = place(F.when(F.col("type") == "baseline-grown", F.lit(baseline)).otherwise(F.lit(contract)), F.lit(None).cast("int"))
+    return out.union(open_.orderBy("rule", "type", "nth").select(kind, F.lit("error"), result(kind, F.lit("error"), F.col("message"), at, mark)))
+
+
+def sarif(findings: DataFrame, weakenings: DataFrame | None = None, tool: str = "tessera") -> str:
+    """SARIF 2.1.0 of sarif_results; the results come to the driver one after another, as the one document that a reader takes."""
+    levels: dict[str, str] = {}
+    values = []
+    for r in sarif_results(findings, weakenings, tool).toLocalIterator():
+        levels.setdefault(r.rule, r.level)
+        values.append(json.loads(r.value))
+    rules = [{"id": x, "shortDescription": {"text": x}, "defaultConfiguration": {"level": levels[x]}} for x in sorted(levels)]
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": values}]}, indent=2) + "\n"
 
 
 def mermaid(graph: DataFrame, cycles: DataFrame | None = None) -> str:

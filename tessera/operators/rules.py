@@ -89,35 +89,59 @@ def edge_findings(edges: DataFrame, rules: Sequence[Rule], components: Sequence[
     )
 
 
-def state_findings(writes: DataFrame, rule: Rule, resources: Sequence[Resource], components: Sequence[Component]) -> DataFrame:
-    """Writes (file, line, resource) to a resource from outside its owner; a file without a component is outside."""
+def _in_force(rule: Rule, waivers: Sequence[Waiver], today: dt.date) -> list[Waiver]:
+    return [w for w in waivers if w.rule == rule.id and w.expires >= today]
+
+
+def _end(file: Column, component: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(file.alias("file"), component.alias("component"), none.alias("package"), F.lit(False).alias("external"))
+
+
+def state_findings(writes: DataFrame, rule: Rule, resources: Sequence[Resource], components: Sequence[Component], waivers: Sequence[Waiver] = (), today: dt.date = dt.date(1970, 1, 1), changed: DataFrame | None = None) -> DataFrame:
+    """Writes (file, line, resource) to a resource from outside its owner; a file without a component is outside. changed: paths; then only writes in these count."""
     spark = writes.sparkSession
     owned = spark.createDataFrame([(r.id, r.owner) for r in resources if not rule.resources or r.id in rule.resources], "resource string, owner string")
+    if changed is not None:
+        writes = writes.join(changed.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
     found = writes.join(F.broadcast(owned), "resource").withColumn("component", component_of(F.col("file"), components)).where(~F.col("component").eqNullSafe(F.col("owner")))
-    return found.select(
-        F.lit(rule.id).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(rule.level).alias("level"), F.concat(F.lit("writes "), F.col("resource")).alias("message"), F.coalesce("component", "file").alias("from_"), F.col("resource").alias("to_"),
-        "file", "line", key_fingerprint(rule.id, F.col("file"), F.col("resource")).alias("fingerprint"), F.lit("new").alias("status"), F.lit(True).alias("heuristic"),
+    ends = found.withColumns({"src": _end(F.col("file"), F.col("component")), "dst": _end(F.lit(None).cast("string"), F.col("owner"))})
+    status = F.when(waived(rule, waivers, today), F.lit("waived")).otherwise(F.lit("new"))
+    return ends.select(
+        F.lit(rule.id).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(rule.level).alias("level"), F.concat(F.lit("writes "), F.col("resource"), F.lit(", which belongs to "), F.col("owner")).alias("message"), F.coalesce("component", "file").alias("from_"), F.col("owner").alias("to_"),
+        "file", "line", key_fingerprint(rule.id, F.col("file"), F.col("resource")).alias("fingerprint"), status.alias("status"), F.lit(True).alias("heuristic"),
     )
 
 
-def acyclic_findings(edges: DataFrame, rule: Rule) -> DataFrame:
-    """One finding for each strongly connected component of two or more members, over files or components; within limits the members."""
-    src, dst = F.col("src"), F.col("dst")
-    by = "component" if (rule.scope or "components") == "components" else "file"
-    known = edges.where(dst.isNotNull())
+def acyclic_findings(edges: DataFrame, rule: Rule, components: Sequence[Component] = (), waivers: Sequence[Waiver] = (), today: dt.date = dt.date(1970, 1, 1)) -> DataFrame:
+    """One finding for each strongly connected component of two or more members, over files or components; within limits the members.
+
+    A waiver covers a cycle when its sides each take some member. Members of a graph of components have no file that a
+    selector could take.
+    """
+    by_component = (rule.scope or "components") == "components"
+    by = "component" if by_component else "file"
+    known = edges.where(F.col("dst").isNotNull())
     if not rule.include_type_imports:
         known = known.where("kind <> 'type'")
+    end = lambda node, owner: _end(F.lit(None).cast("string") if by_component else node, node if by_component else owner)
+    pairs = known.select(F.col("src")[by].alias("a"), F.col("dst")[by].alias("b"), F.col("src.component").alias("ca"), F.col("dst.component").alias("cb"), F.col("from_").alias("file"), "line").where("a is not null and b is not null and a <> b")
     if rule.within:
-        known = known.where(any_selects(rule.within, src) & any_selects(rule.within, dst))
-    pairs = known.select(src[by].alias("a"), dst[by].alias("b"), F.col("from_").alias("file"), "line").where("a is not null and b is not null and a <> b")
-    members = (mutual_components if by == "component" else strong_components)(pairs.select("a", "b").distinct())
+        pairs = pairs.where(any_selects(rule.within, end(F.col("a"), F.col("ca"))) & any_selects(rule.within, end(F.col("b"), F.col("cb"))))
+    members = (mutual_components if by_component else strong_components)(pairs.select("a", "b").distinct())
     m = members.select(F.col("node").alias("a"), "scc")
     inside = pairs.join(m, "a").join(members.select(F.col("node").alias("b"), F.col("scc").alias("other")), "b").where("scc = other")
     at = inside.groupBy("scc").agg(F.min(F.struct("file", "line")).alias("at"))
-    cycles = members.groupBy("scc").agg(F.array_sort(F.collect_set("node")).alias("members")).join(at, "scc")
+    held = _in_force(rule, waivers, today)
+    node = end(F.col("node"), component_of(F.col("node"), components))
+    takes = {f"w{k}{side}": F.max(selects(raw, node) if raw else F.lit(True)) for k, w in enumerate(held) for side, raw in (("a", w.from_), ("b", w.to_))}
+    cycles = members.groupBy("scc").agg(F.array_sort(F.collect_set("node")).alias("members"), *(v.alias(k) for k, v in takes.items())).join(at, "scc")
+    excused = F.lit(False)
+    for k in range(len(held)):
+        excused = excused | (F.col(f"w{k}a") & F.col(f"w{k}b"))
     return cycles.select(
         F.lit(rule.id).alias("rule"), F.lit(rule.kind).alias("kind"), F.lit(rule.level).alias("level"), F.concat(F.lit("cycle: "), F.array_join("members", ", ")).alias("message"), F.col("members")[0].alias("from_"), F.lit(None).cast("string").alias("to_"),
-        F.col("at.file").alias("file"), F.col("at.line").alias("line"), cycle_fingerprint(rule.id, F.col("members")).alias("fingerprint"), F.lit("new").alias("status"), F.lit(False).alias("heuristic"),
+        F.col("at.file").alias("file"), F.col("at.line").alias("line"), cycle_fingerprint(rule.id, F.col("members")).alias("fingerprint"), F.when(excused, F.lit("waived")).otherwise(F.lit("new")).alias("status"), F.lit(False).alias("heuristic"),
     )
 
 
@@ -151,13 +175,51 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(n((s == "new") & (lv == "error"))("new_errors"), n((s == "new") & (lv == "warn"))("new_warnings"), n((s == "new") & (lv == "info"))("infos"), n(s == "existing")("existing"), n(s == "baselined")("baselined"), n(s == "waived")("waived"))
 
 
-def inert_rules(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """rule and in_scope (edges its source side takes) for edge rules that take no edge at all."""
-    src = F.col("src")
+def _code_selectors(rule: Rule) -> list[str]:
+    """What a rule says about code, not about packages."""
+    said = {
+        "forbid": (*rule.from_, *rule.to_), "allow-only": (*rule.from_, *rule.to_), "layers": tuple(x for g in rule.layers for x in g), "acyclic": rule.within,
+        "independent": rule.members, "entrypoints": rule.targets, "external-imports": (*rule.from_, *rule.allow_from),
+    }
+    return sorted({x for x in said.get(rule.kind, ()) if x != "*" and not x.startswith("pkg:")})
+
+
+def _in_scope(rule: Rule) -> Column:
+    """Whether an edge is one that the rule judges, whatever it finds."""
+    src, dst = F.col("src"), F.col("dst")
+    match rule.kind:
+        case "acyclic" if (rule.scope or "components") == "files":
+            return F.col("to_").isNotNull() & (F.col("to_") != F.col("from_"))
+        case "acyclic":
+            member = lambda e: F.lit(True) if not rule.within else any_selects(rule.within, _end(F.lit(None).cast("string"), e["component"]))
+            return (src["component"] != dst["component"]) & member(src) & member(dst)
+        case "layers":
+            return any_selects([x for g in rule.layers for x in g], src)
+        case "independent":
+            return any_selects(rule.members, src)
+        case "entrypoints":
+            return ~dst["external"] & dst["component"].isNotNull() & ~dst["component"].eqNullSafe(src["component"]) & any_selects(rule.targets, _end(F.lit(None).cast("string"), dst["component"]))
+        case "external-imports" if rule.packages:
+            return F.lit(True)
+    return any_selects(rule.from_, src)
+
+
+def inert_rules(edges: DataFrame, files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """rule, in_scope (edges that it judges) and empty (its selectors that take no file) of rules that judge no edge or have such a selector.
+
+    edges: see with_endpoints; files: path, component. One pass over each: every rule and every selector is a count.
+    """
     spark = edges.sparkSession
-    sides = {r.id: any_selects(r.from_ or [s for g in r.layers for s in g] or r.members or ("*",), src) for r in rules if r.level != "off" and r.kind in ("forbid", "allow-only", "layers", "independent", "external-imports")}
-    if not sides:
-        return spark.createDataFrame([], "rule string, in_scope long")
-    counts = edges.agg(*(F.count_if(c).alias(f"c{k}") for k, c in enumerate(sides.values())))
-    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"c{k}").alias("in_scope")) for k, r in enumerate(sides)))
-    return counts.select(F.inline(rows)).where("in_scope = 0")
+    active = [r for r in rules if r.level != "off" and r.kind not in ("state-owner", "api-stability", "deprecated")]
+    if not active:
+        return spark.createDataFrame([], "rule string, in_scope long, empty array<string>")
+    known = edges.where(F.col("dst").isNotNull() & ~F.coalesce("unresolved", F.lit(False)))
+    typed = lambda r: (F.lit(True) if r.include_type_imports or (r.kind == "acyclic" and r.scope == "files") else F.col("kind") != "type")
+    judged = known.agg(*(F.count_if(_in_scope(r) & typed(r)).alias(f"c{k}") for k, r in enumerate(active)))
+    raws = sorted({x for r in active for x in _code_selectors(r)})
+    end = _end(F.col("path"), F.col("component"))
+    taken = files.agg(*(F.count_if(selects(x, end)).alias(f"s{k}") for k, x in enumerate(raws)), F.lit(0).alias("_"))
+    both = judged.crossJoin(taken)  # one row each
+    none = lambda r: F.array_compact(F.array(*(F.when(F.col(f"s{raws.index(x)}") == 0, F.lit(x)) for x in _code_selectors(r)))) if _code_selectors(r) else F.array().cast("array<string>")
+    rows = F.array(*(F.struct(F.lit(r.id).alias("rule"), F.col(f"c{k}").alias("in_scope"), none(r).alias("empty")) for k, r in enumerate(active)))
+    return both.select(F.inline(rows)).where((F.col("in_scope") == 0) | (F.size("empty") > 0))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.globs import patterns_regex
 from ..functions.text import collapse, decision_id, tokens
 
 K1, B = 1.2, 0.75
@@ -42,11 +43,21 @@ def title_matches(prompts: DataFrame, titles: DataFrame, least: int = 2) -> Data
     return terms(prompts, "prompt_id").join(terms(titles, "title_id"), "term").groupBy("prompt_id", "title_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def stale_governs(decisions: DataFrame, components: DataFrame) -> DataFrame:
-    """id, target: accepted decisions(id, status, governs) whose every governed component is gone."""
-    g = decisions.where("status = 'accepted'").select("id", F.explode("governs").alias("target"))
-    known = g.join(components.select(F.col("component").alias("target")), "target", "left_semi").select("id").distinct()
-    return g.join(known, "id", "left_anti")
+def stale_governs(decisions: DataFrame, components: DataFrame, files: DataFrame) -> DataFrame:
+    """id, target: what accepted decisions(id, status, governs) govern that is neither *, a component(component) nor a glob that takes a path of files(path).
+
+    The globs left after the components are few, as a contract lists them; each file meets them all in one pass.
+    """
+    asked = decisions.where("status = 'accepted'").select("id", F.explode("governs").alias("target")).where("target <> '*'").distinct()
+    asked = asked.join(components.select(F.col("component").alias("target")), "target", "left_anti")
+
+    @F.pandas_udf("string")
+    def regex_of(globs: pd.Series) -> pd.Series:
+        return globs.map(lambda g: patterns_regex([g]))
+
+    globs = asked.select("target").distinct().withColumn("regex", regex_of("target"))
+    taken = files.select("path").crossJoin(F.broadcast(globs)).where(F.rlike(F.col("path"), F.col("regex"))).select("target").distinct()  # globs: those of one contract
+    return asked.join(taken, "target", "left_anti").select("id", "target")
 
 
 def retired_citations(rules: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -56,8 +67,9 @@ def retired_citations(rules: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def unchecked_assumptions(decisions: DataFrame, rules: DataFrame) -> DataFrame:
-    """id, check: accepted decisions whose assumption names a rule that doesn't exist. decisions: id, status, checks."""
-    return decisions.where("status = 'accepted'").select("id", F.explode("checks").alias("check")).join(rules.select(F.col("rule").alias("check")), "check", "left_anti").select("id", "check")
+    """id, check: accepted and proposed decisions whose assumption names a rule that doesn't exist. decisions: id, status, checks."""
+    open_ = decisions.where(F.col("status").isin("accepted", "proposed"))
+    return open_.select("id", F.explode("checks").alias("check")).join(rules.select(F.col("rule").alias("check")), "check", "left_anti").select("id", "check")
 
 
 def page(findings: DataFrame, offset: int, size: int, cursor: str | None = None) -> tuple[DataFrame, str]:
@@ -70,6 +82,3 @@ def page(findings: DataFrame, offset: int, size: int, cursor: str | None = None)
         raise ValueError("the list has changed since this cursor was made")
     return findings.orderBy("key").offset(offset).limit(size), mark
 
-
-def top_by_group(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= k).drop("_n")

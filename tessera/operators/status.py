@@ -23,8 +23,8 @@ def status_counts(findings: DataFrame) -> DataFrame:
 
 
 def error_counts(findings: DataFrame) -> DataFrame:
-    """fingerprint and n of errors that aren't waived: what a session's snapshot holds."""
-    return findings.where("level = 'error' and status <> 'waived'").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    """fingerprint and n of new errors: what a session's snapshot holds."""
+    return findings.where("level = 'error' and status = 'new'").groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ def code_graph(files: DataFrame, workspaces: DataFrame, contract: Contract, alia
 def check(edges: DataFrame, contract: Contract, today: dt.date, baseline: DataFrame | None = None, writes: DataFrame | None = None, changed: DataFrame | None = None) -> DataFrame:
     """All findings of a version: edge rules, cycles, state owners; then the baseline."""
     made = [rules.edge_findings(edges, contract.rules, contract.components, contract.waivers, today, changed)]
-    made += [rules.acyclic_findings(edges, r) for r in contract.rules if r.kind == "acyclic" and r.level != "off"]
+    made += [rules.acyclic_findings(edges, r, contract.components, contract.waivers, today) for r in contract.rules if r.kind == "acyclic" and r.level != "off"]
     if writes is not None:
-        made += [rules.state_findings(writes, r, contract.resources, contract.components) for r in contract.rules if r.kind == "state-owner" and r.level != "off"]
+        made += [rules.state_findings(writes, r, contract.resources, contract.components, contract.waivers, today, changed) for r in contract.rules if r.kind == "state-owner" and r.level != "off"]
     found = reduce(DataFrame.unionByName, made)
     return rules.apply_baseline(found, baseline) if baseline is not None else found
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.globs import glob_match
 from ..functions.hashing import content_id, edge_fingerprint
 from ..functions.text import STOPWORDS, normalize_signature
-from ..operators import diff, graph, history, mapping, metrics, rules, search
+from ..operators import diff, graph, history, mapping, metrics, rules, search, status
 from ..schemas import Component, Resource, Rule, Waiver
+from ..sources import files
 from ..streaming import sessions
 from . import carriers as C
 
@@ -126,12 +127,13 @@ def rule_external_packages(spark, sf_dir):
     return _findings(spark, sf_dir, Rule("guarded", "external-imports", packages=("Supplier#00000000[0-4]",), allow_from=("Brand#12",)), edges=C.packages(spark, sf_dir))
 
 
-@query("select distinct component as from_, status as to_, path as file, line, left(sha256('key' || chr(0) || 'owner' || chr(0) || path || chr(0) || status), 16) as fingerprint from (select x.component, x.path, l_linestatus status, l_linenumber line from lineitem join files x on x.pk = l_partkey) where case status when 'F' then 'Brand#1' when 'O' then 'Brand#2' end <> component")
+@query("select distinct component as from_, case status when 'F' then 'Brand#1' else 'Brand#2' end as to_, case when component = 'Brand#3' and status = 'F' then 'waived' else 'new' end as status, path as file, line, left(sha256('key' || chr(0) || 'owner' || chr(0) || path || chr(0) || status), 16) as fingerprint from (select x.component, x.path, l_linestatus status, l_linenumber line from lineitem join files x on x.pk = l_partkey) where case status when 'F' then 'Brand#1' when 'O' then 'Brand#2' end <> component")
 def rule_state_owner(spark, sf_dir):
     li = C.read(spark, sf_dir, "lineitem").join(C.files(spark, sf_dir).select(F.col("pk").alias("l_partkey"), F.col("path").alias("file")), "l_partkey")
     writes = li.select("file", F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("resource"))
-    found = rules.state_findings(writes, Rule("owner", "state-owner", "warn"), (Resource("F", "Brand#1"), Resource("O", "Brand#2")), C.COMPONENTS)
-    return found.select("from_", "to_", "file", "line", "fingerprint").distinct()
+    held = [Waiver("owner", "Brand#3", "Brand#1", dt.date(2026, 12, 1)), Waiver("owner", "Brand#4", None, dt.date(2026, 11, 1))]
+    found = rules.state_findings(writes, Rule("owner", "state-owner", "warn"), (Resource("F", "Brand#1"), Resource("O", "Brand#2")), C.COMPONENTS, held, dt.date(2026, 12, 1))
+    return found.select("from_", "to_", "status", "file", "line", "fingerprint").distinct()
 
 
 _REACH = "links as (select distinct {a} a, {b} b from edges where {a} <> {b}), reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)"
@@ -189,10 +191,14 @@ def baseline_update(spark, sf_dir):
     return rules.baseline_update(found.where("line > 1"), _baseline(found))
 
 
-@query("select 'unused' as \"rule\", 0::bigint as in_scope where not exists (select 1 from edges where cf = 'Brand#99')")
+_SCOPES = (("unused", "cf = 'Brand#99'", ("Brand#99",)), ("narrow", "cf = 'Brand#1'", ("Brand#1", "path:src/Brand#1/NONE/**")), ("used", "cf = 'Brand#1'", ("Brand#1", "Brand#2")), ("doors", "ct = 'Brand#9' and cf <> ct and kind <> 'type'", ("Brand#9",)))
+_EMPTY = " union all ".join(f"select '{r}' as \"rule\", s from (values {', '.join(f"('{x}')" for x in xs)}) v(s) where not exists (select 1 from files where component = s or starts_with(s, 'path:') and regexp_full_match(path, 'src/Brand#1/NONE/.*'))" for r, _, xs in _SCOPES)
+
+
+@query(f", e as ({_EMPTY}), n as ({' union all '.join(f"select '{r}' as \"rule\", count(*) filter ({w}) as in_scope from edges" for r, w, _ in _SCOPES)}) select n.\"rule\", n.in_scope, coalesce(string_agg(s, ',' order by s), '') as empty from n left join e using (\"rule\") group by 1, 2 having in_scope = 0 or count(s) > 0")
 def inert_rules(spark, sf_dir):
-    given = [Rule("unused", "forbid", from_=("Brand#99",), to_=("*",)), Rule("used", "forbid", from_=("Brand#1",), to_=("Brand#2",)), Rule("layers", "layers", layers=_LAYERS)]
-    return rules.inert_rules(C.edges(spark, sf_dir), given)
+    given = [Rule("unused", "forbid", from_=("Brand#99",), to_=("*",)), Rule("narrow", "allow-only", from_=("Brand#1",), to_=("path:src/Brand#1/NONE/**",)), Rule("used", "forbid", from_=("Brand#1",), to_=("Brand#2",)), Rule("doors", "entrypoints", targets=("Brand#9",), include_type_imports=False)]
+    return rules.inert_rules(C.edges(spark, sf_dir), C.files(spark, sf_dir), given).withColumn("empty", F.array_join("empty", ","))
 
 
 @query(f"select count(*) filter (status = 'new') as new_errors, 0::bigint as new_warnings, 0::bigint as infos, 0::bigint as existing, 0::bigint as baselined, count(*) filter (status = 'waived') as waived from ({_ALL})")
@@ -200,6 +206,59 @@ def summary_counts(spark, sf_dir):
     return rules.summary(_all(spark, sf_dir))
 
 
+_GROUP = "(split_part({c}, '#', 2)::int - 1) // 5"
+
+
+@query(f", links as (select distinct cf a, ct b from edges where cf <> ct and {_GROUP.format(c='cf')} = {_GROUP.format(c='ct')}), reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b), scc as (select r.a node, least(r.a, min(r.b)) scc from reach r join reach s on s.a = r.b and s.b = r.a where r.a <> r.b group by r.a) select scc as from_, case when bool_or(node = 'Brand#1') and bool_or(node = 'Brand#2') or bool_or(node = 'Brand#16') then 'waived' else 'new' end as status from scc group by scc")
+def waived_cycles(spark, sf_dir):
+    group = lambda end: F.expr(f"(cast(split({end}.component, '#')[1] as int) - 1) div 5")
+    e = C.edges(spark, sf_dir).where(group("src") == group("dst"))
+    until = lambda a, b, month: Waiver("cycles", a, b, dt.date(2026, month, 1))
+    held = [until("Brand#1", "Brand#2", 12), until("Brand#6", "Brand#1", 12), until("Brand#11", None, 11), until("Brand#16", None, 12)]
+    return rules.acyclic_findings(e, Rule("cycles", "acyclic"), C.COMPONENTS, held, dt.date(2026, 12, 1)).select("from_", "status")
+
+
+@query(f"select fingerprint, count(*) - (min(line) <= 2)::int as n from ({_ALL}) group by 1 having count(*) > (min(line) <= 2)::int")
+def error_counts(spark, sf_dir):
+    found = _all(spark, sf_dir)
+    held = found.where("line <= 2").select("fingerprint", "rule").distinct().withColumn("count", F.lit(1))
+    return status.error_counts(rules.apply_baseline(found, held))
+
+
+# decisions and packages
+
+
+_DECISIONS = "decisions as (select 'd' || p_partkey as id, case p_partkey % 4 when 0 then 'accepted' when 1 then 'proposed' when 2 then 'accepted' else 'rejected' end as status, p_brand as brand, p_size as size from part)"
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    p = C.read(spark, sf_dir, "part")
+    said = F.expr("case p_partkey % 4 when 0 then 'accepted' when 1 then 'proposed' when 2 then 'accepted' else 'rejected' end")
+    governs = F.expr("array('*', p_brand, concat('Brand#', p_size), concat('src/Brand#', p_size, '/**'), concat('src/*/', p_type, '/'))")
+    return p.select(F.concat(F.lit("d"), "p_partkey").alias("id"), said.alias("status"), governs.alias("governs"), F.array(F.concat(F.lit("r"), "p_size")).alias("checks"))
+
+
+@query("select id, unnest(['Brand#' || size, 'src/Brand#' || size || '/**']) as target from decisions where status = 'accepted' and not exists (select 1 from part where p_brand = 'Brand#' || size)", _DECISIONS)
+def stale_governs(spark, sf_dir):
+    parts = C.read(spark, sf_dir, "part").select(F.col("p_brand").alias("component")).distinct()
+    return search.stale_governs(_decisions(spark, sf_dir), parts, C.files(spark, sf_dir))
+
+
+@query("select id, 'r' || size as check from decisions where status <> 'rejected' and size > 20", _DECISIONS)
+def unchecked_assumptions(spark, sf_dir):
+    return search.unchecked_assumptions(_decisions(spark, sf_dir), spark.createDataFrame([(f"r{k}",) for k in range(1, 21)], "rule string"))
+
+
+@query("select 'pkg-' || p_partkey as name, 'packages/' || p_brand || '/p' || p_partkey as dir from part where p_size > 5 and p_partkey % 10 <> 7", "")
+def workspaces(spark, sf_dir):
+    p = C.read(spark, sf_dir, "part")
+    folder = F.concat(F.lit("packages/"), "p_brand", F.lit("/p"), "p_partkey")
+    own = F.when(F.col("p_size") > 5, F.concat(F.lit('{"name": "pkg-'), "p_partkey", F.lit('"}'))).otherwise("{}")
+    manifests = p.select(F.concat(folder, F.lit("/package.json")).alias("path"), own.alias("text")).union(p.select(F.concat(folder, F.lit("/node_modules/x/package.json")), F.lit('{"name": "x"}')))
+    root = spark.createDataFrame([("package.json", '{"name": "root", "workspaces": ["./packages/*/*/", "!packages/*/p*7"]}')], "path string, text string")
+    return files.workspaces(manifests.union(root))
+
+
 # component graph and metrics
 
 
@@ -238,10 +297,16 @@ def god(spark, sf_dir):
     return metrics.gods(_metrics(spark, sf_dir)[0], share=0.03)
 
 
-@query(f", {_GRAPH}, {_METRICS}, i as (select component, fan_out / (fan_in + fan_out) as v from m) select from_c, to_c, round(a.v, 6) as i_from, round(b.v, 6) as i_to from cg join i a on a.component = from_c join i b on b.component = to_c where b.v - a.v > 0.0001")
+_NUMBER = "split_part({c}, '#', 2)::int"
+_DOWNHILL = f"({_NUMBER.format(c='cf')} < {_NUMBER.format(c='ct')} or {_NUMBER.format(c='cf')} >= 20 and {_NUMBER.format(c='ct')} <= 5)"
+
+
+@query(f", {_GRAPH.replace('cf <> ct', f'cf <> ct and {_DOWNHILL}')}, {_METRICS}, i as (select component, fan_out / (fan_in + fan_out) as v from m) select from_c, to_c, round(a.v, 6) as i_from, round(b.v, 6) as i_to from cg join i a on a.component = from_c join i b on b.component = to_c where b.v - a.v > 0.25")
 def unstable_dep(spark, sf_dir):
-    m, g = _metrics(spark, sf_dir)
-    return metrics.unstable(g, m, by=0.0001).select("from_c", "to_c", F.round("i_from", 6).alias("i_from"), F.round("i_to", 6).alias("i_to"))
+    k = lambda end: F.expr(f"cast(split({end}.component, '#')[1] as int)")
+    e = C.edges(spark, sf_dir).where((k("src") < k("dst")) | ((k("src") >= 20) & (k("dst") <= 5)))
+    g, f = metrics.component_graph(e), C.files(spark, sf_dir)
+    return metrics.unstable(g, metrics.coupling(f.select("component").distinct(), f, g)).select("from_c", "to_c", F.round("i_from", 6).alias("i_from"), F.round("i_to", 6).alias("i_to"))
 
 
 # history
@@ -384,6 +449,26 @@ def session_introduced(spark, sf_dir):
     return sessions.introduced(e.where("ts < timestamp_ntz'2024-01-10'"), e.where("ts >= timestamp_ntz'2024-01-10'"), "user_id", "fp", ["ts", "event_id"]).select("event_id", "user_id", "fp")
 
 
+_DAY = "(epoch(ts)::bigint // 86400)"
+_HOOKS = f"e as (select user_id::varchar as session_id, case when {_DAY} % 5 = 0 then 'start' else 'check' end as event, {_DAY}::varchar as event_id, case when {_DAY} % 10 = 0 then 'startup' else 'resume' end as source, event_type as fingerprint, case when event_id % 4 = 0 then 'warn' else 'error' end as level, event_id as seq from events)"
+
+
+@query(
+    ", ids as (select session_id, event, event_id, min(seq) \"at\", max(source) source from e group by all), s as (select session_id, event_id snapshot, \"at\" taken from (select *, row_number() over (partition by session_id order by \"at\") n from ids where event = 'start') where n = 1 or source = 'startup'), "
+    "b as (select i.session_id, i.event_id, arg_max(snapshot, taken) snapshot from ids i join s on s.session_id = i.session_id and taken < \"at\" where event = 'check' group by all), a as (select session_id, event_id snapshot, fingerprint, count(*) k from e where event = 'start' and level = 'error' group by all), "
+    "f as (select *, row_number() over (partition by session_id, event_id, fingerprint, level order by seq) n from e where event = 'check') select f.session_id, f.event_id, f.fingerprint, seq, case level when 'error' then 'block' else 'context' end as action from f left join b using (session_id, event_id) left join a using (session_id, snapshot, fingerprint) where level <> 'error' or n > coalesce(k, 0)",
+    _HOOKS,
+)
+def session_checks(spark, sf_dir):
+    day = F.expr("unix_seconds(cast(ts as timestamp)) div 86400")
+    e = C.read(spark, sf_dir, "events").withColumn("day", day)
+    rows = e.select(
+        F.col("user_id").cast("string").alias("session_id"), F.when(F.col("day") % 5 == 0, "start").otherwise("check").alias("event"), F.col("day").cast("string").alias("event_id"), F.when(F.col("day") % 10 == 0, "startup").otherwise("resume").alias("source"),
+        F.col("event_type").alias("fingerprint"), F.when(F.col("event_id") % 4 == 0, "warn").otherwise("error").alias("level"), F.col("event_id").alias("seq"),
+    )
+    return sessions.session_checks(rows)
+
+
 @query("select user_id, arg_max(event_type, (ts, event_id)) as state, arg_max(event_id, (ts, event_id)) as event_id from events group by user_id", "")
 def last_state_wins(spark, sf_dir):
     return sessions.last_state(C.read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], {"state": "event_type", "event_id": "event_id"})

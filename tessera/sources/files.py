@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.globs import glob_match
+from ..functions.globs import glob_match, to_regex
 from ..functions.hashing import content_id
 
 #: Folders that no analysis looks into.
@@ -71,7 +74,30 @@ def patch_paths(patches: DataFrame) -> DataFrame:
     return said.groupBy("id", "path").agg(F.max_by(state, "pos").alias("deleted"))
 
 
+def workspace_patterns(root: str | None, pnpm: str | None = None) -> tuple[list[str], list[str]]:
+    """The folders that the root's package.json (workspaces, a list or its packages) and pnpm-workspace.yaml (packages) name as packages, and those they except with !."""
+    said: list = []
+    try:
+        given = json.loads(root or "{}").get("workspaces")
+        said += (given.get("packages") if isinstance(given, dict) else given) or []
+    except (ValueError, AttributeError):
+        pass
+    block = re.search(r"(?m)^packages:[ \t]*(\[[^\]]*\]|(?:\r?\n[ \t]*(?:-.*|#.*)?)+)", pnpm or "")
+    if block:
+        said += [x.group(1) or x.group(2) or x.group(3) for x in re.finditer(r"""(?:-|[\[,])[ \t]*(?:"([^"]*)"|'([^']*)'|([^\s,\]#"']+))""", block.group(1))]
+    clean = lambda x: re.sub(r"^(?:\./)+|/+$", "", x.strip())
+    texts = [x for x in said if isinstance(x, str)]
+    return [p for x in texts if not x.startswith("!") and (p := clean(x))], [p for x in texts if x.startswith("!") and (p := clean(x[1:]))]
+
+
 def workspaces(manifests: DataFrame) -> DataFrame:
-    """name and dir of the packages of manifests(path, text), the package.json files; those without a name are none."""
-    name = F.get_json_object("text", "$.name")
-    return manifests.where(F.col("path").rlike(r"(^|/)package\.json$") & name.isNotNull()).select(name.alias("name"), F.regexp_replace("path", r"/?package\.json$", "").alias("dir"))
+    """name and dir of the packages of a repository. manifests(path, text): its package.json files and pnpm-workspace.yaml.
+
+    Packages are the folders that the root's patterns take and no pattern with ! excepts, with a named package.json of
+    their own; the root isn't one, nor is anything in node_modules. Only the two files of the root reach the driver.
+    """
+    root = {r.path: r.text for r in manifests.where(F.col("path").isin("package.json", "pnpm-workspace.yaml")).select("path", "text").collect()}
+    taken, excepted = workspace_patterns(root.get("package.json"), root.get("pnpm-workspace.yaml"))
+    matches = lambda globs: F.lit(False) if not globs else F.col("dir").rlike("^(?s:" + "|".join(map(to_regex, globs)) + ")$")
+    own = manifests.where(F.endswith("path", F.lit("/package.json"))).select(F.get_json_object("text", "$.name").alias("name"), F.regexp_replace("path", "/package\\.json$", "").alias("dir"))
+    return own.where(~F.array_contains(F.split("dir", "/"), "node_modules") & matches(taken) & ~matches(excepted) & (F.coalesce("name", F.lit("")) != ""))

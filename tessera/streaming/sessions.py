@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "session_id string, event string, source string, fingerprint string, level string, seq long"
+#: One row a finding; the rows of one event share event_id, an event without findings has one row without a fingerprint.
+EVENT = "session_id string, event string, event_id string, source string, fingerprint string, level string, seq long"
 
 
 def introduced(snapshot: DataFrame, current: DataFrame, session: str, fingerprint: str, order: list[str]) -> DataFrame:
@@ -32,36 +33,58 @@ def parse_events(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataF
     return parsed.where(fine).select("e.*"), parsed.where(~F.coalesce(fine, F.lit(False))).select(value)
 
 
+def session_checks(events: DataFrame) -> DataFrame:
+    """session_id, event_id, fingerprint, seq, action: what each check of a session finds beyond the session's snapshot, in batch.
+
+    The snapshot that a check counts against is that of the last start before it which took one: the session's first, or
+    one whose source is startup. Its errors allow as many of a fingerprint in every check anew; warnings are never allowed.
+    """
+    ids = events.groupBy("session_id", "event", "event_id").agg(F.min("seq").alias("at"), F.max("source").alias("source"))
+    w = W.partitionBy("session_id").orderBy("at")
+    starts = ids.where("event = 'start'").withColumn("n", F.row_number().over(w)).where("n = 1 or source = 'startup'").select("session_id", F.col("event_id").alias("snapshot"), F.col("at").alias("taken"))
+    checks = ids.where("event = 'check'").select("session_id", "event_id", "at")
+    before = checks.join(starts, "session_id", "left").where("taken is null or taken < at").groupBy("session_id", "event_id").agg(F.max_by("snapshot", "taken").alias("snapshot"))
+    allowed = events.where("event = 'start' and level = 'error' and fingerprint is not null").groupBy("session_id", F.col("event_id").alias("snapshot"), "fingerprint").agg(F.count("*").alias("k"))
+    found = events.where("event = 'check' and fingerprint is not null").withColumn("nth", F.row_number().over(W.partitionBy("session_id", "event_id", "fingerprint", "level").orderBy("seq")))
+    judged = found.join(before, ["session_id", "event_id"], "left").join(allowed, ["session_id", "snapshot", "fingerprint"], "left")
+    error = F.col("level") == "error"
+    beyond = judged.where(~error | (F.col("nth") > F.coalesce("k", F.lit(0))))
+    return beyond.select("session_id", "event_id", "fingerprint", "seq", F.when(error, "block").otherwise("context").alias("action"))
+
+
 def session_stream(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
-    """session_id, fingerprint, seq and action (block for errors, context for warnings) of what sessions introduce, as a stream.
+    """session_id, event_id, fingerprint, seq and action (block for errors, context for warnings) of what sessions introduce, as a stream; see session_checks.
 
-    A start event's findings make the snapshot: it is taken when there is none yet, or when its source is startup. Later
-    check events with a fingerprint beyond the snapshot's count come out; only errors use up the allowance. State is a
-    count for each fingerprint of a session and ends after the timeout.
+    The first start of a session and every later startup replace the snapshot, with or without findings. Each check event
+    counts against the whole snapshot anew. State is a count for each fingerprint of a session and what the running check
+    has used of it; it ends after the timeout.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        names, counts, taken = state.get if state.exists else ([], [], False)
-        allow = dict(zip(names, counts, strict=True))
-        out = []
+        names, counts, start, check, used_names, used_counts = state.get if state.exists else ([], [], None, None, [], [])
+        allow, used, out = dict(zip(names, counts, strict=True)), dict(zip(used_names, used_counts, strict=True)), []
         for e in pd.concat(list(batches)).sort_values("seq").itertuples():
             if e.event == "start":
-                if e.source == "startup" and taken and e.fingerprint is None:
-                    allow = {}
-                if e.fingerprint is not None and (not taken or e.source == "startup"):
+                if start is None or (e.source == "startup" and e.event_id != start):
+                    start, allow = e.event_id, {}
+                if e.event_id == start and e.level == "error" and e.fingerprint is not None:
                     allow[e.fingerprint] = allow.get(e.fingerprint, 0) + 1
             elif e.event == "check":
-                taken = True
-                if e.level == "error" and allow.get(e.fingerprint, 0) > 0:
-                    allow[e.fingerprint] -= 1
-                elif e.fingerprint is not None:
-                    out.append((key[0], e.fingerprint, e.seq, "block" if e.level == "error" else "context"))
-        state.update((list(allow), list(allow.values()), taken))
+                if e.event_id != check:
+                    check, used = e.event_id, {}
+                if e.fingerprint is None:
+                    continue
+                if e.level == "error" and used.get(e.fingerprint, 0) < allow.get(e.fingerprint, 0):
+                    used[e.fingerprint] = used.get(e.fingerprint, 0) + 1
+                else:
+                    out.append((key[0], e.event_id, e.fingerprint, e.seq, "block" if e.level == "error" else "context"))
+        state.update((list(allow), list(allow.values()), start, check, list(used), list(used.values())))
         state.setTimeoutDuration(pd.Timedelta(timeout).value // 1_000_000)
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "fingerprint", "seq", "action"])
+            yield pd.DataFrame(out, columns=["session_id", "event_id", "fingerprint", "seq", "action"])
 
-    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, fingerprint string, seq long, action string", "names array<string>, counts array<long>, taken boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = "names array<string>, counts array<long>, start string, check string, used array<string>, used_counts array<long>"
+    return events.groupBy("session_id").applyInPandasWithState(step, "session_id string, event_id string, fingerprint string, seq long, action string", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -215,22 +215,27 @@ def test_decisions(spark):
     assert set(by) == {"0002", "0003"} and by["0002"].status == "superseded" and by["0002"].superseded_by == "0004" and by["0002"].governs == ["domain", "app"] and by["0002"].weakens == ["rule-a", "rule-b"] and by["0002"].checks == ["no-cycles"] and by["0002"].body == "Body"
     assert by["0003"].title == "Plain" and by["0003"].status == "accepted"
     d = spark.createDataFrame([("0001", "accepted", ["gone"], ["no-rule"]), ("0002", "superseded", ["app"], []), ("0003", "accepted", ["app", "gone"], ["r"])], "id string, status string, governs array<string>, checks array<string>")
-    assert [r.id for r in search.stale_governs(d, spark.createDataFrame([("app",)], "component string")).collect()] == ["0001"]
+    d2 = d.union(spark.createDataFrame([("0004", "accepted", ["*", "src/domain/**", "src/none/**", "src/app"], []), ("0005", "proposed", ["gone"], ["lost"]), ("0006", "rejected", [], ["lost"])], d.schema))
+    paths = spark.createDataFrame([("src/domain/a.ts",), ("src/app/b.ts",)], "path string")
+    assert {tuple(r) for r in search.stale_governs(d2, spark.createDataFrame([("app",)], "component string"), paths).collect()} == {("0001", "gone"), ("0003", "gone"), ("0004", "src/none/**")}
     r = spark.createDataFrame([("r", ["0002", "ADR 1"])], "rule string, because array<string>")
     assert [(x.rule, x.decision) for x in search.retired_citations(r, d).collect()] == [("r", "0002")]
-    assert [x.id for x in search.unchecked_assumptions(d, r).collect()] == ["0001"]
+    assert {x.id for x in search.unchecked_assumptions(d2, r).collect()} == {"0001", "0005"}
 
 
 def test_extract_and_resolve(spark):
     texts = [
         ("src/app/a.ts", "import x from '../lib/b.js';\nimport type { T } from './t';\n// import no from 'no';\nimport 'side';\n/* import q from 'q'; */ export * from \"../lib\";\nconst y = require('node:fs');\nawait import('@acme/util/deep');\nimport { a,\n  b as c } from '@/lib/b';\nimport z from './missing';"),
-        ("src/lib/b.ts", "export const b = 1;"), ("src/lib/index.ts", "export function f(a: A): B {\n}\nexport default class K extends L {}\nexport { x as y, z } from './b';"), ("src/app/t.ts", "export type T = 1"), ("packages/util/src/deep.ts", "export {}"), ("packages/util/package.json", '{"name": "@acme/util"}'),
+        ("src/lib/b.ts", "export const b = 1;"), ("src/lib/index.ts", "export function f(a: A): B {\n}\nexport default class K extends L {}\nexport { x as y, z } from './b';"), ("src/app/t.ts", "export type T = 1"), ("packages/util/src/deep.ts", "export {}"), ("packages/util/package.json", '{"name": "@acme/util"}'), ("package.json", '{"name": "root", "workspaces": {"packages": ["./packages/*/", "!packages/old"]}}'), ("packages/old/package.json", '{"name": "old"}'), ("packages/util/node_modules/x/package.json", '{"name": "x"}'), ("tools/package.json", '{"name": "tools"}'), ("packages/noname/package.json", "{}"),
         ("py/shop/order.py", "from __future__ import annotations\nimport os, shop.db\nfrom . import money\nfrom typing import TYPE_CHECKING\nif TYPE_CHECKING:\n    from .infra import db\nimport importlib\nimportlib.import_module('shop.lost')\nimport numpy.linalg"), ("py/shop/__init__.py", ""), ("py/shop/db.py", ""), ("py/shop/money.py", ""), ("py/shop/infra/__init__.py", ""), ("py/bad.py", "def ("),
     ]
     f = spark.createDataFrame(texts, "path string, text string")
     imports = extract.script_imports(f.where("path like '%.ts'"))
     assert {(r.specifier, r.kind, r.line) for r in imports.where("path = 'src/app/a.ts'").collect()} == {("../lib/b.js", "static", 1), ("./t", "type", 2), ("side", "side-effect", 4), ("../lib", "reexport", 5), ("node:fs", "require", 6), ("@acme/util/deep", "dynamic", 7), ("@/lib/b", "static", 8), ("./missing", "static", 10)}
     spaces = files.workspaces(f)
+    assert [tuple(r) for r in spaces.collect()] == [("@acme/util", "packages/util")]
+    assert files.workspace_patterns('{"workspaces": ["a/*"]}', "packages:\n  - 'b/**'\n  # c\n  - \"!b/x\"\n  - d/\nother:\n  - e\n") == (["a/*", "b/**", "d"], ["b/x"])
+    assert files.workspace_patterns("not json", "packages: [a, 'b/*']") == (["a", "b/*"], [])
     got = {r.specifier: (r.to_, r.workspace, r.package, r.builtin, r.unresolved) for r in resolve.resolve_scripts(imports, f, spaces, [("@/", "src/")]).where("from_ = 'src/app/a.ts'").collect()}
     assert got == {"../lib/b.js": ("src/lib/b.ts", None, None, None, False), "./t": ("src/app/t.ts", None, None, None, False), "side": (None, None, "side", False, False), "../lib": ("src/lib/index.ts", None, None, None, False), "node:fs": (None, None, "node:fs", True, False), "@acme/util/deep": ("packages/util/src/deep.ts", "@acme/util", None, None, False), "@/lib/b": ("src/lib/b.ts", None, None, None, False), "./missing": (None, None, None, None, True)}
     ex = {(r.name, r.target, r.original) for r in extract.script_exports(f.where("path = 'src/lib/index.ts'")).collect()}
@@ -280,7 +285,17 @@ def test_report(spark):
     assert [json.loads(r.value)["fingerprint"] for r in report.json_lines(f).collect()] == ["y", "z", "x"]
     assert "a \\| &lt;b> |" in report.markdown(f) and report.markdown(f, 1).endswith("2 more.")
     run = json.loads(report.sarif(f))["runs"][0]
-    assert [r["level"] for r in run["results"]] == ["error", "warning"] and run["results"][0]["partialFingerprints"] == {"tessera/v1": "y:0"}
+    assert [r["level"] for r in run["results"]] == ["error", "warning"] and run["results"][0]["partialFingerprints"] == {"tessera/v1": "y"}
+
+
+def test_sarif_weakenings(spark):
+    f = spark.createDataFrame([("r", "k", "error", "m", "a", "b", "f.ts", 1, "x", "waived", False, "0003"), ("q", "k", "info", "n", "a", "b", None, None, "y", "new", False, None)], "rule string, kind string, level string, message string, from_ string, to_ string, file string, line int, fingerprint string, status string, heuristic boolean, approved_by string")
+    w = spark.createDataFrame([("r", "baseline-grown", "one", None), ("r", "baseline-grown", "two", None), ("q", "rule-removed", "gone", None), ("s", "rule-removed", "gone", "0001")], "rule string, type string, message string, approved_by string")
+    run = json.loads(report.sarif(f, w))["runs"][0]
+    by = [(x["ruleId"], x["level"], x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], "suppressions" in x) for x in run["results"]]
+    assert by == [("r", "note", "f.ts", True), ("q", "note", "contract.yaml", False)] + [("unapproved-weakening", "error", u, False) for u in ("contract.yaml", "baseline.json", "baseline.json")]
+    assert len({x["partialFingerprints"]["tessera/v1"] for x in run["results"]}) == 5
+    assert run["results"][0]["locations"][0]["physicalLocation"]["region"] == {"startLine": 1} and run["results"][0]["message"]["text"] == "m Approved by decision 0003."
 
 
 def test_brief(spark):
@@ -296,17 +311,44 @@ def test_built_in(spark):
 
 
 def test_sessions(spark, tmp_path):
-    lines = [json.dumps(x) for x in (
-        {"session_id": "s", "event": "start", "source": "startup", "fingerprint": "x", "level": "error", "seq": 1}, {"session_id": "s", "event": "check", "fingerprint": "x", "level": "error", "seq": 2}, {"session_id": "s", "event": "check", "fingerprint": "x", "level": "error", "seq": 3},
-        {"session_id": "s", "event": "check", "fingerprint": "w", "level": "warn", "seq": 4}, {"session_id": "t", "event": "check", "fingerprint": "x", "level": "error", "seq": 5},
-    )]
+    """s: the old error x stays allowed at each check, a resume changes nothing, a startup without findings takes its place. t never started."""
+    ev = lambda session, event, id_, seq, fp=None, level=None, source=None: {"session_id": session, "event": event, "event_id": id_, "source": source, "fingerprint": fp, "level": level, "seq": seq}
+    rows = [
+        ev("s", "start", "1", 1, "x", "error", "startup"), ev("s", "start", "1", 2, "x", "error", "startup"), ev("s", "start", "1", 3, "w", "warn", "startup"), ev("s", "check", "2", 4, "x", "error"), ev("s", "check", "2", 5, "x", "error"), ev("s", "start", "3", 6, "y", "error", "resume"),
+        ev("s", "check", "4", 7, "x", "error"), ev("s", "check", "4", 8, "x", "error"), ev("s", "check", "4", 9, "x", "error"), ev("s", "check", "4", 10, "w", "warn"), ev("s", "check", "4", 11, "y", "error"), ev("s", "start", "5", 12, None, None, "startup"), ev("s", "check", "6", 13, "x", "error"),
+        ev("t", "check", "7", 14, "x", "error"), ev("u", "start", "8", 15, None, None, "resume"), ev("u", "start", "9", 16, "x", "error", "resume"), ev("u", "check", "10", 17, "x", "error"),
+    ]
+    want = {("s", "4", "x", 9, "block"), ("s", "4", "w", 10, "context"), ("s", "4", "y", 11, "block"), ("s", "6", "x", 13, "block"), ("t", "7", "x", 14, "block"), ("u", "10", "x", 17, "block")}
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text("\n".join([*lines, "not json", '{"event": "check"}']))
+    (tmp_path / "in/a.json").write_text("\n".join([*map(json.dumps, rows), "not json", '{"event": "check"}']))
     good, bad = sessions.parse_events(spark.readStream.text(str(tmp_path / "in")))
     q = sessions.session_stream(good).writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("sessions").collect()} == {("s", "x", 3, "block"), ("s", "w", 4, "context"), ("t", "x", 5, "block")}
-    assert sessions.parse_events(spark.read.text(str(tmp_path / "in")))[1].count() == 2
+    assert {tuple(r) for r in spark.table("sessions").collect()} == want
+    batch, bad = sessions.parse_events(spark.read.text(str(tmp_path / "in")))
+    assert bad.count() == 2 and {tuple(r) for r in sessions.session_checks(batch).collect()} == want
+
+
+def test_cycles_waived(spark):
+    e = edges(spark, [("src/app/a.ts", "src/domain/b.ts", "static", 1), ("src/domain/b.ts", "src/app/a.ts", "static", 2), ("src/infra/c.ts", "src/infra/d.ts", "static", 1), ("src/infra/d.ts", "src/infra/c.ts", "type", 1)])
+    status = lambda rule, *w: {r.from_: r.status for r in rules.acyclic_findings(e, rule, SHOP, w, TODAY).collect()}
+    held = lambda a, b, expires=TODAY: Waiver("c", a, b, expires)
+    assert status(Rule("c", "acyclic")) == {"app": "new"} and status(Rule("c", "acyclic"), held("domain", "app")) == {"app": "waived"}
+    assert status(Rule("c", "acyclic"), held("domain", "infra")) == {"app": "new"} and status(Rule("c", "acyclic"), held("domain", None)) == {"app": "waived"}
+    assert status(Rule("c", "acyclic"), held("domain", None, dt.date(2020, 1, 1))) == {"app": "new"} and status(Rule("c", "acyclic"), held("path:src/app/**", None)) == {"app": "new"}
+    assert status(Rule("c", "acyclic", scope="files"), held("path:src/app/**", "domain")) == {"src/app/a.ts": "waived", "src/infra/c.ts": "new"}
+    assert status(Rule("c", "acyclic", within=("path:src/app/**", "domain"))) == {}
+
+
+def test_inert(spark):
+    e = edges(spark, [("src/app/a.ts", "src/domain/b.ts", "static", 1), ("src/app/a.ts", "src/domain/b.ts", "type", 2)])
+    f = spark.createDataFrame([("src/app/a.ts", "app"), ("src/domain/b.ts", "domain")], "path string, component string")
+    given = [
+        Rule("works", "forbid", from_=("app",), to_=("domain",)), Rule("idle", "forbid", from_=("domain",), to_=("app",)), Rule("lost", "layers", layers=(("app",), ("gone", "path:x/**"), ("domain",))), Rule("off", "forbid", "off", from_=("gone",)),
+        Rule("loops", "acyclic"), Rule("within", "acyclic", within=("app",)), Rule("doors", "entrypoints", targets=("domain",)), Rule("shut", "entrypoints", targets=("app",)), Rule("types", "independent", members=("domain", "infra"), include_type_imports=False), Rule("pkgs", "external-imports", packages=("x",)),
+    ]
+    got = {(r.rule, r.in_scope, tuple(r.empty)) for r in rules.inert_rules(e, f, given).collect()}
+    assert got == {("idle", 0, ()), ("lost", 2, ("gone", "path:x/**")), ("within", 0, ()), ("shut", 0, ()), ("types", 0, ("infra",))}
 
 
 def test_weakenings(spark):
