@@ -267,6 +267,32 @@ def test_sharding(docs, odd, none):
     assert sharding.longest_first([(0, 5), (1, 9), (2, 5), (3, 1)], 2) == [(1, 0), (0, 1), (2, 1), (3, 0)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sharding_is_longest_first(docs, seed):
+    """Classes of equal jobs give the loads of the heap over all jobs, and the operator's shards have them."""
+    r = random.Random(seed)
+    sizes = [r.choice((1, 2, 3, 50, r.randrange(1, 2000))) for _ in range(r.randrange(1, 900))] + [5000] * r.randrange(3)
+    n = r.choice((1, 2, 5, 8))
+    by = Counter()
+    for job, s in sharding.longest_first(list(enumerate(sizes)), n):
+        by[sizes[job], s] += 1
+    classes = list(Counter(sizes).items())
+    r.shuffle(classes)
+    got = sharding.classes_first(classes, n)
+    assert all(got[k][s] == by[size, s] for k, (size, _) in enumerate(classes) for s in range(n))
+    if seed == 0:
+        groups = Counter()
+        for x in docs.collect():
+            groups[x.text or ""] += len((x.text or "").encode()) + 1
+        loads = [0] * 4
+        for job, s in sharding.longest_first(list(enumerate(groups.values())), 4):
+            loads[s] += list(groups.values())[job]
+        placed = Counter()
+        for x in sharding.shard(docs, 4).collect():
+            placed[x.shard] += x.size
+        assert [placed[s] for s in range(4)] == loads
+
+
 def test_packing(docs, odd, none):
     for d in (docs, odd):
         got = packing.pack_documents(d, (16, 64, 256), 4).collect()
@@ -290,6 +316,38 @@ def test_packing(docs, odd, none):
     assert sum(sizes) <= final.sum() <= 1.1 * sum(sizes)
 
 
+def least_cost(sizes, lengths, overhead):
+    """The least cost of any packing, by trying all partitions."""
+
+    def rest(k, bins):
+        if k == len(sizes):
+            return sum(min(x for x in lengths if x >= b) + overhead for b in bins)
+        best = rest(k + 1, [*bins, sizes[k]])
+        for j in range(len(bins)):
+            if bins[j] + sizes[k] <= lengths[-1]:
+                best = min(best, rest(k + 1, [*bins[:j], bins[j] + sizes[k], *bins[j + 1 :]]))
+        return best
+
+    return rest(0, [])
+
+
+def test_packing_against_optimum():
+    r, lengths, exact, costs = random.Random(3), (16, 40, 64), 0, [0, 0, 0]
+    for _ in range(60):
+        sizes = [r.randrange(1, 65) for _ in range(r.randrange(1, 8))]
+        best = least_cost(sizes, lengths, 4)
+        at, final = packing.pack(sizes, lengths, 4)
+        cost = int(final.sum()) + 4 * len(final)
+        assert all(sum(s for s, b in zip(sizes, at, strict=True) if b == k) <= n for k, n in enumerate(final))
+        assert best <= cost <= 1.4 * best
+        exact += cost == best
+        costs = [costs[0] + best, costs[1] + cost, costs[2] + 1]
+    assert exact >= 40 and costs[1] <= 1.05 * costs[0]
+    # lengths mix: 40 for the middle pieces, 64 for the large ones, and the joint packing alone finds it
+    at, used = packing.best_fit([64, 64, 20, 20, 20, 20], (40, 64), None, 4)
+    assert sorted(used) == [40, 40, 64, 64]
+
+
 def vectors(spark, n=300, seed=2):
     r = np.random.default_rng(seed)
     x = r.standard_normal((n, 12))
