@@ -1,15 +1,17 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Pieces of documents go, the largest first, into the open bin with the least room that still takes them; where none does,
-a bin opens. Which permitted length a bin should open with is decided by trial: every length is tried as the usual one,
-and the packing of least cost is kept. At the end each bin shrinks to the least permitted length that holds its contents.
+a bin opens. Its length is chosen among all permitted ones by what is left to pack: for each length, the bin is filled on
+trial with the largest pieces still to come that fit, from one histogram of sizes, and the length opens whose bin, shrunk to
+that filling, costs least a token. So lengths mix within a packing. The packings with one usual length each are a bound:
+where one of them costs less, it is taken. At the end each bin shrinks to the least permitted length that holds its contents.
 Documents are packed in parcels of bounded size, dealt by hash, so that the work spreads over the cluster; a parcel loses
 less than its last few bins.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,32 +27,59 @@ LENGTHS, OVERHEAD = (512, 1024, 2048, 4096), 16
 PARCEL = 20_000
 
 
-def best_fit(sizes: Sequence[int], lengths: Sequence[int], usual: int) -> tuple[np.ndarray, list[int]]:
-    """The bin of each piece and each bin's used tokens. Bins open with the length usual, larger ones only for pieces that need them."""
+class _Left:
+    """How many pieces of each size are still to come."""
+
+    def __init__(self, sizes: Sequence[int]):
+        values, counts = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+        self.values, self.counts = values.tolist(), dict(zip(values.tolist(), counts.tolist(), strict=True))
+
+    def filling(self, size: int, length: int) -> int:
+        """Tokens in a bin of the length that opens with a piece of the size (already taken out) and takes the largest pieces that fit, again and again. All larger pieces are placed."""
+        room, k = length - size, bisect_right(self.values, size)
+        while room and (k := bisect_right(self.values, room, 0, k)):
+            v = self.values[k - 1]
+            room -= v * min(self.counts[v], room // v)
+            k -= 1
+        return length - room
+
+
+def best_fit(sizes: Sequence[int], lengths: Sequence[int], usual: int | None = None, overhead: int = OVERHEAD) -> tuple[np.ndarray, list[int]]:
+    """The bin of each piece and each bin's used tokens. Bins open with the length usual, larger ones only for pieces that need them; without one, with the length of least cost (ties: the smaller length)."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    left = _Left(sizes)
     room: list[tuple[int, int]] = []  # of the open bins, ascending
     used: list[int] = []
     at = np.zeros(len(sizes), np.int64)
+
+    def opened(size: int) -> int:
+        fits = lengths[bisect_left(lengths, size) :]
+        if usual is not None:
+            return max(usual, fits[0])
+        filled = [left.filling(size, n) for n in fits]
+        return min(zip(fits, filled, strict=True), key=lambda x: ((lengths[bisect_left(lengths, x[1])] + overhead) / x[1], x[0]))[0]
+
     for i in order:
         size = sizes[i]
+        left.counts[size] -= 1
         k = bisect_left(room, (size, -1))
         if k < len(room):
-            left, b = room.pop(k)
+            free, b = room.pop(k)
         else:
-            b, left = len(used), usual if size <= usual else lengths[bisect_left(lengths, size)]
+            b, free = len(used), opened(size)
             used.append(0)
         at[i] = b
         used[b] += size
-        if left > size:
-            insort(room, (left - size, b))
+        if free > size:
+            insort(room, (free - size, b))
     return at, used
 
 
 def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each piece and each bin's length, by the usual length whose packing costs least after shrinking (ties: the smaller)."""
+    """The bin of each piece and each bin's length: of the joint packing, or of that with one usual length if it costs less after shrinking (ties: the joint one, then the smaller length)."""
     best = None
-    for usual in lengths:
-        at, used = best_fit(sizes, lengths, usual)
+    for usual in (None, *lengths):
+        at, used = best_fit(sizes, lengths, usual, overhead)
         final = np.array(lengths, np.int64)[np.searchsorted(lengths, used)] if used else np.zeros(0, np.int64)
         cost = int(final.sum()) + overhead * len(final)
         if best is None or cost < best[0]:
@@ -64,7 +93,8 @@ def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, overhead:
     tokens: a column of token counts; without one, words at white space are counted. A row longer than the largest length
     is cut into pieces of that length and a rest; rows without tokens (null texts, empty ones, counts of null or 0) need
     no place and are left out. Null ids and repeated rows are packed like others; other columns are ignored; an empty
-    table gives none. Pieces in a bin follow each other from offset 0 without gaps.
+    table gives none. Pieces in a bin follow each other from offset 0 without gaps. Pieces of equal size go in the order of
+    their rows' hashes, ids and counts.
     """
     lengths = sorted(lengths)
     count = F.size(F.filter(F.split(text_or_empty(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).cast("long") if tokens is None else F.coalesce(F.col(tokens).cast("long"), F.lit(0))
