@@ -3,7 +3,8 @@
 A vector x gets one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, and a query q a zero: then
 |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the largest inner products are the nearest neighbours of a metric space. Candidates
 are dealt to the nearest of some routing vectors, and each shard's pages are an M-tree: nodes with a pivot, a covering
-radius and the distance to the parent's pivot. A search opens the page with the best bound first and leaves out distances
+radius and the distance to the parent's pivot. A query visits the shards whose routing vector and covering radius allow a
+result, and a tree is sent where a query visits it, nowhere else. A search opens the page with the best bound first and leaves out distances
 that the stored ones bound by the triangle inequality. Scores themselves are integers.
 """
 
@@ -22,11 +23,11 @@ from .common import drop_stash, stash
 
 #: Entries of a leaf page; children of an inner page; candidates of one tree and queries searched together, about.
 PAGE, FAN, TREE, TOGETHER = 256, 16, 16384, 4096
-#: Vectors, at most, that routing vectors are drawn from, and routing vectors.
-ROUTE_SAMPLE, MOST_ROUTES = 4096, 512
+#: Vectors, at most, that routing vectors are drawn from, routing vectors of one vector length, and lengths, the most frequent ones, that have any; vectors of another length are one shard.
+ROUTE_SAMPLE, MOST_ROUTES, MOST_WIDTHS = 4096, 512, 32
 _EXACT = 2.0**52
 
-_PAGES = "shard int, block int, page int, parent int, leaf boolean, pivot array<long>, radius double, to_parent double, ids array<long>, dists array<double>, vectors array<long>"
+_PAGES = "width int, shard int, block int, page int, parent int, leaf boolean, pivot array<long>, radius double, to_parent double, ids array<long>, dists array<double>, vectors array<long>"
 
 
 def _lifted(v: np.ndarray, m2: float) -> np.ndarray:
@@ -123,15 +124,47 @@ class Tree:
         return sorted(best, reverse=True)
 
 
-def _route(routes: dict[int, tuple[int, np.ndarray]], m2: float):
+def _route(routes: dict[int, np.ndarray], m2: float):
+    """Adds each row's shard and its distance from the shard's routing vector."""
+
     def run(batches):
         for t in batches:
-            shard = np.zeros(len(t), np.int32)
+            shard, dist = np.zeros(len(t), np.int32), np.zeros(len(t))
             for w, rows in t.groupby("width").indices.items():
-                first, pivots = routes[w]
-                x = _lifted(np.stack(t["v"].iloc[rows].tolist()).reshape(len(rows), w), m2)
-                shard[rows] = first + (x * x).sum(axis=1)[:, None].__add__((pivots * pivots).sum(axis=1)).__sub__(2 * x @ pivots.T).argmin(axis=1)
-            yield t.assign(shard=shard)
+                if w in routes:
+                    pivots = routes[w]
+                    x = _lifted(np.stack(t["v"].iloc[rows].tolist()).reshape(len(rows), w), m2)
+                    shard[rows] = ((pivots * pivots).sum(axis=1) - 2 * x @ pivots.T).argmin(axis=1)
+                    dist[rows] = _dist(x, pivots[shard[rows]])
+            yield t.assign(shard=shard, dist=dist)
+
+    return run
+
+
+def _visits(shards: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], m2: float, nearest: bool):
+    """The shard whose bound is best for a query (first), or all that can better the floor, that one among them. Lengths without routing vectors have one shard."""
+
+    def run(batches):
+        for t in batches:
+            out = []
+            for w, at in t.groupby("width").indices.items():
+                if w not in shards:
+                    out.append(t.iloc[at].assign(shard=0, first=True))
+                    continue
+                where, pivots, radius = shards[w]
+                x = np.stack(t["v"].iloc[at].tolist()).astype(np.float64).reshape(len(at), w)
+                q2 = (x * x).sum(axis=1)
+                d = np.sqrt(np.maximum(0, q2[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots[:, :-1].T))
+                bound = np.maximum(0, d - radius - 1e-6 * (1 + d))
+                pick = np.lexsort((d.T, bound.T), axis=0)[0] if len(where) > 1 else np.zeros(len(at), int)
+                if nearest:
+                    row, col = np.arange(len(at)), pick
+                else:
+                    floor = t["floor"].iloc[at].to_numpy(np.float64)
+                    far = np.where(np.isnan(floor), np.inf, np.sqrt(np.maximum(0, q2 + m2 - 2 * np.nan_to_num(floor))) + 1e-6 * (1 + np.sqrt(q2 + m2)))
+                    row, col = np.nonzero((bound <= far[:, None]) | (np.arange(len(where)) == pick[:, None]))
+                out.append(t.iloc[at[row]].assign(shard=where[col], first=col == pick[row]))
+            yield pd.concat(out) if out else t.assign(shard=0, first=True).iloc[:0]
 
     return run
 
@@ -155,81 +188,64 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     rows = stash(ranked, "topk-rows")
     m2 = rows.agg(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + cast(x as double) * x)"))).first()[0] or 0.0
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(ROUTE_SAMPLE).select("width", "v").collect()
-    n, widths = rows.count(), {r.width for r in rows.select("width").distinct().limit(10_000).collect()}
-    routes, first = {}, 0
-    for w in sorted(widths):
-        own = [r.v for r in sample if r.width == w]
-        pivots = _lifted(np.array(own[: max(1, min(MOST_ROUTES, n // TREE))], np.int64).reshape(-1, w) if own else np.zeros((1, w), np.int64), m2)
-        routes[w] = (first, pivots)
-        first += len(pivots)
-
-    routed = stash(rows.mapInPandas(_route(routes, m2), "vec_id long, width int, v array<long>, shard int"), "topk-routed")
+    widths = rows.groupBy("width").count().orderBy(F.desc("count"), "width").limit(MOST_WIDTHS).collect()
+    routes = {}
+    for w, n in widths:
+        if own := [r.v for r in sample if r.width == w][: max(1, min(MOST_ROUTES, n // TREE))]:
+            routes[w] = _lifted(np.array(own, np.int64).reshape(-1, w), m2)
+
+    routed = stash(rows.mapInPandas(_route(routes, m2), "vec_id long, width int, v array<long>, shard int, dist double"), "topk-routed")
     drop_stash(rows)
-    sizes = routed.groupBy("shard").count().select("shard", F.ceil(F.col("count") / TREE).cast("int").alias("blocks"))
+    shard = ["width", "shard"]
+    sizes = stash(routed.groupBy(*shard).agg(F.ceil(F.count("*") / TREE).cast("int").alias("blocks"), F.max("dist").alias("radius")), "topk-shards")
+    known = sizes.where(F.col("width").isin(*routes)).collect()  # MOST_WIDTHS * MOST_ROUTES at most
+    shards = {}
+    for w, pivots in routes.items():
+        own = sorted((r.shard, r.radius) for r in known if r.width == w)
+        at = np.array([x for x, _ in own], np.int32)
+        shards[w] = (at, pivots[at], np.array([x for _, x in own]))
 
     def build(t: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(t["v"].tolist()).astype(np.int64)
         order = np.argsort(t["vec_id"].to_numpy(), kind="stable")
         pages = pd.DataFrame(build_pages(t["vec_id"].to_numpy()[order], v[order], m2))
         pages["vectors"] = [x.reshape(-1) for x in pages["vectors"]]
-        return pages.assign(shard=t["shard"].iloc[0], block=t["block"].iloc[0])[[c.split()[0] for c in _PAGES.split(", ")]]
+        return pages.assign(**{c: t[c].iloc[0] for c in tree})[[c.split()[0] for c in _PAGES.split(", ")]]
 
-    placed = routed.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    pages = stash(placed.select("shard", "block", "vec_id", "v").groupBy("shard", "block").applyInPandas(build, _PAGES), "topk-pages")
+    tree = [*shard, "block"]
+    placed = routed.join(sizes.select(*shard, "blocks"), shard).withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+    pages = stash(placed.select(*tree, "vec_id", "v").groupBy(*tree).applyInPandas(build, _PAGES), "topk-pages")
     drop_stash(routed)
 
-    asked = stash(cleaned(queries).withColumnRenamed("vec_id", "query_id").withColumn("qid", F.monotonically_increasing_id()), "topk-queries")
-    chunks = max(1, -(-asked.count() // TOGETHER))
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
-    trees = pages.where("parent < 0").select("shard", "block", F.size("pivot").alias("width"), "pivot", "radius").collect()  # n / TREE + MOST_ROUTES * widths roots
-    roots = {}
-    for w in {t.width for t in trees}:
-        own = sorted((t for t in trees if t.width == w), key=lambda t: (t.shard, t.block))
-        roots[w] = (np.array([(t.shard, t.block) for t in own], np.int32), _lifted(np.array([t.pivot for t in own], np.int64), m2), np.array([t.radius for t in own]))
-
-    def visits(nearest: bool):
-        """The tree whose bound is best for a query, or those others that can better what it found there."""
-
-        def run(batches):
-            for t in batches:
-                out = []
-                for w, at in t.groupby("width").indices.items():
-                    if w not in roots:
-                        continue
-                    where, pivots, radius = roots[w]
-                    x = np.stack(t["v"].iloc[at].tolist()).astype(np.float64).reshape(len(at), w)
-                    q2 = (x * x).sum(axis=1)
-                    d = np.sqrt(np.maximum(0, q2[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots[:, :-1].T))
-                    bound = np.maximum(0, d - radius - 1e-6 * (1 + d))
-                    pick = np.lexsort((d.T, bound.T), axis=0)[0] if len(where) > 1 else np.zeros(len(at), int)
-                    if nearest:
-                        row, tree = np.arange(len(at)), pick
-                    else:
-                        floor = t["floor"].iloc[at].to_numpy(np.float64)
-                        far = np.where(np.isnan(floor), np.inf, np.sqrt(np.maximum(0, q2 + m2 - 2 * np.nan_to_num(floor))) + 1e-6 * (1 + np.sqrt(q2 + m2)))
-                        row, tree = np.nonzero((bound <= far[:, None]) & (np.arange(len(where)) != pick[:, None]))
-                    out.append(t.iloc[at[row]].assign(shard=where[tree, 0], block=where[tree, 1]))
-                yield pd.concat(out) if out else t.assign(shard=0, block=0).iloc[:0]
-
-        return run
+    held = stash(cleaned(queries).withColumnRenamed("vec_id", "query_id").withColumn("qid", F.monotonically_increasing_id()), "topk-queries")
+    chunks = max(1, -(-held.count() // TOGETHER))
+    asked = held.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int"))
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame({"qid": [], "query_id": [], "vec_id": [], "score": []})
-        tree, out = Tree(p, m2), []
+        pages, out = Tree(p, m2), []
         for qid, query, v, floor in zip(q["qid"], q["query_id"], q["v"], q["floor"], strict=True):
-            out += [(qid, query, -i, s) for s, i in tree.search(np.asarray(v, np.int64), query, k, None if pd.isna(floor) else int(floor))]
+            out += [(qid, query, -i, s) for s, i in pages.search(np.asarray(v, np.int64), query, k, None if pd.isna(floor) else int(floor))]
         return pd.DataFrame(out, columns=["qid", "query_id", "vec_id", "score"])
 
-    asks = "qid long, query_id long, width int, v array<long>, chunk int, floor decimal(20,0), shard int, block int"
-    spread = pages.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).groupBy("shard", "block", "chunk")
+    asks = "qid long, query_id long, width int, v array<long>, chunk int, floor decimal(20,0), shard int, first boolean"
 
     def look(asked: DataFrame, nearest: bool) -> DataFrame:
-        sent = asked.select("qid", "query_id", "width", "v", "chunk", "floor").mapInPandas(visits(nearest), asks)
-        return sent.groupBy("shard", "block", "chunk").cogroup(spread).applyInPandas(search, "qid long, query_id long, vec_id long, score long")
-
-    near = stash(look(asked.withColumn("floor", F.lit(None).cast("decimal(20,0)")), True), "topk-near")
+        visits = asked.select("qid", "query_id", "width", "v", "chunk", "floor").mapInPandas(_visits(shards, m2, nearest), asks).join(sizes.select(*shard, "blocks"), shard)
+        one = F.pmod(F.xxhash64("qid"), "blocks").cast("int")  # the tree of the first shard that a query visits first
+        sent = visits.withColumn("block", one) if nearest else visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(~F.col("first") | (F.col("block") != one))
+        sent = stash(sent.drop("blocks", "first"), "topk-visits")
+        wanted = sent.select(*tree, "chunk").distinct().toDF("w", "s", "b", "chunk")
+        spread = pages.join(wanted, (F.col("width") == F.col("w")) & (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select(*pages.columns, "chunk")
+        found = sent.groupBy(*tree, "chunk").cogroup(spread.groupBy(*tree, "chunk")).applyInPandas(search, "qid long, query_id long, vec_id long, score long")
+        out = stash(found, "topk-found")
+        drop_stash(sent)
+        return out
+
+    near = look(asked.withColumn("floor", F.lit(None).cast("decimal(20,0)")), True)
     floors = near.groupBy("qid").agg(F.count("*").alias("found"), F.min("score").alias("least")).where(F.col("found") >= k)
     rest = look(asked.join(floors, "qid", "left").withColumn("floor", F.col("least").cast("decimal(20,0)")), False)
+    drop_stash(held, sizes, pages)
     best = near.union(rest).distinct().withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

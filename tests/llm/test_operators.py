@@ -383,7 +383,7 @@ def test_embedding_dedup(spark, monkeypatch, block):
 
 @pytest.mark.parametrize("page, tree", [(256, 16384), (4, 40)])
 def test_topk(spark, monkeypatch, page, tree):
-    for name, v in (("PAGE", page), ("FAN", 3), ("TREE", tree), ("TOGETHER", 7)):
+    for name, v in (("PAGE", page), ("FAN", 3), ("TREE", tree), ("TOGETHER", 7), ("MOST_WIDTHS", 1)):
         monkeypatch.setattr(topk, name, v)
     given = vectors(spark).withColumns({"v": F.lit("x"), "shard": F.lit(1)})
     fit = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in given.collect() if r.vec_id is not None and r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)]
