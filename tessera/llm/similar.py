@@ -9,8 +9,8 @@ whose 64 further bits are close are candidates, and the shingles themselves deci
 By the bits' chances a pair of similarity 0.8 meets under a segment with about 0.14 and under any of them with above 0.98.
 Measured on 600 texts of one template, 248 of 249 pairs at 0.8 or more met.
 Candidates are verified in two rounds. In the first each text of a key meets one other, the
-closest leader before it, where a text within ABSORB_BITS of a leader leads no further; so a group of near copies takes pairs
-in proportion to its texts. The second takes what else the keys hold of texts that the verified links of the first have not
+closest leader before it, where a text within ABSORB_BITS of a leader leads no further, and of those that many keys name the
+FIRST ones; so a group of near copies takes pairs in proportion to its texts. The second takes what else the keys hold of texts that the verified links of the first have not
 joined, so the groups are those that all candidates give, whatever the first leaves out. There the texts of a large loose
 cluster stand in blocks of bounded size; a text asks each block that holds a candidate of it once and is compared with the
 whole block in one task, so no pairs travel. A key that many texts of a sample share is dealt in parts by hash: texts of one
@@ -24,6 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, drop_stash, slices, stash, text_or_empty
@@ -32,18 +33,20 @@ from .substring import _rolling, _WordHash
 
 #: Buckets of the shingles' sketch, segments of the fingerprint, bits of each, bits struck out of each, further bits.
 SKETCH, SEGMENTS, WIDTH, STRUCK, CHECK = 2048, 28, 20, 6, 64
-#: Differing further bits that a candidate may have (similarity 0.8: 9.7 on average, deviation 2.9), and those of a text that doesn't lead in the first round.
-LINK_BITS, ABSORB_BITS = 20, 4
+#: Differing further bits that a candidate may have (similarity 0.8: 9.7 on average, deviation 2.9), those of a text that doesn't lead in the first round, and leaders of a text that the first round looks at where the second sees the rest.
+LINK_BITS, ABSORB_BITS, FIRST = 20, 4, 8
 #: Documents whose repeats are left out together before their keys travel.
 TOGETHER = 2000
 #: Texts, about, whose keys are counted, and texts there that make a key heavy and are one part of it; so no part has many more than HEAVY / SAMPLE of all texts, and no more than SEGMENTS * STRUCK * SAMPLE / HEAVY keys are heavy.
 SAMPLE, HEAVY = 4096, 16
-#: Similarity of the links that make loose clusters, texts from which on a cluster stands in blocks, and texts, bytes of shingles and askers of a block, about.
-LOOSE, CLUSTER, BLOCK_TEXTS, BLOCK_BYTES, ASKERS = 0.5, 50, 1000, 16 << 20, 500
+#: Steps over links that the second round looks ahead, similarity of the links that make loose clusters, texts from which on a cluster stands in blocks, and texts, bytes of shingles and askers of a block, about.
+SPREAD, LOOSE, CLUSTER, BLOCK_TEXTS, BLOCK_BYTES, ASKERS = 3, 0.5, 50, 1000, 16 << 20, 500
 #: Columns of a block's texts and of those who ask it.
 ASKED = ("place", "part", "th", "root", "s")
-#: Above the bits of a key: the part of a heavy one, from 1 on.
-PART = 32
+#: Leaders of a part of a heavy key. The texts of heavy keys meet in blocks anyway, so a few suffice to tell which belong together.
+LEADERS = 8
+#: Above the bits of a key: the part of a heavy one, from 1 on. Keys with the bit CLASS list classes, negative ones a text's class.
+PART, CLASS = 32, 60
 
 
 def shingles(text: str, n: int, words_of: _WordHash) -> np.ndarray:
@@ -72,9 +75,9 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys.reshape(len(sets), SEGMENTS * STRUCK), check
 
 
-def _runs(batches, columns: tuple[str, ...], same: str):
+def runs(batches, columns: tuple[str, ...], same: str, alone: int | None = PART):
     """The runs of rows of one key, whole, as arrays, from batches in order of key; of rows of a run that agree in the column
-    `same` one stays. Runs of one row come for parts of heavy keys only."""
+    `same` one stays. Runs of one row come only where the key has bits from the place `alone` on."""
     held = [np.zeros(0, np.int64) for _ in columns]
     at = columns.index(same)
 
@@ -86,26 +89,29 @@ def _runs(batches, columns: tuple[str, ...], same: str):
         rows = [np.r_[h, x.column(c).to_numpy(zero_copy_only=False)] for h, c in zip(held, columns, strict=True)]
         cut = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
         start, end = np.r_[0, cut], np.r_[cut, len(rows[0])]
-        wanted = ((end - start) > 1) | (rows[0][start] >> PART > 0) if len(rows[0]) else np.zeros(1, bool)
+        wanted = (end - start) > 1
+        if alone is not None and len(rows[0]):
+            wanted |= rows[0][start] >> alone > 0
         for k in np.flatnonzero(wanted[:-1]).tolist():
             run = distinct([c[start[k] : end[k]] for c in rows])
-            if len(run[0]) > 1 or run[0][0] >> PART:
+            if len(run[0]) > 1 or (alone is not None and run[0][0] >> alone):
                 yield run
         held = distinct([c[start[-1] :] for c in rows])
-    if len(held[0]) > 1 or (len(held[0]) and held[0][0] >> PART):
+    if len(held[0]) > 1 or (alone is not None and len(held[0]) and held[0][0] >> alone):
         yield held
 
 
-def _nearest(ids: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """For a key's texts, each with the leader before it that is closest, and whether other pairs of the key may be candidates too."""
+def _nearest(ids: np.ndarray, check: np.ndarray, leaders: int | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """For a key's texts, each with the leader before it that is closest, and whether other pairs of the key may be candidates too. leaders: no more than so many lead."""
     best, whose, more = np.full(len(ids), LINK_BITS + 1), np.zeros(len(ids), np.int64), False
     rest = np.arange(len(ids))
-    while len(rest):
+    while len(rest) and leaders != 0:
+        leaders = leaders and leaders - 1
         head, rest = rest[0], rest[1:]
         far = np.bitwise_count((check[rest] ^ check[head]).view(np.uint64))
         more |= bool(((far <= LINK_BITS) & (best[rest] <= LINK_BITS)).any())
-        closer = rest[far < best[rest]]
-        whose[closer], best[closer] = head, far[far < best[rest]]
+        closer = far < best[rest]
+        whose[rest[closer]], best[rest[closer]] = head, far[closer]
         more |= bool((far <= ABSORB_BITS).any())
         rest = rest[far > ABSORB_BITS]
     own = np.flatnonzero(best <= LINK_BITS)
@@ -126,7 +132,7 @@ def _across(ids: np.ndarray, check: np.ndarray, root: np.ndarray, place: np.ndar
             yield np.full(len(near), ids[k]), place[near], block[near]
 
 
-def _pieces(pairs, rows: int = 100_000):
+def pieces(pairs, rows: int = 100_000):
     """Tuples of arrays, put together to about so many rows, each row once."""
     held, n = [], 0
     for p in pairs:
@@ -143,79 +149,126 @@ def _batch(columns, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _variants(shingle: int):
+def _variants(shingle: int, heavy: tuple[np.ndarray, np.ndarray] | None = None):
+    """Rows (key, a, check) of texts. heavy: the heavy keys, ascending, and how many parts each has; then a heavy key names the
+    text's part too, and comes once more with the class of each text that has it. A text's class is its heaviest key (ties: the
+    smaller one), said in a row of its own: all texts of a hot group have few classes, whatever number of keys they share."""
+
     def run(batches):
         words_of = _WordHash()
         for part in slices(batches, TOGETHER):
             first = np.sort(np.unique(part.column("th").to_numpy(), return_index=True)[1])
             for few in slices([part.take(pa.array(first))], 250):
                 keys, checks = signatures([shingles(t, shingle, words_of) for t in few.column("text").to_pylist()])
-                n = SEGMENTS * STRUCK
-                yield _batch([keys.ravel(), np.repeat(few.column("th").to_numpy(), n), np.repeat(checks, n)], ["key", "a", "check"])
+                th, n = few.column("th").to_numpy(), SEGMENTS * STRUCK
+                rows = [(keys.ravel(), np.repeat(th, n), np.repeat(checks, n))]
+                if heavy is not None and len(heavy[0]):
+                    at = np.minimum(np.searchsorted(heavy[0], keys), len(heavy[0]) - 1)
+                    known = heavy[0][at] == keys
+                    rank = np.lexsort((heavy[0], -heavy[1])).argsort()  # 0: the heaviest
+                    best = np.where(known, rank[at], len(rank)).min(axis=1)
+                    some = np.flatnonzero(best < len(rank))
+                    kind = np.append(heavy[0][rank.argsort()], -1)[best]  # of each text
+                    mixed = (th.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                    split = np.where(known, (mixed[:, None] % heavy[1][at].astype(np.uint64)).astype(np.int64) + 1, 0)
+                    rows[0] = ((keys + (split << PART)).ravel(), *rows[0][1:])
+                    row, col = np.nonzero(known)
+                    met = np.unique(np.stack([keys[row, col], kind[row]]), axis=1)
+                    rows.append((met[0] | 1 << CLASS, met[1], met[1]))
+                    rows.append((-1 - mixed[some].astype(np.int64), th[some], kind[some]))
+                for x in rows:
+                    yield _batch(x, ["key", "a", "check"])
 
     return run
 
 
 def _met(texts: DataFrame, shingle: int) -> DataFrame:
-    """Rows (key, a, b) for the hashes of texts(th, text). Of key -1: a pair that meets under some key, for each text of a
-    key, or of a part of it, that with its closest leader. Others: the texts a, with check bits b, of the keys that hold
-    further candidates, and of all heavy ones."""
+    """Rows (key, a, b) for the hashes of texts(th, text). Of keys -1 and -4: a pair that meets under some key, for each text of
+    a key, or of a part of it, that with its closest leader; -1 where these are all candidates of the key. Of key -2: classes a and b that meet under a heavy key. Of key -3: a
+    text a and its class b. Others: the texts a, with check bits b, of the keys that aren't heavy and hold further candidates."""
 
     def meet(batches):
+        said = []
+
+        def ranked():
+            for x in batches:
+                own = x.column("key").to_numpy() < 0
+                if own.any():
+                    own = x.filter(pa.array(own))
+                    said.append((np.full(own.num_rows, -3), own.column("a").to_numpy(), own.column("check").to_numpy()))
+                yield x.filter(pa.array(x.column("key").to_numpy() >= 0))
+
         def found():
-            for key, ids, check in _runs(batches, ("key", "a", "check"), "a"):
-                a, b, more = _nearest(ids, check)
+            for key, ids, check in runs(ranked(), ("key", "a", "check"), "a"):
+                while said:
+                    yield said.pop()
+                if key[0] >> CLASS:
+                    yield np.full(len(ids) ** 2, -2), np.repeat(ids, len(ids)), np.tile(ids, len(ids))
+                    continue
+                a, b, more = _nearest(ids, check, LEADERS if key[0] >> PART else None)
                 if len(a):
-                    yield np.full(len(a), -1), a, b
-                if more or key[0] >> PART:
+                    yield np.full(len(a), -4 if more or key[0] >> PART else -1), a, b
+                if more and not key[0] >> PART:
                     yield key, ids, check
+            while said:
+                yield said.pop()
 
-        for x in _pieces(found()):
+        for x in pieces(found()):
             yield _batch(x, ["key", "a", "b"])
 
     each = max(1, texts.count() // SAMPLE)
     sample = texts.where(F.pmod("th", F.lit(each)) == 0).mapInArrow(_variants(shingle), "key long, a long, check long")
-    heavy = sample.groupBy("key").agg(F.count_distinct("a").alias("n")).where(F.col("n") >= HEAVY)
-    rows = texts.mapInArrow(_variants(shingle), "key long, a long, check long").join(F.broadcast(heavy), "key", "left")
-    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / HEAVY)) + 1).otherwise(0)
-    rows = rows.select((F.col("key") + F.shiftleft(part.cast("long"), PART)).alias("key"), "a", "check")
+    counts = sample.groupBy("key").agg(F.count_distinct("a").alias("n")).where(F.col("n") >= HEAVY).orderBy("key").toArrow()  # SEGMENTS * STRUCK * SAMPLE / HEAVY at most
+    parts = 1 << np.ceil(np.log2(counts["n"].to_numpy() / HEAVY)).astype(np.int64)  # powers of two: parts of different keys hold the same texts, and lead to the same pairs
+    heavy = counts["key"].to_numpy(), parts
+    rows = texts.mapInArrow(_variants(shingle, heavy), "key long, a long, check long")
     # leaders of a key come in one order everywhere
     return rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "key long, a long, b long")
 
 
-def _places(near: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, root, place, block): each text's group, and where it stands: in a block of its loose cluster, or on its own."""
-    loose = components(near, "a", "b", "similar-loose").select("node", F.col("root").alias("cluster"))
-    size = F.octet_length("s")
-    sized = loose.join(sets.select(F.col("th").alias("node"), size.alias("bytes")), "node")
-    counts = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= CLUSTER)
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES))
-    stands = loose.join(counts, "cluster", "left").join(groups, "node", "left")
-    own = F.when(F.col("n").isNotNull(), F.xxhash64("cluster", F.pmod(F.xxhash64("node"), blocks))).otherwise(F.col("node"))
-    return stands.select("node", F.coalesce("root", "node").alias("root"), own.alias("place"), F.col("n").isNotNull().cast("long").alias("block"))
+def _places(near: DataFrame) -> DataFrame:
+    """(node, root, place, block) of the texts of near(a, b, near, a_bytes, b_bytes): a text that its links lead to, and where it stands: in a block of its loose cluster, or on its own.
+
+    Both are the least hashes within SPREAD steps, not whole components: roots only save comparisons, as equal ones are of
+    one group for sure, and blocks only say what is compared together.
+    """
+    turned = near.select(F.col("b").alias("a"), F.col("a").alias("b"), "near", F.col("b_bytes").alias("bytes"))
+    both = stash(near.select("a", "b", "near", F.col("a_bytes").alias("bytes")).union(turned), "similar-both")
+    label = None
+    for k in range(SPREAD):
+        step = both.withColumns({"loose": F.col("b"), "strict": F.col("b")}) if label is None else both.join(label.withColumnRenamed("a", "b"), "b")
+        label = step.groupBy("a").agg(F.min("loose").alias("loose"), F.min(F.when(F.col("near"), F.col("strict"))).alias("strict"), F.max("bytes").alias("bytes"))
+        label = label.select("a", F.least("a", "loose").alias("loose"), F.least("a", "strict").alias("strict"), *(["bytes"] if k == SPREAD - 1 else []))
+    label = stash(label, "similar-label")
+    counts = label.groupBy("loose").agg(F.count("*").alias("n"), F.sum("bytes").alias("all")).where(F.col("n") >= CLUSTER)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("all") / BLOCK_BYTES))
+    own = F.when(F.col("n").isNotNull(), F.xxhash64("loose", F.pmod(F.xxhash64("a"), blocks))).otherwise(F.col("a"))
+    out = stash(label.join(counts, "loose", "left").select(F.col("a").alias("node"), F.col("strict").alias("root"), own.alias("place"), F.col("n").isNotNull().cast("long").alias("block")), "similar-places")
+    drop_stash(both, label)
+    return out
 
 
 def _left_over(met: DataFrame, places: DataFrame) -> DataFrame:
     """(a, b, block): each text a with the places b that hold a candidate of it which the groups do not join with it yet."""
 
     def meet(batches):
-        runs = _runs(batches, ("key", "a", "check", "root", "place", "block"), "a")
-        for x in _pieces(p for _, *rest in runs for p in _across(*rest)):
+        each = runs(batches, ("key", "a", "check", "root", "place", "block"), "a")
+        for x in pieces(p for _, *rest in each for p in _across(*rest)):
             yield _batch(x, ["a", "b", "block"])
 
-    rows = met.where("key >= 0").join(places, F.col("a") == F.col("node"), "left")
-    rows = rows.select("key", "a", F.col("b").alias("check"), F.coalesce("root", "a").alias("root"), F.coalesce("place", "a").alias("place"), F.coalesce("block", F.lit(0).cast("long")).alias("block"))
-    heavy = F.col("key") >= 1 << PART
-    within = rows.where(~heavy).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, block long")
-    # of a heavy key the places meet, not the texts: who is not of the key's largest group asks them all
-    rows = rows.where(heavy).withColumn("key", F.col("key").bitwiseAND((1 << PART) - 1))
-    counts = rows.groupBy("key", "root").agg(F.count_distinct("a").alias("n"))
-    largest = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    askers = rows.join(F.broadcast(largest), "key").where("root <> largest").select("a", F.col("place").alias("from")).distinct()
-    held = rows.select("key", "place", "block").distinct()
-    meeting = held.select("key", F.col("place").alias("from")).join(held, "key").select("from", "place", "block").distinct()
-    across = askers.join(meeting, "from").select("a", F.col("place").alias("b"), "block")
-    return within.union(across).distinct()
+    stand = places.select(F.col("node").alias("a"), "root", "place", "block")
+    placed = lambda rows: rows.join(stand, "a", "left").withColumns({"root": F.coalesce("root", "a"), "place": F.coalesce("place", "a"), "block": F.coalesce("block", F.lit(0).cast("long"))})
+    rows = placed(met.where("key >= 0").withColumnRenamed("b", "check")).select("key", "a", "check", "root", "place", "block")
+    within = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, block long")
+    # under heavy keys classes meet, not texts: who is not of the largest group of two such classes asks all places of the other
+    members = stash(placed(met.where("key = -3").select("a", F.col("b").alias("kind"))).distinct(), "similar-members")
+    largest = members.groupBy("kind", "root").agg(F.count("*").alias("n")).groupBy("kind").agg(F.max(F.struct("n", "root")).alias("top"))
+    side = lambda c: largest.select(F.col("kind").alias(c), F.col("top").alias(f"top_{c}"))
+    pairs = met.where("key = -2").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct().join(side("p"), "p").join(side("q"), "q")
+    pairs = pairs.select(F.col("p").alias("kind"), "q", F.greatest("top_p", "top_q")["root"].alias("largest"))
+    held = members.select(F.col("kind").alias("q"), "place", "block").distinct().withColumnRenamed("place", "b")
+    asks = members.select("a", "kind", "root").join(pairs, "kind").where("root <> largest").select("a", "q").distinct()
+    return within.union(asks.join(held, "q").select("a", "b", "block")).distinct()
 
 
 def _ask(similarity: float):
@@ -264,28 +317,31 @@ def similar(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingl
 
     def verify(batches):
         for x in slices(batches):
-            like = []
+            like, sizes = [], ([], [])
             for p, q in zip(x.column("p").to_pylist(), x.column("q").to_pylist(), strict=True):
                 p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
                 both = len(np.intersect1d(p, q, assume_unique=True))
+                for own, n in zip(sizes, (len(p), len(q)), strict=True):
+                    own.append(4 * n)
                 like.append(both / (len(p) + len(q) - both) + 1e-9)
             like = np.array(like, np.float64)
-            out = pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(like >= similarity)], ["a", "b", "near"])
+            out = pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(like >= similarity), *(pa.array(n, pa.int64()) for n in sizes)], ["a", "b", "near", "a_bytes", "b_bytes"])
             yield out.filter(pa.array(like >= least))
 
     def compared(pairs: DataFrame, held: DataFrame, tag: str) -> DataFrame:
         with_a = pairs.join(held.select(F.col("th").alias("a"), F.col("s").alias("p")), "a")
         with_both = with_a.join(held.select(F.col("th").alias("b"), F.col("s").alias("q")), "b")
-        return stash(with_both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long, near boolean"), tag)
+        return stash(with_both.select("a", "b", "p", "q").mapInArrow(verify, "a long, b long, near boolean, a_bytes long, b_bytes long"), tag)
 
     def unordered(pairs: DataFrame, tag: str) -> DataFrame:
         return stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tag)
 
-    pairs = unordered(met.where("key = -1").select("a", "b"), "similar-pairs")
+    nth = F.row_number().over(W.partitionBy("a").orderBy(F.desc("count"), "b"))
+    some = met.where("key = -4").groupBy("a", "b").count().withColumn("nth", nth).where(F.col("nth") <= FIRST)  # those that most keys tell
+    pairs = unordered(met.where("key = -1").select("a", "b").union(some.select("a", "b")), "similar-pairs")
     held = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "similar-sets")
     near = compared(pairs, held, "similar-near")
-    groups = components(near.where("near"), "a", "b", "similar-groups")
-    places = stash(_places(near, held, groups), "similar-places")
+    places = _places(near)
     asks = stash(_left_over(met, places), "similar-asks")
     drop_stash(pairs, met)
 
@@ -300,7 +356,7 @@ def similar(docs: DataFrame, text: str = "text", similarity: float = 0.8, shingl
     pairwise = compared(rest, more, "similar-single").where("near").select("a", "b")
     grouped = blocks.join(more, "th").select(*ASKED).groupBy("place", "part").cogroup(asked.join(more, "th").select(*ASKED).toDF(*ASKED).groupBy("place", "part"))
     blockwise = stash(grouped.applyInArrow(_ask(similarity), "a long, b long"), "similar-blocks")
-    joined = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(pairwise).union(blockwise)
+    joined = near.where("near").select("a", "b").union(pairwise).union(blockwise)
     found = components(joined, "a", "b", "similar-links")
     drop_stash(near, held, places, asks, rest, more, blockwise)
     return found

@@ -256,7 +256,7 @@ def _without(words: list[bytes], spans: list[list[int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, text: str, doc_id: str, window: int) -> DataFrame:
-    """docs with the column _spans: unmerged pieces (pos, n) of words that a smaller doc_id's windows cover."""
+    """row (a struct of all columns of docs, whatever their names) and spans: unmerged pieces (pos, n) of words that a smaller doc_id's windows cover."""
     if window < ANCHOR_WORDS:
         raise ValueError(f"a window has {ANCHOR_WORDS} words at least")
     n, ids = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
@@ -267,8 +267,9 @@ def _with_spans(docs: DataFrame, text: str, doc_id: str, window: int) -> DataFra
     rows = docs.select(rid.alias("rid"), th.alias("th"), body.alias("body"))
     asked = rows.mapInArrow(_ask(window, _crowded(rows, n, window)), _SENT)
     found = asked.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_answer(window), "rid long, th long, pos int, n int")
-    spans = found.groupBy(F.col("rid").alias("_rid"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("pos", "n")).alias("_spans"))
-    return docs.withColumns({"_rid": rid, "_th": th}).join(spans.hint("shuffle_hash"), ["_rid", "_th"], "left").select(*docs.columns, "_spans")
+    spans = found.groupBy(F.col("rid").alias("_rid"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    keyed = docs.select(F.struct("*").alias("row"), rid.alias("_rid"), th.alias("_th"))
+    return keyed.join(spans.hint("shuffle_hash"), ["_rid", "_th"], "left").select("row", "spans")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 13) -> DataFrame:
@@ -283,14 +284,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def run(batches):
         for b in slices(batches):
             n_words, n_removed, merged, kept = [], [], [], []
-            for body, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            ids, texts = b.column("row").flatten()
+            for body, spans in zip(texts.cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 words, own = body.split(), _merged(spans)
                 n_words.append(len(words))
                 n_removed.append(sum(e - s for s, e in own))
                 merged.append([{"start": s, "end": e} for s, e in own])
                 kept.append(_without(words, own))
             out = pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), out, pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), out, pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return _with_spans(plain, "text", "doc_id", window).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
@@ -298,17 +300,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def cut(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 13, n_chars: str = "n_chars") -> DataFrame:
     """The rows of docs with repeated passages (see remove_repeats) taken out of the text and, where there is such a column, n_chars counted anew. Texts without any stay as they are; of those with some, the other words are joined by one space."""
-    place = docs.columns.index(text)
+    place, names = docs.columns.index(text), docs.columns
 
     def run(batches):
         for b in slices(batches):
-            texts = b.column(place).to_pylist()
-            for k, spans in enumerate(b.column("_spans").to_pylist()):
+            cols = b.column("row").flatten()
+            texts = cols[place].to_pylist()
+            for k, spans in enumerate(b.column("spans").to_pylist()):
                 if spans:
                     texts[k] = _without(texts[k].encode().split(), _merged(spans)).decode()
-            cols = list(b.columns[:-1])
             cols[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     done = _with_spans(docs, text, doc_id, window).mapInArrow(run, docs.schema)
     return done.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else done

@@ -95,8 +95,6 @@ def test_simhash(docs, odd, none):
     for d in (docs, odd):
         assert rows(simhash.near_duplicates(d).select("doc_id", "fp", "component_id")) == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_first(odd).collect()
-    assert len(kept) == len(set(group)) and kept[0].asDict().keys() == set(odd.columns)
 
 
 def brute_groups(given, similarity=0.8, n=5):
@@ -192,14 +190,24 @@ def test_similar_of_one_template(spark, monkeypatch):
     assert within(group, got) and within(got, whole)
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2, 3])
-def test_simhash_links(spark, distance):
+@pytest.mark.parametrize("distance, together", [(0, 2048), (1, 2048), (2, 2048), (3, 2048), (3, 2)])
+def test_simhash_links(spark, distance, together, monkeypatch):
     r = random.Random(distance)
     base = [r.getrandbits(64) for _ in range(30)]
     fps = {b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 4)} | {0, 1, 2**64 - 1}
-    signed = [f - (1 << 64 if f >> 63 else 0) for f in fps]
-    got = {frozenset(x) for x in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance).collect()}
-    assert got == {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
+    signed = sorted(f - (1 << 64 if f >> 63 else 0) for f in fps)
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+
+    def groups(pairs):
+        root = {f: f for f in signed}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {f: min(a, b) if r in (a, b) else r for f, r in root.items()}
+        return root
+
+    got = [tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance).collect()]
+    near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance]
+    assert groups(got) == groups(near) and len(got) <= 66 * len(signed)
 
 
 def brute_cut(given):
@@ -464,6 +472,24 @@ def test_pii_tagger_learns():
     assert np.mean([(a == b).all() for a, b in zip(tagger.decode(texts_), tags, strict=True)]) >= 0.85
 
 
+def test_pii_added_spans():
+    """Spans in spellings that no base pattern takes, invented with another seed than those of the training: how many are found exactly, and how many of the found are right."""
+    r = np.random.default_rng(1)
+    tagger = pii.Tagger()
+    tagger.train(*pii.training_windows([" ".join(r.choice(WORDS, 14)) for _ in range(pii.FIT_WINDOWS)]))
+    rng, right, wanted, found = np.random.default_rng(77), 0, 0, 0
+    for _ in range(400):
+        s, kind = pii._invented(rng)
+        before = " ".join(r.choice(WORDS, 20)) + " "
+        base, spans = pii.find([before + s + " " + " ".join(r.choice(WORDS, 20))], tagger)[0]
+        own = (len(before), kind, len(before) + len(s))
+        added = [x for x in spans if x not in base]
+        wanted += kind >= 0 and own not in base
+        right += own in added
+        found += len(added)
+    assert wanted > 100 and right >= 0.8 * wanted and right >= 0.8 * found
+
+
 def test_isotonic():
     x, y, w = np.arange(6.0), np.array([0, 1, 0, 0.5, 1, 0.8]), np.ones(6)
     knots, values = quality.isotonic(x, y, w)
@@ -484,8 +510,10 @@ def test_quality(spark, docs, odd, none):
 
 def test_toxicity(spark, docs, odd, none):
     big, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    got = toxicity.score(big, labels).join(labels, "doc_id").toPandas()
-    assert got.predicted[got.toxic == 1].mean() >= 0.75 and got.predicted[got.toxic == 0].mean() <= 0.05
+    outside = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 0
+    got = toxicity.score(big, labels.where(~outside)).join(labels, "doc_id").withColumn("outside", outside).toPandas()
+    for own in (got[got.outside], got[~got.outside]):  # documents that the fit never saw, and those it did
+        assert len(own) > 60 and own.predicted[own.toxic == 1].mean() >= 0.75 and own.predicted[own.toxic == 0].mean() <= 0.05
     known = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(40)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.score(odd, known).count() == docs.count()
     assert toxicity.score(none, known).count() == 0

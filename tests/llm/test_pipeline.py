@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version of what it has to do with its own input."""
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from tessera.llm import packing, pii
 from test_operators import SCHEMA, brute_cut, brute_groups, texts
 
@@ -32,3 +33,27 @@ def test_run(spark, monkeypatch):
     monkeypatch.setattr(pii, "EPOCHS", 2)
     got = P.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 100 and {"doc_id", "bin", "offset", "length"} <= set(got.columns)
+
+
+def test_run_of_nothing_and_of_nulls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "EPOCHS", 1)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    for name, rows in (("none", docs.limit(0)), ("nulls", spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, 0)], SCHEMA))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.where("doc_id < 0").write.parquet(f"{folder}/labels.parquet")
+        assert P.run(spark, folder).count() == 0
+        for _, stage in P.STAGES:
+            assert stage(spark, rows, folder).count() <= rows.count()
+
+
+def test_stages_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(pii, "EPOCHS", 1)
+    given = spark.createDataFrame(texts(), SCHEMA)
+    names = ["_rid", "_th", "_spans", "row", "spans", "rid", "th", "key", "score", "predicted", "place", "block", "part", "root", "node", "n", "h", "parcel"]
+    odd = given.withColumns({c: F.lit("x") for c in names})
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns, name
+        assert all(r[c] == "x" for r in got.collect() for c in names), name
+    assert P.pack(spark, odd, SF).count() == P.pack(spark, given, SF).count()
