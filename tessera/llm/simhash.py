@@ -2,7 +2,7 @@
 
 A fingerprint of 64 bits is cut into two segments of 32. Fingerprints at 3 or fewer differing bits differ by at most one
 bit in one of the segments (two and two would make four), so they agree there on the segment as it is or with one bit
-struck out. Both forms are keys of an equality join; what it finds is verified on all 64 bits within the join.
+struck out. Both forms are keys; those that share one are verified on all 64 bits there and joined by few links.
 """
 
 from __future__ import annotations
@@ -15,11 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, drop_stash, slices, stash, text_or_empty
+from .common import drop_stash, slices, stash, text_or_empty
 from .components import components
+from .similar import pieces, runs
 
 BITS, SEGMENTS = 64, 2
 WIDTH = BITS // SEGMENTS
+_ALL = 2**BITS - 1
+#: Fingerprints of a key from which on they are compared by bytes.
+TOGETHER = 2048
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -47,25 +51,66 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, th long, fp long")
 
 
-def _keys(fps: DataFrame, name: str, bit: int) -> DataFrame:
-    """For each segment its value as it is, and with each of its bits that has the value bit struck out. The key holds segment and place above that value."""
+def _keys(fps: DataFrame) -> DataFrame:
+    """For each segment its value as it is, and with each of its bits struck out in turn. The key holds segment and place above that value."""
     n = WIDTH + 1  # places of a segment: its bits, then none
-    form = fps.select(F.col("fp").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * n - 1))).alias("form"))
-    form = form.withColumns({"place": F.expr(f"form % {n}"), "value": F.expr(f"shiftrightunsigned({name}, {WIDTH} * (form div {n})) & {2**WIDTH - 1}L")})
-    form = form.where(f"place = {WIDTH} or (shiftrightunsigned(value, place) & 1) = {bit}")
-    return form.select(name, F.expr(f"shiftleft(cast(form as bigint), {WIDTH}) | if(place = {WIDTH}, value, value & ~shiftleft(1L, place))").alias("key"))
+    form = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * n - 1))).alias("form"))
+    form = form.withColumns({"place": F.expr(f"form % {n}"), "value": F.expr(f"shiftrightunsigned(fp, {WIDTH} * (form div {n})) & {2**WIDTH - 1}L")})
+    return form.select(F.expr(f"shiftleft(cast(form as bigint), {WIDTH}) | if(place = {WIDTH}, value, value & ~shiftleft(1L, place))").alias("key"), "fp")
+
+
+def _least_linked(fp: np.ndarray, distance: int) -> np.ndarray:
+    """For the different fingerprints of a key, which differ in one bit of its segment at most, the place of the first one that each reaches over links.
+
+    Many are compared by the bytes of the other segment: with 3 differing bits in four bytes one byte is equal.
+    """
+    least = np.arange(len(fp))
+    groups = [least.copy()]
+    if len(fp) > TOGETHER:
+        groups = []
+        for byte in fp.view(np.uint8).reshape(-1, 8).T:  # of both segments, as either may be the key's
+            order = np.argsort(byte, kind="stable")
+            groups += [g for g in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1) if 1 < len(g) < len(fp)]
+        groups = groups or [least.copy()]
+    changed = True
+    while changed:
+        before = least.copy()
+        for own in groups:
+            x = fp[own]
+            for k in range(0, len(own), 512):
+                near = np.bitwise_count(x[k : k + 512, None] ^ x[None, :]) <= distance
+                low = np.where(near, least[own][None, :], len(fp)).min(axis=1)
+                least[own[k : k + 512]] = np.minimum(least[own[k : k + 512]], low)
+        least = least[least]
+        changed = (least != before).any()
+    return least
 
 
 def links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs (a, b) of different fingerprints of fps(fp) at no more than the distance (3 at most), each at least once.
+    """Links (a, b) that join all different fingerprints of fps(fp) at no more than the distance (3 at most).
 
-    Of a pair that differs in one bit of a segment, the side with the bit clear and the side with the bit set meet under
-    one key; a pair that agrees on a segment meets under the segment as it is.
+    Two of them differ in one bit of some segment at most and meet under the segment as it is or with that bit struck out.
+    A key gives each of its fingerprints one link at most, to the first that it reaches there, not one for each pair.
     """
     if not 0 <= distance <= 2 * SEGMENTS - 1:
         raise ValueError(f"{SEGMENTS} segments find distances up to {2 * SEGMENTS - 1}")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return _keys(fps, "a", 0).join(_keys(fps, "b", 1), "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
+
+    def meet(batches):
+        def found():
+            for _, fp in runs(batches, ("key", "fp"), "fp", None):
+                if len(fp) == 2:
+                    if int(fp[0] ^ fp[1]) & _ALL and (int(fp[0] ^ fp[1]) & _ALL).bit_count() <= distance:
+                        yield fp[1:], fp[:1]
+                    continue
+                least = _least_linked(fp.view(np.uint64), distance)
+                own = np.flatnonzero(least != np.arange(len(fp)))
+                if len(own):
+                    yield fp[own], fp[least[own]]
+
+        for a, b in pieces(found()):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _keys(fps).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -83,16 +128,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
-
-
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The rows of docs, as they are, less all but one of each group of near-duplicates: the one of the smallest doc_id stays, of rows with that id the one with the least hash."""
-    n, ids = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    found = near_duplicates(docs, text, doc_id, distance, shingle, seed)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(rid).alias("_rid"), F.min("th").alias("_th"))
-    keyed = docs.withColumns({"_rid": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(text_or_empty(text))})
-    kept = keyed.join(first.select("_rid", "_th").hint("shuffle_hash"), ["_rid", "_th"], "left_semi")
-    if n > ids:
-        kept = kept.dropDuplicates(["_rid", "_th"])
-    return kept.select(*docs.columns)
