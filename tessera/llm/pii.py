@@ -4,7 +4,8 @@ The network is trained in numpy from labelled spans: those of the patterns in a
 ones in other spellings set into lines of that sample, beside numbers that are not personal data. Whole texts are cut into
 overlapping windows; each is decoded by Viterbi, and the spans of all windows of a text are reconciled: those found
 farthest from a window's edge come first, and what overlaps an accepted span goes. Spans of one kind that windows cut are
-joined first. A span must hold a mark (a digit, an at-sign, or one spelled out), so windows that reach none are not decoded.
+joined first. A span counts only if it holds a mark (a digit, an at-sign, or one spelled out; see plausible), so the windows
+that no span with a mark can reach need no decoding: whatever the network said of them, nothing of it could count.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ from .common import text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and from one to the next.
 WINDOW, STRIDE = 96, 48
-#: Documents, at most about, that training windows come from (those of the least hash), and windows.
-FIT_DOCS, FIT_WINDOWS = 4000, 600
+#: Bounds of the training: documents, about, that its windows come from (those of the least hash), windows of one document
+#: and windows in all (again those of the least hash). Each is used twice: with its base spans, and with an invented span.
+FIT_DOCS, FIT_PER_DOC, FIT_WINDOWS = 4000, 4, 600
 EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 12, 64, 0.025
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 
@@ -275,7 +278,7 @@ def _joined(found: Iterable[tuple[int, Span]]) -> set[tuple[int, Span]]:
 
 
 def reconcile(text: str, base: list[Span], found: Iterable[tuple[int, Span]]) -> list[Span]:
-    """Base spans and those of (distance from the window's edge, span) that are plausible and overlap neither a base span nor one accepted before."""
+    """Base spans and those of (distance from the window's edge, span) that are plausible and overlap neither a base span nor one accepted before. Of equal distances the longer span comes first, then the one that starts earlier, then the kind listed first."""
     out = list(base)
     for _, (s, kind, e) in sorted(_joined(found), key=lambda f: (-f[0], f[1][0] - f[1][2], f[1])):
         while s < e and not (text[s].isalnum() or text[s] in "+("):
@@ -352,7 +355,10 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Tagger:
 
     def run(batches):
         for b in batches:
-            cut = [t[s : s + WINDOW] for t in b.column("text").to_pylist() for s in [w[0] for w in windows(t)][:4] or [len(t) // 2]]
+            cut = []
+            for t in b.column("text").to_pylist():
+                own = [w for _, w in windows(t)] or [t[len(t) // 2 :][:WINDOW]]
+                cut += sorted(own, key=xxhash.xxh64_intdigest)[:FIT_PER_DOC]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], ["w"])
 
     n = docs.count()

@@ -2,8 +2,9 @@
 
 Categories are predicted one after another; each linear model also gets the probabilities of the categories before it.
 In training these are out-of-fold: a document's own label never shaped the probability that a later model sees for it.
-Seed words mark the open categories in the labelled documents; covert holds toxic documents without any seed word, and
-toxic, the last link, is the label itself.
+The labels have one flag, so the categories before it are latent: the toxic documents of the fit are parted by spherical
+k-means over the words and word beginnings that tell them most from the others, and each part is a category, the largest
+first. No word list is used. toxic, the last link, is the label itself.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .embed_dedup import spherical_kmeans, unit
 
-#: Words that mark a category where a document is labelled toxic; the models learn all other words from the labels.
-SEEDS = {"insult": ("idiot", "moron", "clown", "loser", "stupid"), "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting")}
-CATEGORIES = (*SEEDS, "covert", "toxic")
+#: Latent kinds of toxic documents, the columns, those of the highest log-odds, that part them, and the links of the chain.
+KINDS, TELLING = 3, 256
+CATEGORIES = (*(f"kind{k + 1}" for k in range(KINDS)), "toxic")
 #: Labelled documents, at most about, that the chain is fitted on, those of the least hash. Fixed here, whatever the corpus.
 FIT_ROWS = 4000
 #: Hash buckets of words and word beginnings, folds, steps of a fit, penalty on squared weights.
 BUCKETS, FOLDS, STEPS, PENALTY = 1 << 18, 3, 60, 1e-4
-#: Share of the documents beyond which a feature tells nothing.
-COMMON = 0.3
+#: Documents that a feature must be in, and the share of them beyond which a feature tells nothing.
+LEAST, COMMON = 3, 0.3
 #: Lengths of the word beginnings that count beside the word.
 HEADS = (5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,9 +82,7 @@ def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, wi
     """
     dense = np.hstack([extra, np.ones((x.n, 1))])
     total = weight.sum()
-    for_, against = ((weight > 0) & (y > 0)).astype(np.float64), ((weight > 0) & (y == 0)).astype(np.float64)
-    ones = np.bincount(x.col, for_[x.row], minlength=width) + 0.5, np.bincount(x.col, against[x.row], minlength=width) + 0.5
-    scale = np.log(ones[0] / (for_.sum() + 1)) - np.log(ones[1] / (against.sum() + 1))
+    scale = _log_odds(x, weight, y, width)
     val = x.val * scale[x.col]
     scaled = Sparse(x.n, x.row, x.col, val)
     w, v = np.zeros(width), np.zeros(dense.shape[1])
@@ -101,6 +101,37 @@ def logistic(x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, wi
     return w * scale, v
 
 
+def _log_odds(x: Sparse, weight: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Log-odds of the columns between the classes of the rows with a weight."""
+    for_, against = ((weight > 0) & (y > 0)).astype(np.float64), ((weight > 0) & (y == 0)).astype(np.float64)
+    ones = np.bincount(x.col, for_[x.row], minlength=width) + 0.5, np.bincount(x.col, against[x.row], minlength=width) + 0.5
+    return np.log(ones[0] / (for_.sum() + 1)) - np.log(ones[1] / (against.sum() + 1))
+
+
+def kinds(x: Sparse, toxic: np.ndarray, width: int) -> np.ndarray:
+    """A column for each latent kind: which toxic rows are of it. A toxic row without any telling column is of the first."""
+    out = np.zeros((x.n, KINDS), bool)
+    rows = np.flatnonzero(toxic)
+    if not len(rows):
+        return out
+    odds = _log_odds(x, np.ones(x.n), toxic, width)
+    top = np.argsort(-odds, kind="stable")[:TELLING]
+    top = top[odds[top] > 0]
+    at, place = np.full(width, -1), np.full(x.n, -1)
+    at[top], place[rows] = np.arange(len(top)), np.arange(len(rows))
+    own = (place[x.row] >= 0) & (at[x.col] >= 0)
+    m = np.zeros((len(rows), len(top)))
+    m[place[x.row[own]], at[x.col[own]]] = odds[x.col[own]]
+    some = np.flatnonzero(m.any(axis=1))
+    part = np.zeros(len(rows), np.int64)
+    if len(some):
+        m = unit(m[some])
+        part[some] = (m @ spherical_kmeans(m, KINDS).T).argmax(axis=1)
+    rank = np.argsort(np.argsort(-np.bincount(part, minlength=KINDS), kind="stable"))
+    out[rows, rank[part]] = True
+    return out
+
+
 class Chain:
     def __init__(self):
         self.words = np.zeros((BUCKETS, len(CATEGORIES)), np.float32)
@@ -109,15 +140,15 @@ class Chain:
             v[-1] = -30.0  # without labels nothing is toxic
         self.threshold = 0.5
 
-    def fit(self, raw: Sparse, y: np.ndarray, fold: np.ndarray) -> None:
-        """y: a column of labels for each category."""
+    def fit(self, raw: Sparse, toxic: np.ndarray, fold: np.ndarray) -> None:
+        """toxic: a label for each document."""
         docs = np.bincount(raw.col, minlength=BUCKETS)
-        used = np.flatnonzero((docs >= (2 if raw.n < 1000 else 3)) & (docs <= COMMON * raw.n))
+        used = np.flatnonzero((docs >= LEAST) & (docs <= COMMON * raw.n))
         index = np.full(BUCKETS, -1)
         index[used] = np.arange(len(used))
         keep = index[raw.col] >= 0
         x = Sparse(raw.n, raw.row[keep], index[raw.col[keep]].astype(np.int32), raw.val[keep])
-        before = np.zeros((x.n, 0))
+        before, y = np.zeros((x.n, 0)), np.column_stack([kinds(x, toxic, len(used)), toxic])
         for k in range(len(CATEGORIES)):
             target = y[:, k].astype(np.float64)
             rare = min(20.0, max(1.0, 0.3 * (len(target) - target.sum()) / max(1.0, target.sum())))
@@ -156,23 +187,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for b in batches:
             texts = b.column("text").to_pylist()
             found = [_features(t) for t in texts]
-            words = [words_of(t) for t in texts]
-            seeded = [[not w.isdisjoint(s) for s in SEEDS.values()] for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(seeded, pa.list_(pa.bool_())), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc_id", "y", "seeded", "at", "value"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc_id", "y", "at", "value"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id")
-    got = rows.mapInArrow(run, "doc_id long, y int, seeded array<boolean>, at array<int>, value array<float>").toArrow().sort_by("doc_id")  # FIT_ROWS documents
+    got = rows.mapInArrow(run, "doc_id long, y int, at array<int>, value array<float>").toArrow().sort_by("doc_id")  # FIT_ROWS documents
     chain = Chain()
     if not got.num_rows:
         return chain
     y = got["y"].to_numpy().astype(bool)
-    seeded = np.array(got["seeded"].to_pylist(), bool)
-    open_ = seeded & y[:, None]
-    targets = np.column_stack([open_, y & ~open_.any(axis=1), y])
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in got["doc_id"].to_pylist()])
     at, value = (got[c].combine_chunks() for c in ("at", "value"))
     at, value = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (at, value))
-    chain.fit(Sparse.of(pa.compute.list_value_length(at).to_numpy(), at.flatten().to_numpy(), value.flatten().to_numpy()), targets, fold)
+    chain.fit(Sparse.of(pa.compute.list_value_length(at).to_numpy(), at.flatten().to_numpy(), value.flatten().to_numpy()), y, fold)
     return chain
 
 
