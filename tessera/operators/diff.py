@@ -105,11 +105,25 @@ def baseline_growth(base: DataFrame, head: DataFrame, enforced: DataFrame) -> Da
     return both.join(enforced.select("rule").distinct(), "rule", "left_semi").groupBy("rule").agg(F.sum("grown").alias("grown"))
 
 
-def approvals(weakenings: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
-    """weakenings(rule, ...) with approved_by: the first accepted head decision whose weakens list newly has the rule. Decisions: id, status, weakens."""
-    listed = lambda d: d.select("id", F.explode("weakens").alias("rule")).distinct()
-    new = listed(head.where("status = 'accepted'")).join(listed(base), ["id", "rule"], "left_anti").groupBy("rule").agg(F.min("id").alias("approved_by"))
-    return weakenings.join(new, "rule", "left")
+def approvals(rows: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """rows(rule, ...) with approved_by: the first accepted head decision whose weakens list newly has the rule, or the word baseline where a row's type is baseline-grown.
+
+    Decisions: id, status, weakens and, if there, title. A head decision's base version has its id, else its title; what an
+    accepted one listed before is no news.
+    """
+    name = lambda d: F.trim(F.regexp_replace(F.lower("title"), r"\s+", " ")) if "title" in d.columns else F.lit(None).cast("string")
+    known = base.select("id", name(base).alias("t"), F.when(F.col("status") == "accepted", F.col("weakens")).alias("w"))
+    now = head.where("status = 'accepted'").select("id", name(head).alias("t"), F.explode("weakens").alias("listed")).distinct()
+    by_id = known.groupBy("id").agg(F.lit(True).alias("same"), F.flatten(F.collect_list("w")).alias("w1"))
+    by_title = known.where("t is not null").groupBy("t").agg(F.min_by("w", "id").alias("w2"))
+    seen = F.when(F.col("same"), F.col("w1")).otherwise(F.col("w2"))
+    news = now.join(by_id, "id", "left").join(by_title, "t", "left").where(~F.coalesce(F.array_contains(seen, F.col("listed")), F.lit(False)))
+    first = news.groupBy("listed").agg(F.min("id").alias("approver"))
+    out = rows.join(first.select(F.col("listed").alias("rule"), F.col("approver").alias("approved_by")), "rule", "left")
+    if "type" in rows.columns:
+        grown = first.where("listed = 'baseline'").agg(F.min("approver").alias("_any"))  # one row
+        out = out.crossJoin(F.broadcast(grown)).withColumn("approved_by", F.when(F.col("type") == "baseline-grown", F.least("approved_by", "_any")).otherwise(F.col("approved_by"))).drop("_any")
+    return out.select(*rows.columns, "approved_by")
 
 
 def file_changes(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import release, settle
 
+#: Nodes and pairs, at most, of a graph that the driver closes by itself.
+SMALL_NODES, SMALL_PAIRS = 1000, 100_000
+
 
 def reachable(pairs: DataFrame, reflexive: bool = False, tag: str = "reach") -> DataFrame:
     """All (a, b) with a path from a to b over pairs(a, b), by doubling: as many rounds as the longest path's logarithm. reflexive adds (n, n) for every node."""
@@ -82,8 +86,29 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     return found if found is not None else pairs.select(F.col("a").alias("node"), F.col("a").alias("scc")).limit(0)
 
 
+def small_closure(pairs: DataFrame) -> tuple[list, np.ndarray] | None:
+    """The nodes of pairs(a, b) in order and the matrix of who reaches whom (itself always), by squaring; None beyond SMALL_NODES nodes. For graphs of components, which a contract lists: rounds of jobs would cost more than the answer."""
+    rows = pairs.where("a is not null and b is not null").select("a", "b").distinct().limit(SMALL_PAIRS + 1).collect()
+    names = sorted({x for r in rows for x in r})
+    if len(rows) > SMALL_PAIRS or len(names) > SMALL_NODES:
+        return None
+    at = {x: k for k, x in enumerate(names)}
+    reach = np.eye(len(names), dtype=bool)
+    for a, b in rows:
+        reach[at[a], at[b]] = True
+    while (more := reach.astype(np.float32) @ reach > 0).sum() > reach.sum():
+        reach = more
+    return names, reach
+
+
 def mutual_components(pairs: DataFrame) -> DataFrame:
-    """The rows of strong_components by way of reachability: few rounds, but as many rows as pairs that reach each other. For graphs of components, whose number a contract bounds."""
+    """The rows of strong_components by way of reachability, for graphs of components; a large one takes rounds of joins, and as many rows as pairs that reach each other."""
+    pairs = pairs.where("a <> b")
+    if found := small_closure(pairs):
+        names, reach = found
+        both = reach & reach.T
+        kind = pairs.schema["a"].dataType.simpleString()
+        return pairs.sparkSession.createDataFrame([(names[k], names[int(row.argmax())]) for k, row in enumerate(both) if row.sum() > 1], f"node {kind}, scc {kind}")
     reach = reachable(pairs.where("a <> b"), tag="mutual")
     back = reach.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = reach.where("a <> b").join(back, ["a", "b"]).groupBy("a").agg(F.min("b").alias("least"))
@@ -99,7 +124,7 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return out.select("node", F.col("label").alias("root"))
 
 
-def heights(pairs: DataFrame, most: int = 10_000) -> DataFrame:
+def heights(pairs: DataFrame) -> DataFrame:
     """node and height (edges of the longest path down to a sink) over the condensation of pairs(a, b): members of one component share a height."""
     scc = strong_components(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
@@ -107,7 +132,7 @@ def heights(pairs: DataFrame, most: int = 10_000) -> DataFrame:
     g = lambda c: group.select(F.col("node").alias(c), F.col("group").alias(f"g{c}"))
     dag = settle(pairs.join(g("a"), "a").join(g("b"), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), "height-dag")
     now = settle(group.select("group").distinct().withColumn("height", F.lit(0)), "height")
-    for _ in range(most):
+    while True:  # ends: each round lengthens a path of a graph without cycles
         up = dag.join(now.select(F.col("group").alias("b"), (F.col("height") + 1).alias("height")), "b").select(F.col("a").alias("group"), "height")
         nxt = settle(now.union(up).groupBy("group").agg(F.max("height").alias("height")), "height")
         moved = nxt.join(now.withColumnRenamed("height", "was"), "group").where("height <> was").limit(1).count()
@@ -118,7 +143,7 @@ def heights(pairs: DataFrame, most: int = 10_000) -> DataFrame:
     return group.join(now, "group").select("node", "height")
 
 
-def cycle_paths(pairs: DataFrame, members: DataFrame, most: int = 10_000) -> DataFrame:
+def cycle_paths(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """scc and path: a shortest closed path through the smallest member of each component of members(node, scc); of equal ones the first by names.
 
     All components are searched at once, breadth first: each round extends the paths that end at nodes reached for the first
@@ -128,7 +153,7 @@ def cycle_paths(pairs: DataFrame, members: DataFrame, most: int = 10_000) -> Dat
     inside = settle(pairs.where("a <> b").join(members.select(F.col("node").alias("a"), "scc"), "a").join(m, ["b", "scc"]).select("scc", "a", "b").distinct(), "cycle-edges")
     front = settle(members.select("scc").distinct().select("scc", F.col("scc").alias("node"), F.array("scc").alias("path")), "cycle-front")
     seen, done = settle(front.select("scc", "node"), "cycle-seen"), None
-    for _ in range(most):
+    while True:  # ends: each round reaches nodes for the first time
         step = settle(front.join(inside.withColumnRenamed("a", "node"), ["scc", "node"]).select("scc", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path")), "cycle-step")
         closed = step.where("node = scc").groupBy("scc").agg(F.min("path").alias("path"))
         done = settle(closed if done is None else done.union(closed.join(done.select("scc"), "scc", "left_anti")), "cycle-done")

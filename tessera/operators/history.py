@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import patterns_regex
 from ..scratch import release, settle
+from .graph import clusters
 
 #: Files that are not production code.
 NON_PRODUCTION = (
@@ -57,6 +58,17 @@ def hidden_coupling(pairs: DataFrame, graph: DataFrame) -> DataFrame:
     return pairs.join(linked, ["a", "b"], "left_anti")
 
 
+def change_clusters(pairs: DataFrame, files: DataFrame, top: int = 10) -> DataFrame:
+    """components, files (both sorted) and support of the groups of files that co-change pairs(a, b, support) connect, as far as they lie in two components at least: those of the highest support of a pair first, then the larger, then by the first file. files: path, component."""
+    root = clusters(pairs)
+    support = pairs.join(root, pairs["a"] == root["node"]).groupBy("root").agg(F.max("support").alias("support"))
+    members = settle(root.join(files.select(F.col("path").alias("node"), "component"), "node", "left"), "change-clusters")
+    size = members.groupBy("root").agg(F.count("*").alias("n"), F.count_distinct("component").alias("parts"), F.min("node").alias("first")).where("parts > 1")
+    best = size.join(support, "root").orderBy(F.desc("support"), F.desc("n"), "first").limit(top)
+    told = members.join(F.broadcast(best), "root").groupBy("root", "support", "n", "first").agg(F.array_sort(F.collect_set("component")).alias("components"), F.array_sort(F.collect_set("node")).alias("files"))  # best: top rows
+    return told.orderBy(F.desc("support"), F.desc("n"), "first").select("components", "files", "support")
+
+
 def churn(commit_files: DataFrame) -> DataFrame:
     return commit_files.groupBy("path").agg(F.sum(F.col("added") + F.col("deleted")).alias("churn"), F.count_distinct("sha").alias("commits"))
 
@@ -69,7 +81,7 @@ def hotspots(commit_files: DataFrame, files: DataFrame, top: int = 20) -> DataFr
     return kept.select("path", "churn", "commits", "loc", "score").orderBy(F.desc("score"), "path").limit(top)
 
 
-def renamed(commit_files: DataFrame, renames: DataFrame, most: int = 100) -> DataFrame:
+def renamed(commit_files: DataFrame, renames: DataFrame) -> DataFrame:
     """commit_files with old paths replaced by today's. renames: seq (0 is the newest commit), old, new.
 
     A rename holds for the commits older than it. Chains are followed link by link, from older renames to newer ones, so
@@ -78,7 +90,7 @@ def renamed(commit_files: DataFrame, renames: DataFrame, most: int = 100) -> Dat
     now = commit_files.withColumn("_at", F.col("seq")).withColumn("_row", F.monotonically_increasing_id())
     now = settle(now, "renames")
     columns = [c for c in now.columns if c not in ("path", "_at")]
-    for _ in range(most):
+    while True:  # ends: each round follows renames that are newer than the last
         r = renames.select(F.col("seq").alias("_seq"), F.col("old").alias("path"), F.col("new").alias("_new"))
         hit = now.join(r, "path").where("_seq < _at").withColumn("_nth", F.row_number().over(W.partitionBy("_row").orderBy(F.desc("_seq"), "_new"))).where("_nth = 1").select("_row", "_new", "_seq")
         nxt = settle(now.join(hit, "_row", "left").select(*columns, F.coalesce("_new", "path").alias("path"), F.coalesce("_seq", "_at").alias("_at"), F.col("_new").isNotNull().alias("_moved")), "renames")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import reachable
+from .graph import reachable, small_closure
 
 
 def component_graph(edges: DataFrame, samples: int = 3) -> DataFrame:
@@ -33,7 +33,11 @@ def coupling(components: DataFrame, files: DataFrame, graph: DataFrame) -> DataF
 def propagation_cost(components: DataFrame, graph: DataFrame) -> DataFrame:
     """One row: the share of all ordered pairs of components, (c, c) included, in which the first reaches the second."""
     n = components.agg(F.count_distinct("component").alias("n"))
-    reach = reachable(graph.select(F.col("from_c").alias("a"), F.col("to_c").alias("b"))).where("a <> b").agg(F.count("*").alias("pairs"))
+    links = graph.select(F.col("from_c").alias("a"), F.col("to_c").alias("b"))
+    if found := small_closure(links):
+        reach = graph.sparkSession.createDataFrame([(int(found[1].sum()) - len(found[0]),)], "pairs long")
+    else:
+        reach = reachable(links).where("a <> b").agg(F.count("*").alias("pairs"))
     return n.crossJoin(reach).select("n", (F.col("pairs") + F.col("n")).alias("reachable"), F.when(F.col("n") > 0, (F.col("pairs") + F.col("n")) / (F.col("n") * F.col("n"))).otherwise(0.0).alias("cost"))  # one row each
 
 
@@ -43,9 +47,10 @@ def hubs(metrics: DataFrame) -> DataFrame:
     return metrics.crossJoin(F.broadcast(least)).where("fan_in >= least and fan_out >= least").select("component", "fan_in", "fan_out", F.col("least").cast("long").alias("least"))  # least: one row
 
 
-def gods(metrics: DataFrame, share: float = 0.3, least: int = 4) -> DataFrame:
-    """Components with over the share of all files and of all lines, where there are enough components. metrics: over production files."""
-    total = metrics.agg(F.count("*").alias("n"), F.sum("files").alias("all_files"), F.sum("loc").alias("all_loc"))
+def gods(metrics: DataFrame, share: float = 0.3, least: int = 4, total: DataFrame | None = None) -> DataFrame:
+    """Components with over the share of all files and of all lines, where there are enough components. metrics: over production files; total: all_files and all_loc in one row, where files without a component count too."""
+    own = metrics.agg(F.count("*").alias("n"), F.sum("files").alias("all_files"), F.sum("loc").alias("all_loc"))
+    total = own if total is None else own.select("n").crossJoin(total)
     return metrics.crossJoin(F.broadcast(total)).where((F.col("n") >= least) & (F.col("files") > share * F.col("all_files")) & (F.col("loc") > share * F.col("all_loc"))).select("component", "files", "loc")  # total: one row
 
 

@@ -30,13 +30,31 @@ def _escaped(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), r"\|", r"\\|"), r"\s+", " ")
 
 
+def text_lines(findings: DataFrame) -> DataFrame:
+    """value: a line for each finding in the order of findings, its status where that isn't new, and its place on a line of its own; write it with .write.text."""
+    place = F.concat_ws(":", "file", F.col("line").cast("string"))
+    head = F.concat(F.rpad("level", 5, " "), F.lit("  "), "rule", F.lit("  "), "message", F.when(F.col("status") != "new", F.concat(F.lit("  ["), "status", F.lit("]"))).otherwise(""))
+    return findings.orderBy(*order()).select(F.explode(F.array_compact(F.array(head, F.when(F.col("file").isNotNull(), F.concat(F.lit("  at "), place))))).alias("value"))
+
+
+#: Sections of a report: heading, and which findings it lists.
+SECTIONS = (("New errors", "status = 'new' and level = 'error'"), ("New warnings", "status = 'new' and level = 'warn'"), ("Notes", "status = 'new' and level = 'info'"), ("Existing", "status = 'existing'"), ("Baselined", "status = 'baselined'"), ("Waived", "status = 'waived'"))
+
+
 def markdown(findings: DataFrame, rows: int = 50) -> str:
-    """A table of the first findings and a line that counts the others."""
-    n = findings.count()
+    """A section for each kind of findings that there is: a table of the first ones and a line that counts the others."""
+    section = F.coalesce(*(F.when(F.expr(w), k) for k, (_, w) in enumerate(SECTIONS)))
     place = F.concat_ws(":", "file", F.col("line").cast("string"))
-    lines = [r.value for r in findings.orderBy(*order()).limit(rows).select(F.concat(F.lit("| "), F.concat_ws(" | ", "level", "status", "rule", _escaped(place), _escaped(F.col("message"))), F.lit(" |")).alias("value")).collect()]
-    more = ["", f"{n - rows} more."] if n > rows else []
-    return "\n".join(["| Level | Status | Rule | Place | Message |", "|-|-|-|-|-|", *lines, *more])
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "level", "rule", _escaped(place), _escaped(F.col("message"))), F.lit(" |"))
+    told = findings.withColumn("section", section).where("section is not null")
+    counts = {r.section: r.n for r in told.groupBy("section").agg(F.count("*").alias("n")).collect()}
+    first = told.withColumn("nth", F.row_number().over(W.partitionBy("section").orderBy(*order()))).where(F.col("nth") <= rows)
+    lines = first.orderBy("section", "nth").select("section", line.alias("value")).collect()  # rows for each section
+    out = []
+    for k, (name, _) in enumerate(SECTIONS):
+        if k in counts:
+            out += [f"### {name}: {counts[k]}", "", "| Level | Rule | Place | Message |", "|-|-|-|-|", *(r.value for r in lines if r.section == k), *([f"\n{counts[k] - rows} more."] if counts[k] > rows else []), ""]
+    return "\n".join(out)
 
 
 def sarif_results(findings: DataFrame, weakenings: DataFrame | None = None, tool: str = "tessera", contract: str = "contract.yaml", baseline: str = "baseline.json") -> DataFrame:
@@ -79,22 +97,38 @@ def sarif(findings: DataFrame, weakenings: DataFrame | None = None, tool: str =
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": values}]}, indent=2) + "\n"
 
 
-def mermaid(graph: DataFrame, cycles: DataFrame | None = None) -> str:
-    """A flow chart of a component graph, edges of types alone dashed, edges within a cycle(node, scc) thick."""
-    g = graph
-    if cycles is not None:
-        c = lambda k: cycles.select(F.col("node").alias(k), F.col("scc").alias(f"s_{k}"))
-        g = g.join(c("from_c"), "from_c", "left").join(c("to_c"), "to_c", "left").withColumn("thick", F.coalesce(F.col("s_from_c") == F.col("s_to_c"), F.lit(False)))
-    else:
-        g = g.withColumn("thick", F.lit(False))
-    name = lambda c: F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
-    arrow = F.when(F.col("thick"), "==>").when(F.col("kinds") == F.array(F.lit("type")), "-.->").otherwise("-->")
-    lines = [r.value for r in g.orderBy("from_c", "to_c").select(F.concat(F.lit("  "), name("from_c"), F.lit(" "), arrow, F.lit("|"), "cnt", F.lit("| "), name("to_c")).alias("value")).collect()]  # a line for each pair of components
-    return "\n".join(["flowchart TD", *lines])
-
-
-def dot(graph: DataFrame) -> str:
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+def _nodes(graph: DataFrame, components: DataFrame | None, cycles: DataFrame | None) -> DataFrame:
+    """name, id (letters, digits and _, different for different names) and cyclic of every component of a graph or of components(component)."""
+    names = graph.select(F.explode(F.array("from_c", "to_c")).alias("name"))
+    if components is not None:
+        names = names.union(components.select("component"))
+    base = F.concat(F.lit("c_"), F.regexp_replace("name", "[^A-Za-z0-9_]", "_"))
+    nth = F.row_number().over(W.partitionBy("base").orderBy("name"))
+    named = names.distinct().withColumn("base", base).withColumn("nth", nth).withColumn("id", F.when(F.col("nth") > 1, F.concat("base", F.lit("__"), F.col("nth").cast("string"))).otherwise(F.col("base")))
+    if cycles is None:
+        return named.select("name", "id", F.lit(False).alias("cyclic"))
+    return named.join(cycles.select(F.col("node").alias("name"), F.lit(True).alias("cyclic")).distinct(), "name", "left").select("name", "id", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+
+def mermaid(graph: DataFrame, cycles: DataFrame | None = None, components: DataFrame | None = None) -> str:
+    """A flow chart of a component graph: a line for each component, edges of types alone dashed, members of cycles(node, scc) coloured."""
+    nodes = _nodes(graph, components, cycles)
+    arrow = F.when(F.col("kinds") == F.array(F.lit("type")), "-.->").otherwise("-->")
+    end = lambda c: nodes.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
+    drawn = graph.select("from_c", "to_c", "cnt", arrow.alias("arrow")).join(end("from_c"), "from_c").join(end("to_c"), "to_c")
+    edges = [r.value for r in drawn.orderBy("from_c", "to_c").select(F.concat(F.lit("  "), "from_c_id", F.lit(" "), "arrow", F.lit("|"), "cnt", F.lit("| "), "to_c_id").alias("value")).collect()]  # a line for each pair of components
+    named = nodes.orderBy("name").select("id", F.replace("name", F.lit('"'), F.lit("#quot;")).alias("name"), "cyclic").collect()
+    lines = ["flowchart LR", *(f'  {r.id}["{r.name}"]' for r in named), *edges]
+    if members := [r.id for r in named if r.cyclic]:
+        lines += ["  classDef cycle stroke:#c00,stroke-width:2px", f"  class {','.join(members)} cycle"]
+    return "\n".join(lines) + "\n"
+
+
+def dot(graph: DataFrame, cycles: DataFrame | None = None, components: DataFrame | None = None) -> str:
+    """The same for Graphviz."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     style = F.when(F.col("kinds") == F.array(F.lit("type")), ", style=dashed").otherwise("")
-    lines = [r.value for r in graph.orderBy("from_c", "to_c").select(F.concat(F.lit("  "), quoted(F.col("from_c")), F.lit(" -> "), quoted(F.col("to_c")), F.lit(" [label="), "cnt", style, F.lit("];")).alias("value")).collect()]
-    return "\n".join(["digraph components {", *lines, "}"])
+    nodes = _nodes(graph, components, cycles).orderBy("name").select(F.concat(F.lit("  "), quoted(F.col("name")), F.when(F.col("cyclic"), " [color=red]").otherwise(""), F.lit(";")).alias("value"))
+    edges = graph.orderBy("from_c", "to_c").select(F.concat(F.lit("  "), quoted(F.col("from_c")), F.lit(" -> "), quoted(F.col("to_c")), F.lit(" [label="), "cnt", style, F.lit("];")).alias("value"))
+    return "\n".join(["digraph components {", "  rankdir=LR;", *(r.value for d in (nodes, edges) for r in d.collect()), "}"]) + "\n"

@@ -36,7 +36,7 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame,
     target = F.when(relative, normalized(F.concat_ws("/", F.regexp_replace("path", r"/?[^/]*$", ""), spec)))
     aliased = F.lit(False)
     for prefix, folder in aliases:
-        target = F.when(target.isNull() & spec.startswith(prefix), normalized(F.concat(F.lit(folder), F.substring(spec, len(prefix) + 1, 10_000)))).otherwise(target)
+        target = F.when(target.isNull() & spec.startswith(prefix), normalized(F.concat(F.lit(folder), spec.substr(F.lit(len(prefix) + 1), F.length(spec))))).otherwise(target)
         aliased = aliased | spec.startswith(prefix)
     # columns of their own, so that the plan computes them once for all candidates
     aimed = imports.withColumn("_target", target).withColumn("_bare", F.regexp_replace("_target", r"\.(?:js|jsx|mjs|cjs)$", ""))
@@ -46,7 +46,7 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame,
     node = F.regexp_replace(spec, "^node:", "")
     builtin = spec.startswith("node:") | F.regexp_extract(node, r"^([^/]+)", 1).isin(*NODE)
     known = found.withColumn("_package", F.when(~relative & ~aliased, package)).join(workspaces.select(F.col("name").alias("_package"), F.col("name").alias("workspace"), "dir"), "_package", "left")
-    inside = normalized(F.concat_ws("/", "dir", F.lit("src"), F.coalesce(F.nullif(F.regexp_replace(F.substring(spec, F.length("_package") + 2, F.lit(10_000)), r"\.js$", ""), F.lit("")), F.lit("index"))))
+    inside = normalized(F.concat_ws("/", "dir", F.lit("src"), F.coalesce(F.nullif(F.regexp_replace(spec.substr(F.length("_package") + 2, F.length(spec)), r"\.js$", ""), F.lit("")), F.lit("index"))))
     entry = F.array(*(F.concat("_inside", F.lit(e)) for e in _SCRIPT_ENDS))
     again = _first_existing(known.withColumn("_inside", F.when(F.col("workspace").isNotNull(), inside)).withColumnRenamed("to_", "_to"), entry, files).withColumn("to_", F.coalesce("_to", "to_"))
     outside = F.col("to_").isNull() & F.col("workspace").isNull() & ~relative & ~aliased

@@ -13,6 +13,7 @@ from ..functions.globs import glob_match
 from ..functions.hashing import cycle_fingerprint, edge_fingerprint, key_fingerprint, target_key
 from ..functions.selectors import any_selects, first_selecting, selects
 from ..schemas import Component, Resource, Rule, Waiver
+from ..scratch import settle
 from .graph import mutual_components, strong_components
 from .mapping import component_of, missing_target
 
@@ -128,10 +129,11 @@ def acyclic_findings(edges: DataFrame, rule: Rule, components: Sequence[Componen
     pairs = known.select(F.col("src")[by].alias("a"), F.col("dst")[by].alias("b"), F.col("src.component").alias("ca"), F.col("dst.component").alias("cb"), F.col("from_").alias("file"), "line").where("a is not null and b is not null and a <> b")
     if rule.within:
         pairs = pairs.where(any_selects(rule.within, end(F.col("a"), F.col("ca"))) & any_selects(rule.within, end(F.col("b"), F.col("cb"))))
-    members = (mutual_components if by_component else strong_components)(pairs.select("a", "b").distinct())
+    pairs = settle(pairs.groupBy("a", "b").agg(F.min(F.struct("file", "line")).alias("at")), "cycle-pairs")
+    members = (mutual_components if by_component else strong_components)(pairs.select("a", "b"))
     m = members.select(F.col("node").alias("a"), "scc")
     inside = pairs.join(m, "a").join(members.select(F.col("node").alias("b"), F.col("scc").alias("other")), "b").where("scc = other")
-    at = inside.groupBy("scc").agg(F.min(F.struct("file", "line")).alias("at"))
+    at = inside.groupBy("scc").agg(F.min("at").alias("at"))
     held = _in_force(rule, waivers, today)
     node = end(F.col("node"), component_of(F.col("node"), components))
     takes = {f"w{k}{side}": F.max(selects(raw, node) if raw else F.lit(True)) for k, w in enumerate(held) for side, raw in (("a", w.from_), ("b", w.to_))}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import glob_match
 from ..functions.hashing import content_id, edge_fingerprint
 from ..functions.text import STOPWORDS, normalize_signature
-from ..operators import diff, graph, history, mapping, metrics, rules, search, status
+from ..operators import diff, findings, graph, history, mapping, metrics, rules, search, status
 from ..schemas import Component, Resource, Rule, Waiver
 from ..sources import files
 from ..streaming import sessions
@@ -346,6 +347,13 @@ def clusters(spark, sf_dir):
     return graph.clusters(history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.05))
 
 
+@query(", " + _COCHANGE.format(item="path", s=2, c=0.2) + ", u as (select a, b from pairs union select b, a from pairs), r as (select a, b from u union select r.a, u.b from r join u on u.a = r.b), g as (select a as node, least(a, min(b)) as root from r group by a), s as (select root, max(support) support from pairs join g on g.node = a group by 1), m as (select root, count(*) n, count(distinct component) parts, min(node) first_ from g join files on path = node group by 1 having count(distinct component) > 1) select n as files, parts as components, support, first_ as first_file from m join s using (root) order by support desc, n desc, encode(first_) limit 10")
+def change_clusters(spark, sf_dir):
+    pairs = history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.2)
+    found = history.change_clusters(pairs, C.files(spark, sf_dir))
+    return found.select(F.size("files").cast("long").alias("files"), F.size("components").cast("long").alias("components"), "support", F.col("files")[0].alias("first_file"))
+
+
 @query(", links as (select distinct ef a, et b from edges where lf > lt), h as (select distinct b as node, 0 as height from links union select l.a, h.height + 1 from h join links l on l.b = h.node) select node, max(height)::int as height from h group by node")
 def layer_heights(spark, sf_dir):
     loc = C.files(spark, sf_dir)
@@ -403,6 +411,63 @@ def baseline_grown(spark, sf_dir):
     return diff.baseline_growth(base, head, spark.createDataFrame([(b,) for b in C.BRANDS[:-1]], "rule string"))
 
 
+_BASE = "base as (select * from edges where (split_part(cf, '#', 2)::int * 7 + split_part(ct, '#', 2)::int) % 5 <> 0)"
+
+
+def _sparse(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All edges, and before them those without a fifth of the component pairs."""
+    e = C.edges(spark, sf_dir)
+    n = lambda end: F.expr(f"cast(split({end}.component, '#')[1] as int)")
+    return e.where((n("src") * 7 + n("dst")) % 5 != 0), e
+
+
+def _fp_key(rule: str, *parts: str) -> str:
+    return "left(sha256(" + " || chr(0) || ".join(("'key'", f"'{rule}'", *parts)) + "), 16)"
+
+
+@query(f", {_BASE}, f as (select cf, ct, ef, line, count(*) over (partition by cf, ct) n, row_number() over (partition by cf, ct order by encode(ef), line, encode(et)) k from edges where cf <> ct) select cf as from_, ct as to_, ef as file, line, {_fp_key('new-component-edge', 'cf', 'ct')} as fingerprint, n from f where k = 1 and not exists (select 1 from base b where b.cf = f.cf and b.ct = f.ct)")
+def new_component_edge(spark, sf_dir):
+    found = findings.structure_findings(*_sparse(spark, sf_dir), C.COMPONENTS, cycles=False).where("rule = 'new-component-edge'")
+    return found.select("from_", "to_", "file", "line", "fingerprint", F.regexp_extract("message", "([0-9]+)[.]$", 1).cast("long").alias("n"))
+
+
+_UPHILL = f"{_GROUP.format(c='cf')} = {_GROUP.format(c='ct')}"
+
+
+def _grouped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Edges within groups of five components, and before them those that lead up only, in the first two groups down as well."""
+    n = lambda end: F.expr(f"cast(split({end}.component, '#')[1] as int)")
+    e = C.edges(spark, sf_dir).where(F.floor((n("src") - 1) / 5) == F.floor((n("dst") - 1) / 5))
+    return e.where((n("src") <= n("dst")) | (n("src") <= 10)), e
+
+
+@query(f", links as (select distinct cf a, ct b from edges where cf <> ct and {_UPHILL}), reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b), scc as (select r.a node, least(r.a, min(r.b)) scc from reach r join reach s on s.a = r.b and s.b = r.a where r.a <> r.b group by r.a) select left(sha256('cycle' || chr(0) || 'new-cycle' || chr(0) || string_agg(node, chr(0) order by encode(node))), 16) as fingerprint, count(*) as size from scc group by scc having min(split_part(node, '#', 2)::int) > 10")
+def new_cycle(spark, sf_dir):
+    found = findings.structure_findings(*_grouped(spark, sf_dir), C.COMPONENTS).where("rule = 'new-cycle'")
+    return found.select("fingerprint", F.size(F.split("message", ",")).cast("long").alias("size"))
+
+
+@query(f", h as (select distinct cf a, ct b from edges where cf <> ct and {_UPHILL}), g as (select a, b from h where {_NUMBER.format(c='a')} <= {_NUMBER.format(c='b')} or {_NUMBER.format(c='a')} <= 10), rh as (select a, b from h union select r.a, h.b from rh r join h on h.a = r.b), rg as (select a, b from g union select r.a, g.b from rg r join g on g.a = r.b) select 'The propagation cost rose from ' || printf('%.2f', (25 + (select count(*) from rg where a <> b)) / 625) || ' to ' || printf('%.2f', (25 + (select count(*) from rh where a <> b)) / 625) || '.' as message, {_fp_key('propagation-cost-rise')} as fingerprint")
+def propagation_rise(spark, sf_dir):
+    return findings.structure_findings(*_grouped(spark, sf_dir), C.COMPONENTS).where("rule = 'propagation-cost-rise'").select("message", "fingerprint")
+
+
+@query(f", {C.VERSIONS_SQL}, r as (select unnest(['gone', 'marked']) \"rule\") select \"rule\", case \"rule\" when 'gone' then 'error' else 'warn' end as level, h.ef as file, h.cf as from_, h.ct as to_, h.line, left(sha256('edge' || chr(0) || \"rule\" || chr(0) || ef || chr(0) || et || chr(0) || kind), 16) as fingerprint from head h, r where (\"rule\" = 'gone' and h.ct = 'Brand#3' and kind <> 'type' or \"rule\" = 'marked' and h.ct = 'Brand#13') and h.cf <> h.ct and not exists (select 1 from base b where b.ef = h.ef and b.ct = h.ct)")
+def deprecated_rules(spark, sf_dir):
+    parts = tuple(replace(c, deprecated=c.id == "Brand#13") for c in C.COMPONENTS)
+    given = [Rule("gone", "deprecated", components=("Brand#3",), include_type_imports=False), Rule("marked", "deprecated", "warn")]
+    return findings.deprecated_findings(*C.versions(spark, sf_dir), given, parts).select("rule", "level", "file", "from_", "to_", "line", "fingerprint")
+
+
+_CHANGED = "c as (select p_brand as component, p_partkey::varchar as file, p_name as name, case when p_size >= 40 then 'added' when p_size < 10 then 'removed' else 'changed' end as change from part where p_size >= 40 or p_size < 10 or p_size % 5 = 0)"
+
+
+@query(f"select 'stable' as \"rule\", 'error' as level, component as from_, file, {_fp_key('stable', 'file', 'name', 'change')} as fingerprint from c where component in ('Brand#1', 'Brand#2') and change <> 'added' union all select 'closed', case change when 'added' then 'warn' else 'error' end, component, file, {_fp_key('closed', 'file', 'name', 'change')} from c where component = 'Brand#3' or file like '1%'", _CHANGED)
+def api_stability(spark, sf_dir):
+    given = [Rule("stable", "api-stability", components=("Brand#1", "Brand#2")), Rule("closed", "api-stability", components=("Brand#3", "path:1*"), allow_growth=False), Rule("off", "api-stability", "off", components=("*",))]
+    return findings.api_findings(api_compare(spark, sf_dir), given).select("rule", "level", "from_", "file", "fingerprint")
+
+
 # text
 
 

@@ -21,7 +21,7 @@ def _base(spark: SparkSession) -> str:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="tessera-"))
         return f"file://{_local[0]}"
-    return spark.conf.get("spark.sql.warehouse.dir")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -38,14 +38,15 @@ def session_checks(events: DataFrame) -> DataFrame:
 
     The snapshot that a check counts against is that of the last start before it which took one: the session's first, or
     one whose source is startup. Its errors allow as many of a fingerprint in every check anew; warnings are never allowed.
+    A stop event is a check of all that the session changed, of which only the errors come out.
     """
     ids = events.groupBy("session_id", "event", "event_id").agg(F.min("seq").alias("at"), F.max("source").alias("source"))
     w = W.partitionBy("session_id").orderBy("at")
     starts = ids.where("event = 'start'").withColumn("n", F.row_number().over(w)).where("n = 1 or source = 'startup'").select("session_id", F.col("event_id").alias("snapshot"), F.col("at").alias("taken"))
-    checks = ids.where("event = 'check'").select("session_id", "event_id", "at")
+    checks = ids.where("event in ('check', 'stop')").select("session_id", "event_id", "at")
     before = checks.join(starts, "session_id", "left").where("taken is null or taken < at").groupBy("session_id", "event_id").agg(F.max_by("snapshot", "taken").alias("snapshot"))
     allowed = events.where("event = 'start' and level = 'error' and fingerprint is not null").groupBy("session_id", F.col("event_id").alias("snapshot"), "fingerprint").agg(F.count("*").alias("k"))
-    found = events.where("event = 'check' and fingerprint is not null").withColumn("nth", F.row_number().over(W.partitionBy("session_id", "event_id", "fingerprint", "level").orderBy("seq")))
+    found = events.where("(event = 'check' or event = 'stop' and level = 'error') and fingerprint is not null").withColumn("nth", F.row_number().over(W.partitionBy("session_id", "event_id", "fingerprint", "level").orderBy("seq")))
     judged = found.join(before, ["session_id", "event_id"], "left").join(allowed, ["session_id", "snapshot", "fingerprint"], "left")
     error = F.col("level") == "error"
     beyond = judged.where(~error | (F.col("nth") > F.coalesce("k", F.lit(0))))
@@ -72,10 +73,10 @@ def session_stream(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
                     start, allow = e.event_id, {}
                 if e.event_id == start and e.level == "error" and e.fingerprint is not None:
                     allow[e.fingerprint] = allow.get(e.fingerprint, 0) + 1
-            elif e.event == "check":
+            elif e.event in ("check", "stop"):
                 if e.event_id != check:
                     check, used = e.event_id, {}
-                if e.fingerprint is None:
+                if e.fingerprint is None or (e.event == "stop" and e.level != "error"):
                     continue
                 if e.level == "error" and used.get(e.fingerprint, 0) < allow.get(e.fingerprint, 0):
                     used[e.fingerprint] = used.get(e.fingerprint, 0) + 1

@@ -11,6 +11,7 @@ from tessera.functions.globs import patterns_regex, to_regex
 from tessera.functions.hashing import content_id, cycle_fingerprint, edge_fingerprint, fingerprint
 from tessera.functions.text import collapse, decision_id, normalize_signature, slug, token_estimate, tokens
 from tessera.operators import diff, extract, graph, history, mapping, metrics, report, resolve, rules, search
+from tessera.operators import findings as FN
 from tessera.plans import check as plans
 from tessera.schemas import EDGES, Component, Contract, Resource, Rule, Waiver
 from tessera.sources import documents, files, git
@@ -158,8 +159,11 @@ def test_metrics(spark):
     m = metrics.coupling(spark.createDataFrame([("app",), ("domain",), ("infra",), ("alone",)], "component string"), own, g)
     assert {(r.component, r.fan_in, r.fan_out, r.instability) for r in m.collect()} == {("app", 0, 1, 1.0), ("domain", 1, 1, 0.5), ("infra", 1, 0, 0.0), ("alone", 0, 0, None)}
     assert metrics.propagation_cost(own, g).first().cost == pytest.approx(6 / 9)
-    assert "app -->|2| domain" in report.mermaid(g) and '"domain" -> "infra" [label=1];' in report.dot(g)
-    assert "domain ==>|1| infra" in report.mermaid(g, spark.createDataFrame([("domain", "domain"), ("infra", "domain")], "node string, scc string"))
+    assert "c_app -->|2| c_domain" in report.mermaid(g) and '"domain" -> "infra" [label=1];' in report.dot(g)
+    cycle = spark.createDataFrame([("domain", "domain"), ("infra", "domain")], "node string, scc string")
+    assert "class c_domain,c_infra cycle" in report.mermaid(g, cycle) and '"infra" [color=red];' in report.dot(g, cycle)
+    alone = spark.createDataFrame([("in-fra",), ("in.fra",)], "component string")
+    assert {'  c_in_fra["in-fra"]', '  c_in_fra__2["in.fra"]'} <= set(report.mermaid(g, None, alone).split("\n"))
 
 
 def test_history(spark):
@@ -283,7 +287,9 @@ def test_sources(spark, tmp_path):
 def test_report(spark):
     f = spark.createDataFrame([("r", "k", "warn", "a | <b>", "a", "b", "f.ts", 2, "x", "new", False), ("r", "k", "error", "m", "a", "b", "f.ts", 1, "y", "new", False), ("r", "k", "error", "m", "a", "b", "f.ts", 1, "z", "waived", False)], "rule string, kind string, level string, message string, from_ string, to_ string, file string, line int, fingerprint string, status string, heuristic boolean")
     assert [json.loads(r.value)["fingerprint"] for r in report.json_lines(f).collect()] == ["y", "z", "x"]
-    assert "a \\| &lt;b> |" in report.markdown(f) and report.markdown(f, 1).endswith("2 more.")
+    assert "a \\| &lt;b> |" in report.markdown(f) and "### Waived: 1" in report.markdown(f)
+    many = f.union(f).union(f)
+    assert report.markdown(many, 2).count("1 more.") == 3 and [r.value for r in report.text_lines(f.where("status = 'waived'")).collect()] == ["error  r  m  [waived]", "  at f.ts:1"]
     run = json.loads(report.sarif(f))["runs"][0]
     assert [r["level"] for r in run["results"]] == ["error", "warning"] and run["results"][0]["partialFingerprints"] == {"tessera/v1": "y"}
 
@@ -307,7 +313,78 @@ def test_built_in(spark):
     e = edges(spark, [("src/app/a.ts", "src/domain/b.ts", "static", 1)])
     f = spark.createDataFrame([("src/app/a.ts", 10, "app"), ("src/domain/b.ts", 10, "domain"), ("src/infra/c.ts", 5, "infra")], "path string, loc int, component string")
     changed = spark.createDataFrame([(str(k), p, 5, 1) for k in range(6) for p in ("src/app/a.ts", "src/infra/c.ts")], "sha string, path string, added long, deleted long")
-    assert {tuple(r) for r in plans.built_in(e, f, changed).collect()} == {("hotspot", "src/app/a.ts"), ("hidden-change-coupling", "app <-> infra")}
+    got = {(r.rule, r.from_, r.to_, r.file, r.level) for r in plans.built_in(e, f, SHOP, changed).collect()}
+    assert got == {("hotspot", "app", None, "src/app/a.ts", "info"), ("hidden-change-coupling", "app", "infra", None, "info")}
+
+
+def test_metric_findings(spark):
+    parts = tuple(Component(c, (f"src/{c}",)) for c in "abcd")
+    e = plans.mapping.with_endpoints(spark.createDataFrame([(f"src/{a}/x.ts", f"src/{b}/x.ts") for a, b in ("ab", "ac", "ba", "cd", "bd")], "from_ string, to_ string").selectExpr("from_", "to_", "cast(null as string) workspace", "cast(null as string) package", "false builtin", "to_ specifier", "'static' kind", "1 line", "false unresolved"), parts)
+    f = spark.createDataFrame([("src/a/x.ts", 80, "a"), ("src/a/y.ts", 10, "a"), ("src/b/x.ts", 5, "b"), ("lost.ts", 40, None), ("src/c/x.test.ts", 999, "c")], "path string, loc int, component string")
+    told = lambda *n: {(r.rule, r.from_, r.to_): r.message for r in FN.metric_findings(e, f, parts, *n).collect()}
+    assert set(told()) == {("god-component", "a", None)} | {("unstable-dependency", a, b) for a, b in ()}
+    assert "2 of 4 production files (50%) and 90 of 135 lines (67%)" in told()["god-component", "a", None]
+    assert set(told(4, 9)) == set() and "Based on 4 of 5 source files." in told(4, 5)["god-component", "a", None]
+
+
+def test_diff(spark):
+    """The shop's comparison: three new errors, three existing ones, one in the baseline, one name more in the public surface, and what the structure and the contract say."""
+    say = lambda rows: spark.createDataFrame(rows, "from_ string, to_ string, package string, specifier string, kind string, line int").selectExpr("from_", "to_", "cast(null as string) workspace", "package", "false builtin", "specifier", "kind", "line", "false unresolved")
+    old = [("src/app/checkout.ts", None, "lodash", "lodash/chunk", "static", 1), ("src/app/checkout.ts", "src/domain/index.ts", None, "../domain/index.ts", "static", 2), ("src/domain/order.ts", "src/infra/db.ts", None, "../infra/db.ts", "static", 1), ("src/domain/order.ts", "src/domain/money.ts", None, "./money.ts", "type", 2), ("src/infra/db.ts", "src/domain/order.ts", None, "../domain/order.ts", "type", 1)]
+    new = [*old, ("src/domain/tax.ts", None, "lodash", "lodash/chunk", "static", 1), ("src/domain/tax.ts", "src/infra/db.ts", None, "../infra/db.ts", "static", 2)]
+    rules_ = (
+        Rule("domain-is-pure", "forbid", from_=("domain",), to_=("infra",)), Rule("layering", "layers", layers=(("app",), ("infra",), ("domain",))), Rule("no-cycles", "acyclic"), Rule("domain-entrypoint", "entrypoints", "warn", targets=("domain",)),
+        Rule("domain-no-packages", "external-imports", from_=("domain",), allow=()), Rule("stable", "api-stability", components=("domain",), allow_growth=False),
+    )
+    contract = Contract(SHOP, rules=rules_)
+    base_files = [(p, 10) for p in ("src/app/checkout.ts", "src/domain/index.ts", "src/domain/order.ts", "src/domain/money.ts", "src/infra/db.ts")]
+    files_ = lambda rows: spark.createDataFrame(rows, "path string, loc int")
+    exports = lambda rows: spark.createDataFrame(rows, "file string, name string, signature string, target string, original string")
+    was = [("src/domain/index.ts", "Order", "Order", "src/domain/order.ts", "Order"), ("src/domain/order.ts", "Order", "class Order", None, None)]
+    now = [*was, ("src/domain/index.ts", "taxBatches", "taxBatches", "src/domain/tax.ts", "taxBatches"), ("src/domain/tax.ts", "taxBatches", "function taxBatches()", None, None)]
+    stars = spark.createDataFrame([], "file string, target string")
+    held = spark.createDataFrame([("a9aedfe53d11dac6", "no-cycles", 1)], "fingerprint string, rule string, count int")
+    said = "id string, file string, title string, status string, governs array<string>, weakens array<string>, assumptions array<struct<text:string,check:string,review_by:string>>"
+    d1 = [("0002", "d/2.md", "Keep the domain pure", "accepted", ["domain"], [], [("it is small", "gone", "2020-01-01")])]
+    texts = lambda x: spark.createDataFrame([("rules.yaml", x)], "path string, content_id string")
+    base = plans.Version(contract, say(old), files_(base_files), None, exports(was), stars, spark.createDataFrame(d1, said), held, texts("1"))
+    head = plans.Version(contract, say(new), files_([*base_files, ("src/domain/tax.ts", 4)]), None, exports(now), stars, spark.createDataFrame([*d1, ("0003", "d/3.md", "More", "accepted", ["lost"], ["stable"], [])], said), held, texts("2"))
+    got = plans.diff(base, head, TODAY)
+    rows_ = {(r.rule, r.status, r.file, r.fingerprint, r.approved_by) for r in got.findings.collect()}
+    assert {r[3] for r in rows_ if r[1] == "new" and r[0] in {x.id for x in rules_}} == {"d370805b231eb738", "d407830f0852c187", "372f88439cdb617f"}
+    assert {r[3] for r in rows_ if r[1] == "existing"} == {"7077b3adbec19633", "05025bbefc0ff413", "e23cf1e30d963b29"} and {r[3] for r in rows_ if r[1] == "baselined"} == {"a9aedfe53d11dac6"}
+    assert {(r[0], r[2], r[4]) for r in rows_ if r[1] == "waived"} == {("stable", "src/domain/index.ts", "0003")}
+    assert {(r[0], r[2]) for r in rows_ if r[1] == "new" and r[0] not in {x.id for x in rules_}} == {("stale-decision", "d/3.md"), ("contract-changed", "rules.yaml")}
+    assert [(r.name, r.change) for r in got.api_changes.collect()] == [("taxBatches", "added")] and got.weakenings.count() == 0 and got.fixed.count() == 0
+    # without the rules: the cycle was there before, and a new edge between components is told
+    laxer = Contract(SHOP, rules=rules_[4:])
+    more = plans.Version(laxer, say([*new, ("src/infra/db.ts", "src/app/checkout.ts", None, "../app/checkout.ts", "static", 3)]), head.files)
+    told = plans.diff(plans.Version(laxer, base.edges, base.files), more, TODAY)
+    assert {(r.rule, r.from_, r.to_) for r in told.findings.collect() if r.level == "info"} == {("new-component-edge", "infra", "app"), ("new-cycle", None, None), ("propagation-cost-rise", None, None)}
+    loose = plans.diff(base, plans.Version(laxer, base.edges, base.files, baseline=held.withColumn("count", F.lit(3))), TODAY).weakenings
+    assert {(r.type, r.rule) for r in loose.collect()} == {("rule-removed", x) for x in ("domain-is-pure", "layering", "no-cycles", "domain-entrypoint")} | {("baseline-grown", "no-cycles")}
+
+
+def test_propagation_rise(spark):
+    """One edge more: 0.25 to 0.31 of 4 components is told, the same edge among 8 is not."""
+    for n, want in ((4, 1), (8, 0)):
+        parts = tuple(Component(f"c{k}", (f"c{k}",)) for k in range(n))
+        of = lambda *pairs: plans.mapping.with_endpoints(spark.createDataFrame([(f"{a}/x", f"{b}/x") for a, b in pairs], "from_ string, to_ string").selectExpr("from_", "to_", "cast(null as string) workspace", "cast(null as string) package", "false builtin", "to_ specifier", "'static' kind", "1 line", "false unresolved"), parts)  # noqa: B023, E731
+        got = FN.structure_findings(of(("c0", "c0")), of(("c0", "c1")), parts).where("rule = 'propagation-cost-rise'").collect()
+        assert len(got) == want and all(r.message == "The propagation cost rose from 0.25 to 0.31." for r in got)
+
+
+def test_deprecated_and_api(spark):
+    parts = (Component("a", ("a",)), Component("b", ("b",), deprecated=True), Component("c", ("c",)))
+    of = lambda *rows: plans.mapping.with_endpoints(spark.createDataFrame(rows, "from_ string, to_ string, kind string").selectExpr("from_", "to_", "cast(null as string) workspace", "cast(null as string) package", "false builtin", "to_ specifier", "kind", "1 line", "false unresolved"), parts)
+    base, head = of(("a/1", "b/1", "static")), of(("a/1", "b/2", "static"), ("a/2", "b/1", "type"), ("b/1", "b/2", "static"), ("x", "b/1", "static"), ("a/2", "c/1", "static"))
+    told = lambda *r: {(x.rule, x.level, x.file, x.from_, x.to_) for x in FN.deprecated_findings(base, head, r, parts).collect()}
+    assert told() == {("deprecated-dependency", "warn", "a/2", "a", "b"), ("deprecated-dependency", "warn", "x", "x", "b")}
+    assert told(Rule("d", "deprecated", include_type_imports=False)) == {("d", "error", "x", "x", "b")} and told(Rule("d", "deprecated", "off")) == set()
+    assert told(Rule("d", "deprecated", "warn", components=("c",))) == {("d", "warn", "a/2", "a", "c")}
+    changes = spark.createDataFrame([("a", "a/i", "f", "removed"), ("a", "a/i", "g", "added"), ("c", "c/i", "f", "changed")], "component string, file string, name string, change string")
+    said = {(x.rule, x.level, x.file, x.fingerprint) for x in FN.api_findings(changes, [Rule("s", "api-stability", components=("a", "path:c/**")), Rule("t", "api-stability", "warn", components=("a",), allow_growth=False), Rule("u", "api-stability", "off", components=("*",))]).collect()}
+    assert {x[:3] for x in said} == {("s", "error", "a/i"), ("s", "error", "c/i"), ("t", "warn", "a/i")} and len(said) == 4
 
 
 def test_sessions(spark, tmp_path):
@@ -317,8 +394,9 @@ def test_sessions(spark, tmp_path):
         ev("s", "start", "1", 1, "x", "error", "startup"), ev("s", "start", "1", 2, "x", "error", "startup"), ev("s", "start", "1", 3, "w", "warn", "startup"), ev("s", "check", "2", 4, "x", "error"), ev("s", "check", "2", 5, "x", "error"), ev("s", "start", "3", 6, "y", "error", "resume"),
         ev("s", "check", "4", 7, "x", "error"), ev("s", "check", "4", 8, "x", "error"), ev("s", "check", "4", 9, "x", "error"), ev("s", "check", "4", 10, "w", "warn"), ev("s", "check", "4", 11, "y", "error"), ev("s", "start", "5", 12, None, None, "startup"), ev("s", "check", "6", 13, "x", "error"),
         ev("t", "check", "7", 14, "x", "error"), ev("u", "start", "8", 15, None, None, "resume"), ev("u", "start", "9", 16, "x", "error", "resume"), ev("u", "check", "10", 17, "x", "error"),
+        ev("s", "stop", "11", 18, "x", "error"), ev("s", "stop", "11", 19, "w", "warn"),
     ]
-    want = {("s", "4", "x", 9, "block"), ("s", "4", "w", 10, "context"), ("s", "4", "y", 11, "block"), ("s", "6", "x", 13, "block"), ("t", "7", "x", 14, "block"), ("u", "10", "x", 17, "block")}
+    want = {("s", "4", "x", 9, "block"), ("s", "4", "w", 10, "context"), ("s", "4", "y", 11, "block"), ("s", "6", "x", 13, "block"), ("t", "7", "x", 14, "block"), ("u", "10", "x", 17, "block"), ("s", "11", "x", 18, "block")}
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text("\n".join([*map(json.dumps, rows), "not json", '{"event": "check"}']))
     good, bad = sessions.parse_events(spark.readStream.text(str(tmp_path / "in")))
