@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.globs import glob_match
+from ..scratch import settle
 from .graph import heights
+from .mapping import innermost_workspace
 
+#: Tests and fixtures, which a first map leaves out.
+TESTS = ("**/*.test.*", "**/*.spec.*", "**/__tests__/**", "**/__mocks__/**", "**/test/**", "**/tests/**", "**/Tests/**", "**/e2e/**", "**/fixtures/**", "**/Fixtures/**")
 #: Folders that hold one unit for each child.
 CONTAINERS = ("apps", "components", "crates", "domains", "features", "libs", "modules", "packages", "plugins", "services", "sources", "targets")
 #: The ends of component names and the folders that stand for a layer, the top layer first.
@@ -27,28 +33,77 @@ FORBIDDEN = ("import", "depend", "call", "reference", "reach into")
 SCRIPT_FORBIDDING = ("forbid", "disallow", "not allowed", "must not", "boundar", "layer")
 
 
-def infer_components(files: DataFrame, share: float = 0.8, depth: int = 3) -> DataFrame:
-    """id, folder and files of proposed components of files(path).
-
-    While one folder holds at least the share of all files, its inside is looked at instead, depth levels down at most; the
-    folders of the level reached are the components, those of a container folder one by one.
-    """
+def _folders(files: DataFrame) -> DataFrame:
+    """folder, direct (holds files itself), subs and only (a subfolder) of every folder with files(path) below it."""
     parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("folder"), F.when(k < F.size(parts) - 1, F.element_at(parts, (k + 1).cast("int"))).alias("child")))
+    each = files.where(F.size(parts) > 1).select(F.explode(above).alias("f")).select("f.*")
+    return each.groupBy("folder").agg(F.max(F.col("child").isNull()).alias("direct"), F.count_distinct("child").alias("subs"), F.max("child").alias("only"))
+
+
+def source_root(files: DataFrame, share: float = 0.8, depth: int = 3) -> str:
+    """The folder, depth levels down at most, that holds at least the share of the files above it and two subfolders; without a slash at its end."""
     root = ""
     for _ in range(depth):
-        below = files.where(F.col("path").startswith(root)).select(F.regexp_extract(F.col("path").substr(F.lit(len(root) + 1), F.length("path")), "^([^/]+)/", 1).alias("top"))
-        best = below.groupBy("top").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy())).where("top <> ''").orderBy(F.desc("n"), "top").first()  # a row for each folder of one level
-        if best is None or best["n"] < share * best["all"] or best.top in CONTAINERS:
+        rest = F.split(F.col("path").substr(F.lit(len(root) + 1), F.length("path")), "/")
+        below = files.where(F.col("path").startswith(root)).select(F.when(F.size(rest) > 1, rest[0]).alias("top"), F.when(F.size(rest) > 2, rest[1]).alias("sub"))
+        best = below.groupBy("top").agg(F.count("*").alias("n"), F.count_distinct("sub").alias("subs")).withColumn("all", F.sum("n").over(W.partitionBy())).where("top is not null").orderBy(F.desc("n"), "top").first()  # a row for each folder of one level
+        if best is None or best["n"] < share * best["all"] or best.subs < 2:
             break
         root += best.top + "/"
-    rest = F.split(F.col("path").substr(F.lit(len(root) + 1), F.length("path")), "/")
-    deep = rest[0].isin(*CONTAINERS) & (F.size(rest) > 2)
-    folder = F.concat(F.lit(root), F.when(deep, F.concat_ws("/", rest[0], rest[1])).otherwise(rest[0]))
-    own = files.where(F.col("path").startswith(root) & (F.size(parts) > root.count("/") + 1))
-    unit = own.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"))
-    name = F.regexp_replace(F.lower(F.regexp_extract("folder", "([^/]+)$", 1)), "[^a-z0-9._-]+", "-")
-    again = F.row_number().over(W.partitionBy("id").orderBy("folder"))
-    return unit.withColumn("id", name).withColumn("_n", again).select(F.when(F.col("_n") > 1, F.concat("id", F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col("id")).alias("id"), "folder", "files")
+    return root.removesuffix("/")
+
+
+def infer_components(files: DataFrame, packages: DataFrame | None = None, share: float = 0.8, depth: int = 3) -> DataFrame:
+    """ord, id, folder and files of proposed components of files(path); tests and fixtures don't count.
+
+    First the packages(name, dir) that hold files, then of the other files one component for each folder of the source
+    root (see source_root), for the root's own files, and for each other folder at the top. A folder that only wraps
+    another gives way to it, and the children of a container within three levels are components of their own, before
+    what holds them. A file belongs to the innermost.
+    """
+    spark = files.sparkSession
+    own = files.where(~glob_match(F.col("path"), TESTS)).select("path")
+    packages = (spark.createDataFrame([], "name string, dir string") if packages is None else packages).where("dir <> ''").select("name", "dir")
+    owned = settle(innermost_workspace(own, packages), "infer-files")
+    used = owned.join(packages.select(F.col("name").alias("owner_workspace"), "dir"), "owner_workspace").select("dir", "owner_workspace").distinct()
+    made = [used.select(F.lit(0).alias("stage"), F.lit("").alias("top"), F.lit(False).alias("last"), F.regexp_replace("owner_workspace", "^@[^/]+/", "").alias("name"), F.col("dir").alias("folder"))]
+
+    loose = owned.where("owner_workspace is null").select("path")
+    root = source_root(loose, share, depth)
+    inside = F.col("folder").startswith(root + "/") if root else F.lit(True)
+    level = F.size(F.split("folder", "/"))
+    folders = settle(_folders(loose), "infer-folders")
+    at = root.count("/") + 1 if root else 0
+    beside = folders.where(~inside & (level == 1)).join(loose.where(~F.col("path").startswith(root + "/")).select(F.split("path", "/")[0].alias("folder")).distinct(), "folder", "left_semi")
+    tops = folders.where(inside & (level == at + 1)).union(beside).select(F.when(inside, 1).otherwise(3).alias("stage"), F.col("folder").alias("top"), F.col("folder").alias("dir"))
+    for _ in range(4):  # through folders that only wrap one
+        one = tops.join(folders.withColumnRenamed("folder", "dir"), "dir")
+        tops = one.select("stage", "top", F.when(~F.col("direct") & (F.col("subs") == 1), F.concat_ws("/", "dir", "only")).otherwise(F.col("dir")).alias("dir"))
+    tops = settle(tops, "infer-tops")
+    base = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
+    holds = folders.where(F.lower(base("folder")).isin(*CONTAINERS) & (F.col("subs") >= 2)).select(F.col("folder").alias("container"))
+    near = tops.join(holds, (F.col("container") == F.col("dir")) | F.col("container").startswith(F.concat("dir", F.lit("/"))))  # folders of a tree, in pairs of one below the other
+    far = F.size(F.split("container", "/")) - F.size(F.split("dir", "/"))
+    near = near.withColumn("far", far).where("far <= 3")
+    outer = near.select(F.col("dir").alias("d"), F.col("container").alias("outer"))
+    first = near.join(outer, (F.col("d") == F.col("dir")) & F.col("container").startswith(F.concat("outer", F.lit("/"))), "left_anti")
+    children = first.join(folders.select("folder", F.regexp_extract("folder", "^(.*)/[^/]+$", 1).alias("container")), "container")
+    made.append(children.select("stage", "top", F.lit(False), base("folder"), "folder"))
+    split = first.where("far = 0").select("dir").distinct().withColumn("split", F.lit(True))
+    rest = tops.join(split, "dir", "left").join(folders.select(F.col("folder").alias("dir"), "direct"), "dir").where("split is null or direct")
+    made.append(rest.select("stage", "top", F.lit(True), base("top"), "dir"))
+    if root:
+        made.append(folders.where((F.col("folder") == root) & F.col("direct")).select(F.lit(2), F.lit(""), F.lit(True), base("folder"), "folder"))
+
+    once = F.row_number().over(W.partitionBy("folder").orderBy("stage", "top", "last"))
+    units = reduce(DataFrame.union, made).withColumn("once", once).where("once = 1").withColumn("ord", F.row_number().over(W.orderBy("stage", "top", "last", F.concat("folder", F.lit("/\uffff")))))  # a row for each component
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("name"), "^[.]", "dot-"), "[^a-z0-9._-]+", "-"), "^[^a-z0-9]+", ""), "-+$", "")
+    again = F.row_number().over(W.partitionBy("base").orderBy("ord"))
+    named = units.withColumn("base", F.when(clean == "", "component").otherwise(clean)).withColumn("nth", again).withColumn("id", F.when(F.col("nth") > 1, F.concat("base", F.lit("-"), F.col("nth").cast("string"))).otherwise(F.col("base")))
+    named = settle(named.select("ord", "id", "folder"), "infer-units")
+    held = innermost_workspace(own, named.select(F.col("id").alias("name"), F.col("folder").alias("dir"))).where("owner_workspace is not null").groupBy(F.col("owner_workspace").alias("id")).agg(F.count("*").alias("files"))
+    return named.join(held, "id", "left").select("ord", "id", "folder", F.coalesce("files", F.lit(0).cast("long")).alias("files"))
 
 
 def inferred_layers(graph: DataFrame) -> DataFrame:

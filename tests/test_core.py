@@ -447,8 +447,13 @@ def test_inference(spark):
     from tessera.operators import inference
 
     f = spark.createDataFrame([(f"src/{d}/f{k}.ts", "") for d in ("domain", "Web UI", "packages/one", "packages/two", "lib/one") for k in range(3)] + [("AGENTS.md", "Hello\nThe domain must not import the web.\nonly import")], "path string, text string")
-    got = {(r.id, r.folder, r.files) for r in inference.infer_components(f).collect()}
-    assert got == {("domain", "src/domain", 3), ("web-ui", "src/Web UI", 3), ("one", "src/packages/one", 3), ("two", "src/packages/two", 3), ("lib", "src/lib", 3)}
+    told = lambda *x: [(r.id, r.folder, r.files) for r in inference.infer_components(*x).orderBy("ord").collect()]
+    assert told(f) == [("web-ui", "src/Web UI", 3), ("domain", "src/domain", 3), ("lib", "src/lib/one", 3), ("one", "src/packages/one", 3), ("two", "src/packages/two", 3)]
+    paths = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
+    more = paths(*(f"api/modules/{m}/{k}.ts" for m in ("chats", "users") for k in range(6)), "api/core/a.ts", "api/main.ts", "web/index.ts", "web/a/b.ts", "tool.ts", "api/modules/chats/x.test.ts", "packages/one/i.ts", "packages/one/sub/j.ts")
+    pkgs = spark.createDataFrame([("@acme/one", "packages/one"), ("sub", "packages/one/sub"), ("none", "packages/none"), ("root", "")], "name string, dir string")
+    assert told(more, pkgs) == [("sub", "packages/one/sub", 1), ("one", "packages/one", 1), ("chats", "api/modules/chats", 6), ("users", "api/modules/users", 6), ("api", "api", 2), ("web", "web", 2)]
+    assert told(paths()) == [] and told(paths("a.ts")) == []
     named = spark.createDataFrame([("chat-ui", "chat-ui"), ("chatcore", "ChatCore"), ("shop-domain", "shop_domain"), ("score", "score"), ("core", "core"), ("ChatUI", "ChatUi")], "id string, name string")
     assert {(r.tier, tuple(r.ids)) for r in inference.layer_names(named).collect()} == {(0, ("ChatUI", "chat-ui")), (2, ("chatcore", "shop-domain"))}
     inside = spark.createDataFrame([("a/Domain/x.ts", "a"), ("a/infra/y.ts", "a"), ("b/core/z.ts", "b"), ("b/features/f/z.ts", "b"), ("c/core/z.ts", "c"), ("infra", None)], "path string, component string")
