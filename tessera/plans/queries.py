@@ -347,9 +347,9 @@ def clusters(spark, sf_dir):
     return graph.clusters(history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.05))
 
 
-@query(", " + _COCHANGE.format(item="path", s=2, c=0.2) + ", u as (select a, b from pairs union select b, a from pairs), r as (select a, b from u union select r.a, u.b from r join u on u.a = r.b), g as (select a as node, least(a, min(b)) as root from r group by a), s as (select root, max(support) support from pairs join g on g.node = a group by 1), m as (select root, count(*) n, count(distinct component) parts, min(node) first_ from g join files on path = node group by 1 having count(distinct component) > 1) select n as files, parts as components, support, first_ as first_file from m join s using (root) order by support desc, n desc, encode(first_) limit 10")
+@query(", " + _COCHANGE.format(item="path", s=2, c=0.05) + ", u as (select a, b from pairs union select b, a from pairs), r as (select a, b from u union select r.a, u.b from r join u on u.a = r.b), g as (select a as node, least(a, min(b)) as root from r group by a), s as (select root, max(support) support from pairs join g on g.node = a group by 1), m as (select root, count(*) n, count(distinct component) parts, min(node) first_ from g join files on path = node group by 1 having count(distinct component) > 1) select n as files, parts as components, support, first_ as first_file from m join s using (root) order by support desc, n desc, encode(first_) limit 10")
 def change_clusters(spark, sf_dir):
-    pairs = history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.2)
+    pairs = history.cochange(history.usable(C.changes(spark, sf_dir)).select("sha", F.col("path").alias("item")), 2, 0.05)
     found = history.change_clusters(pairs, C.files(spark, sf_dir))
     return found.select(F.size("files").cast("long").alias("files"), F.size("components").cast("long").alias("components"), "support", F.col("files")[0].alias("first_file"))
 
