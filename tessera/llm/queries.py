@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, packing, pii, quality, sharding, simhash, substring, topk, toxicity
+from . import binpack, bpe, codebooks, embed_dedup, packing, phrases, pii, quality, sharding, simhash, substring, topk, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=4, least=30, within=80, top=2000)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.coded(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+
+
+def op13_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = binpack.tokenized(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end=1)
+    placed = binpack.pack_examples(ids, binpack.Limits(tokens=2048, segments=512, loss=2048), cut=True, example_id="doc_id")
+    return placed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -71,6 +86,9 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_toxicity": op9_toxicity,
     "op10_topk": op10_topk,
+    "op11_phrases": op11_phrases,
+    "op12_codes": op12_codes,
+    "op13_binpack": op13_binpack,
 }
 
 #: Those that SQL can express; tests/llm holds the others against brute force, the library's own encoder or held-out labels.
@@ -98,4 +116,38 @@ ORACLE_SQL: dict[str, str] = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
         select query_id, "rank", vec_id, score from r where "rank" <= 5
     """,
+    "op11_phrases": r"""
+        with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+        w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+        g as (select lang, n, w[i:i + n - 1] g from (select lang, w, n, unnest(range(1, len(w) - n + 2)) i from w, (select unnest(range(1, 5)) n) where len(w) >= n)),
+        f as (select lang, n, g, count(*) f from g group by all),
+        total as (select lang, sum(f)::bigint n from f where n = 1 group by lang),
+        c as (select lang, n, g, f a from f where n >= 2 and f >= 30),
+        longer as (select lang, g[i:i + m - 1] g, max(a) longer from (select lang, n, g, a, m, unnest(range(1, n - m + 2)) i from c, (select unnest(range(2, 4)) m) where m < n) group by all),
+        kept as (select c.* from c left join longer using (lang, g) where longer is null or 100 * longer::hugeint < 80 * a::hugeint),
+        cuts as (select kept.lang, kept.n, kept.g, a, k, l.f l, r.f r, (2000000 * a::hugeint // (l.f + r.f))::bigint score from kept, (select unnest(range(1, 4)) k), f l, f r
+            where k < kept.n and l.lang = kept.lang and l.g = kept.g[1:k] and r.lang = kept.lang and r.g = kept.g[k + 1:]),
+        best as (select *, row_number() over (partition by lang, g order by score, k) nth from cuts),
+        ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) "rank", array_to_string(g, ' ') phrase, a, l, r, score from best where nth = 1)
+        select lang, "rank", phrase, a, l, r, n, score from ranked join total using (lang) where "rank" <= 2000
+    """,
+    "op12_codes": """
+        with v as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v, row_number() over (order by vec_id) - 1 nth from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        x as (select vec_id, label, nth, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] x from v, (select unnest(range(16)) p)),
+        b0 as (select p, nth e, x c from x where nth < 64),
+        d0 as (select vec_id, x.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from x join b0 using (p)),
+        a0 as (select vec_id, p, arg_min(e, d * 1000 + e) e from d0 group by all),
+        m0 as (select a0.p, e, i, floor(sum(x[i]) / count(*))::bigint m from x join a0 using (vec_id, p), (select unnest(range(1, 65)) i) where i <= len(x) group by all),
+        b1 as (select p, e, coalesce(m, c) c from b0 left join (select p, e, list(m order by i) m from m0 group by all) using (p, e)),
+        d1 as (select vec_id, x.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from x join b1 using (p)),
+        a1 as (select vec_id, p, arg_min(e, d * 1000 + e) e from d1 group by all),
+        m1 as (select a1.p, e, i, floor(sum(x[i]) / count(*))::bigint m from x join a1 using (vec_id, p), (select unnest(range(1, 65)) i) where i <= len(x) group by all),
+        b2 as (select p, e, coalesce(m, c) c from b1 left join (select p, e, list(m order by i) m from m1 group by all) using (p, e)),
+        d2 as (select vec_id, label, x.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) d from x join b2 using (p)),
+        a2 as (select vec_id, label, p, arg_min(e, d * 1000 + e) e, min(d) d from d2 group by all),
+        coded as (select vec_id, label, string_agg(printf('%02x', e), '' order by p) code, sum(d)::bigint error from a2 group by all),
+        said as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) codebooks_sha256 from b2)
+        select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256 from coded, said
+    """,
 }
