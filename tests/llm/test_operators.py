@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -190,24 +191,57 @@ def test_similar_of_one_template(spark, monkeypatch):
     assert within(group, got) and within(got, whole)
 
 
-@pytest.mark.parametrize("distance, together", [(0, 2048), (1, 2048), (2, 2048), (3, 2048), (3, 2)])
-def test_simhash_links(spark, distance, together, monkeypatch):
+def linked_groups(fps, pairs):
+    """The smallest fingerprint that each reaches over the pairs."""
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {f: find(f) for f in fps}
+
+
+def near_pairs(signed, distance):
+    x = np.array(signed, np.int64).view(np.uint64)
+    for k in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[k + 1 :] ^ x[k]) <= distance).tolist():
+            yield signed[k], signed[k + 1 + j]
+
+
+@pytest.mark.parametrize("distance, together", [(0, 2048), (1, 2048), (2, 2048), (3, 2048), (3, 2), (2, 5)])
+def test_simhash_links(spark, distance, together):
     r = random.Random(distance)
     base = [r.getrandbits(64) for _ in range(30)]
     fps = {b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 4)} | {0, 1, 2**64 - 1}
     signed = sorted(f - (1 << 64 if f >> 63 else 0) for f in fps)
-    monkeypatch.setattr(simhash, "TOGETHER", together)
-
-    def groups(pairs):
-        root = {f: f for f in signed}
-        for a, b in pairs:
-            a, b = root[a], root[b]
-            root = {f: min(a, b) if r in (a, b) else r for f, r in root.items()}
-        return root
-
-    got = [tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance).collect()]
-    near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance]
-    assert groups(got) == groups(near) and len(got) <= 66 * len(signed)
+    got = [tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance, together).collect()]
+    assert linked_groups(signed, got) == linked_groups(signed, near_pairs(signed, distance))
+    assert together < 2048 or len(got) <= 66 * len(signed)
+
+
+@pytest.mark.parametrize("shared, together", [("low byte", 2048), ("low byte", 100), ("all but 11 bits", 300)])
+def test_simhash_crowded_keys(spark, shared, together):
+    """Thousands of fingerprints under one key: those with one upper segment and one last byte, and those that differ in eleven bits only."""
+    r = np.random.default_rng(3)
+    if shared == "low byte":
+        x = (np.uint64(0xABCDEF01) << np.uint64(32)) | (r.integers(0, 2**24, 3002, dtype=np.uint64) << np.uint64(8)) | np.uint64(0x5A)
+        near = x[:400] ^ (np.uint64(1) << r.integers(8, 32, 400).astype(np.uint64)) ^ (np.uint64(1) << r.integers(8, 32, 400).astype(np.uint64)) ^ (np.uint64(1) << np.uint64(40))
+        x = np.unique(np.concatenate([x, near]))
+    else:
+        x = np.unique(sum((r.integers(0, 2, 1200, dtype=np.uint64) << np.uint64(b) for b in (0, 1, 3, 9, 17, 22, 33, 35, 47, 58, 63)), np.zeros(1200, np.uint64)))
+    signed = sorted(x.view(np.int64).tolist())
+    df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
+    got = [tuple(x) for x in simhash.links(df, 3, together).collect()]
+    want = linked_groups(signed, near_pairs(signed, 3))
+    assert linked_groups(signed, got) == want
+    roots = {r.node: r.root for r in components.components(simhash.links(df, 3, together), "a", "b").collect()}
+    assert {f: roots.get(f, f) for f in signed} == want
 
 
 def brute_cut(given):
@@ -463,6 +497,50 @@ def test_pii(docs, odd, none, monkeypatch):
     assert pii.detect(none).count() == 0 and pii.redact(none).count() == 0
 
 
+@pytest.mark.parametrize("unit, step", [("4", 48), ("4-", 48), ("4 ", 48), ("411-", 3), ("a@b.", 7)])
+def test_pii_long_runs(unit, step):
+    """A megabyte in one chain of touching pieces of all kinds: no longer than a few seconds, and only spans that can be."""
+    text = (unit * (1_000_000 // len(unit) + 1))[:1_000_000]
+    found = [(k % 3, (s, k % 4, s + step + k % 2)) for k, s in enumerate(range(0, len(text) - step - 1, step))]
+    found += [(pii.WINDOW, (s, k % 4, s + 12)) for k, s in enumerate(range(5, len(text) - 12, 977))]
+    began = time.process_time()
+    spans = pii.reconcile(text, pii.base_spans(text), found)
+    assert time.process_time() - began < 30 and all(e - s <= pii.LONGEST[k] for s, k, e in spans)
+    ordered = sorted((s, e) for s, _, e in spans)
+    assert all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:], strict=False)) or pii.base_spans(text)
+
+
+def test_pii_reconcile_like_before():
+    """On ordinary texts the joined and accepted spans are those of comparing all pieces with all."""
+
+    def plain(text, base, found):
+        out, every = list(base), set(found)
+        for kind in range(4):
+            own = sorted((s, e) for _, (s, k, e) in every if k == kind)
+            for i, (s, e) in enumerate(own):
+                for a, b in own[i + 1 :]:
+                    if a > e:
+                        break
+                    if b > e:
+                        e = b
+                        every.add((pii.WINDOW, (s, kind, e)))
+        for _, (s, kind, e) in sorted(every, key=lambda f: (-f[0], f[1][0] - f[1][2], f[1])):
+            while s < e and not (text[s].isalnum() or text[s] in "+("):
+                s += 1
+            while e > s and not text[e - 1].isalnum():
+                e -= 1
+            whole = (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum())
+            if whole and pii.plausible(kind, text[s:e]) and all(e <= a or b <= s for a, _, b in out):
+                out.append((s, kind, e))
+        return sorted(out)
+
+    r = random.Random(5)
+    for _ in range(400):
+        text = " ".join(r.choice(["call", "+1 564 555-4526", "jo (at) corp (dot) org", "4111 1111 1111 1111", "10.0.0.7", "at", "x@y.de", "007"]) for _ in range(12))
+        found = [(r.randrange(97), (s, r.randrange(4), min(len(text), s + r.randrange(1, 30)))) for s in (r.randrange(len(text)) for _ in range(25))]
+        assert pii.reconcile(text, pii.base_spans(text), found) == plain(text, pii.base_spans(text), found)
+
+
 def test_pii_tagger_learns():
     r = np.random.default_rng(0)
     base = [" ".join(r.choice(WORDS, 14)) for _ in range(pii.FIT_WINDOWS)]
