@@ -11,6 +11,7 @@ that no span with a mark can reach need no decoding: whatever the network said o
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import numpy as np
@@ -249,6 +250,10 @@ def pad(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: Characters of a span, at most, with what may separate digits; of the kinds in order. An address has 64 before the sign and 255 behind it.
+LONGEST = (320, 96, 96, 96)
+
+
 def plausible(kind: int, s: str) -> bool:
     """Whether characters that the network marks can be personal data of the kind at all."""
     n = len(_digits(s))
@@ -263,31 +268,58 @@ def plausible(kind: int, s: str) -> bool:
 
 
 def _joined(found: Iterable[tuple[int, Span]]) -> set[tuple[int, Span]]:
-    """The pieces, and in order of their start those of one kind that overlap or touch put together; a joined span comes as if no edge had cut it."""
+    """The pieces, and in order of their start those of one kind that overlap or touch put together; a joined span comes as if no edge had cut it.
+
+    Spans longer than their kind can be aren't made, so a start meets the pieces within that length only, however long a chain is.
+    """
     out = set(found)
-    for kind in range(len(KINDS)):
+    for kind, longest in enumerate(LONGEST):
         own = sorted((s, e) for _, (s, k, e) in out if k == kind)
         for (s, e), more in zip(own, range(1, len(own) + 1), strict=True):
-            for a, b in own[more:]:
-                if a > e:
+            for k in range(more, len(own)):
+                a, b = own[k]
+                if a > e or a - s > longest:
                     break
-                if b > e:
+                if e < b <= s + longest:
                     e = b
                     out.add((WINDOW, (s, kind, e)))
     return out
 
 
+class _Taken:
+    """Characters that spans cover, as disjoint intervals in order."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.starts, self.ends = [], []
+        for s, _, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect_right(self.ends, s)
+        return k < len(self.starts) and self.starts[k] < e
+
+    def add(self, s: int, e: int) -> None:
+        k = bisect_right(self.starts, s)
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+
+
 def reconcile(text: str, base: list[Span], found: Iterable[tuple[int, Span]]) -> list[Span]:
     """Base spans and those of (distance from the window's edge, span) that are plausible and overlap neither a base span nor one accepted before. Of equal distances the longer span comes first, then the one that starts earlier, then the kind listed first."""
-    out = list(base)
+    out, taken = list(base), _Taken(base)
     for _, (s, kind, e) in sorted(_joined(found), key=lambda f: (-f[0], f[1][0] - f[1][2], f[1])):
         while s < e and not (text[s].isalnum() or text[s] in "+("):
             s += 1
         while e > s and not text[e - 1].isalnum():
             e -= 1
         whole = (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum())
-        if whole and plausible(kind, text[s:e]) and all(e <= a or b <= s for a, _, b in out):
+        if s < e and whole and not taken.meets(s, e) and plausible(kind, text[s:e]):
             out.append((s, kind, e))
+            taken.add(s, e)
     return sorted(out)
 
 
