@@ -13,13 +13,15 @@ import zlib
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import islice
+from functools import cache
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, text_or_empty
 
@@ -28,7 +30,7 @@ PARCEL_TOKENS, PARCEL_PIECES = 1 << 22, 20_000
 #: Tokens that one more sequence counts as, where a bin could be cut at powers of two.
 OVERHEAD = 16
 #: Different words whose ids a task remembers before it starts anew; speed only.
-MEMO = 1_000_000
+MEMO = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -154,9 +156,25 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), cut: bool = Fa
     a mask shorter than its ids bears loss beyond its end; other columns are ignored; an empty table gives none. Pieces of
     equal size go in the order of their rows.
     """
+    rows = examples.select(F.col(example_id).alias("id"), F.col(ids).alias("ids"), (F.col(mask) if mask else F.lit(None)).cast("binary").alias("mask"))
+    return rows.mapInArrow(_packing(limits, cut, parcel_tokens), _placed(examples.schema[example_id]))
+
+
+def pack_texts(docs: DataFrame, path: str, limits: Limits = Limits(), cut: bool = False, end: int | None = 1, text: str = "text", doc_id: str = "doc_id", parcel_tokens: int = PARCEL_TOKENS) -> DataFrame:  # noqa: B008  frozen
+    """pack_examples() of the rows of tokenized(), all ids bearing loss, with both in one process of a task."""
+    encode, pack = _encoding(path, end, "id"), _packing(limits, cut, parcel_tokens)
+    rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(lambda batches: pack(encode(batches)), _placed(docs.schema[doc_id]))
+
+
+def _placed(example_id: T.StructField) -> str:
+    return f"id {example_id.dataType.simpleString()}, start long, length long, loss long, tokens long, ids_crc32 long, sequence_id long, offset long, segment long"
+
+
+def _packing(limits: Limits, cut: bool, parcel_tokens: int):
+    """The work of a task on batches of examples."""
     if min(limits.tokens, limits.segments, limits.loss) < 1:
         raise ValueError("each limit must be 1 at least")
-    schema = f"id {examples.schema[example_id].dataType.simpleString()}, start long, length long, loss long, tokens long, ids_crc32 long, sequence_id long, offset long, segment long"
 
     def run(batches):
         bins_before = TaskContext.get().partitionId() << 33
@@ -179,17 +197,18 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), cut: bool = Fa
 
         for b in batches:
             for part in slices([b]):
-                for name, raw, m in zip(part.column("id"), part.column("ids").to_pylist(), part.column("mask").to_pylist(), strict=True):
+                masks = part.column("mask").to_pylist() if "mask" in part.schema.names else repeat(None, part.num_rows)
+                for name, raw, m in zip(part.column("id"), part.column("ids").to_pylist(), masks, strict=True):
                     if not raw:
                         continue
                     n = len(raw) // 4
-                    bears = np.ones(n, np.int64)
+                    before = np.arange(n + 1, dtype=np.int32)  # ids that bear loss before each
                     if m is not None:
                         given = np.frombuffer(m, np.uint8)[:n]
-                        bears[: len(given)] = given != 0
+                        before[1:] -= np.cumsum(np.concatenate([given == 0, np.zeros(n - len(given), bool)]), dtype=np.int32)
                     names.append(name)
                     raws.append(raw)
-                    seen.append(np.concatenate([[0], np.cumsum(bears)]))
+                    seen.append(before)
                     pieces.extend((len(names) - 1, s, e) for s, e in first_pieces(seen[-1], limits))
                     held += n
                     if held > parcel_tokens or len(pieces) > PARCEL_PIECES:
@@ -197,8 +216,7 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), cut: bool = Fa
         if names:
             yield from flush()
 
-    rows = examples.select(F.col(example_id).alias("id"), F.col(ids).alias("ids"), (F.col(mask) if mask else F.lit(None)).cast("binary").alias("mask"))
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 class WordIds:
@@ -207,7 +225,9 @@ class WordIds:
     Words are numbered as they come; the ids of new ones are learnt together. A word of Latin letters and marks behind them has the ids of both parts.
     """
 
-    _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
+    _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    #: Of lines with one word each: letters and marks of a plain word, or any other word.
+    _PLAIN = re.compile(f"(?m)^([{_LATIN}]+)([!-&(-/:-@[-`{{-~]*)$|^(.+)$")
     _NO_BLANKS = re.compile("[\x1c-\x1f]")  # str.split() takes them for blanks
     _WORDS = re.compile(r"[^ \t\n\r]+")
 
@@ -227,24 +247,26 @@ class WordIds:
         self.parts: dict[str, bytes] = {}
         self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn_parts(self, new: list[str]) -> None:
-        letters = [w for w in new if self._PLAIN.fullmatch(w) and w[-1].isalpha()]
+    def _learn_parts(self, letters: list[str], others: list[str]) -> None:
+        """Ids of runs of letters, learnt together, and of other parts."""
         if letters:
-            ids = np.array(self.of.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.of.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(letters):
                 raw, at = ids.tobytes(), (4 * ends).tolist()
-                self.parts |= zip(letters, (raw[i:j] for i, j in zip([0, *at], at, strict=False)), strict=True)
-        rest = [w for w in new if w not in self.parts]
-        self.parts |= ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.of.encode_batch(rest, add_special_tokens=False), strict=True))
+                self.parts |= zip(letters, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True)
+            else:
+                others = letters + others
+        if others:
+            self.parts |= ((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, self.of.encode_batch_fast(others, add_special_tokens=False), strict=True))
 
     def _learn(self, new: list[str]) -> None:
-        split = []
-        for w in new:
-            m = self._PLAIN.fullmatch(w)
-            split.append((m[1].lower(), m[2]) if m and m[2] else (m[1].lower(),) if m else (w,))
-        self._learn_parts([x for x in {x for p in split for x in p} if x not in self.parts])
-        found = [self.parts[p[0]] + self.parts[p[1]] if len(p) == 2 else self.parts[p[0]] for p in split]
+        letters, marks, odd = zip(*self._PLAIN.findall("\n".join(new)), strict=True)
+        letters = "\n".join(letters).lower().split("\n")
+        known = self.parts
+        self._learn_parts(list({x for x in letters if x and x not in known}), list({x for x in (*marks, *odd) if x and x not in known}))
+        known[""] = b""
+        found = [known[a] + known[b] + known[c] for a, b, c in zip(letters, marks, odd, strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
@@ -264,6 +286,12 @@ class WordIds:
         return np.split(ids, np.append(0, ends)[np.cumsum([len(w) for w in words])[:-1]])
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def tokenized(docs: DataFrame, path: str, end: int | None = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and ids (packed little-endian uint32) of each whole text by the tokenizer file at path, without special tokens, then the id end if it is given.
 
@@ -271,13 +299,19 @@ def tokenized(docs: DataFrame, path: str, end: int | None = 1, text: str = "text
     rows pass through; other columns are ignored; an empty table gives none. The tokenizer must part words at blanks and
     give these no ids.
     """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(_encoding(path, end, "doc_id"), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids binary")
+
+
+def _encoding(path: str, end: int | None, key: str):
+    """The work of a task on batches of texts."""
     last = b"" if end is None else np.array([end], "<u4").tobytes()
 
     def run(batches):
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for b in batches:
             for part in slices([b], 200):
                 ids = [x.tobytes() + last for x in ids_of(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(ids, pa.binary())], [key, "ids"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids binary")
+    return run

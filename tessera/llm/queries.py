@@ -70,8 +70,7 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = binpack.tokenized(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end=1)
-    placed = binpack.pack_examples(ids, binpack.Limits(tokens=2048, segments=512, loss=2048), cut=True, example_id="doc_id")
+    placed = binpack.pack_texts(table(spark, sf_dir, "documents"), WORD_TOKENIZER, binpack.Limits(tokens=2048, segments=512, loss=2048), cut=True, end=1)
     return placed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
