@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import count_and_first, more
 from ..functions.globs import glob_match
 from ..functions.text import tokens
 from ..schemas import Component, Rule
+from . import globindex
 
 
 def change_partners(pairs: DataFrame, touched: DataFrame, top: int = 5) -> DataFrame:
@@ -19,6 +22,14 @@ def change_partners(pairs: DataFrame, touched: DataFrame, top: int = 5) -> DataF
     return both.join(t, "item", "left_semi").join(t.withColumnRenamed("item", "partner"), "partner", "left_anti").orderBy(F.desc("support"), F.desc("confidence"), "item", "partner").select("item", "partner", "support", "confidence").limit(top)
 
 
+def observed(graph: DataFrame, most: int = 6) -> DataFrame:
+    """component, side (dependencies or dependents) and listed: the components on that side by graph(from_c, to_c, cnt), those with the most imports first, and "+n more" behind the first ones."""
+    end = lambda own, other, side: graph.select(F.col(own).alias("component"), F.lit(side).alias("side"), (-F.col("cnt")).alias("less"), F.col(other).alias("other"))
+    few = count_and_first(end("from_c", "to_c", "dependencies").union(end("to_c", "from_c", "dependents")), ["component", "side"], ["less", "other"], most)
+    texts = F.transform("first", lambda x: F.concat(x["other"], F.lit(" ("), (-x["less"]).cast("string"), F.lit(")")))
+    return few.select("component", "side", F.array_join(more(texts, F.col("n")), ", ").alias("listed"))
+
+
 def rules_touching(touched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """rule, kind, level and items: rules one of whose selectors takes a component or path of touched(component, path)."""
     made = []
@@ -54,13 +65,18 @@ def constraints(rules: Sequence[Rule], component: str) -> list[tuple[str, str]]:
 
 
 def governing(decisions: DataFrame, touched: DataFrame, components: Sequence[Component]) -> DataFrame:
-    """id, title, status of live decisions(id, title, status, governs) that govern a component of touched(component) or the component of one of its paths."""
+    """id, title, status of live decisions(id, title, status, governs) that govern everything (*, unless rejected), a component of touched(component, path), or by a glob one of its paths. A touched table without rows touches nothing."""
     live = decisions.where(F.col("status").isin("accepted", "proposed", "rejected"))
-    g = live.select("id", "title", "status", F.explode("governs").alias("component"))
-    known = {c.id for c in components}
-    own = touched.select("component").where("component is not null").distinct()
-    named = g.where(F.col("component").isin(*known) if known else F.lit(False)).join(own, "component", "left_semi")
-    return named.select("id", "title", "status").distinct()
+    g = live.select("id", "title", "status", F.explode("governs").alias("target"))
+    known = [c.id for c in components]
+    named = F.col("target").isin(*known) if known else F.lit(False)
+    own = touched.select(F.col("component").alias("target")).where("target is not null").distinct()
+    made = [g.where(named).join(own, "target", "left_semi"), g.where("target = '*' and status <> 'rejected'").join(touched.select(F.lit("*").alias("target")).limit(1), "target", "left_semi")]
+    if "path" in touched.columns:
+        globs = g.where(~named & (F.col("target") != "*"))
+        taken = globindex.matches(globs.select(F.col("target").alias("glob")), touched).select(F.col("glob").alias("target"))
+        made.append(globs.join(taken, "target", "left_semi"))
+    return reduce(DataFrame.union, made).select("id", "title", "status").distinct()
 
 
 def mentioned_components(prompts: DataFrame, components: Sequence[Component]) -> DataFrame:

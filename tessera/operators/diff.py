@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_signature
-from ..scratch import release, settle
 
 
 def edge_delta(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -38,38 +37,6 @@ def first_seen_change(changes: DataFrame) -> DataFrame:
     return changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def public_surface(files: DataFrame, exports: DataFrame, stars: DataFrame, depth: int = 10) -> DataFrame:
-    """file, name, origin, signature of what files(file) export, through re-exports and stars.
-
-    exports: file, name, signature, target and original (both null for an own declaration, target null where a re-export
-    leads outside). stars: file, target. An own name comes before one of a star, and the nearer star before the farther;
-    default never comes through a star; depth bounds the steps, which also ends cycles.
-    """
-    own = exports.select("file", "name", F.coalesce("target", "file").alias("at"), F.coalesce("original", "name").alias("as_name"), "signature", F.col("target").isNotNull().alias("open"), F.lit(0).alias("far"))
-    now = settle(own, "surface")
-    decl = exports.select(F.col("file").alias("at"), F.col("name").alias("as_name"), F.col("target").alias("_t"), F.col("original").alias("_o"), F.col("signature").alias("_s"))
-    for k in range(depth):  # first the names: each round follows one re-export
-        step = now.join(decl, ["at", "as_name"], "left")
-        moved = F.col("open") & F.col("_s").isNotNull()
-        nxt = settle(step.select("file", "name", F.when(moved & F.col("_t").isNotNull(), F.col("_t")).otherwise(F.col("at")).alias("at"), F.when(moved & F.col("_t").isNotNull(), F.coalesce("_o", "as_name")).otherwise(F.col("as_name")).alias("as_name"), F.when(moved, F.col("_s")).otherwise(F.col("signature")).alias("signature"), (moved & F.col("_t").isNotNull()).alias("open"), "far"), "surface")
-        release(now)
-        now = nxt
-        if not now.where("open").head(1):
-            break
-    reach = settle(stars.select("file", "target").where("target is not null").distinct().withColumn("far", F.lit(1)), "stars")
-    for k in range(2, depth + 1):
-        more = reach.where(F.col("far") == k - 1).select("file", F.col("target").alias("m")).join(stars.select(F.col("file").alias("m"), "target"), "m").select("file", "target").where("file <> target").distinct().join(reach, ["file", "target"], "left_anti").withColumn("far", F.lit(k))
-        nxt = settle(reach.union(more), "stars")
-        release(reach)
-        reach = nxt
-        if not reach.where(F.col("far") == k).head(1):
-            break
-    through = reach.join(now.select(F.col("file").alias("target"), "name", "at", "signature"), "target").where("name <> 'default'").select("file", "name", "at", "signature", "far")
-    every = now.select("file", "name", "at", "signature", "far").union(through)
-    best = every.groupBy("file", "name").agg(F.min(F.struct("far", "at", "signature")).alias("b"))
-    return best.join(files.select("file").distinct(), "file", "left_semi").select("file", "name", F.col("b.at").alias("origin"), F.col("b.signature").alias("signature"))
-
-
 def new_dependents(base: DataFrame, head: DataFrame, deprecated: DataFrame) -> DataFrame:
     """Head edges (file, from_c, to_c, line) into components of deprecated(component) from files that had no edge into them."""
     into = head.join(deprecated.select(F.col("component").alias("to_c")).distinct(), "to_c", "left_semi").where("not (from_c <=> to_c)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.globs import patterns_regex
 from ..scratch import release, settle
@@ -38,18 +39,59 @@ def usable(commit_files: DataFrame, most_files: int = 50) -> DataFrame:
     return commit_files.join(small.select("sha"), "sha", "left_semi")
 
 
+def pair_counts(changed: DataFrame, *by: str) -> DataFrame:
+    """a, b (in order) and n: in how many commits of changed(sha, item) both change; for each value of by, which a commit has one of. Pairs stay bounded because a commit's items are (see usable)."""
+    once = changed.select(*by, "sha", "item").distinct()
+    both = once.select(*by, "sha", F.col("item").alias("a")).join(once.select("sha", F.col("item").alias("b")), "sha").where("a < b")
+    return both.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+
+
+def item_counts(changed: DataFrame, *by: str) -> DataFrame:
+    return changed.select(*by, "sha", "item").distinct().groupBy(*by, "item").agg(F.count("*").alias("n"))
+
+
+def cochange_of(pairs: DataFrame, items: DataFrame, min_support: int = 5, min_confidence: float = 0.5) -> DataFrame:
+    """a, b, support, confidence by pairs(a, b, n) and items(item, n). Confidence is the support over the rarer item's commits; it is compared before it is rounded."""
+    often = pairs.where(F.col("n") >= min_support).select("a", "b", F.col("n").alias("support"))
+    n = lambda c: items.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}"))
+    confidence = F.col("support") / F.least("n_a", "n_b")
+    return often.join(n("a"), "a").join(n("b"), "b").where(confidence >= min_confidence).select("a", "b", "support", F.round(confidence, 3).alias("confidence"))
+
+
 def cochange(changed: DataFrame, min_support: int = 5, min_confidence: float = 0.5) -> DataFrame:
-    """a, b, support, confidence for pairs of items that change in the same commits. changed: sha and item.
+    """a, b, support, confidence for pairs of items that change in the same commits of changed(sha, item)."""
+    return cochange_of(pair_counts(changed), item_counts(changed), min_support, min_confidence)
+
 
-    Confidence is the support over the rarer item's commits; it is compared before it is rounded. Pairs stay bounded
-    because a commit's items are (see usable).
+def kept_counts(changed: DataFrame, path: str, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """pair_counts and item_counts of changed(sha, item, ts), of which those of spans of so many days that are as they were come from the table at path; others are counted and replaced there.
+
+    A span is known by the number and a sum of hashes of its rows. So commits that are new, gone or out of the window by
+    now cost their spans alone: those at both ends of the window, as a rule. Spans outside of the window stay in the table
+    and are not read. Marks are written last, so that a run that ends before counts anew.
     """
-    once = changed.select("sha", "item").distinct()
-    total = once.groupBy("item").agg(F.count("*").alias("n"))
-    pairs = once.select("sha", F.col("item").alias("a")).join(once.select("sha", F.col("item").alias("b")), "sha").where("a < b").groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
-    n = lambda c: total.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}"))
-    confidence = F.col("support") / F.least("n_a", "n_b")
-    return pairs.join(n("a"), "a").join(n("b"), "b").where(confidence >= min_confidence).select("a", "b", "support", F.round(confidence, 3).alias("confidence"))
+    spark = changed.sparkSession
+    spans = changed.withColumn("span", F.floor(F.unix_timestamp("ts") / (86400 * days)).cast("int"))
+    mark = F.concat_ws("-", F.count("*").cast("string"), F.sum(F.xxhash64("sha", "item").cast("decimal(38,0)")).cast("string"))
+    now = settle(spans.groupBy("span").agg(mark.alias("mark")), "history-marks")
+    tables = {name: f"{path.rstrip('/')}/{name}" for name in ("marks", "pairs", "items")}
+
+    def read(name: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(tables[name])
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+
+    held = read("marks", "mark string, span int").groupBy("span").agg(F.max("mark").alias("mark"))
+    stale = settle(now.join(held, ["span", "mark"], "left_anti"), "history-stale")
+    if stale.head(1):
+        again = spans.join(stale, "span")
+        for name, counts in (("pairs", pair_counts), ("items", item_counts)):
+            counts(again, "span", "mark").write.partitionBy("span").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(tables[name])
+        stale.select("mark", "span").coalesce(1).write.partitionBy("span").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(tables["marks"])
+    # a span that has no pairs any more leaves its old partition behind; its mark doesn't match
+    own = lambda name, keys: read(name, f"{', '.join(f'{k} {changed.schema['item'].dataType.simpleString()}' for k in keys)}, n long, mark string, span int").join(now, ["span", "mark"], "left_semi").groupBy(*keys).agg(F.sum("n").alias("n"))
+    return own("pairs", ["a", "b"]), own("items", ["item"])
 
 
 def hidden_coupling(pairs: DataFrame, graph: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.globs import patterns_regex
 from ..functions.text import collapse, decision_id, tokens
+from . import globindex
 
 K1, B = 1.2, 0.75
 
@@ -44,19 +43,10 @@ def title_matches(prompts: DataFrame, titles: DataFrame, least: int = 2) -> Data
 
 
 def stale_governs(decisions: DataFrame, components: DataFrame, files: DataFrame) -> DataFrame:
-    """id, target: what accepted decisions(id, status, governs) govern that is neither *, a component(component) nor a glob that takes a path of files(path).
-
-    The globs left after the components are few, as a contract lists them; each file meets them all in one pass.
-    """
+    """id, target: what accepted decisions(id, status, governs) govern that is neither *, a component(component) nor a glob that takes a path of files(path). Globs meet the files that share their literal part."""
     asked = decisions.where("status = 'accepted'").select("id", F.explode("governs").alias("target")).where("target <> '*'").distinct()
     asked = asked.join(components.select(F.col("component").alias("target")), "target", "left_anti")
-
-    @F.pandas_udf("string")
-    def regex_of(globs: pd.Series) -> pd.Series:
-        return globs.map(lambda g: patterns_regex([g]))
-
-    globs = asked.select("target").distinct().withColumn("regex", regex_of("target"))
-    taken = files.select("path").crossJoin(F.broadcast(globs)).where(F.rlike(F.col("path"), F.col("regex"))).select("target").distinct()  # globs: those of one contract
+    taken = globindex.matches(asked.select(F.col("target").alias("glob")), files).select(F.col("glob").alias("target")).distinct()
     return asked.join(taken, "target", "left_anti").select("id", "target")
 
 

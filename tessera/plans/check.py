@@ -15,7 +15,7 @@ from ..functions.globs import glob_match
 from ..functions.text import token_estimate
 from ..operators import contract as W
 from ..operators import diff as D
-from ..operators import extract, mapping, resolve, rules, status
+from ..operators import extract, mapping, resolve, rules, status, surface
 from ..operators import findings as FN
 from ..schemas import Component, Contract
 from ..scratch import settle
@@ -77,7 +77,7 @@ def built_in(edges: DataFrame, files: DataFrame, components: Sequence[Component]
 
 @dataclass(frozen=True)
 class Version:
-    """One version of a code base. edges: see schemas.EDGES; files: path, loc; exports and stars: see diff.public_surface;
+    """One version of a code base. edges: see schemas.EDGES; files: path, loc; exports and stars: see surface.public_surface;
     decisions: see findings.decision_findings, with weakens; contract_files: path, content_id. What is None is left out."""
 
     contract: Contract
@@ -116,14 +116,14 @@ def _entry_files(files: DataFrame, components: Sequence[Component]) -> DataFrame
 def api_changes(base: Version, head: Version) -> DataFrame:
     """component, file, name, change of the public surfaces, both in terms of head's components; entry files that head no longer declares are compared under base's, without growth. A change seen through several files of a component counts once."""
 
-    def surface(v: Version, entries: DataFrame) -> DataFrame:
-        return D.public_surface(entries, v.exports, v.stars).join(entries, "file").select("component", "file", "name", "signature")
+    def shown(v: Version, entries: DataFrame) -> DataFrame:
+        return surface.public_surface(entries, v.exports, v.stars).join(entries, "file").select("component", "file", "name", "signature")
 
     now, was = head.contract.components, base.contract.components
-    changes = D.api_changes(surface(base, _entry_files(base.files, now)), surface(head, _entry_files(head.files, now)))
+    changes = D.api_changes(shown(base, _entry_files(base.files, now)), shown(head, _entry_files(head.files, now)))
     lost = _entry_files(base.files, was).join(_entry_files(base.files, now).select("file"), "file", "left_anti")
     still = _entry_files(head.files, was).join(lost.select("file"), "file", "left_semi")
-    dropped = D.api_changes(surface(base, lost), surface(head, still)).where("change <> 'added'")
+    dropped = D.api_changes(shown(base, lost), shown(head, still)).where("change <> 'added'")
     return D.first_seen_change(changes.union(dropped).distinct())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decision_id
+from . import markdown
 
 _FRONT = r"(?s)^---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n(.*))?$"
 
@@ -32,15 +33,49 @@ def items(front: Column, name: str) -> Column:
     return F.when(inline != "", clean(F.split(inline, ","))).otherwise(clean(F.split(block, r"\r?\n")))
 
 
+#: The statuses of a decision, and other words for them.
+STATUSES = ("proposed", "accepted", "rejected", "deprecated", "superseded")
+STATUS_WORDS = {"approved": "accepted", "adopted": "accepted", "draft": "proposed"}
+
+
+def names(value: Column) -> Column:
+    """A list written on one line, parted by commas."""
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def status_of(said: Column) -> Column:
+    """The status that a text starts with, marks aside; proposed where there is none or an unknown one."""
+    word = F.regexp_extract(F.lower(F.regexp_replace(said, "[*_`]", "")), "^[^a-z]*([a-z]+)", 1)
+    word = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in STATUS_WORDS.items() for x in kv)), word), word)
+    return F.when(word.isin(*STATUSES), word).otherwise("proposed")
+
+
 def decisions(files: DataFrame) -> DataFrame:
-    """id, file, title, status, superseded_by, date, governs, supersedes, weakens, checks and body of files(path, text) whose name starts with a number."""
-    text, front = F.col("text"), front_matter(F.col("text"))
-    said = F.lower(F.coalesce(field(front, "status"), F.regexp_extract(text, r"(?mi)^\*?\s*status:\s*(.+?)\s*$", 1)))
-    status = F.when(said.startswith("superseded"), "superseded").when(said.isin("accepted", "approved", "done"), "accepted").when(said.isin("rejected", "deprecated"), said).otherwise("proposed")
-    return files.where(F.col("path").rlike(r"(^|/)[0-9]+[^/]*\.md$")).select(
-        decision_id(F.regexp_extract("path", r"([0-9]+)[^/]*\.md$", 1)).alias("id"), F.col("path").alias("file"), F.coalesce(field(front, "title"), F.regexp_extract(text, r"(?m)^#\s+(.+?)\s*$", 1)).alias("title"), status.alias("status"),
-        decision_id(F.regexp_extract(said, r"superseded by (.*)$", 1)).alias("superseded_by"), field(front, "date").alias("date"), items(front, "governs").alias("governs"), items(front, "supersedes").alias("supersedes"), items(front, "weakens").alias("weakens"),
-        F.regexp_extract_all(front, F.lit(r"(?m)^\s*(?:-\s*)?check:\s*(\S+)\s*$"), 1).alias("checks"), body(text).alias("body"),
+    """id, file, title, status, superseded_by, date, makers, governs, supersedes, weakens, assumptions (text, check, review_by), evidence (source, quote, note), checks and body of files(path, text) whose name starts with a number.
+
+    What the front matter lacks of status, date and makers stands in the body: the first line of a section of that name,
+    else a line of its own. A title is that of the front matter, else the first heading without its number, else the
+    file's name.
+    """
+    numbered = files.where(F.col("path").rlike(r"(^|/)[0-9]+[^/]*\.md$")).withColumn("_t", F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), "\r\n", "\n"))
+    read = numbered.select("path", front_matter(F.col("_t")).alias("front"), body(F.col("_t")).alias("body"))
+    said = markdown.first_lines(markdown.sections(read), ("status", "date", "decision-makers", "deciders"))
+    read = read.join(said, "path", "left")
+    front, text = F.col("front"), F.col("body")
+    given = lambda name: F.coalesce(field(front, name), F.col(f"`{name}`"), markdown.bullet(text, name))
+    status = given("status")
+    heading = markdown.first_heading(text)
+    bare = F.nullif(F.trim(F.regexp_replace(heading, r"(?i)^(?:ADR[-_ ]?)?\d+(?:\s*[:.)\u2013\u2014-]\s*|\s+)", "")), F.lit(""))
+    file_name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    title = F.coalesce(F.nullif(F.trim(field(front, "title")), F.lit("")), bare, heading, F.nullif(F.regexp_replace(file_name, r"^[0-9]+[-_ ]*", ""), F.lit("")), file_name)
+    listed = lambda name: F.when(F.size(items(front, name)) > 0, items(front, name)).otherwise(names(field(front, name)))
+    makers = F.coalesce(listed("decision-makers"), listed("deciders"), names(F.coalesce(F.col("`decision-makers`"), markdown.bullet(text, "decision-makers"), F.col("deciders"), markdown.bullet(text, "deciders"))), F.array().cast("array<string>"))
+    by = F.regexp_extract(F.lower(F.regexp_replace(status, "[*_`]", "")), r"superseded\s+by\b(.*)$", 1)
+    assumptions = markdown.nested(front, "assumptions", ("text", "check", "review_by"))
+    return read.select(
+        decision_id(F.regexp_extract("path", r"([0-9]+)[^/]*\.md$", 1)).alias("id"), F.col("path").alias("file"), title.alias("title"), status_of(status).alias("status"),
+        F.coalesce(decision_id(field(front, "superseded-by")), F.when(status_of(status) == "superseded", decision_id(by))).alias("superseded_by"), given("date").alias("date"), makers.alias("makers"), items(front, "governs").alias("governs"), items(front, "supersedes").alias("supersedes"), items(front, "weakens").alias("weakens"),
+        assumptions.alias("assumptions"), markdown.nested(front, "evidence", ("source", "quote", "note")).alias("evidence"), F.filter(F.transform(assumptions, lambda x: x["check"]), lambda x: x.isNotNull()).alias("checks"), text.alias("body"),
     )
 
 

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.globs import patterns_regex, to_regex
 from tessera.functions.hashing import content_id, cycle_fingerprint, edge_fingerprint, fingerprint
 from tessera.functions.text import collapse, decision_id, normalize_signature, slug, token_estimate, tokens
-from tessera.operators import diff, extract, graph, history, mapping, metrics, report, resolve, rules, search
+from tessera.operators import diff, extract, graph, history, mapping, metrics, report, resolve, rules, search, surface
 from tessera.operators import findings as FN
 from tessera.plans import check as plans
 from tessera.schemas import EDGES, Component, Contract, Resource, Rule, Waiver
@@ -18,6 +20,7 @@ from tessera.sources import documents, files, git
 from tessera.streaming import sessions
 
 TODAY = dt.date(2026, 9, 26)
+STARS = "file string, at int, specifier string, target string"
 SHOP = (Component("app", ("src/app",)), Component("domain", ("src/domain",), ("src/domain/index.ts",)), Component("infra", ("src/infra",)))
 
 
@@ -180,11 +183,11 @@ def test_history(spark):
     assert row[0] == dt.date(2026, 3, 3) and row[1] and not row[2]
 
 
-def test_diff(spark):
+def test_versions(spark):
     x = lambda rows: spark.createDataFrame(rows, "file string, name string, signature string, target string, original string")
     s = x([("i", "a", "a", "m", "a"), ("i", "own", "fn own()", None, None), ("m", "a", "fn a()", None, None), ("m", "own", "fn other()", None, None), ("m", "default", "fn d()", None, None), ("n", "b", "fn b()", None, None), ("i", "gone", "gone", "nowhere", "gone")])
-    stars = spark.createDataFrame([("i", "m"), ("m", "n"), ("n", "i")], "file string, target string")
-    got = {(r.name, r.origin, r.signature) for r in diff.public_surface(spark.createDataFrame([("i",)], "file string"), s, stars).collect()}
+    stars = spark.createDataFrame([("i", 0, "./m", "m"), ("m", 0, "./n", "n"), ("n", 0, "./i", "i")], STARS)
+    got = {(r.name, r.origin, r.signature) for r in surface.public_surface(spark.createDataFrame([("i",)], "file string"), s, stars).collect()}
     assert got == {("a", "m", "fn a()"), ("own", "i", "fn own()"), ("b", "n", "fn b()"), ("gone", "nowhere", "gone")}
     y = lambda rows: spark.createDataFrame(rows, "component string, file string, name string, signature string")
     changes = diff.api_changes(y([("c", "f", "a", "fn( x: A , )"), ("c", "f", "b", "1"), ("c", "f", "d", "1")]), y([("c", "f", "a", "fn(x:A)"), ("c", "f", "b", "2"), ("c", "f", "e", "1"), ("c", "g", "e", "1")]))
@@ -342,7 +345,7 @@ def test_diff(spark):
     exports = lambda rows: spark.createDataFrame(rows, "file string, name string, signature string, target string, original string")
     was = [("src/domain/index.ts", "Order", "Order", "src/domain/order.ts", "Order"), ("src/domain/order.ts", "Order", "class Order", None, None)]
     now = [*was, ("src/domain/index.ts", "taxBatches", "taxBatches", "src/domain/tax.ts", "taxBatches"), ("src/domain/tax.ts", "taxBatches", "function taxBatches()", None, None)]
-    stars = spark.createDataFrame([], "file string, target string")
+    stars = spark.createDataFrame([], STARS)
     held = spark.createDataFrame([("a9aedfe53d11dac6", "no-cycles", 1)], "fingerprint string, rule string, count int")
     said = "id string, file string, title string, status string, governs array<string>, weakens array<string>, assumptions array<struct<text:string,check:string,review_by:string>>"
     d1 = [("0002", "d/2.md", "Keep the domain pure", "accepted", ["domain"], [], [("it is small", "gone", "2020-01-01")])]
@@ -387,7 +390,7 @@ def test_deprecated_and_api(spark):
     assert {x[:3] for x in said} == {("s", "error", "a/i"), ("s", "error", "c/i"), ("t", "warn", "a/i")} and len(said) == 4
 
 
-def test_sessions(spark, tmp_path):
+def session_rows():
     """s: the old error x stays allowed at each check, a resume changes nothing, a startup without findings takes its place. t never started."""
     ev = lambda session, event, id_, seq, fp=None, level=None, source=None: {"session_id": session, "event": event, "event_id": id_, "source": source, "fingerprint": fp, "level": level, "seq": seq}
     rows = [
@@ -397,14 +400,60 @@ def test_sessions(spark, tmp_path):
         ev("s", "stop", "11", 18, "x", "error"), ev("s", "stop", "11", 19, "w", "warn"),
     ]
     want = {("s", "4", "x", 9, "block"), ("s", "4", "w", 10, "context"), ("s", "4", "y", 11, "block"), ("s", "6", "x", 13, "block"), ("t", "7", "x", 14, "block"), ("u", "10", "x", 17, "block"), ("s", "11", "x", 18, "block")}
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text("\n".join([*map(json.dumps, rows), "not json", '{"event": "check"}']))
-    good, bad = sessions.parse_events(spark.readStream.text(str(tmp_path / "in")))
-    q = sessions.session_stream(good).writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("sessions").collect()} == want
-    batch, bad = sessions.parse_events(spark.read.text(str(tmp_path / "in")))
+    return rows, want
+
+
+def test_sessions(spark, tmp_path):
+    rows, want = session_rows()
+    (tmp_path / "a.json").write_text("\n".join([*map(json.dumps, rows), "not json", '{"event": "check"}']))
+    batch, bad = sessions.parse_events(spark.read.text(str(tmp_path)))
     assert bad.count() == 2 and {tuple(r) for r in sessions.session_checks(batch).collect()} == want
+    # a stop that follows from a stop only tells; messages list five findings
+    checks = sessions.session_checks(batch).union(spark.createDataFrame([("v", "12", f"f{k}", 20 + k, "block") for k in range(8)], sessions.RESULT))
+    texts = spark.createDataFrame([(r["event_id"], r["seq"], f"m{r['seq']}") for r in rows] + [("12", 20 + k, f"n{k}") for k in range(8)], "event_id string, seq long, message string")
+    stops = spark.createDataFrame([("s", "11", True)], "session_id string, event_id string, again boolean")
+    got = {(r.session_id, r.event_id, r.action): (r.n, r.listed) for r in sessions.told(checks, texts, stops).collect()}
+    assert got["s", "4", "block"] == (2, ["m9", "m11"]) and got["s", "11", "message"] == (1, ["m18"]) and ("s", "11", "block") not in got
+    assert got["v", "12", "block"] == (8, [*(f"n{k}" for k in range(5)), "+3 more"])
+
+
+def run_stream(spark, tmp_path, name, batches, wanted, **more):
+    """Rows of a session stream over files that come one a batch, until the wanted number is there."""
+    for k, rows in enumerate(batches):
+        (tmp_path / name).mkdir(exist_ok=True)
+        (tmp_path / name / f"{k}.json").write_text("\n".join([*map(json.dumps, rows), "not json"]))
+    good, _ = sessions.parse_events(spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / name)))
+    q = sessions.session_stream(good, "8 seconds", **more).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-c")).outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and q.isActive and spark.table(name).count() < wanted:
+            time.sleep(0.5)
+        assert q.exception() is None
+        return [tuple(r) for r in spark.table(name).collect()]
+    finally:
+        q.stop()
+
+
+def test_session_stream(spark, tmp_path):
+    """Whatever the order in which rows come, the stream says what the batch says; a later run goes on with the snapshots of an earlier one."""
+    pytest.importorskip("google.protobuf")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.STATE_STORE)
+    try:
+        rows, want = session_rows()
+        mixed = list(rows)
+        random.Random(3).shuffle(mixed)
+        got = run_stream(spark, tmp_path, "mixed", [mixed[k::3] for k in range(3)], len(want))
+        assert sorted(got) == sorted(want)
+        events = spark.createDataFrame([tuple(r.values()) for r in rows], "session_id string, event string, event_id string, source string, fingerprint string, level string, seq long")
+        held = sessions.snapshots(events)
+        assert {tuple(r) for r in held.collect()} == {("s", "5", None, None), ("u", "8", None, None)}
+        first = sessions.snapshots(events.where("seq < 12"))
+        assert {tuple(r) for r in first.collect()} == {("s", "1", "x", 2)}
+        more = [dict(rows[6], event_id="20", seq=30 + k) for k in range(3)]
+        assert run_stream(spark, tmp_path, "later", [more], 1, snapshots=first) == [("s", "20", "x", 32, "block")]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
 
 
 def test_cycles_waived(spark):
