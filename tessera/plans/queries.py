@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.globs import glob_match
 from ..functions.hashing import content_id, edge_fingerprint
 from ..functions.text import STOPWORDS, normalize_signature
-from ..operators import diff, findings, graph, history, mapping, metrics, rules, search, status
+from ..operators import context, diff, findings, graph, history, mapping, metrics, rules, search, status, surface
 from ..schemas import Component, Resource, Rule, Waiver
-from ..sources import files
-from ..streaming import sessions
+from ..scratch import folder
+from ..sources import documents, files
+from ..streaming import intake, sessions
 from . import carriers as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,6 +388,31 @@ def api_compare(spark, sf_dir):
     return diff.api_changes(side("p_size < 40", _OLD), side("p_size >= 10", _NEW))
 
 
+_SURFACE = """n as (select count(*) n from supplier),
+stars as (select 's' || s_suppkey as file, p as nth, case when p = 1 and s_suppkey % 4 = 0 then null else 's' || ((s_suppkey * (p + 2) + p + 1) % n) end as target, 'pkg' || (s_suppkey % 5) as specifier from supplier, n, (select unnest(range(3)) as p)),
+listed as (select 's' || (p_partkey % n) as file, 'x' || (p_partkey * 7 % 50) as name, printf('sig%09d', p_partkey) as signature, case when p_size % 5 = 0 then 's' || (p_partkey * 3 % n) end as target, case when p_size % 5 = 0 then 'x' || p_size end as original from part, n
+  union all select file, '* from ' || specifier, 'export * from "' || specifier || '"', null, null from stars where target is null),
+said as (select file, name, arg_min({'signature': signature, 'target': target, 'original': original}, signature) as e from listed group by 1, 2),
+paths as (select file, target as "at", [nth] as path, [file, target] as seen from stars where target <> file
+  union all select p.file, s.target, list_append(path, s.nth), list_append(seen, s.target) from paths p join stars s on s.file = p."at" where s.target is not null and not list_contains(seen, s.target) and len(path) < 4),
+every as (select file, name, file as "at", []::bigint[] as path, e from said union all select p.file, name, p."at", path, e from paths p join said s on s.file = p."at" where name <> 'default'),
+first as (select file, name, "at", e.signature as signature, e.target as target, coalesce(e.original, name) as wanted from (select *, row_number() over (partition by file, name order by path) as nth from every) where nth = 1),
+hops as (select file, name, "at", signature, target, wanted, [file, "at"] as seen, 0 as k from first
+  union all select file, name, case when go then to_at else target end, case when go then to_signature else signature end, case when go then to_target end, case when go then to_wanted else wanted end, list_concat(seen, [target, coalesce(to_at, target)]), k + 1
+  from (select h.*, t."at" as to_at, t.signature as to_signature, t.target as to_target, t.wanted as to_wanted, t.file is not null and not list_contains(h.seen, h.target) as go from hops h left join first t on t.file = h.target and t.name = h.wanted where h.target is not null and h.k < 4))"""
+
+
+@query(' select file, name, "at" as origin, signature from hops where target is null or k = 4', _SURFACE)
+def public_surface(spark, sf_dir):
+    n = F.broadcast(C.read(spark, sf_dir, "supplier").agg(F.count("*").alias("n")))  # one row
+    s = C.read(spark, sf_dir, "supplier").crossJoin(n).withColumn("p", F.explode(F.array(*map(F.lit, range(3)))))
+    to = F.expr("case when p = 1 and s_suppkey % 4 = 0 then null else concat('s', (s_suppkey * (p + 2) + p + 1) % n) end")
+    stars = s.select(F.expr("concat('s', s_suppkey)").alias("file"), F.col("p").alias("at"), F.expr("concat('pkg', s_suppkey % 5)").alias("specifier"), to.alias("target"))
+    again = F.col("p_size") % 5 == 0
+    exports = C.read(spark, sf_dir, "part").crossJoin(n).select(F.expr("concat('s', p_partkey % n)").alias("file"), F.expr("concat('x', p_partkey * 7 % 50)").alias("name"), F.format_string("sig%09d", "p_partkey").alias("signature"), F.when(again, F.expr("concat('s', p_partkey * 3 % n)")).alias("target"), F.when(again, F.expr("concat('x', p_size)")).alias("original"))
+    return surface.public_surface(stars.select("file").distinct(), exports, stars, 4)
+
+
 @query("select p_partkey, 'f(a:' || p_type || ',b:number)' as signature from part", "")
 def signature_normalize(spark, sf_dir):
     return C.read(spark, sf_dir, "part").select("p_partkey", normalize_signature(F.expr(_OLD)).alias("signature"))
@@ -543,3 +569,92 @@ def last_state_wins(spark, sf_dir):
 def page_cursor(spark, sf_dir):
     rows = C.read(spark, sf_dir, "events").select("event_id", F.lpad(F.col("event_id").cast("string"), 8, "0").alias("key"))
     return search.page(rows, 40, 20)[0]
+
+
+_STOPS = _HOOKS.replace("else 'check' end as event", "when {_DAY} % 7 = 3 then 'stop' else 'check' end as event".format(_DAY=_DAY))
+
+
+@query(
+    ", ids as (select session_id, event, event_id, min(seq) \"at\", max(source) source from e group by all), s as (select session_id, event_id snapshot, \"at\" taken from (select *, row_number() over (partition by session_id order by \"at\") n from ids where event = 'start') where n = 1 or source = 'startup'), "
+    "b as (select i.session_id, i.event_id, arg_max(snapshot, taken) snapshot from ids i join s on s.session_id = i.session_id and taken < \"at\" where event <> 'start' group by all), a as (select session_id, event_id snapshot, fingerprint, count(*) k from e where event = 'start' and level = 'error' group by all), "
+    "f as (select *, row_number() over (partition by session_id, event_id, fingerprint, level order by seq) n from e where event <> 'start'), "
+    "found as (select f.session_id, f.event_id, f.fingerprint, seq, event, case level when 'error' then case when event = 'stop' and f.event_id::bigint % 2 = 0 then 'message' else 'block' end else 'context' end as action from f left join b using (session_id, event_id) left join a using (session_id, snapshot, fingerprint) where level <> 'error' and event = 'check' or level = 'error' and n > coalesce(k, 0)), "
+    "r as (select *, row_number() over (partition by session_id, event_id, action order by seq) n, count(*) over (partition by session_id, event_id, action) k from found) "
+    "select session_id, event_id, action, k as n, string_agg(fingerprint || seq, '; ' order by seq) || case when k > 5 then '; +' || (k - 5) || ' more' else '' end as listed from r where n <= 5 group by session_id, event_id, action, k",
+    _STOPS,
+)
+def session_messages(spark, sf_dir):
+    day = F.expr("unix_seconds(cast(ts as timestamp)) div 86400")
+    rows = C.read(spark, sf_dir, "events").withColumn("day", day).select(
+        F.col("user_id").cast("string").alias("session_id"), F.when(F.col("day") % 5 == 0, "start").when(F.col("day") % 7 == 3, "stop").otherwise("check").alias("event"), F.col("day").cast("string").alias("event_id"), F.when(F.col("day") % 10 == 0, "startup").otherwise("resume").alias("source"),
+        F.col("event_type").alias("fingerprint"), F.when(F.col("event_id") % 4 == 0, "warn").otherwise("error").alias("level"), F.col("event_id").alias("seq"),
+    )
+    stops = rows.where("event = 'stop'").select("session_id", "event_id", (F.col("event_id").cast("long") % 2 == 0).alias("again")).distinct()
+    said = sessions.told(sessions.session_checks(rows), rows.select("event_id", "seq", F.concat("fingerprint", "seq").alias("message")), stops)
+    return said.select("session_id", "event_id", "action", "n", F.array_join("listed", "; ").alias("listed"))
+
+
+_PAYLOADS = """e as (select event_id, user_id, event_type, case event_id % 4 when 0 then 'SessionStart' when 1 then 'UserPromptSubmit' when 2 then 'PostToolUse' else 'Stop' end as event, case when event_id % 7 = 0 then 'other' else 'claude' end as agent from events)"""
+
+
+@query(
+    " select event_id, case when problem is null then event end as event, case when problem is null then 'u' || user_id end as session_id, case when problem is null and event = 'UserPromptSubmit' then event_type end as prompt, case when problem is null and event = 'PostToolUse' then '/w/f' || event_id || '.ts' when problem is null then '' end as changed, "
+    "case when problem is null then event = 'Stop' and event_id % 8 = 3 end as again, problem from (select *, case when agent = 'other' then 'an unknown host' when event_id % 11 = 0 then 'not a JSON object' when event_id % 13 = 0 then 'session_id must be a string' when event_id % 17 = 0 and event = 'PostToolUse' then 'no file in the tool''s input' end as problem from e)",
+    _PAYLOADS,
+)
+def hook_intake(spark, sf_dir):
+    e = C.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("case event_id % 4 when 0 then 'SessionStart' when 1 then 'UserPromptSubmit' when 2 then 'PostToolUse' else 'Stop' end").alias("event"), F.when(F.col("event_id") % 7 == 0, "other").otherwise("claude").alias("agent"))
+    session = F.expr("if(event_id % 13 = 0, cast(user_id as string), concat('\"u', user_id, '\"'))")
+    more = F.expr("""case event when 'UserPromptSubmit' then concat(',"prompt":"', event_type, '"') when 'PostToolUse' then concat(',"tool_name":"Edit","tool_input":{"', if(event_id % 17 = 0, 'path', 'file_path'), '":"src/../f', event_id, '.ts"}') when 'Stop' then concat(',"stop_hook_active":', event_id % 8 = 3) else ',"source":"startup"' end""")
+    value = F.concat(F.lit('{"cwd":"/w","hook_event_name":"'), "event", F.lit('","session_id":'), session, more, F.when(F.col("event_id") % 11 == 0, "").otherwise("}"))
+    good, bad = intake.intake(e.select("event_id", "agent", "event", value.alias("value")))
+    none = F.lit(None).cast("string")
+    fine = good.select("event_id", "event", "session_id", "prompt", F.array_join("changed", ",").alias("changed"), "again", none.alias("problem"))
+    return fine.union(bad.select("event_id", none, none, none, none, F.lit(None).cast("boolean"), "problem"))
+
+
+_ABOUT = "docs as (select p_partkey as id, 'Look at src/' || p_brand || '/' || p_type || ', ' || p_name || ' and ' || case when p_size % 3 = 0 then 'Brand#' || p_size else 'nothing' end as text from part), titles as (select 'd' || p_partkey as id, p_name as text from part where p_partkey % 40 = 0)"
+
+
+@query(
+    f", p as (select distinct id, term from ({_TOKENS}) where length(term) >= 3), t as (select distinct id, term from ({_TOKENS.replace('from docs)', 'from titles)')}) where length(term) >= 3) select p_partkey as prompt_id, 'component' as kind, p_brand as id from part union select p_partkey, 'component', 'Brand#' || p_size from part where p_size % 3 = 0 and p_size <= 25 "
+    "union select p_partkey, 'path', 'src/' || p_brand || '/' || p_type from part union select p.id, 'decision', t.id from p join t using (term) group by all having count(*) >= 2",
+    _ABOUT,
+)
+def prompt_targets(spark, sf_dir):
+    p = C.read(spark, sf_dir, "part")
+    prompts = p.select(F.col("p_partkey").alias("prompt_id"), F.expr("concat('Look at src/', p_brand, '/', p_type, ', ', p_name, ' and ', if(p_size % 3 = 0, concat('Brand#', p_size), 'nothing'))").alias("prompt"))
+    titles = p.where("p_partkey % 40 = 0").select(F.expr("concat('d', p_partkey)").alias("id"), F.col("p_name").alias("title"))
+    return intake.prompt_matches(prompts, C.COMPONENTS, titles)
+
+
+@query(
+    ", g as (select cf, ct, count(*) as n from edges where cf <> ct group by all), s as (select cf as component, 'dependencies' as side, ct as other, n from g union all select ct, 'dependents', cf, n from g), r as (select *, row_number() over (partition by component, side order by n desc, other) as nth, count(*) over (partition by component, side) as k from s) "
+    "select component, side, string_agg(other || ' (' || n || ')', ', ' order by nth) || case when k > 6 then ', +' || (k - 6) || ' more' else '' end as listed from r where nth <= 6 group by component, side, k"
+)
+def observed_edges(spark, sf_dir):
+    return context.observed(metrics.component_graph(C.edges(spark, sf_dir)))
+
+
+@query(
+    "select printf('%04d', p_partkey) as id, case p_size % 4 when 0 then 'Title ' || p_partkey else p_name end as title, case p_size % 3 when 0 then 'accepted' when 1 then 'superseded' else 'proposed' end as status, case when p_size % 3 = 1 then printf('%04d', p_partkey + 1) end as superseded_by, "
+    "case when p_size % 2 = 0 then p_brand || '; ' || p_type else '' end as makers, case when p_size > 25 then 'small: ' || p_name || ' r' || p_size || '; other none' else '' end as assumptions from part",
+    "",
+)
+def decision_records(spark, sf_dir):
+    p = C.read(spark, sf_dir, "part")
+    front = "concat('---\n', if(p_size % 4 = 0, concat('title: \"Title ', p_partkey, '\"\n'), ''), if(p_size > 25, concat('assumptions:\n  - text: \\'small: ', p_name, '\\'\n    check: r', p_size, '\n  - text: other\n    review_by: 2027-01-01\n'), ''), 'governs: []\n---\n')"
+    body = "concat('# ADR-', p_partkey, ': ', p_name, '\n\n```\n## Status\nrejected\n```\n## Status\n\n* ', case p_size % 3 when 0 then '**Approved** 2026' when 1 then concat('Superseded by [', p_partkey + 1, '](x.md)') else 'Unknown' end, '\n\n', if(p_size % 2 = 0, concat('## Deciders\n', p_brand, ', ', p_type, '\n'), ''), '## End\n')"
+    found = documents.decisions(p.select(F.expr("concat('d/', p_partkey, '-x.md')").alias("path"), F.expr(f"concat({front}, {body})").alias("text")))
+    said = F.transform("assumptions", lambda a: F.concat_ws(" ", a["text"], F.coalesce(a["check"], F.lit("none"))))
+    return found.select("id", "title", "status", "superseded_by", F.array_join("makers", "; ").alias("makers"), F.array_join(said, "; ").alias("assumptions"))
+
+
+@query("select a.component as a, b.component as b, count(*) as n from (select distinct sha, component from changes) a join (select distinct sha, component from changes) b on a.sha = b.sha and a.component < b.component join orders on o_orderkey = a.sha where o_orderdate >= date '1993-06-10' group by all")
+def cochange_kept(spark, sf_dir):
+    """Counted once up to 1997, then over a window that has moved on: spans between come from the table."""
+    orders = C.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    changed = C.changes(spark, sf_dir).select("sha", F.col("component").alias("item")).join(orders, "sha")
+    kept = folder(spark, "history")
+    history.kept_counts(changed.where("ts < timestamp'1997-03-04'"), kept, 91)
+    return history.kept_counts(changed.where("ts >= timestamp'1993-06-10'"), kept, 91)[0]

@@ -29,6 +29,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, deleted at the end; for tables that are kept between the steps of a job."""
+    path = f"{_base(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_base(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
