@@ -86,6 +86,42 @@ def strong_components(pairs: DataFrame) -> DataFrame:
     return found if found is not None else pairs.select(F.col("a").alias("node"), F.col("a").alias("scc")).limit(0)
 
 
+def reached(pairs: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
+    """The nodes that start(node) reaches over pairs(a, b), itself included; backward: that reach it. Each round goes on from the nodes that the last one found."""
+    src, dst = ("a", "b") if forward else ("b", "a")
+    now = front = settle(start.select("node").where("node is not null").distinct(), "reached")
+    while front.head(1):
+        step = pairs.join(front.select(F.col("node").alias(src)), src, "left_semi").select(F.col(dst).alias("node")).distinct()
+        fresh = settle(step.join(now, "node", "left_anti"), "reached-front")
+        after = settle(now.union(fresh), "reached")
+        release(now, *([front] if front is not now else []))
+        now, front = after, fresh
+    release(*([front] if front is not now else []))
+    return now
+
+
+def updated_components(pairs: DataFrame, kept: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """strong_components of pairs(a, b) after an edit, from those before it, kept(node, scc), and the pairs that it added and removed.
+
+    Components that change lie in a region: the members of those that lost a pair inside, and the nodes that an added pair
+    leads to and that lead to an added pair. Only the region is searched; all others stay.
+    """
+    ends = lambda d: d.where("a <> b and a is not null and b is not null").select("a", "b").distinct()
+    inside = ends(removed).join(kept.select(F.col("node").alias("a"), "scc"), "a").join(kept.select(F.col("node").alias("b"), F.col("scc").alias("other")), "b").where("scc = other").select("scc").distinct()
+    lost = kept.join(inside, "scc", "left_semi").select("node")
+    new = settle(ends(added).join(kept.select(F.col("node").alias("a"), F.col("scc").alias("sa")), "a", "left").join(kept.select(F.col("node").alias("b"), F.col("scc").alias("sb")), "b", "left").where("sa is null or sb is null or sa <> sb").select("a", "b"), "scc-added")
+    region = lost
+    if new.head(1):
+        ahead = reached(pairs, new.select(F.col("b").alias("node")))
+        back = reached(pairs, new.select(F.col("a").alias("node")), False)
+        region = lost.union(ahead.join(back, "node", "left_semi"))
+    region = settle(region.distinct(), "scc-region")
+    if not region.head(1):
+        return kept
+    within = pairs.join(region.withColumnRenamed("node", "a"), "a", "left_semi").join(region.withColumnRenamed("node", "b"), "b", "left_semi")
+    return settle(kept.select("node", "scc").join(region, "node", "left_anti").union(strong_components(within).select("node", "scc")), "scc-updated")
+
+
 def small_closure(pairs: DataFrame) -> tuple[list, np.ndarray] | None:
     """The nodes of pairs(a, b) in order and the matrix of who reaches whom (itself always), by squaring; None beyond SMALL_NODES nodes. For graphs of components, which a contract lists: rounds of jobs would cost more than the answer."""
     rows = pairs.where("a is not null and b is not null").select("a", "b").distinct().limit(SMALL_PAIRS + 1).collect()
@@ -116,12 +152,28 @@ def mutual_components(pairs: DataFrame) -> DataFrame:
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """node and root (the smallest node it is connected with) for pairs(a, b) taken both ways."""
-    both = settle(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "cluster")
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    out = _least_label(both, settle(nodes.select("node", F.col("node").alias("label")), "cluster-label"))
-    release(both)
-    return out.select("node", F.col("label").alias("root"))
+    """node and root (the smallest node it is connected with) for pairs(a, b) taken both ways.
+
+    Alternating stars: a round hangs each node's larger neighbours on the smallest one that it knows, then each node's
+    smaller ones; a path shortens by a factor a round, so that rounds grow with the logarithm of the longest path. Both
+    steps are a minimum that combines before the shuffle and one join.
+    """
+    least = lambda d: d.groupBy("u").agg(F.min("v").alias("m"))
+    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct(), "cluster-nodes")
+    now = settle(pairs.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cluster")
+    seen = None
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = settle(both.where("v > u").join(least(both).select("u", F.least("u", "m").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cluster-large")
+        m = least(large)
+        small = large.join(m, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(m.select("u", F.col("m").alias("v")))
+        nxt = settle(small.where("u <> v").distinct(), "cluster")
+        mark = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        release(now, large)
+        now = nxt
+        if mark == seen:  # a forest of stars that a round leaves alone
+            return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        seen = mark
 
 
 def heights(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Modules that the JavaScript runtime brings along.
 NODE = ("assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs", "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib")
-_SCRIPT_ENDS = (".ts", ".tsx", ".mts", ".cts", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+SCRIPT_ENDS = (".ts", ".tsx", ".mts", ".cts", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
 
 def normalized(path: Column) -> Column:
@@ -40,14 +40,14 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame,
         aliased = aliased | spec.startswith(prefix)
     # columns of their own, so that the plan computes them once for all candidates
     aimed = imports.withColumn("_target", target).withColumn("_bare", F.regexp_replace("_target", r"\.(?:js|jsx|mjs|cjs)$", ""))
-    stems = F.array(F.col("_target"), *(F.concat("_bare", F.lit(e)) for e in _SCRIPT_ENDS), *(F.concat("_target", F.lit(e)) for e in _SCRIPT_ENDS))
+    stems = F.array(F.col("_target"), *(F.concat("_bare", F.lit(e)) for e in SCRIPT_ENDS), *(F.concat("_target", F.lit(e)) for e in SCRIPT_ENDS))
     found = _first_existing(aimed, stems, files)
     package = F.when(spec.startswith("@"), F.regexp_extract(spec, r"^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract(spec, r"^([^/]+)", 1))
     node = F.regexp_replace(spec, "^node:", "")
     builtin = spec.startswith("node:") | F.regexp_extract(node, r"^([^/]+)", 1).isin(*NODE)
     known = found.withColumn("_package", F.when(~relative & ~aliased, package)).join(workspaces.select(F.col("name").alias("_package"), F.col("name").alias("workspace"), "dir"), "_package", "left")
     inside = normalized(F.concat_ws("/", "dir", F.lit("src"), F.coalesce(F.nullif(F.regexp_replace(spec.substr(F.length("_package") + 2, F.length(spec)), r"\.js$", ""), F.lit("")), F.lit("index"))))
-    entry = F.array(*(F.concat("_inside", F.lit(e)) for e in _SCRIPT_ENDS))
+    entry = F.array(*(F.concat("_inside", F.lit(e)) for e in SCRIPT_ENDS))
     again = _first_existing(known.withColumn("_inside", F.when(F.col("workspace").isNotNull(), inside)).withColumnRenamed("to_", "_to"), entry, files).withColumn("to_", F.coalesce("_to", "to_"))
     outside = F.col("to_").isNull() & F.col("workspace").isNull() & ~relative & ~aliased
     return again.select(

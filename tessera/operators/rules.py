@@ -114,12 +114,8 @@ def state_findings(writes: DataFrame, rule: Rule, resources: Sequence[Resource],
     )
 
 
-def acyclic_findings(edges: DataFrame, rule: Rule, components: Sequence[Component] = (), waivers: Sequence[Waiver] = (), today: dt.date = dt.date(1970, 1, 1)) -> DataFrame:
-    """One finding for each strongly connected component of two or more members, over files or components; within limits the members.
-
-    A waiver covers a cycle when its sides each take some member. Members of a graph of components have no file that a
-    selector could take.
-    """
+def cycle_pairs(edges: DataFrame, rule: Rule) -> DataFrame:
+    """a, b, ca, cb (components), file and line of the edges that an acyclic rule looks at."""
     by_component = (rule.scope or "components") == "components"
     by = "component" if by_component else "file"
     known = edges.where(F.col("dst").isNotNull())
@@ -129,8 +125,21 @@ def acyclic_findings(edges: DataFrame, rule: Rule, components: Sequence[Componen
     pairs = known.select(F.col("src")[by].alias("a"), F.col("dst")[by].alias("b"), F.col("src.component").alias("ca"), F.col("dst.component").alias("cb"), F.col("from_").alias("file"), "line").where("a is not null and b is not null and a <> b")
     if rule.within:
         pairs = pairs.where(any_selects(rule.within, end(F.col("a"), F.col("ca"))) & any_selects(rule.within, end(F.col("b"), F.col("cb"))))
+    return pairs
+
+
+def acyclic_findings(edges: DataFrame, rule: Rule, components: Sequence[Component] = (), waivers: Sequence[Waiver] = (), today: dt.date = dt.date(1970, 1, 1), members: DataFrame | None = None) -> DataFrame:
+    """One finding for each strongly connected component of two or more members, over files or components; within limits the members. members: node and scc, where the components are known already.
+
+    A waiver covers a cycle when its sides each take some member. Members of a graph of components have no file that a
+    selector could take.
+    """
+    by_component = (rule.scope or "components") == "components"
+    end = lambda node, owner: _end(F.lit(None).cast("string") if by_component else node, node if by_component else owner)
+    pairs = cycle_pairs(edges, rule)
     pairs = settle(pairs.groupBy("a", "b").agg(F.min(F.struct("file", "line")).alias("at")), "cycle-pairs")
-    members = (mutual_components if by_component else strong_components)(pairs.select("a", "b"))
+    if members is None:
+        members = (mutual_components if by_component else strong_components)(pairs.select("a", "b"))
     m = members.select(F.col("node").alias("a"), "scc")
     inside = pairs.join(m, "a").join(members.select(F.col("node").alias("b"), F.col("scc").alias("other")), "b").where("scc = other")
     at = inside.groupBy("scc").agg(F.min("at").alias("at"))
