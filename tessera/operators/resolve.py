@@ -30,7 +30,7 @@ def _first_existing(imports: DataFrame, candidates: Column, files: DataFrame) ->
 
 
 def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame, aliases: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Edges of script imports: a relative path with its extension and index forms, an alias (prefix, folder), a workspace package, a built-in, else a package. A path or alias that leads nowhere is unresolved."""
+    """Edges of script imports: a relative path with its extension and index forms, an alias (prefix, folder), what a pattern leads to (a column stems of imports, see patterns.mapped), a workspace package, a built-in, else a package. A path, alias or subpath import (#...) that leads nowhere is unresolved."""
     spec = F.col("specifier")
     relative = spec.rlike(r"^\.\.?(/|$)")
     target = F.when(relative, normalized(F.concat_ws("/", F.regexp_replace("path", r"/?[^/]*$", ""), spec)))
@@ -41,6 +41,10 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame,
     # columns of their own, so that the plan computes them once for all candidates
     aimed = imports.withColumn("_target", target).withColumn("_bare", F.regexp_replace("_target", r"\.(?:js|jsx|mjs|cjs)$", ""))
     stems = F.array(F.col("_target"), *(F.concat("_bare", F.lit(e)) for e in SCRIPT_ENDS), *(F.concat("_target", F.lit(e)) for e in SCRIPT_ENDS))
+    aliased = aliased | spec.startswith("#")
+    if "stems" in imports.columns:
+        ends = lambda t: F.concat(F.array(t), *(F.array(F.concat(F.regexp_replace(t, r"\.(?:js|jsx|mjs|cjs)$", ""), F.lit(e))) for e in SCRIPT_ENDS), *(F.array(F.concat(t, F.lit(e))) for e in SCRIPT_ENDS))
+        stems = F.when(F.col("_target").isNotNull(), stems).otherwise(F.flatten(F.transform("stems", lambda t: ends(t))))
     found = _first_existing(aimed, stems, files)
     package = F.when(spec.startswith("@"), F.regexp_extract(spec, r"^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract(spec, r"^([^/]+)", 1))
     node = F.regexp_replace(spec, "^node:", "")
@@ -49,10 +53,11 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, workspaces: DataFrame,
     inside = normalized(F.concat_ws("/", "dir", F.lit("src"), F.coalesce(F.nullif(F.regexp_replace(spec.substr(F.length("_package") + 2, F.length(spec)), r"\.js$", ""), F.lit("")), F.lit("index"))))
     entry = F.array(*(F.concat("_inside", F.lit(e)) for e in SCRIPT_ENDS))
     again = _first_existing(known.withColumn("_inside", F.when(F.col("workspace").isNotNull(), inside)).withColumnRenamed("to_", "_to"), entry, files).withColumn("to_", F.coalesce("_to", "to_"))
-    outside = F.col("to_").isNull() & F.col("workspace").isNull() & ~relative & ~aliased
+    named = F.coalesce("named", F.lit(False)) if "named" in imports.columns else F.lit(False)
+    outside = F.col("to_").isNull() & F.col("workspace").isNull() & ~relative & ~aliased & ~named
     return again.select(
         F.col("path").alias("from_"), "to_", "workspace", F.when(outside, F.when(builtin, F.concat(F.lit("node:"), node)).otherwise(F.col("_package"))).alias("package"), F.when(outside, builtin).alias("builtin"), "specifier", "kind", "line",
-        F.lit("script").alias("analyzer"), (F.col("to_").isNull() & (relative | aliased)).alias("unresolved"),
+        F.lit("script").alias("analyzer"), (F.col("to_").isNull() & (relative | aliased | (named & F.col("workspace").isNull()))).alias("unresolved"),
     )
 
 

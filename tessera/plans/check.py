@@ -15,20 +15,21 @@ from ..functions.globs import glob_match
 from ..functions.text import token_estimate
 from ..operators import contract as W
 from ..operators import diff as D
-from ..operators import extract, mapping, resolve, rules, status, surface
+from ..operators import extract, mapping, patterns, resolve, rules, status, surface
 from ..operators import findings as FN
 from ..schemas import Component, Contract
 from ..scratch import settle
 from ..sources.files import ANALYZED, language_of, source_files
 
 
-def code_graph(files: DataFrame, workspaces: DataFrame, contract: Contract, aliases=(), roots=("", "src"), known: DataFrame | None = None, languages: Collection[str] = ANALYZED) -> DataFrame:
-    """Enriched edges of files(path, text): imports extracted, resolved and put in terms of components. known: all files there are, where only some are looked at; languages: those that files has, where that is known."""
+def code_graph(files: DataFrame, workspaces: DataFrame, contract: Contract, aliases=(), roots=("", "src"), known: DataFrame | None = None, languages: Collection[str] = ANALYZED, settings: DataFrame | None = None) -> DataFrame:
+    """Enriched edges of files(path, text): imports extracted, resolved and put in terms of components. known: all files there are, where only some are looked at; languages: those that files has, where that is known; settings: specifier patterns, see operators.patterns."""
     own = source_files(files).select("path", "text", "language")
     known = (files if known is None else known).select("path")
     made = []
     if {"typescript", "javascript"} & set(languages):
-        made.append(resolve.resolve_scripts(extract.script_imports(own.where("language in ('typescript', 'javascript')")), known, workspaces, aliases))
+        imports = extract.script_imports(own.where("language in ('typescript', 'javascript')"))
+        made.append(resolve.resolve_scripts(imports if settings is None else patterns.mapped(imports, settings), known, workspaces, aliases))
     if "python" in languages or not made:
         made.append(resolve.resolve_python(extract.python_imports(own.where("language = 'python'")), known, roots))
     owners = workspaces.select("name", mapping.component_of_package(F.col("name"), F.col("dir"), contract.components).alias("component"))
