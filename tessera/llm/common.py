@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import release as drop_stash
 from ..scratch import settle as stash
 
-__all__ = ["LAST_ID", "drop_stash", "slices", "stash", "table", "text_or_empty"]
+__all__ = ["LAST_ID", "arrow_batches", "drop_stash", "slices", "stash", "table", "text_or_empty"]
 
 #: Stands for a null id where ids are compared; such rows rank behind all others.
 LAST_ID = 2**63 - 1
@@ -27,3 +30,15 @@ def slices(batches, rows: int = 500):
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Within it, batches to Python have about that size at most. For rows that are large themselves: a task then holds a few of them on both sides, not as many as the usual limit lets in."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

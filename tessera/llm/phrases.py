@@ -2,8 +2,8 @@
 
 Texts become rows of word codes once, with a dictionary for each row. A phrase of n words is named by the slot of its first
 n - 1 words and the slot of its last word, an exact 64-bit key. Level by level, only phrases whose first and last n - 1 words
-are both frequent can be frequent (Apriori). Mappers bincount two hashes of those keys; a key is a candidate if both sums
-reach the least count, so no frequent phrase is lost. A minimal perfect hash gives each candidate a slot; the key stored
+are both frequent can be frequent (Apriori). Mappers count two hashes of those keys in arrays that are summed in a tree; a key is
+a candidate if both sums reach the least count, and what mappers hold of it as well, so no frequent phrase is lost. A minimal perfect hash gives each candidate a slot; the key stored
 there must be equal. Mappers bincount the slots of their share of the corpus, the arrays are summed in a tree, and the
 frequencies of a phrase's parts are read from the slots that its key names.
 
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_stash, slices, stash, text_or_empty
+from .common import arrow_batches, drop_stash, slices, stash, text_or_empty
 
 #: Candidates of one hash table, about; positions of a row of codes, about; slots that are summed together; arrays that one task sums.
-PART_KEYS, ROW_WORDS, SLICE, FAN = 1 << 22, 1 << 20, 1 << 16, 8
-#: Counters of one of the two hashes: a sixteenth of the positions, within these bounds. Fewer let more candidates pass, never fewer.
+PART_KEYS, ROW_WORDS, SLICE, FAN = 1 << 22, 1 << 16, 1 << 16, 8
+#: Different words, and keys, of which a task holds counts, about.
+MOST_WORDS, MOST_KEYS = 1 << 18, 1 << 20
+#: Counters of one of the two hashes: an eighth of the positions or more, within these bounds. With fewer more keys are sent to be summed, but never fewer.
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 24
 #: Bytes of a text that are split at once.
 STRETCH = 4 << 20
@@ -86,10 +88,6 @@ class PerfectHash:
         return np.where((slot >= 0) & (self.stored[slot] == keys), slot, -1)
 
 
-def word_key(lang: bytes, word: bytes, seed: int = 0) -> int:
-    return xxhash.xxh64_intdigest(lang + b"\0" + word, seed)
-
-
 class _Codes(defaultdict):
     """Numbers for words in the order of their first use; 0 ends a piece."""
 
@@ -152,13 +150,30 @@ def _ints(b: pa.RecordBatch, column: str, kind: str = "<i4"):
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """lang, word and f of all words."""
+    """lang, word and f of all words. A task adds up what its rows have in common before it sends it."""
 
     def run(batches):
+        held, n = [], 0
+
+        def summed():
+            t = pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("f", "sum")]).rename_columns(["lang", "word", "f"])
+            held.clear()
+            return t
+
         for b in batches:
             for name, words, codes in zip(b.column("lang").to_pylist(), b.column("words"), _ints(b, "codes"), strict=True):
                 f = np.bincount(codes, minlength=len(words.values) + 1)[1:]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(f), pa.string()), words.values, pa.array(f)], ["lang", "word", "f"])
+                held.append(pa.table({"lang": pa.array([name] * len(f), pa.string()), "word": words.values, "f": f}))
+                n += len(f)
+                if n > MOST_WORDS:
+                    t = summed()
+                    if (n := len(t)) > MOST_WORDS // 2:
+                        yield from t.to_batches()
+                        n = 0
+                    else:
+                        held.append(t)
+        if held:
+            yield from summed().to_batches()
 
     return rows.select("lang", "words", "codes").mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
@@ -170,7 +185,7 @@ class _Words:
         self.first, self.seed = first, 0
         keys = [(a.encode(), w.encode()) for a, w in zip(langs, words, strict=True)]
         while True:
-            h = np.fromiter((word_key(*k, self.seed) for k in keys), np.uint64, len(keys))
+            h = np.fromiter((xxhash.xxh64_intdigest(a + b"\0" + w, self.seed) for a, w in keys), np.uint64, len(keys))
             if len(np.unique(h)) == len(h):
                 break
             self.seed += 1  # two words share a hash
@@ -193,35 +208,33 @@ def _parts(rows: DataFrame, by: list[str], part_keys: int) -> list[DataFrame]:
     return [rows.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == k) for k in range(parts)]
 
 
-def _with_words(rows: DataFrame, shared) -> DataFrame:
-    """Adds to known, for each code of a row, the slots of the words that a table holds."""
+def _with_words(rows: DataFrame, shared, last: bool) -> DataFrame:
+    """Adds to known, for each code of a row, the slots of the words that a table holds; with the last table w, the slots of a row's words, -1 (once) for all that stands between frequent ones."""
 
     def run(batches):
         for b in batches:
-            for name, words, codes, known in zip(b.column("lang").to_pylist(), b.column("words"), _ints(b, "codes"), _ints(b, "known"), strict=True):
+            for k, (name, words, codes, known) in enumerate(zip(b.column("lang").to_pylist(), b.column("words"), _ints(b, "codes"), _ints(b, "known"), strict=True)):
                 new = np.concatenate([[-1], shared.value.find(name, words.as_py())]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([words.as_py()], pa.list_(pa.string())), pa.array([codes.tobytes()], pa.binary()), pa.array([(np.maximum(new, known) if len(known) else new).tobytes()], pa.binary())], ["lang", "words", "codes", "known"])
+                new = np.maximum(new, known) if len(known) else new
+                if last:
+                    w = new[codes]
+                    yield pa.RecordBatch.from_arrays([pa.array([w[(w >= 0) | np.append(True, w[:-1] >= 0)].tobytes()], pa.binary())], ["w"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in ("lang", "words", "codes")), pa.array([new.tobytes()], pa.binary())], ["lang", "words", "codes", "known"])
 
-    return rows.mapInArrow(run, "lang string, words array<string>, codes binary, known binary")
+    return rows.mapInArrow(run, "w binary" if last else "lang string, words array<string>, codes binary, known binary")
 
 
-def _positions(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for codes, known in zip(_ints(b, "codes"), _ints(b, "known"), strict=True):
-                w = known[codes]
-                w = w[(w >= 0) | np.append(True, w[:-1] >= 0)].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([w], pa.binary())], ["w", "at"])
+def _pairs(b: pa.RecordBatch):
+    """Of each row the slots of phrases by where they start, and the word behind each. Rows of words have no second column."""
+    for k, at in enumerate(_ints(b, "at")):
+        yield at, np.frombuffer(b.column("next")[k].as_buffer(), "<i4") if "next" in b.schema.names else np.append(at[1:], np.int32(-1))
 
-    return rows.select("codes", "known").mapInArrow(run, "w binary, at binary")
 
-
-def _keys(w: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases of n words stand whose first and last n - 1 words have slots, and their keys."""
-    if len(w) < n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    where = np.flatnonzero((at[: len(w) - n + 1] >= 0) & (at[1 : len(w) - n + 2] >= 0) & (w[n - 1 :] >= 0))
-    return where, at[where].astype(np.uint64) << np.uint64(32) | w[where + n - 1].astype(np.uint64)
+def _keys(at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where phrases of one word more stand, of which the first and the last words have slots, and their keys."""
+    where = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (after[:-1] >= 0))
+    return where, at[where].astype(np.uint64) << np.uint64(32) | after[where].astype(np.uint64)
 
 
 def _buckets(keys: np.ndarray, size: int) -> list[np.ndarray]:
@@ -234,124 +247,135 @@ def _sliced(counts: np.ndarray):
     for at in range(0, len(counts), SLICE):
         x = counts[at : at + SLICE]
         if x.any():
-            yield pa.RecordBatch.from_arrays([pa.array([at // SLICE], pa.int32()), pa.array([part], pa.int32()), pa.array([x.astype("<i8").tobytes()], pa.binary())], ["slice", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([at // SLICE], pa.int32()), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "part", "counts"])
 
 
 _SLICED = "slice int, part int, counts binary"
 
 
-def _tree_sum(rows: DataFrame, parts: int) -> DataFrame:
-    """The sum of the mappers' arrays, slice by slice, in steps of FAN arrays."""
+def _tree_sum(rows: DataFrame, parts: int, kind: str, read, schema: str) -> DataFrame:
+    """read(slice, total), rows of the schema, of the sums of the mappers' arrays, slice by slice, in steps of FAN arrays. Sums of a byte stop at the largest number. The last step reads its sums itself, in the same process."""
+    most = np.iinfo(kind).max
+
+    def total(t: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(len(t["counts"].iloc[0]) // np.dtype(kind).itemsize, np.int64)
+        for x in t["counts"]:
+            out += np.frombuffer(x, kind)
+        return np.minimum(out, most)
 
     def add(t: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(t["counts"].iloc[0], "<i8").copy()
-        for x in t["counts"].iloc[1:]:
-            total += np.frombuffer(x, "<i8")
-        return t.iloc[:1].assign(counts=[total.tobytes()])
+        return t.iloc[:1].assign(counts=[total(t).astype(kind).tobytes()])
+
+    def finish(t: pd.DataFrame) -> pd.DataFrame:
+        return read(int(t["slice"].iloc[0]), total(t))
 
-    while parts > 1:
+    while parts > FAN:
         parts = -(-parts // FAN)
         rows = rows.withColumn("part", F.expr(f"cast(part div {FAN} as int)")).groupBy("slice", "part").applyInPandas(add, _SLICED)
-    return rows
+    return rows.groupBy("slice").applyInPandas(finish, schema)
 
 
-def _likely(rows: DataFrame, n: int, size: int, least: int, mappers: int):
+def _likely(rows: DataFrame, size: int, least: int, mappers: int):
     """A broadcast of one bit for each counter of the two hashes: whether it reaches the least count."""
 
     def run(batches):
-        counts = np.zeros(2 * size, np.int64)
+        counts = np.zeros(2 * size, np.uint8)  # no more than whether the least count is reached is asked
         for b in batches:
-            for w, at in zip(_ints(b, "w"), _ints(b, "at"), strict=True):
-                for row, bucket in enumerate(_buckets(_keys(w, at, n)[1], size)):
-                    counts[row * size : (row + 1) * size] += np.bincount(bucket - row * size, minlength=size)
+            for at, after in _pairs(b):
+                for bucket in _buckets(_keys(at, after)[1], size):
+                    own, n = np.unique(bucket, return_counts=True)
+                    counts[own] = np.minimum(counts[own] + n, 255)
         yield from _sliced(counts)
 
-    def bits(batches):
-        for b in batches:
-            full = [np.packbits(x >= least).tobytes() for x in _ints(b, "counts", "<i8")]
-            yield pa.RecordBatch.from_arrays([b.column("slice"), pa.array(full, pa.binary())], ["slice", "full"])
+    def bits(k: int, counts: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"slice": [k], "full": [np.packbits(counts >= min(least, 255)).tobytes()]})
 
-    summed = _tree_sum(rows.coalesce(mappers).mapInArrow(run, _SLICED), mappers)
+    summed = _tree_sum(rows.coalesce(mappers).mapInArrow(run, _SLICED), mappers, "u1", bits, "slice int, full binary")
     out = np.zeros(2 * size, bool)
-    for r in summed.mapInArrow(bits, "slice int, full binary").toArrow().to_pylist():  # 2 * size bits
+    for r in summed.toArrow().to_pylist():  # 2 * size bits
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.unpackbits(np.frombuffer(r["full"], np.uint8)).astype(bool)
     return rows.sparkSession.sparkContext.broadcast(out)
 
 
-def _candidates(rows: DataFrame, n: int, size: int, likely) -> DataFrame:
-    """The different keys whose counters both reach the least count."""
+def _candidates(rows: DataFrame, size: int, likely, least: int, mappers: int) -> DataFrame:
+    """The different keys whose counters both reach the least count, as far as the tasks' own counts of them do so together: of a key that is frequent none is left out, of others that share its counters none stays."""
+
+    def told(held):
+        keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+        own, at = np.unique(keys, return_inverse=True)
+        return own, np.bincount(at, n, len(own)).astype(np.int64)
 
     def run(batches):
         held, total = [], 0
         for b in batches:
-            for w, at in zip(_ints(b, "w"), _ints(b, "at"), strict=True):
-                keys = np.unique(_keys(w, at, n)[1])
+            for at, after in _pairs(b):
+                keys, n = np.unique(_keys(at, after)[1], return_counts=True)
                 one, two = _buckets(keys, size)
-                held.append(keys[likely.value[one] & likely.value[two]])
-                total += len(held[-1])
-                if total > PART_KEYS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).view(np.int64))], ["key"])
-                    held, total = [], 0
+                fits = likely.value[one] & likely.value[two]
+                held.append((keys[fits], n[fits]))
+                total += len(held[-1][0])
+                if total > MOST_KEYS:
+                    own, n = told(held)
+                    held, total = [(own, n)], len(own)
+                    if total > MOST_KEYS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["key", "n"])
+                        held, total = [], 0
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).view(np.int64))], ["key"])
-
-    return rows.mapInArrow(run, "key long").distinct()
+            own, n = told(held)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["key", "n"])
 
+    return rows.coalesce(mappers).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
 
-def _annotated(rows: DataFrame, n: int, shared, first: int) -> DataFrame:
-    """Rows (w, before, at): at the slot of the n words that start there. before has those of n - 1 words, which the next table needs too."""
 
-    def run(batches):
-        for b in batches:
-            for w, before, at in zip(_ints(b, "w"), _ints(b, "before"), _ints(b, "at"), strict=True):
-                where, keys = _keys(w, before, n)
-                slot = shared.value.find(keys)
-                now = at.copy() if len(at) else np.full(len(w), -1, np.int32)
-                now[where[slot >= 0]] = first + slot[slot >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w, before, now)], ["w", "before", "at"])
-
-    return rows.mapInArrow(run, "w binary, before binary, at binary")
-
-
-def _slot_counts(rows: DataFrame, first: int, end: int, mappers: int) -> DataFrame:
-    """(slice, counts) of the slots first to end, summed over the mappers."""
+def _frequent(rows: DataFrame, shared, least: int, mappers: int) -> DataFrame:
+    """(key, f) of the keys of a table that reach the least count: slots counted by mappers, summed in a tree."""
 
-    def run(batches):
-        counts = np.zeros(end - first, np.int64)
+    def count(batches):
+        n = shared.value.n
+        counts = np.zeros(n, np.int64)
         for b in batches:
-            for at in _ints(b, "at"):
-                at = at[(at >= first) & (at < end)] - first
-                counts += np.bincount(at, minlength=end - first)
+            for at, after in _pairs(b):
+                slot = shared.value.find(_keys(at, after)[1])
+                counts += np.bincount(slot[slot >= 0], minlength=n)
         yield from _sliced(counts)
 
-    return _tree_sum(rows.select("at").coalesce(mappers).mapInArrow(run, _SLICED), mappers)
+    def read(k: int, f: np.ndarray) -> pd.DataFrame:
+        own = np.flatnonzero(f >= least)
+        return pd.DataFrame({"key": shared.value.stored[k * SLICE + own].view(np.int64), "f": f[own]})
+
+    return _tree_sum(rows.coalesce(mappers).mapInArrow(count, _SLICED), mappers, "<i8", read, "key long, f long")
 
 
-def _frequent(counts: DataFrame, shared, first: int, least: int) -> DataFrame:
-    """(idx, key, f) of the slots that reach the least count."""
+def _annotated(rows: DataFrame, shared, first: int, last: bool) -> DataFrame:
+    """Rows(at, next, now) with the slots of phrases of one word more in now; with the last table (at, next) of these, where they stand next to each other, -1 (once) for all between."""
 
     def run(batches):
         for b in batches:
-            for k, f in zip(b.column("slice").to_pylist(), _ints(b, "counts", "<i8"), strict=True):
-                own = np.flatnonzero(f >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(first + k * SLICE + own), pa.array(shared.value.stored[k * SLICE + own].view(np.int64)), pa.array(f[own])], ["idx", "key", "f"])
+            for k, (at, after) in enumerate(_pairs(b)):
+                now = np.frombuffer(b.column("now")[k].as_buffer(), "<i4")
+                now = now.copy() if len(now) else np.full(len(at), -1, np.int32)
+                where, keys = _keys(at, after)
+                slot = shared.value.find(keys)
+                now[where[slot >= 0]] = first + slot[slot >= 0]
+                if last:
+                    kept = (now >= 0) | np.append(False, now[:-1] >= 0) if len(now) else np.zeros(0, bool)
+                    columns = [now[kept], np.append(after[1:], np.int32(-1))[kept] if len(after) else after]
+                else:
+                    columns = [at, after, now]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["at", "next", "now"][: len(columns)])
 
-    return counts.select("slice", "counts").mapInArrow(run, "idx long, key long, f long")
+    return rows.mapInArrow(run, "at binary, next binary" + ("" if last else ", now binary"))
 
 
-def _only(rows: DataFrame, kept: np.ndarray, first: int) -> DataFrame:
-    """at becomes -1 where a slot from first on is not kept."""
-    shared = rows.sparkSession.sparkContext.broadcast(kept)
+def _with_slots(rows: DataFrame, shared, first: int) -> DataFrame:
+    """(idx, key, f) of the keys of a table."""
 
     def run(batches):
         for b in batches:
-            for w, before, at in zip(_ints(b, "w"), _ints(b, "before"), _ints(b, "at"), strict=True):
-                own = np.flatnonzero(at >= first)
-                now = at.copy()
-                now[own[~shared.value[at[own] - first]]] = -1
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w, before, now)], ["w", "before", "at"])
+            key = b.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(first + shared.value.find(key.view(np.uint64))), b.column("key"), b.column("f")], ["idx", "key", "f"])
 
-    return rows.mapInArrow(run, "w binary, before binary, at binary")
+    return rows.mapInArrow(run, "idx long, key long, f long")
 
 
 def _numbered(words: DataFrame, shared) -> DataFrame:
@@ -377,41 +401,50 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, text: s
     words = stash(_word_counts(rows), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
 
-    first, known, level = 0, rows.withColumn("known", F.lit(b"")), None
-    for part in _parts(words.where(F.col("f") >= least), ["lang", "word"], part_keys):
+    first, known, level, spent = 0, rows.withColumn("known", F.lit(b"")), [], [rows]
+    parts = _parts(words.where(F.col("f") >= least), ["lang", "word"], part_keys)
+    for k, part in enumerate(parts):
         held = part.select("lang", "word").toArrow()
         table = _Words(held.column("lang").to_pylist(), held.column("word").to_pylist(), first)
         shared = spark.sparkContext.broadcast(table)
-        known = _with_words(known, shared)
-        level = _numbered(part, shared) if level is None else level.union(_numbered(part, shared))
+        level.append(_numbered(part, shared))
+        last = k == len(parts) - 1
+        known = stash(_with_words(known, shared, last), "phrase-at-1" if last else "phrase-known")
+        spent.append(known)
         first += len(table.stored)
-    levels = [stash(level, "phrase-level-1")]
-    now = stash(_positions(known), "phrase-at-1")
-    drop_stash(rows)
+    levels = [stash(reduce(DataFrame.union, level), "phrase-level-1")]
+    drop_stash(*spent[:-1])
+    spent, now = spent[-1:], known.withColumnRenamed("w", "at")
 
-    positions = int(now.agg(F.sum(F.length("w"))).first()[0] or 0) // 4
-    size = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, positions // 16 - 1).bit_length()))
+    positions = int(now.agg(F.sum(F.length("at"))).first()[0] or 0) // 4
+    size = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, positions // 8 - 1).bit_length()))
     for n in range(2, longest + 1):
-        likely = _likely(now, n, size, least, mappers)
-        candidates = stash(_candidates(now, n, size, likely), f"phrase-candidates-{n}")
+        likely = _likely(now, size, least, mappers)
+        candidates = stash(_candidates(now, size, likely, least, mappers), f"phrase-candidates-{n}")
         likely.unpersist()
-        first, done, level, spent = 0, now.select("w", F.col("at").alias("before"), F.lit(b"").alias("at")), [], [now, candidates]
+        counted = []
         for part in _parts(candidates, ["key"], part_keys):
-            table = PerfectHash(part.toArrow().column("key").to_numpy().view(np.uint64))
+            shared = spark.sparkContext.broadcast(PerfectHash(part.toArrow().column("key").to_numpy().view(np.uint64)))
+            counted.append(stash(_frequent(now, shared, least, mappers), f"phrase-frequent-{n}"))
+            shared.unpersist()
+        often = reduce(DataFrame.union, counted)
+        first, level, marked = 0, [], now.withColumn("now", F.lit(b""))
+        parts = _parts(often, ["key"], part_keys)
+        for k, part in enumerate(parts):
+            table = PerfectHash(part.select("key").toArrow().column("key").to_numpy().view(np.uint64))
             shared = spark.sparkContext.broadcast(table)
-            marked = stash(_annotated(done, n, shared, first), f"phrase-marked-{n}")
-            own = stash(_frequent(_slot_counts(marked, first, first + table.n, mappers), shared, first, least), f"phrase-level-{n}")
-            kept = np.zeros(table.n, bool)
-            kept[own.select("idx").toArrow().column("idx").to_numpy() - first] = True
-            done = _only(marked, kept, first)
-            level.append(own)
-            spent.append(marked)
+            level.append(_with_slots(part, shared, first))
+            if n < longest:
+                last = k == len(parts) - 1
+                marked = stash(_annotated(marked, shared, first, last), f"phrase-at-{n}" if last else f"phrase-marked-{n}")
+                spent.append(marked)
             first += table.n
-            shared.unpersist()
-        levels.append(reduce(DataFrame.union, level))
+        levels.append(stash(reduce(DataFrame.union, level), f"phrase-level-{n}"))
+        drop_stash(candidates, *counted)
         if n < longest:
-            now = stash(done.select("w", "at"), f"phrase-at-{n}")
-        drop_stash(*spent)
+            drop_stash(*spent[:-1])
+            spent, now = spent[-1:], marked
+    drop_stash(*spent)
     return levels, totals
 
 
@@ -441,7 +474,8 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, within: int
     A null text has no words, a null lang is und (one with texts of that name); repeated rows count as often as they come;
     other columns are ignored; an empty table gives none. A language without candidates has no row.
     """
-    levels, totals = frequent_phrases(docs, longest, least, text, lang, part_keys, row_words)
+    with arrow_batches(docs.sparkSession):
+        levels, totals = frequent_phrases(docs, longest, least, text, lang, part_keys, row_words)
     whole = _whole(levels)
     ranked = None
     for n, own in enumerate(whole[1:], 2):
