@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Collection, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import NamedTuple
 
@@ -134,9 +134,11 @@ def diff(base: Version, head: Version, today: dt.date) -> Difference:
     Findings of api-stability and deprecated rules that an accepted decision newly lists in weakens are waived.
     """
     spark, rules_of = head.edges.sparkSession, head.contract.rules
-    edges, old_edges = head.seen_by(head.contract), base.seen_by(head.contract)
-    found = check(edges, head.contract, today, head.baseline)
-    fixed = None if head.baseline is None else rules.baseline_fixed(check(edges, head.contract, today), head.baseline)
+    # each graph is put in terms of a contract once, and checked once without its baseline
+    edges, old_edges = settle(head.seen_by(head.contract), "diff-head"), settle(base.seen_by(head.contract), "diff-base")
+    plain = settle(check(edges, head.contract, today), "diff-found")
+    found = plain if head.baseline is None else rules.apply_baseline(plain, head.baseline)
+    fixed = None if head.baseline is None else rules.baseline_fixed(plain, head.baseline)
     was = check(base.seen_by(base.contract), base.contract, today)
     before = was.groupBy("fingerprint").agg(F.count("*").alias("occurrences")).withColumn("baselined", F.lit(0).cast("long"))
     if head.baseline is not None:
@@ -152,8 +154,11 @@ def diff(base: Version, head: Version, today: dt.date) -> Difference:
         enforced = spark.createDataFrame([(r.id,) for r in base.contract.rules if r.level != "off"], "rule string")
         grown = D.baseline_growth(base.baseline, head.baseline, enforced)
         weak = weak.union(grown.select(F.lit("baseline-grown"), "rule", F.concat(F.lit("accepts more findings: "), "grown")))
-    # what the base contract finds in head's code and head's contract no longer does; a rule counts once, with what loosened it
-    less = D.lost_findings(check(head.seen_by(base.contract), base.contract, today).where("status = 'new'"), check(edges, head.contract, today).where("status = 'new'"))
+    # what the base contract finds in head's code and head's contract no longer does, waivers aside as they are told of
+    # themselves; a rule counts once, with what loosened it
+    bare = lambda c: replace(c, waivers=())
+    now = check(edges, bare(head.contract), today) if head.contract.waivers else plain
+    less = D.lost_findings(check(head.seen_by(base.contract), bare(base.contract), today).where("status = 'new'"), now.where("status = 'new'"))
     less = less.groupBy("rule").agg(F.sum("lost").alias("lost")).join(weak.select("rule").distinct(), "rule", "left_anti")
     weak = weak.union(less.select(F.lit("findings-lost"), "rule", F.concat(F.lit("no longer finds: "), "lost")))
     if base.decisions is not None and head.decisions is not None:

@@ -9,6 +9,7 @@ region that it can have changed.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import extract, graph, resolve, rules
 from ..schemas import Contract, Rule
 from ..scratch import folder, release, settle
+from ..sources.files import language_of
 from . import check
 
 PARTS = 64
@@ -35,7 +37,6 @@ class Kept:
     aliases: tuple = ()
     roots: tuple = ("", "src")
     parts: int = PARTS
-    version: int = 0
     written: tuple[int, ...] = ()
     schema: object = None
     cycles: tuple[tuple[str, DataFrame], ...] = ()
@@ -78,7 +79,7 @@ def _write(kept: Kept, edges: DataFrame, version: int, touched: Sequence[int]) -
     written = list(kept.written) or [-1] * kept.parts
     for k in touched:
         written[k] = version if k in full else -1
-    return replace(kept, version=version, written=tuple(written))
+    return replace(kept, written=tuple(written))
 
 
 def _file_rules(contract: Contract) -> list[Rule]:
@@ -120,14 +121,15 @@ def edit(kept: Kept, files: DataFrame, edited: DataFrame, deleted: DataFrame, to
     files: path and text of all files after the edit; edited(path): those of them that are changed or new; deleted(path). The
     findings are those of a check of the whole with changed set to the edited files, and the edges are those of a full one.
     """
-    spark, contract, version = files.sparkSession, kept.contract, kept.version + 1
+    spark, contract, version = files.sparkSession, kept.contract, uuid.uuid4().int >> 65  # several edits may start from one version
     before = kept.edges(spark)
     edited = settle(edited.select("path").distinct(), "edited")
     known = before.select(F.col("from_").alias("path")).union(before.select(F.col("to_").alias("path")))
     new = edited.join(known.distinct(), "path", "left_anti")  # or without any import so far: read again for nothing
     again = to_read_again(before, new, deleted, kept.roots).join(deleted, "path", "left_anti") if new.head(1) or deleted.head(1) else edited.limit(0)
     redo = settle(edited.union(again).distinct(), "edit-redo")
-    fresh = settle(check.code_graph(files.join(redo, "path", "left_semi"), kept.workspaces, contract, kept.aliases, kept.roots, files.select("path")), "edit-edges")
+    languages = [r[0] for r in redo.select(language_of(F.col("path"))).distinct().collect()]  # those that there are
+    fresh = settle(check.code_graph(files.join(redo, "path", "left_semi"), kept.workspaces, contract, kept.aliases, kept.roots, files.select("path"), languages), "edit-edges")
     gone = redo.union(deleted.select("path")).distinct()
     touched = sorted(r.part for r in gone.select(_part(F.col("path"), kept.parts).alias("part")).distinct().collect())  # no more than there are parts
     old = kept.edges(spark, touched)

@@ -364,6 +364,12 @@ def test_diff(spark):
     more = plans.Version(laxer, say([*new, ("src/infra/db.ts", "src/app/checkout.ts", None, "../app/checkout.ts", "static", 3)]), head.files)
     told = plans.diff(plans.Version(laxer, base.edges, base.files), more, TODAY)
     assert {(r.rule, r.from_, r.to_) for r in told.findings.collect() if r.level == "info"} == {("new-component-edge", "infra", "app"), ("new-cycle", None, None), ("propagation-cost-rise", None, None)}
+    # a waiver that comes, or goes, loses no findings: it is told of itself
+    held = Waiver("domain-is-pure", "domain", None, dt.date(2027, 1, 1))
+    waived = plans.Version(Contract(SHOP, rules=rules_, waivers=(held,)), base.edges, base.files)
+    bare = plans.Version(contract, base.edges, base.files)
+    assert "findings-lost" not in {r.type for r in plans.diff(bare, waived, TODAY).weakenings.collect()} and plans.diff(waived, bare, TODAY).weakenings.count() == 0
+    held = spark.createDataFrame([("a9aedfe53d11dac6", "no-cycles", 1)], "fingerprint string, rule string, count int")
     loose = plans.diff(base, plans.Version(laxer, base.edges, base.files, baseline=held.withColumn("count", F.lit(3))), TODAY).weakenings
     assert {(r.type, r.rule) for r in loose.collect()} == {("rule-removed", x) for x in ("domain-is-pure", "layering", "no-cycles", "domain-entrypoint")} | {("baseline-grown", "no-cycles")}
 
