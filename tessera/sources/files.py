@@ -19,10 +19,9 @@ EXCLUDED = (
 
 #: Languages and their file extensions.
 EXTENSIONS = {
-    "c": "c h", "clojure": "clj cljs cljc", "cpp": "cc cpp cxx hh hpp hxx", "csharp": "cs", "dart": "dart", "elixir": "ex exs", "erlang": "erl", "fsharp": "fs", "go": "go", "haskell": "hs", "java": "java", "javascript": "js jsx mjs cjs", "julia": "jl", "kotlin": "kt kts", "lua": "lua", "objc": "m mm",
-    "ocaml": "ml mli", "php": "php", "python": "py pyi", "ruby": "rb", "rust": "rs", "scala": "scala", "svelte": "svelte", "swift": "swift", "typescript": "ts tsx mts cts", "vue": "vue", "zig": "zig",
+    "c": ("c", "h"), "clojure": ("clj", "cljs", "cljc"), "cpp": ("cc", "cpp", "cxx", "hh", "hpp", "hxx"), "csharp": ("cs",), "dart": ("dart",), "elixir": ("ex", "exs"), "erlang": ("erl",), "fsharp": ("fs",), "go": ("go",), "haskell": ("hs",), "java": ("java",), "javascript": ("js", "jsx", "mjs", "cjs"), "julia": ("jl",), "kotlin": ("kt", "kts"), "lua": ("lua",), "objc": ("m", "mm"), "ocaml": ("ml", "mli"), "php": ("php",), "python": ("py", "pyi"), "ruby": ("rb",), "rust": ("rs",), "scala": ("scala",), "svelte": ("svelte",), "swift": ("swift",), "typescript": ("ts", "tsx", "mts", "cts"), "vue": ("vue",), "zig": ("zig",),
 }
-LANGUAGES = {e: language for language, ends in EXTENSIONS.items() for e in ends.split()}
+LANGUAGES = {e: language for language, ends in EXTENSIONS.items() for e in ends}
 ANALYZED = ("typescript", "javascript", "python")
 
 

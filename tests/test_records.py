@@ -158,3 +158,11 @@ def test_kept_history(spark, tmp_path, seed):
     for k in range(28, 36):
         commits[f"s{k}"] = (commits[f"s{k}"][0], [r.choice("abc")])  # spans without pairs
     full(12, 60)
+
+
+def test_slug(spark):
+    from tessera.functions.text import slug
+
+    texts = ["Keep the Domain pure!", "Größe über Ünïcode", "ﬁne ½ Ⅳ", "日本", "", " - ", None, "a" * 59 + "-b" * 9, "Straße"]
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", slug(F.col("t")).alias("s")).collect()}
+    assert got == {"Keep the Domain pure!": "keep-the-domain-pure", "Größe über Ünïcode": "gro-e-uber-unicode", "ﬁne ½ Ⅳ": "fine-1-2-iv", "日本": "decision", "": "decision", " - ": "decision", None: None, "a" * 59 + "-b" * 9: "a" * 59, "Straße": "stra-e"}
