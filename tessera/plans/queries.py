@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import glob_match
 from ..functions.hashing import content_id, edge_fingerprint
 from ..functions.text import STOPWORDS, normalize_signature
-from ..operators import context, diff, findings, graph, history, mapping, metrics, rules, search, status, surface
+from ..operators import context, diff, findings, graph, history, mapping, metrics, patterns, rules, search, status, surface
 from ..schemas import Component, Resource, Rule, Waiver
 from ..scratch import folder
 from ..sources import documents, files
@@ -658,3 +658,17 @@ def cochange_kept(spark, sf_dir):
     kept = folder(spark, "history")
     history.kept_counts(changed.where("ts < timestamp'1997-03-04'"), kept, 91)
     return history.kept_counts(changed.where("ts >= timestamp'1993-06-10'"), kept, 91)[0]
+
+
+_PATTERNS = ((0, "@0/*", "a/*"), (1, "@1/*", "b/*"), (2, "@1/ECONOMY/*", "c/*/index"), (3, "@2/*7", "d/*"), (4, "@2/*", "e/*"), (5, "@3/PROMO/x1", "f"))
+
+
+@query(
+    "select p_partkey, best.stem as stem from (select *, '@' || p_size % 5 || '/' || p_type || '/x' || p_partkey % 100 as spec from part) left join lateral (select case when pattern like '%*%' then replace(target, '*', substr(spec, length(a) + 1, length(spec) - length(a) - length(b))) else target end as stem from pats "
+    "where case when pattern like '%*%' then starts_with(spec, a) and ends_with(spec, b) and length(spec) >= length(a) + length(b) else spec = pattern end order by pattern not like '%*%' desc, length(a) desc, nth limit 1) best on true",
+    f"pats as (select nth, pattern, target, split_part(pattern, '*', 1) as a, split_part(pattern, '*', 2) as b from (values {', '.join(map(str, _PATTERNS))}) as t(nth, pattern, target))",
+)
+def specifier_patterns(spark, sf_dir):
+    p = C.read(spark, sf_dir, "part").select("p_partkey", F.expr("concat('src/', p_brand, '/p', p_partkey, '.ts')").alias("path"), F.expr("concat('@', p_size % 5, '/', p_type, '/x', p_partkey % 100)").alias("specifier"))
+    given = spark.createDataFrame([("paths", "src", k, pattern, [target]) for k, pattern, target in _PATTERNS], patterns.PATTERNS)
+    return patterns.mapped(p, given).select("p_partkey", F.col("stems")[0].alias("stem"))
