@@ -1,4 +1,4 @@
-"""Counts with the first few rows of each group, whatever a group's size."""
+"""Steps whose memory stays bounded: rows dealt over all partitions, and counts with the first few rows of each group, whatever a group's size."""
 
 from __future__ import annotations
 
@@ -9,6 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys over as many partitions as shuffles have.
+
+    Adaptive execution puts partitions together by their compressed bytes, and rows that compress well then meet in a few
+    tasks whose memory grows with the table. It leaves a number of partitions that was asked for.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def count_and_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """keys, n and first: how many rows a group has, and its first ones by order as an array of structs of these columns.
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import spread
 from ..functions.text import tokens
 from ..operators.mapping import component_of
 from ..operators.resolve import normalized
@@ -155,6 +156,18 @@ def _paths(prompt: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(fine, lambda x: normalized(F.replace(x["w"], F.lit("\\"), F.lit("/")))), lambda p: p.isNotNull() & (p != "")))
 
 
+def _sharing(asked: DataFrame, titles: DataFrame, least: int) -> DataFrame:
+    """prompt_id and id: of asked(prompt_id, term) and titles(id, terms) those that share at least so many terms.
+
+    Titles of the same terms are one class, named by its least id: prompts meet classes, and only those that a prompt
+    matches are opened into their titles. So nothing but the answer grows with prompts x titles.
+    """
+    own = titles.select("id", F.explode("terms").alias("term")).groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    classes = own.groupBy("terms").agg(F.min("id").alias("class"))
+    met = spread(asked.join(classes.select("class", F.explode("terms").alias("term")), "term"), "prompt_id").groupBy("prompt_id", "class").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return met.join(own.join(classes, "terms").select("class", "id"), "class").select("prompt_id", "id")
+
+
 def prompt_matches(prompts: DataFrame, components: Sequence[Component], titles: DataFrame, least: int = 2) -> DataFrame:
     """prompt_id, kind (component, path or decision) and id: what prompts(prompt_id, prompt) are about; for batches and streams of prompts.
 
@@ -172,7 +185,6 @@ def prompt_matches(prompts: DataFrame, components: Sequence[Component], titles:
     hits = F.when(F.col("_path").isNull(), F.array_compact(F.array(*named)) if named else none).when(F.col("_own").isNotNull(), F.array(F.struct(F.lit("path").alias("kind"), F.col("_path").alias("id")), F.struct(F.lit("component").alias("kind"), F.col("_own").alias("id"))))
     direct = found.select("prompt_id", F.explode(hits).alias("hit")).select("prompt_id", "hit.kind", "hit.id")
     terms = lambda text: F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) >= 3))
-    listed = titles.select("id", F.explode(terms(F.col("title"))).alias("term")).distinct()
     asked = prompts.select("prompt_id", F.explode(terms(said)).alias("term"))
-    shared = asked.join(listed, "term").groupBy("prompt_id", "id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("prompt_id", F.lit("decision").alias("kind"), "id")
-    return direct.dropDuplicates(["prompt_id", "kind", "id"]).union(shared)
+    shared = _sharing(asked, titles.select("id", terms(F.col("title")).alias("terms")), least).select("prompt_id", F.lit("decision").alias("kind"), "id")
+    return spread(direct, "prompt_id").dropDuplicates(["prompt_id", "kind", "id"]).union(shared)

@@ -1,10 +1,13 @@
 """Queries against their SQL on small tables of cases that the given tables hold only when they are large."""
 
+import tempfile
+
 import duckdb
 import pytest
 from test_queries import plain
 
 from tessera.plans.queries import ORACLE_SQL, QUERIES
+from tessera.streaming import intake
 
 
 def against_sql(spark, name, folder):
@@ -27,3 +30,17 @@ def test_last_half_second_of_a_day(spark, tmp_path, name):
     rows = ", ".join(f"({10 * day + k}, timestamp '2024-01-{day:02d} {end}', {k % 2}, 'view', 1.0, '')" for day in range(3, 14) for k, end in enumerate(ends))
     duckdb.execute(f"copy (select * from (values {rows}) as t(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet'")
     assert against_sql(spark, name, tmp_path)
+
+
+def test_titles_of_the_same_terms_meet_a_prompt_once(spark):
+    """What meets on the way doesn't grow with prompts x titles: 300 prompts and 200 copies of three titles."""
+    prompts = spark.range(300).selectExpr("id as prompt_id", "concat('old rod number', id % 7) as prompt")
+    titles = spark.range(600).selectExpr("concat('d', id) as id", "element_at(array('an old rod', 'the new rod', 'old bolt'), cast(id % 3 + 1 as int)) as title")
+    matched = intake.prompt_matches(prompts, (), titles)
+    folder = tempfile.mkdtemp()
+    matched.write.parquet(f"{folder}/out")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    assert spark.read.parquet(f"{folder}/out").count() == 300 * 200
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), None)
+    last = max(stages.apply(k).stageId() for k in range(stages.size()) if stages.apply(k).outputRecords() == 60000)
+    assert sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()) if last - 12 < stages.apply(k).stageId() < last) < 6000
