@@ -44,7 +44,8 @@ def with_endpoints(edges: DataFrame, components: Sequence[Component], owners: Da
     """Adds src and dst (structs of file, component, package, external); dst is null where the target is missing.
 
     owners: name and component of the packages of the repository. A target file has only the edge's own workspace as its
-    package; a package outside has no component.
+    package; a package outside has no component. Edges that bring from_component and to_component, as their files have
+    them, keep these: patterns are matched once a file then, not for every edge.
     """
     if owners is not None:
         edges = edges.join(owners.select(F.col("name").alias("workspace"), F.col("component").alias("_owner")), "workspace", "left")
@@ -52,13 +53,14 @@ def with_endpoints(edges: DataFrame, components: Sequence[Component], owners: Da
         edges = edges.withColumn("_owner", F.lit(None).cast("string"))
     end = lambda file, comp, pkg, ext: F.struct(file.alias("file"), comp.alias("component"), pkg.alias("package"), ext.alias("external"))
     none = F.lit(None).cast("string")
-    src = end(F.col("from_"), component_of(F.col("from_"), components), none, F.lit(False))
+    of = lambda file: F.col(f"{file}component") if f"{file}component" in edges.columns else component_of(F.col(file), components)
+    src = end(F.col("from_"), of("from_"), none, F.lit(False))
     dst = (
-        F.when(F.col("to_").isNotNull(), end(F.col("to_"), component_of(F.col("to_"), components), F.col("workspace"), F.lit(False)))
+        F.when(F.col("to_").isNotNull(), end(F.col("to_"), of("to_"), F.col("workspace"), F.lit(False)))
         .when(F.col("workspace").isNotNull(), end(none, F.col("_owner"), F.col("workspace"), F.lit(False)))
         .when(F.col("package").isNotNull(), end(none, none, F.col("package"), F.lit(True)))
     )
-    return edges.withColumns({"src": src, "dst": dst}).drop("_owner")
+    return edges.withColumns({"src": src, "dst": dst}).drop("_owner", "from_component", "to_component")
 
 
 def missing_target(unresolved: Column, workspace: Column, to: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import settle
 from .graph import reachable, small_closure
 
 
@@ -13,12 +14,13 @@ def component_graph(edges: DataFrame, samples: int = 3) -> DataFrame:
     """from_c, to_c, cnt, kinds (sorted) and samples (file, line, target; the first by these) for each ordered pair of different components.
 
     Samples are cut before the shuffle as well: each task keeps the least few of a pair, so a pair with most of all edges
-    stays small.
+    stays small. Kinds are counted before they are collected: a set for each pair would have each task sort all its edges.
+    The graph is settled, as what is asked of it is mostly several things: edges are read for it once.
     """
     e = edges.select(F.col("src.component").alias("from_c"), F.col("dst.component").alias("to_c"), "kind", F.struct(F.col("from_").alias("file"), "line", F.coalesce("to_", "workspace").alias("target")).alias("sample")).where("from_c is not null and to_c is not null and from_c <> to_c")
-    counted = e.groupBy("from_c", "to_c").agg(F.count("*").alias("cnt"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    counted = e.groupBy("from_c", "to_c", "kind").agg(F.count("*").alias("n")).groupBy("from_c", "to_c").agg(F.sum("n").alias("cnt"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     first = e.withColumn("nth", F.row_number().over(W.partitionBy("from_c", "to_c").orderBy("sample"))).where(F.col("nth") <= samples).groupBy("from_c", "to_c").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
-    return counted.join(first, ["from_c", "to_c"])
+    return settle(counted.join(first, ["from_c", "to_c"]), "component-graph")
 
 
 def coupling(components: DataFrame, files: DataFrame, graph: DataFrame) -> DataFrame:

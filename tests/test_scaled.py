@@ -4,8 +4,10 @@ import tempfile
 
 import duckdb
 import pytest
-from test_queries import plain
+from test_queries import SF, plain
 
+from tessera.operators import context, metrics
+from tessera.plans import carriers
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.streaming import intake
 
@@ -44,3 +46,15 @@ def test_titles_of_the_same_terms_meet_a_prompt_once(spark):
     stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), None)
     last = max(stages.apply(k).stageId() for k in range(stages.size()) if stages.apply(k).outputRecords() == 60000)
     assert sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()) if last - 12 < stages.apply(k).stageId() < last) < 6000
+
+
+def test_components_are_matched_once_a_file(spark):
+    """Patterns of components are evaluated on files: below the joins of edges, not on their rows."""
+    plan = carriers.edges(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.split("Join")[0]
+
+
+def test_component_graph_reads_its_edges_once(spark):
+    """What asks several things of a component graph doesn't read the edges anew for each."""
+    g = metrics.component_graph(carriers.edges(spark, SF))
+    assert "lineitem" not in " ".join(context.observed(g).inputFiles())
