@@ -258,7 +258,9 @@ def _left_over(met: DataFrame, places: DataFrame) -> DataFrame:
 
     stand = places.select(F.col("node").alias("a"), "root", "place", "block")
     placed = lambda rows: rows.join(stand, "a", "left").withColumns({"root": F.coalesce("root", "a"), "place": F.coalesce("place", "a"), "block": F.coalesce("block", F.lit(0).cast("long"))})
-    rows = placed(met.where("key >= 0").withColumnRenamed("b", "check")).select("key", "a", "check", "root", "place", "block")
+    # a text's place is looked up once, not under each of its keys, which are SEGMENTS * STRUCK at most
+    texts = met.where("key >= 0").groupBy("a").agg(F.collect_set("key").alias("keys"), F.min("b").alias("check"))
+    rows = placed(texts).select(F.explode("keys").alias("key"), "a", "check", "root", "place", "block")
     within = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long, block long")
     # under heavy keys classes meet, not texts: who is not of the largest group of two such classes asks all places of the other
     members = stash(placed(met.where("key = -3").select("a", F.col("b").alias("kind"))).distinct(), "similar-members")

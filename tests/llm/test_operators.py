@@ -150,6 +150,16 @@ def test_similar_follower_meets_others():
     assert left(1, 2, 3) == {(1, 2), (2, 3)} and left(1, 1, 3) == {(2, 3)} and left(1, 1, 1) == set()
 
 
+def test_similar_looks_up_a_text_once(spark):
+    """The join with places takes a row for each text, whatever number of keys it has; pairs that the groups join are left out."""
+    met = spark.createDataFrame([(key, a, 0) for key in range(40) for a in (1, 2, 3)], "key long, a long, b long")
+    places = spark.createDataFrame([(1, 1, 1, 0), (2, 1, 2, 0)], "node long, root long, place long, block long")
+    rest = similar._left_over(met, places)
+    plan = rest._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("explode(keys") < plan.index("LeftOuter")
+    assert {tuple(x) for x in rest.collect()} == {(3, 1, 0), (3, 2, 0)}
+
+
 def test_similar_of_one_template(spark, monkeypatch):
     """400 texts at about 0.73 of each other and 200 at about 0.85 of one of them: the groups hold those of all pairs that meet under a key, and lie in those of brute force. The template's keys are heavy, its texts stand in blocks."""
     monkeypatch.setattr(similar, "BLOCK_TEXTS", 100)
