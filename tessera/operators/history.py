@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.bounded import spread
 from ..functions.globs import patterns_regex
 from ..scratch import release, settle
 from .graph import clusters
@@ -35,19 +36,25 @@ def in_window(commits: DataFrame, months: int) -> DataFrame:
 
 def usable(commit_files: DataFrame, most_files: int = 50) -> DataFrame:
     """Rows of commits that touch no more than most_files files; larger ones say nothing about what belongs together."""
-    small = commit_files.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") <= most_files)
-    return commit_files.join(small.select("sha"), "sha", "left_semi")
+    dealt = spread(commit_files, "sha")
+    small = dealt.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") <= most_files)
+    return dealt.join(small.select("sha"), "sha", "left_semi")
+
+
+def _commits(changed: DataFrame, *by: str) -> DataFrame:
+    """sha, by and items (different ones, in order). The commits are dealt over all partitions before they meet, so a task holds its share of them, whatever it reads."""
+    return spread(changed.select(*by, "sha", "item").where("item is not null"), "sha").groupBy(*by, "sha").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def pair_counts(changed: DataFrame, *by: str) -> DataFrame:
-    """a, b (in order) and n: in how many commits of changed(sha, item) both change; for each value of by, which a commit has one of. Pairs stay bounded because a commit's items are (see usable)."""
-    once = changed.select(*by, "sha", "item").distinct()
-    both = once.select(*by, "sha", F.col("item").alias("a")).join(once.select("sha", F.col("item").alias("b")), "sha").where("a < b")
+    """a, b (in order) and n: in how many commits of changed(sha, item) both change; for each value of by, which a commit has one of. Pairs stay bounded because a commit's items are (see usable), and are opened from a commit's row, without a join."""
+    firsts = _commits(changed, *by).where("sha is not null").select(*by, "items", F.posexplode("items").alias("at", "a"))
+    both = firsts.select(*by, "a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("b"))
     return both.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
 
 
 def item_counts(changed: DataFrame, *by: str) -> DataFrame:
-    return changed.select(*by, "sha", "item").distinct().groupBy(*by, "item").agg(F.count("*").alias("n"))
+    return _commits(changed, *by).select(*by, F.explode("items").alias("item")).groupBy(*by, "item").agg(F.count("*").alias("n"))
 
 
 def cochange_of(pairs: DataFrame, items: DataFrame, min_support: int = 5, min_confidence: float = 0.5) -> DataFrame:

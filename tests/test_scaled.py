@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_queries import SF, plain
 
-from tessera.operators import context, metrics
+from tessera.operators import context, history, metrics
 from tessera.plans import carriers
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.streaming import intake
@@ -58,3 +58,12 @@ def test_component_graph_reads_its_edges_once(spark):
     """What asks several things of a component graph doesn't read the edges anew for each."""
     g = metrics.component_graph(carriers.edges(spark, SF))
     assert "lineitem" not in " ".join(context.observed(g).inputFiles())
+
+
+def test_items_of_a_commit_meet_without_a_join(spark):
+    """Pairs come from a commit's own row, dealt over all partitions; null items and commits make none, repeats count once."""
+    changed = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "a"), ("1", None), ("2", "b"), ("2", "a"), ("2", "c"), (None, "a"), (None, "b")], "sha string, item string")
+    counts = history.pair_counts(changed)
+    assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in counts.collect()} == {("a", "b", 2), ("a", "c", 1), ("b", "c", 1)}
+    assert {tuple(r) for r in history.item_counts(changed).collect()} == {("a", 3), ("b", 3), ("c", 1)}
