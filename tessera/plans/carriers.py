@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bounded import spread
 from ..operators.mapping import component_of, with_endpoints
 from ..schemas import Component
 
@@ -46,10 +47,10 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import edges with endpoints; o is the order they come from. The next position is a window function away, so no self join is needed."""
+    """Import edges with endpoints; o is the order they come from. The next position is a window function away, so no self join is needed. The last join deals the edges over all partitions, and what follows holds a task's share of them."""
     p = _positions(spark, sf_dir).withColumn("next", F.lead("pk").over(W.partitionBy("o").orderBy("n"))).where("next is not null and next <> pk")
     f = files(spark, sf_dir).withColumn("own", component_of(F.col("path"), COMPONENTS))
-    ends = p.join(f.select("pk", F.col("path").alias("from_"), F.col("own").alias("from_component")), "pk").join(f.select(F.col("pk").alias("next"), F.col("path").alias("to_"), F.col("own").alias("to_component")), "next")
+    ends = spread(p.join(f.select("pk", F.col("path").alias("from_"), F.col("own").alias("from_component")), "pk"), "next").join(f.select(F.col("pk").alias("next"), F.col("path").alias("to_"), F.col("own").alias("to_component")), "next")
     none = F.lit(None).cast("string")
     return with_endpoints(ends.select("from_", "to_", "from_component", "to_component", none.alias("workspace"), none.alias("package"), F.lit(False).alias("builtin"), F.col("to_").alias("specifier"), "kind", "line", F.lit(False).alias("unresolved"), "o"), COMPONENTS)
 

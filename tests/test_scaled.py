@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_queries import SF, plain
 
-from tessera.operators import context, history, metrics
+from tessera.operators import context, graph, history, metrics
 from tessera.plans import carriers
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.streaming import intake
@@ -67,3 +67,27 @@ def test_items_of_a_commit_meet_without_a_join(spark):
     assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in counts.collect()} == {("a", "b", 2), ("a", "c", 1), ("b", "c", 1)}
     assert {tuple(r) for r in history.item_counts(changed).collect()} == {("a", 3), ("b", 3), ("c", 1)}
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+
+
+@pytest.mark.parametrize("name", ["fp_edge", "workspace_prefix", "propagation_cost"])
+def test_rows_are_dealt_before_they_are_held(spark, name):
+    """Files and edges are dealt over all partitions by a key, so that tasks that sort or hash them hold a share."""
+    made = carriers.edges(spark, SF) if name == "propagation_cost" else QUERIES[name](spark, SF)
+    assert exchanges(made)
+
+
+def test_heights_beside_cycles(spark):
+    """A node that reaches no cycle leaves with its targets; a cycle counts as one node, a pair that comes twice as one."""
+    told = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("x", "y"), ("z", "z"), ("a", None)], "a string, b string")
+    assert {tuple(r) for r in graph.heights(told).collect()} == {("a", 3), ("b", 2), ("c", 2), ("d", 1), ("e", 0), ("x", 1), ("y", 0), ("z", 0)}
+
+
+def test_rounds_move_numbers(spark):
+    """Names of nodes are read at both ends only."""
+    names, edges = graph._numbered(spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("a", "b")], "a string, b string"))
+    assert [t for _, t in edges.dtypes] == ["bigint", "bigint"] and edges.count() == 2 and names.count() == 2
