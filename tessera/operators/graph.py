@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import spread
 from ..scratch import release, settle
 
 #: Nodes and pairs, at most, of a graph that the driver closes by itself.
@@ -54,14 +55,31 @@ def _least_label(edges: DataFrame, labels: DataFrame, forward: bool = True) -> D
             return labels
 
 
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of all nodes of pairs(a, b), and the pairs of different nodes as ids, each once: rounds then shuffle and write numbers, not names. What the pairs come from is read once."""
+    pairs = settle(pairs.select("a", "b"), "graph-pairs")
+    names = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct().withColumn("id", F.monotonically_increasing_id()), "graph-names")
+    end = lambda c: names.select(F.col("node").alias(c), F.col("id").alias(f"i{c}"))
+    return names, settle(pairs.select("a", "b").where("a <> b").join(end("a"), "a").join(end("b"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), "graph")
+
+
 def strong_components(pairs: DataFrame) -> DataFrame:
     """node and scc (its smallest member) of every node in a strongly connected component of two or more; self loops don't count.
 
     Colouring: the least label that reaches a node names its colour; what reaches the colour's own node within the colour
     is a component. It leaves with its nodes, the rest is trimmed and coloured again.
     """
-    edges = _trim(settle(pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "scc"))
-    found = None
+    names, edges = _numbered(pairs)
+    found = _strong(edges)
+    if found is None:
+        return pairs.select(F.col("a").alias("node"), F.col("a").alias("scc")).limit(0)
+    told = settle(found.withColumnRenamed("node", "id").join(names, "id").select("node", F.col("scc").alias("own")), "scc-told")
+    return told.join(told.groupBy("own").agg(F.min("node").alias("scc")), "own").select("node", "scc")
+
+
+def _strong(edges: DataFrame) -> DataFrame | None:
+    """node and scc (some member) for settled edges(a, b) of different nodes, each once; None without any. The edges are released."""
+    edges, found = _trim(edges), None
     while edges.head(1):
         nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         colour = _least_label(edges, settle(nodes.select("node", F.col("node").alias("label")), "scc-label"))
@@ -83,7 +101,7 @@ def strong_components(pairs: DataFrame) -> DataFrame:
         rest = settle(edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "scc")
         release(edges, back)
         edges = _trim(rest)
-    return found if found is not None else pairs.select(F.col("a").alias("node"), F.col("a").alias("scc")).limit(0)
+    return found
 
 
 def reached(pairs: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
@@ -176,23 +194,39 @@ def clusters(pairs: DataFrame) -> DataFrame:
         seen = mark
 
 
+def _peeled(nodes: DataFrame, dag: DataFrame) -> tuple[DataFrame, int]:
+    """(node, height) of nodes(node), as far as they reach no cycle over dag(a, b), pairs of different nodes, each once; and how many do.
+
+    Round by round the nodes leave whose targets have all left: a pair is told once, to its first node, which counts. The
+    pairs are dealt by their targets once and stay so; a node that left is not read again.
+    """
+    dealt = spread(dag, "b").persist()
+    out = dag.groupBy("a").agg(F.count("*").alias("left")).withColumnRenamed("a", "node")
+    state = settle(nodes.select("node").join(out, "node", "left").na.fill(0, ["left"]), "peel")
+    done, height = nodes.select("node", F.lit(0).alias("height")).limit(0), 0
+    while True:  # ends: each round takes nodes out
+        front = state.where("left = 0").select("node")
+        done = done.union(front.withColumn("height", F.lit(height)))
+        sent = dealt.join(front.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.count("*").alias("n")).withColumnRenamed("a", "node")
+        state = settle(state.where("left > 0").join(sent, "node", "left").select("node", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")), "peel")
+        height += 1
+        if not state.where("left = 0").head(1):
+            dealt.unpersist()
+            return done, state.count()
+
+
 def heights(pairs: DataFrame) -> DataFrame:
-    """node and height (edges of the longest path down to a sink) over the condensation of pairs(a, b): members of one component share a height."""
-    scc = strong_components(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    group = settle(nodes.join(scc, "node", "left").select("node", F.coalesce("scc", "node").alias("group")), "height-group")
-    g = lambda c: group.select(F.col("node").alias(c), F.col("group").alias(f"g{c}"))
-    dag = settle(pairs.join(g("a"), "a").join(g("b"), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), "height-dag")
-    now = settle(group.select("group").distinct().withColumn("height", F.lit(0)), "height")
-    while True:  # ends: each round lengthens a path of a graph without cycles
-        up = dag.join(now.select(F.col("group").alias("b"), (F.col("height") + 1).alias("height")), "b").select(F.col("a").alias("group"), "height")
-        nxt = settle(now.union(up).groupBy("group").agg(F.max("height").alias("height")), "height")
-        moved = nxt.join(now.withColumnRenamed("height", "was"), "group").where("height <> was").limit(1).count()
-        release(now)
-        now = nxt
-        if not moved:
-            break
-    return group.join(now, "group").select("node", "height")
+    """node and height (edges of the longest path down to a sink) over the condensation of pairs(a, b): members of one component share a height. Components are searched only where some node reaches a cycle."""
+    names, edges = _numbered(pairs)
+    done, cyclic = _peeled(names.select(F.col("id").alias("node")), edges)
+    if not cyclic:
+        return done.join(names.withColumnRenamed("node", "name").withColumnRenamed("id", "node"), "node").select(F.col("name").alias("node"), "height")
+    scc = _strong(settle(edges, "scc"))
+    group = settle(names.join(scc.withColumnRenamed("node", "id"), "id", "left").select("node", "id", F.coalesce("scc", "id").alias("group")), "height-group")
+    g = lambda c: group.select(F.col("id").alias(c), F.col("group").alias(f"g{c}"))
+    dag = settle(edges.join(g("a"), "a").join(g("b"), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), "height-dag")
+    done, _ = _peeled(group.select(F.col("group").alias("node")).distinct(), dag)
+    return group.select("node", "group").join(done.withColumnRenamed("node", "group"), "group").select("node", "height")
 
 
 def cycle_paths(pairs: DataFrame, members: DataFrame) -> DataFrame:
