@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bounded import spread
 from ..functions.globs import glob_match
 from ..schemas import Component
 
@@ -36,7 +35,6 @@ def innermost_workspace(files: DataFrame, workspaces: DataFrame, path: str = "pa
     """
     parts = F.split(F.col("_path"), "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    files = spread(files, path)
     keyed = files.select(F.col(path).alias("_path")).distinct().select("_path", F.posexplode(above).alias("_depth", "_dir"))
     best = keyed.join(workspaces.select(F.col("dir").alias("_dir"), F.col("name").alias("_name")), "_dir").groupBy("_path").agg(F.max_by("_name", F.struct("_depth", "_name")).alias("owner_workspace"))
     return files.join(best, files[path] == best["_path"], "left").drop("_path")
