@@ -33,12 +33,14 @@ def text_or_empty(column: str = "text"):
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """Within it, batches to Python have about that size at most. For rows that are large themselves: a task then holds a few of them on both sides, not as many as the usual limit lets in."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+def arrow_batches(spark: SparkSession, size: str = "4m", read: int | None = None) -> Iterator[None]:
+    """Within it, batches to Python have about that size at most, and those read from Parquet read rows. For rows that are large themselves: a task then holds a few of them on both sides, not as many as the usual limits (by number, in Parquet's reader) let in."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": size} | ({"spark.sql.parquet.columnarReaderBatchSize": str(read)} if read else {})
+    before = {key: spark.conf.get(key) for key in limits}
     try:
+        for key, value in limits.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -32,6 +32,8 @@ PART_KEYS, ROW_WORDS, SLICE, FAN = 1 << 22, 1 << 16, 1 << 16, 8
 MOST_WORDS, MOST_KEYS = 1 << 18, 1 << 20
 #: Counters of one of the two hashes: an eighth of the positions or more, within these bounds. With fewer more keys are sent to be summed, but never fewer.
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 24
+#: Rows of codes that Parquet's reader takes at once, and MB of a row group of them: a task holds these, however many rows its files have.
+READ_ROWS, GROUP_MB = 64, 16
 #: Bytes of a text that are split at once.
 STRETCH = 4 << 20
 #: Stands for the end of a piece; no byte of UTF-8.
@@ -335,8 +337,8 @@ def _frequent(rows: DataFrame, shared, least: int, mappers: int) -> DataFrame:
         counts = np.zeros(n, np.int64)
         for b in batches:
             for at, after in _pairs(b):
-                slot = shared.value.find(_keys(at, after)[1])
-                counts += np.bincount(slot[slot >= 0], minlength=n)
+                slot, times = np.unique(shared.value.find(_keys(at, after)[1]), return_counts=True)  # a row's share of the slots, not all of them
+                counts[slot[slot >= 0]] += times[slot >= 0]
         yield from _sliced(counts)
 
     def read(k: int, f: np.ndarray) -> pd.DataFrame:
@@ -397,7 +399,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, text: s
     """One table for each number of words, (idx, key, f, and for words lang and word), and (lang, n) with the count of all words."""
     spark = docs.sparkSession
     mappers = 2 * max(2, spark.sparkContext.defaultParallelism)
-    rows = stash(encoded(docs, text, lang, row_words), "phrase-codes")
+    rows = stash(encoded(docs, text, lang, row_words), "phrase-codes", GROUP_MB)
     words = stash(_word_counts(rows), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
 
@@ -409,7 +411,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, text: s
         shared = spark.sparkContext.broadcast(table)
         level.append(_numbered(part, shared))
         last = k == len(parts) - 1
-        known = stash(_with_words(known, shared, last), "phrase-at-1" if last else "phrase-known")
+        known = stash(_with_words(known, shared, last), "phrase-at-1" if last else "phrase-known", GROUP_MB)
         spent.append(known)
         first += len(table.stored)
     levels = [stash(reduce(DataFrame.union, level), "phrase-level-1")]
@@ -436,7 +438,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, text: s
             level.append(_with_slots(part, shared, first))
             if n < longest:
                 last = k == len(parts) - 1
-                marked = stash(_annotated(marked, shared, first, last), f"phrase-at-{n}" if last else f"phrase-marked-{n}")
+                marked = stash(_annotated(marked, shared, first, last), f"phrase-at-{n}" if last else f"phrase-marked-{n}", GROUP_MB)
                 spent.append(marked)
             first += table.n
         levels.append(stash(reduce(DataFrame.union, level), f"phrase-level-{n}"))
@@ -474,7 +476,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, within: int
     A null text has no words, a null lang is und (one with texts of that name); repeated rows count as often as they come;
     other columns are ignored; an empty table gives none. A language without candidates has no row.
     """
-    with arrow_batches(docs.sparkSession):
+    with arrow_batches(docs.sparkSession, read=READ_ROWS):
         levels, totals = frequent_phrases(docs, longest, least, text, lang, part_keys, row_words)
     whole = _whole(levels)
     ranked = None

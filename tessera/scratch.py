@@ -36,10 +36,12 @@ def folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+def settle(df: DataFrame, tag: str, group_mb: int | None = None) -> DataFrame:
+    """The rows as a table of their own. group_mb: MB of a Parquet row group, about, of which a task that writes holds one; for rows that are large themselves."""
     spark = df.sparkSession
     path = f"{_base(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.write if group_mb is None else df.write.option("parquet.block.size", group_mb << 20)
+    out.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -97,6 +98,26 @@ def test_collocations_across_stretches(monkeypatch):
         assert [w for s in phrases._stretches(raw) for w in s.replace(b"\xff", b" \xff ").split()] == whole
 
 
+def test_rows_of_codes_are_read_and_written_few_at_a_time(spark, monkeypatch):
+    """Parquet's reader takes rows by number, its writer holds a row group: both stay small for rows that are large themselves."""
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+    before = spark.conf.get(key)
+
+    def stash(df, tag, group_mb=None):
+        seen.append((tag, int(spark.conf.get(key)), group_mb))
+        return phrases_stash(df, tag, group_mb)
+
+    phrases_stash = phrases.stash
+    monkeypatch.setattr(phrases, "stash", stash)
+    phrases.collocations(spark.createDataFrame(phrase_texts(), SCHEMA), part_keys=7).count()
+    large = [x for x in seen if x[0].startswith(("phrase-codes", "phrase-known", "phrase-at", "phrase-marked"))]
+    assert {x[0].rstrip("-123") for x in large} == {"phrase-codes", "phrase-known", "phrase-at", "phrase-marked"}
+    assert all(reads <= 64 and group is not None and group <= 16 for _, reads, group in large) and spark.conf.get(key) == before
+    kept = phrases_stash(spark.range(0, 600, 1, 1).select("id", F.expr("cast(array_join(transform(sequence(1, 1000), k -> sha2(concat(id, '.', k), 256)), '') as binary)").alias("codes")), "rows", 1)
+    groups = [g for f in kept.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert len(groups) > 4 and kept.count() == 600
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 1000, 50_000])
 def test_perfect_hash(n):
     rng = np.random.default_rng(n)
