@@ -2,20 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bytes of input files for each partition, about; of how many files the sizes are asked.
+SHARE, SIZED_FILES = 4 << 20, 200
+
+
+def shares(rows: DataFrame) -> int:
+    """How many partitions hold the rows: as many as shuffles have, and more where the files that they come from are large, so that a partition's share doesn't grow with them."""
+    spark = rows.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = [] if rows.isStreaming else rows.inputFiles()
+    if not named:
+        return least
+    asked = named[:: -(-len(named) // SIZED_FILES)]
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in asked]
+    size = sum(p.getFileSystem(hadoop).getFileStatus(p).getLen() for p in paths) * len(named) / len(asked)
+    return max(least, -(-int(size) // SHARE))
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows by keys over as many partitions as shuffles have.
+    """The rows by keys over as many partitions as their files need, and at least as many as shuffles have.
 
     Adaptive execution puts partitions together by their compressed bytes, and rows that compress well then meet in a few
     tasks whose memory grows with the table. It leaves a number of partitions that was asked for.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.repartition(shares(rows), *keys)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys over as many partitions as their files need, where that is more than shuffles have; else as they are, and what follows shuffles them."""
+    n = shares(rows)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+@contextmanager
+def parted(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, steps that run shuffle into n partitions: for counts that tasks combine before they deal them, where spread would come too early."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def count_and_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:

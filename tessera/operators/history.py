@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.bounded import spread
+from ..functions.bounded import parted, shares, spread
 from ..functions.globs import patterns_regex
 from ..scratch import release, settle
 from .graph import clusters
@@ -36,9 +36,8 @@ def in_window(commits: DataFrame, months: int) -> DataFrame:
 
 def usable(commit_files: DataFrame, most_files: int = 50) -> DataFrame:
     """Rows of commits that touch no more than most_files files; larger ones say nothing about what belongs together."""
-    dealt = spread(commit_files, "sha")
-    small = dealt.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") <= most_files)
-    return dealt.join(small.select("sha"), "sha", "left_semi")
+    n = F.count("*").over(W.partitionBy("sha"))
+    return spread(commit_files.where("sha is not null"), "sha").withColumn("_n", n).where(F.col("_n") <= most_files).drop("_n")
 
 
 def _commits(changed: DataFrame, *by: str) -> DataFrame:
@@ -66,8 +65,17 @@ def cochange_of(pairs: DataFrame, items: DataFrame, min_support: int = 5, min_co
 
 
 def cochange(changed: DataFrame, min_support: int = 5, min_confidence: float = 0.5) -> DataFrame:
-    """a, b, support, confidence for pairs of items that change in the same commits of changed(sha, item)."""
-    return cochange_of(pair_counts(changed), item_counts(changed), min_support, min_confidence)
+    """a, b, support, confidence for pairs of items that change in the same commits of changed(sha, item).
+
+    A commit's row is opened into its items (b is null) and its pairs at once, so changed is read once. Both are counted over
+    as many partitions as its files need; the counts of items and of frequent pairs are settled, all that is left of them.
+    """
+    none = f"cast(array(null) as array<{changed.schema['item'].dataType.simpleString()}>)"
+    at = _commits(changed).select("sha", "items", F.posexplode("items").alias("at", "a"))
+    both = at.select("a", F.explode(F.expr(f"if(sha is null, {none}, concat({none}, slice(items, at + 2, size(items))))")).alias("b"))
+    with parted(changed.sparkSession, shares(changed)):
+        counts = settle(both.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("b").isNull() | (F.col("n") >= min_support)), "cochange")
+    return cochange_of(counts.where("b is not null"), counts.where("b is null").select(F.col("a").alias("item"), "n"), min_support, min_confidence)
 
 
 def kept_counts(changed: DataFrame, path: str, days: int = 7) -> tuple[DataFrame, DataFrame]:

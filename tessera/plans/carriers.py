@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bounded import spread
+from ..functions.bounded import dealt, spread
 from ..operators.mapping import component_of, with_endpoints
 from ..schemas import Component
 
@@ -62,7 +62,7 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").join(files(spark, sf_dir).select(F.col("pk").alias("l_partkey"), "path", "component"), "l_partkey")
+    li = dealt(read(spark, sf_dir, "lineitem"), "l_partkey").join(files(spark, sf_dir).select(F.col("pk").alias("l_partkey"), "path", "component"), "l_partkey")
     return li.select(F.col("l_orderkey").alias("sha"), "path", "component", F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"))
 
 

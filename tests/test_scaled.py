@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from test_queries import SF, plain
 
+from tessera.functions import bounded
 from tessera.operators import context, graph, history, metrics
 from tessera.plans import carriers
 from tessera.plans.queries import ORACLE_SQL, QUERIES
@@ -91,3 +92,33 @@ def test_rounds_move_numbers(spark):
     """Names of nodes are read at both ends only."""
     names, edges = graph._numbered(spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("a", "b")], "a string, b string"))
     assert [t for _, t in edges.dtypes] == ["bigint", "bigint"] and edges.count() == 2 and names.count() == 2
+
+
+def test_partitions_grow_with_the_files(spark, monkeypatch, tmp_path):
+    """A task's share of dealt rows doesn't grow with the table, whatever the number of shuffle partitions; rows without files take that number."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = str(tmp_path / "a table")
+    spark.range(5000).repartition(3).write.parquet(kept)
+    size = sum(f.stat().st_size for f in (tmp_path / "a table").glob("*.parquet"))
+    rows = spark.read.parquet(kept)
+    assert bounded.spread(rows, "id").rdd.getNumPartitions() == least and bounded.dealt(rows, "id") is rows
+    monkeypatch.setattr(bounded, "SHARE", size // 40)
+    assert 40 <= bounded.shares(rows) <= 41 == bounded.dealt(rows, "id").rdd.getNumPartitions() == bounded.spread(rows, "id").rdd.getNumPartitions()
+    assert bounded.shares(spark.range(10)) == least
+    with bounded.parted(spark, 9):
+        assert rows.groupBy("id").count().count() == 5000 and spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(least)
+
+
+@pytest.mark.parametrize("name", ["cochange_files", "cochange_components"])
+def test_changes_are_read_once(spark, name, tmp_path):
+    """Items and pairs of commits are counted together and settled, so what asks for pairs twice, as clusters do, reads counts."""
+    assert "lineitem" not in " ".join(QUERIES[name](spark, SF).inputFiles())
+
+
+def test_cochange_of_null_commits_and_items(spark):
+    """A null commit counts its items but opens no pairs; null items are none."""
+    changed = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", None), ("2", "a"), ("2", "b"), (None, "a"), (None, "b"), ("3", "c")], "sha string, item string")
+    assert [tuple(r) for r in history.cochange(changed, 1, 0.0).collect()] == [("a", "b", 2, 0.667)]
+    usable = history.usable(changed.withColumnRenamed("item", "path"), 2)
+    assert {tuple(r) for r in usable.collect()} == {("2", "a"), ("2", "b"), ("3", "c")} and usable.columns == ["sha", "path"]
