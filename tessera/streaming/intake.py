@@ -45,6 +45,8 @@ HOSTS = {
         patch_tool="apply_patch",
     ),
 }
+#: Fields of which the texts are read.
+_TEXTS = ("cwd", "hook_event_name", "prompt", "session_id", "source", "tool_name")
 _FILE_LINE = r"^\*\*\* (Add File|Update File|Delete File|Move to): *(.*?)\s*$"
 
 
@@ -57,19 +59,32 @@ def _text(payload: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(payload, path, "variant")) == "STRING", F.try_variant_get(payload, path, "string"))
 
 
-def _problem(payload: Column, event: Column, host: Host) -> Column:
-    """The first thing wrong with a payload; null where it is fine."""
-    checks = [F.when(F.coalesce(~F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")), F.lit(True)), F.lit("not a JSON object"))]
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The rows with a column that is evaluated once a row, however often what follows reads it: a generator's output, not an expression that is put in at each use."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _fields(payload: Column, hosts: Sequence[Host]) -> Column:
+    """object (whether it is one), kinds of all fields that any host names, and texts of those that are strings."""
+    names = sorted({n for h in hosts for n in (*h.types, *h.common, *(n for e in EVENTS for n in h.required[e]), *_TEXTS)})
+    is_object = F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")).alias("object")
+    return F.struct(is_object, F.struct(*(_kind(payload, n).alias(n) for n in names)).alias("kinds"), F.struct(*(_text(payload, f"$.{n}").alias(n) for n in _TEXTS)).alias("texts"))
+
+
+def _problem(fields: Column, event: Column, host: Host) -> Column:
+    """The first thing wrong with a payload of _fields; null where it is fine."""
+    kinds, texts = fields["kinds"], fields["texts"]
+    checks = [F.when(F.coalesce(~fields["object"], F.lit(True)), F.lit("not a JSON object"))]
     for e in EVENTS:
         for name in (*host.common, *host.required[e]):
-            checks.append(F.when((event == e) & _kind(payload, name).isNull(), F.lit(f"{name} is missing")))
+            checks.append(F.when((event == e) & kinds[name].isNull(), F.lit(f"{name} is missing")))
     for name, kind in host.types.items():
-        has = _kind(payload, name)
+        has = kinds[name]
         fine = has == "BOOLEAN" if kind == "boolean" else has.isin("STRING", "VOID") if kind == "nullable" else has == "STRING"
         checks.append(F.when(has.isNotNull() & ~fine, F.lit(f"{name} must be a {'string or null' if kind == 'nullable' else kind}")))
-    checks.append(F.when(_text(payload, "$.hook_event_name") != event, F.lit("a payload for another event")))
-    checks.append(F.when(~F.startswith(_text(payload, "$.cwd"), F.lit("/")), F.lit("cwd is not absolute")))
-    checks.append(F.when(_text(payload, "$.session_id") == "", F.lit("session_id is empty")))
+    checks.append(F.when(texts["hook_event_name"] != event, F.lit("a payload for another event")))
+    checks.append(F.when(~F.startswith(texts["cwd"], F.lit("/")), F.lit("cwd is not absolute")))
+    checks.append(F.when(texts["session_id"] == "", F.lit("session_id is empty")))
     return F.coalesce(*checks)
 
 
@@ -99,23 +114,21 @@ def _patched(patch: Column, cwd: Column) -> Column:
     return last
 
 
-def intake(raw: DataFrame, value: str = "value", agent: str = "agent", event: str = "event", hosts: dict[str, Host] = HOSTS) -> tuple[DataFrame, DataFrame]:
-    """Payloads raw(value, agent, event, ...) of several hosts in one form, and those that are none with a problem; for batches and streams.
+def payloads(raw: DataFrame, value: str = "value", agent: str = "agent", event: str = "event", hosts: dict[str, Host] = HOSTS) -> DataFrame:
+    """Payloads raw(value, agent, event, ...) of several hosts, all in one pass: with a problem (null where they are fine), the form of intake, which only counts without a problem, and the payload as _value. For batches and streams.
 
-    Form: agent, event, session_id, cwd, source (of a start), prompt, tool, changed and deleted (absolute paths that an edit
-    tool wrote, sorted) and again (a stop that follows from a stop); other columns of raw stay. Fields that a host adds are ignored. A payload that
-    is not JSON, lacks a field that its event has, has one of another type, or names no file where its tool writes one goes
-    aside and stops nothing.
+    A payload is parsed once, its fields are read once.
     """
-    payload, name = F.try_parse_json(F.col(value).cast("string")), F.col(event)
-    read = raw.withColumn("_payload", payload).where(F.lit(True))
-    p = F.col("_payload")
+    name = F.col(event)
+    read = _once(raw, F.try_parse_json(F.col(value).cast("string")), "_payload")
+    read = _once(read, _fields(F.col("_payload"), list(hosts.values())), "_fields")
+    p, fields = F.col("_payload"), F.col("_fields")
+    tool, cwd = fields["texts"]["tool_name"], fields["texts"]["cwd"]
     problem, changed, deleted, none = F.lit("an unknown host"), [], [], F.array().cast("array<string>")
     edits = F.lit(False)
     for key, host in hosts.items():
         mine = F.col(agent) == key
-        problem = F.when(mine, _problem(p, name, host)).otherwise(problem)
-        tool, cwd = _text(p, "$.tool_name"), _text(p, "$.cwd")
+        problem = F.when(mine, _problem(fields, name, host)).otherwise(problem)
         for t, at in host.path_fields.items():
             edits = edits | (mine & (tool == t))
             changed.append(F.when(mine & (tool == t), F.array_compact(F.array(_absolute(cwd, F.nullif(_text(p, f"$.tool_input.{at}"), F.lit("")))))))
@@ -127,15 +140,34 @@ def intake(raw: DataFrame, value: str = "value", agent: str = "agent", event: st
             deleted.append(F.map_keys(F.map_filter(files, lambda _, gone: gone)))
     post, known = name == "PostToolUse", name.isin(*EVENTS)
     wrote, gone = F.coalesce(*changed, none), F.coalesce(*deleted, none)
-    lost = F.when(post & edits & (F.size(wrote) + F.size(gone) == 0) & ~F.coalesce(*(x.isNotNull() for x in deleted), F.lit(False)), F.lit("no file in the tool's input"))
-    form = read.withColumn("problem", F.coalesce(F.when(~F.coalesce(known, F.lit(False)), F.lit("an unknown event")), problem, lost))
+    patched = F.coalesce(*(x.isNotNull() for x in deleted), F.lit(False))
+    read = _once(read, F.when(post & edits, F.struct(wrote.alias("changed"), gone.alias("deleted"), patched.alias("patched"))), "_files")
+    w = F.col("_files")
+    lost = F.when((F.size(w["changed"]) + F.size(w["deleted"]) == 0) & ~w["patched"], F.lit("no file in the tool's input"))
+    read = _once(read, F.coalesce(F.when(~F.coalesce(known, F.lit(False)), F.lit("an unknown event")), problem, lost), "_problem")
     kept = [c for c in raw.columns if c not in (value, agent, event)]
-    text = lambda at, when: F.when(name == when, _text(p, at))
-    good = form.where("problem is null").select(
-        *kept, F.col(agent).alias("agent"), name.alias("event"), _text(p, "$.session_id").alias("session_id"), _text(p, "$.cwd").alias("cwd"), text("$.source", "SessionStart").alias("source"), text("$.prompt", "UserPromptSubmit").alias("prompt"), text("$.tool_name", "PostToolUse").alias("tool"),
-        F.when(post, F.array_sort(wrote)).otherwise(none).alias("changed"), F.when(post, F.array_sort(gone)).otherwise(none).alias("deleted"), F.coalesce(F.when(name == "Stop", F.try_variant_get(p, "$.stop_hook_active", "boolean")), F.lit(False)).alias("again"),
+    text = lambda n, when: F.when(name == when, fields["texts"][n])
+    return read.select(
+        *kept, F.col(value).alias("_value"), F.col(agent).alias("agent"), name.alias("event"), fields["texts"]["session_id"].alias("session_id"), cwd.alias("cwd"), text("source", "SessionStart").alias("source"), text("prompt", "UserPromptSubmit").alias("prompt"), text("tool_name", "PostToolUse").alias("tool"),
+        F.coalesce(F.array_sort(w["changed"]), none).alias("changed"), F.coalesce(F.array_sort(w["deleted"]), none).alias("deleted"), F.coalesce(F.when(name == "Stop", F.try_variant_get(p, "$.stop_hook_active", "boolean")), F.lit(False)).alias("again"),
+        F.col("_problem").alias("problem"),
     )
-    return good, form.where("problem is not null").select(*kept, F.col(value), F.col(agent), F.col(event), "problem")
+
+
+_FORM = ("agent", "event", "session_id", "cwd", "source", "prompt", "tool", "changed", "deleted", "again")
+
+
+def intake(raw: DataFrame, value: str = "value", agent: str = "agent", event: str = "event", hosts: dict[str, Host] = HOSTS) -> tuple[DataFrame, DataFrame]:
+    """Payloads raw(value, agent, event, ...) of several hosts in one form, and those that are none with a problem; for batches and streams. What needs both at once reads payloads.
+
+    Form: agent, event, session_id, cwd, source (of a start), prompt, tool, changed and deleted (absolute paths that an edit
+    tool wrote, sorted) and again (a stop that follows from a stop); other columns of raw stay. Fields that a host adds are ignored. A payload that
+    is not JSON, lacks a field that its event has, has one of another type, or names no file where its tool writes one goes
+    aside and stops nothing.
+    """
+    form = payloads(raw, value, agent, event, hosts)
+    kept = [c for c in raw.columns if c not in (value, agent, event)]
+    return form.where("problem is null").select(*kept, *_FORM), form.where("problem is not null").select(*kept, F.col("_value").alias(value), F.col("agent").alias(agent), F.col("event").alias(event), "problem")
 
 
 def within(path: Column, root: Column) -> Column:

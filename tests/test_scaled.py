@@ -122,3 +122,9 @@ def test_cochange_of_null_commits_and_items(spark):
     assert [tuple(r) for r in history.cochange(changed, 1, 0.0).collect()] == [("a", "b", 2, 0.667)]
     usable = history.usable(changed.withColumnRenamed("item", "path"), 2)
     assert {tuple(r) for r in usable.collect()} == {("2", "a"), ("2", "b"), ("3", "c")} and usable.columns == ["sha", "path"]
+
+
+def test_payloads_are_parsed_once(spark):
+    """Each field that a payload is asked for doesn't parse it anew, and good ones and others come from one pass."""
+    plan = QUERIES["hook_intake"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1 and "union" not in plan
