@@ -37,12 +37,17 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(shares(rows), *keys)
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows by keys over as many partitions as their files need, where that is more than shuffles have; else as they are, and what follows shuffles them."""
-    n = shares(rows)
+def dealt(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """The rows by keys over as many partitions as their files need (or n, those of what they meet), where that is more than shuffles have; else as they are, and what follows shuffles them."""
+    n = n or shares(rows)
     return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
+def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The rows with a column that is evaluated once a row, however often what follows reads it, and whole: a generator's output, not an expression that is put in at each use."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 @contextmanager
 def parted(spark: SparkSession, n: int) -> Iterator[None]:
     """Within it, steps that run shuffle into n partitions: for counts that tasks combine before they deal them, where spread would come too early."""

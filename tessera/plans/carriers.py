@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bounded import dealt, spread
+from ..functions.bounded import dealt, once, shares
 from ..operators.mapping import component_of, with_endpoints
 from ..schemas import Component
 
@@ -40,17 +40,26 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem")
+    li = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey")
     kind = F.when(F.col("l_returnflag") == "A", "static").when(F.col("l_returnflag") == "N", "type").otherwise("dynamic")
-    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return li.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("line"), kind.alias("kind"), n.alias("n"))
+    following = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return li.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_linenumber").alias("line"), kind.alias("kind"), following.alias("next"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import edges with endpoints; o is the order they come from. The next position is a window function away, so no self join is needed. The last join deals the edges over all partitions, and what follows holds a task's share of them."""
-    p = _positions(spark, sf_dir).withColumn("next", F.lead("pk").over(W.partitionBy("o").orderBy("n"))).where("next is not null and next <> pk")
-    f = files(spark, sf_dir).withColumn("own", component_of(F.col("path"), COMPONENTS))
-    ends = spread(p.join(f.select("pk", F.col("path").alias("from_"), F.col("own").alias("from_component")), "pk"), "next").join(f.select(F.col("pk").alias("next"), F.col("path").alias("to_"), F.col("own").alias("to_component")), "next")
+    """Import edges with endpoints; o is the order they come from. The next position is a window function away, so no self join is needed.
+
+    Orders, files and edges are dealt over a number of partitions that grows with the orders' files, so each task holds its
+    share; files are dealt before their components are matched. What is dealt before the last join has the same columns for
+    all that a query asks of edges: if it asks several things, the steps up to there run once.
+    """
+    p = _positions(spark, sf_dir).where("next is not null and next <> pk")
+    n = shares(read(spark, sf_dir, "lineitem"))
+    f = once(dealt(files(spark, sf_dir).select("pk", "path"), "pk", n=n), component_of(F.col("path"), COMPONENTS), "own")
+    first = p.join(f.select("pk", F.col("path").alias("from_"), F.col("own").alias("from_component")), "pk")
+    columns = ("next", "from_", "from_component", "kind", "line", "o")
+    first = once(first.select(*columns).repartition(n, "next"), F.struct(*columns), "edge").select("edge.*")
+    ends = first.join(f.select(F.col("pk").alias("next"), F.col("path").alias("to_"), F.col("own").alias("to_component")), "next")
     none = F.lit(None).cast("string")
     return with_endpoints(ends.select("from_", "to_", "from_component", "to_component", none.alias("workspace"), none.alias("package"), F.lit(False).alias("builtin"), F.col("to_").alias("specifier"), "kind", "line", F.lit(False).alias("unresolved"), "o"), COMPONENTS)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bounded import spread
+from ..functions.bounded import once, spread
 from ..functions.text import tokens
 from ..operators.mapping import component_of
 from ..operators.resolve import normalized
@@ -59,11 +59,6 @@ def _text(payload: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(payload, path, "variant")) == "STRING", F.try_variant_get(payload, path, "string"))
 
 
-def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """The rows with a column that is evaluated once a row, however often what follows reads it: a generator's output, not an expression that is put in at each use."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _fields(payload: Column, hosts: Sequence[Host]) -> Column:
     """object (whether it is one), kinds of all fields that any host names, and texts of those that are strings."""
     names = sorted({n for h in hosts for n in (*h.types, *h.common, *(n for e in EVENTS for n in h.required[e]), *_TEXTS)})
@@ -120,8 +115,8 @@ def payloads(raw: DataFrame, value: str = "value", agent: str = "agent", event:
     A payload is parsed once, its fields are read once.
     """
     name = F.col(event)
-    read = _once(raw, F.try_parse_json(F.col(value).cast("string")), "_payload")
-    read = _once(read, _fields(F.col("_payload"), list(hosts.values())), "_fields")
+    read = once(raw, F.try_parse_json(F.col(value).cast("string")), "_payload")
+    read = once(read, _fields(F.col("_payload"), list(hosts.values())), "_fields")
     p, fields = F.col("_payload"), F.col("_fields")
     tool, cwd = fields["texts"]["tool_name"], fields["texts"]["cwd"]
     problem, changed, deleted, none = F.lit("an unknown host"), [], [], F.array().cast("array<string>")
@@ -141,10 +136,10 @@ def payloads(raw: DataFrame, value: str = "value", agent: str = "agent", event:
     post, known = name == "PostToolUse", name.isin(*EVENTS)
     wrote, gone = F.coalesce(*changed, none), F.coalesce(*deleted, none)
     patched = F.coalesce(*(x.isNotNull() for x in deleted), F.lit(False))
-    read = _once(read, F.when(post & edits, F.struct(wrote.alias("changed"), gone.alias("deleted"), patched.alias("patched"))), "_files")
+    read = once(read, F.when(post & edits, F.struct(wrote.alias("changed"), gone.alias("deleted"), patched.alias("patched"))), "_files")
     w = F.col("_files")
     lost = F.when((F.size(w["changed"]) + F.size(w["deleted"]) == 0) & ~w["patched"], F.lit("no file in the tool's input"))
-    read = _once(read, F.coalesce(F.when(~F.coalesce(known, F.lit(False)), F.lit("an unknown event")), problem, lost), "_problem")
+    read = once(read, F.coalesce(F.when(~F.coalesce(known, F.lit(False)), F.lit("an unknown event")), problem, lost), "_problem")
     kept = [c for c in raw.columns if c not in (value, agent, event)]
     text = lambda n, when: F.when(name == when, fields["texts"][n])
     return read.select(

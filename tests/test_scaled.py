@@ -1,9 +1,11 @@
 """Queries against their SQL on small tables of cases that the given tables hold only when they are large."""
 
+import re
 import tempfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, plain
 
 from tessera.functions import bounded
@@ -128,3 +130,17 @@ def test_payloads_are_parsed_once(spark):
     """Each field that a payload is asked for doesn't parse it anew, and good ones and others come from one pass."""
     plan = QUERIES["hook_intake"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("parsejson") + plan.count("parse_json") == 1 and "union" not in plan
+
+
+def test_edges_are_made_once_for_two_questions(spark, monkeypatch):
+    """Both passes over the edges of a component graph read one exchange of the rows before their last join, whichever columns they need; large files deal all steps."""
+    monkeypatch.setattr(bounded, "SHARE", 1 << 12)
+    e = carriers.edges(spark, SF).withColumn("target", F.col("to_"))
+    n = bounded.shares(carriers.read(spark, SF, "lineitem"))
+    counted, first = e.groupBy("src.component", "dst.component", "kind").count(), e.groupBy("src.component", "dst.component").agg(F.min(F.struct("from_", "line", "target")).alias("m"))
+    cut = [[x.strip(" :+-") for x in exchanges(q)] for q in (counted, first)]
+    numbers = lambda lines: [re.sub(r"#\d+L?", "", x) for x in lines]
+    assert numbers(cut[0]) == numbers(cut[1]) and len(cut[0]) == 4 and all(x.endswith(f", {n}") for x in cut[0]) and n > 4
+    plans = [re.sub(r"#\d+L?|_\d+", "", q._jdf.queryExecution().optimizedPlan().toString()).split("RepartitionByExpression", 1)[1] for q in (counted, first)]
+    below = [re.sub(r"(?m)^[ :+-]+", "", x).split("RepartitionByExpression [pk]")[0] for x in plans]
+    assert below[0] == below[1]
