@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bounded import once, spread
+from ..functions.bounded import once, shares, spread
 from ..functions.text import tokens
 from ..operators.mapping import component_of
 from ..operators.resolve import normalized
 from ..schemas import Component
+from ..scratch import settle
 
 
 @dataclass(frozen=True)
@@ -183,35 +184,66 @@ def _paths(prompt: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(fine, lambda x: normalized(F.replace(x["w"], F.lit("\\"), F.lit("/")))), lambda p: p.isNotNull() & (p != "")))
 
 
+#: Titles of a class that a row lists, and prompts that a list meets in one group, at most, about; rows of the answer that a partition opens, about.
+LISTED, MEETING, OPENED = 1 << 10, 1 << 15, 1 << 25
+
+
 def _sharing(asked: DataFrame, titles: DataFrame, least: int) -> DataFrame:
-    """prompt_id and id: of asked(prompt_id, term) and titles(id, terms) those that share at least so many terms.
+    """prompt_id and id: of asked(prompt_id, terms), one row a prompt, and titles(id, terms) those that share at least so many terms.
 
-    Titles of the same terms are one class, named by its least id: prompts meet classes, and only those that a prompt
-    matches are opened into their titles. So nothing but the answer grows with prompts x titles.
+    Titles of the same terms are one class, named by its least id, and so are prompts: classes meet classes, once for all
+    their members. A prompt is then dealt to the lists of titles that it matches, by class and list, and opened into rows
+    there. So nothing but the answer grows with prompts x titles; its rows come list by list, which files hold in few bits,
+    over as many partitions as it needs.
     """
     own = titles.select("id", F.explode("terms").alias("term")).groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    classes = own.groupBy("terms").agg(F.min("id").alias("class"))
-    met = spread(asked.join(classes.select("class", F.explode("terms").alias("term")), "term"), "prompt_id").groupBy("prompt_id", "class").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return met.join(own.join(classes, "terms").select("class", "id"), "class").select("prompt_id", "id")
+    classes = own.groupBy("terms").agg(F.min("id").alias("class"), F.count("*").alias("titles"))
+    sets = asked.groupBy("terms").agg(F.min("prompt_id").alias("set"), F.count("*").alias("prompts"))
+    met = sets.select("set", F.explode("terms").alias("term")).join(classes.select("class", F.explode("terms").alias("term")), "term")
+    met = spread(met, "set").groupBy("set", "class").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("set").alias("_set"), "class")
+    links = settle(met.join(sets, F.col("_set").eqNullSafe(F.col("set"))).select("terms", "class", "prompts"), "links")
+    sizes = links.groupBy("class").agg(F.sum("prompts").alias("prompts")).join(classes.select("class", "titles"), "class")
+    share = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    deal = settle(sizes.select("class", share("titles", LISTED).alias("lists"), share("prompts", MEETING).alias("groups"), (F.col("titles") * F.col("prompts")).alias("rows")), "deal")
+    n = max(shares(asked), -(-(deal.agg(F.sum("rows")).first()[0] or 0) // OPENED))
+    deal, keys = deal.drop("rows"), ("class", "list", "group")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    at = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
+    left = asked.join(links.select("terms", "class"), "terms").join(deal, "class").select("prompt_id", "class", at("prompt_id", "groups").alias("group"), each("lists").alias("list"))
+    listed = own.join(classes, "terms").join(deal, "class").select("class", "groups", at("id", "lists").alias("list"), "id")
+    listed = listed.groupBy("class", "list", "groups").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("class", "list", each("groups").alias("group"), "ids")
+    both = left.repartition(n, *keys).join(listed.repartition(n, *keys).hint("merge"), list(keys))
+    return both.select("prompt_id", F.explode("ids").alias("id"))
+
+
+def _about(prompts: DataFrame, components: Sequence[Component]) -> DataFrame:
+    """One row a prompt_id: hits, the components and paths that its prompts name (structs of kind and id), and terms, theirs in order; each once."""
+    said = F.col("prompt")
+    named = [F.when(said.rlike(rf"(?i)(?<![A-Za-z0-9_-])\Q{c.id}\E(?![A-Za-z0-9_-])"), F.struct(F.lit("component").alias("kind"), F.lit(c.id).alias("id"))) for c in components if len(c.id) >= 3]
+    none = F.array().cast("array<struct<kind:string,id:string>>")
+    of = lambda path: F.coalesce(component_of(path, components), *(component_of(F.concat(path, F.lit(f"/{x}")), components) for x in PROBES))
+    rows = spread(prompts.select("prompt_id", "prompt"), "prompt_id")
+    found = rows.select("*", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(_paths(said), F.array().cast("array<string>")))).alias("_path"))
+    found = once(found, F.when(F.col("_path").isNotNull(), of(F.col("_path"))), "_own")
+    hits = F.when(F.col("_path").isNull(), F.array_compact(F.array(*named)) if named else none).when(F.col("_own").isNotNull(), F.array(F.struct(F.lit("path").alias("kind"), F.col("_path").alias("id")), F.struct(F.lit("component").alias("kind"), F.col("_own").alias("id"))))
+    found = found.select("prompt_id", hits.alias("hits"), F.when(F.col("_path").isNull(), _terms(said)).alias("terms"))
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return found.groupBy("prompt_id").agg(every("hits").alias("hits"), every("terms").alias("terms"))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) >= 3))
 
 
 def prompt_matches(prompts: DataFrame, components: Sequence[Component], titles: DataFrame, least: int = 2) -> DataFrame:
-    """prompt_id, kind (component, path or decision) and id: what prompts(prompt_id, prompt) are about; for batches and streams of prompts.
+    """prompt_id, kind (component, path or decision) and id: what prompts(prompt_id, prompt) are about; for batches, those of a stream of prompts too.
 
     A component whose id, of three letters or more, stands in the prompt; a path within a component, or one that a
     component takes the files of, with that component; a decision of titles(id, title) that shares at least so many
-    different terms of three letters or more with the prompt. Titles are exploded into terms once and joined by equality,
-    so a stream of prompts meets them as a static side. One row for each thing.
+    different terms of three letters or more with the prompt. Prompts of one prompt_id are one. Each prompt is read once,
+    what it is about is settled; terms are joined by equality. One row for each thing.
     """
-    said = F.col("prompt")
-    named = [F.when(said.rlike(rf"(?i)(?<![A-Za-z0-9_-])\Q{c.id}\E(?![A-Za-z0-9_-])"), F.struct(F.lit("component").alias("kind"), F.lit(c.id).alias("id"))) for c in components if len(c.id) >= 3]
-    none = F.array().cast("array<struct<kind:string,id:string>>")
-    of = lambda path: F.coalesce(component_of(path, components), *(component_of(F.concat(path, F.lit(f"/{x}")), components) for x in PROBES))
-    found = prompts.withColumn("_path", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(_paths(said), F.array().cast("array<string>")))))
-    found = found.withColumn("_own", F.when(F.col("_path").isNotNull(), of(F.col("_path"))))
-    hits = F.when(F.col("_path").isNull(), F.array_compact(F.array(*named)) if named else none).when(F.col("_own").isNotNull(), F.array(F.struct(F.lit("path").alias("kind"), F.col("_path").alias("id")), F.struct(F.lit("component").alias("kind"), F.col("_own").alias("id"))))
-    direct = found.select("prompt_id", F.explode(hits).alias("hit")).select("prompt_id", "hit.kind", "hit.id")
-    terms = lambda text: F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) >= 3))
-    asked = prompts.select("prompt_id", F.explode(terms(said)).alias("term"))
-    shared = _sharing(asked, titles.select("id", terms(F.col("title")).alias("terms")), least).select("prompt_id", F.lit("decision").alias("kind"), "id")
-    return spread(direct, "prompt_id").dropDuplicates(["prompt_id", "kind", "id"]).union(shared)
+    about = settle(_about(prompts, components), "about")
+    direct = about.select("prompt_id", F.explode("hits").alias("hit")).select("prompt_id", "hit.kind", "hit.id")
+    shared = _sharing(about.select("prompt_id", "terms"), titles.select("id", _terms(F.col("title")).alias("terms")), least)
+    return direct.union(shared.select("prompt_id", F.lit("decision").alias("kind"), "id"))

@@ -51,6 +51,50 @@ def test_titles_of_the_same_terms_meet_a_prompt_once(spark):
     assert sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()) if last - 12 < stages.apply(k).stageId() < last) < 6000
 
 
+def shuffled(spark, run):
+    """Bytes that stages write to shuffles while run() runs."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_terms_of_a_prompt_are_not_dealt_with_it(spark, tmp_path):
+    """A prompt is shuffled as its text and as a row for each list of titles that it matches, not with each of its terms and the classes that these meet."""
+    titles = spark.range(320).selectExpr("concat('d', id) as id", "concat('word', id % 8, 'x thing', id % 64 div 8) as title")
+    prompts = spark.range(30000).selectExpr("id as prompt_id", "concat('please look again into every word', id % 8, 'x thing', id % 64 div 8) as prompt")
+    assert shuffled(spark, lambda: intake.prompt_matches(prompts, (), titles).write.parquet(str(tmp_path / "out"))) < 35 * 30000
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30000 * 5
+
+
+def test_matches_are_opened_list_by_list(spark, monkeypatch, tmp_path):
+    """A class of titles comes in lists and its prompts in groups, and what a partition opens is bounded; so rows of a file repeat the ids of a few lists. No pair is lost at their ends."""
+    for name, most in (("LISTED", 50), ("MEETING", 100), ("OPENED", 10000)):
+        monkeypatch.setattr(intake, name, most, raising=False)
+    titles = spark.range(600).selectExpr("concat('d', id) as id", "element_at(array('an old rod', 'the new rod', 'old bolt'), cast(id % 3 + 1 as int)) as title")
+    prompts = spark.range(1500).selectExpr("id as prompt_id", "element_at(array('old rod', 'every new rod', 'one old bolt', 'old new rod', 'old'), cast(id % 5 + 1 as int)) as prompt")
+    intake.prompt_matches(prompts, (), titles).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).withColumn("file", F.input_file_name())
+    kinds = [(0,), (1,), (2,), (0, 1), ()]
+    rows = {(r.prompt_id, r.id) for r in got.collect()}
+    assert rows == {(p, f"d{k}") for p in range(1500) for kind in kinds[p % 5] for k in range(kind, 600, 3)} and got.count() == len(rows)
+    files = [(r.n, r.runs) for r in got.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("id").alias("runs")).collect()]
+    assert max(n for n, _ in files) < 60000 and min(runs for _, runs in files) < 300
+
+
+def test_prompts_of_one_key_are_one(spark, tmp_path):
+    """Keys that come twice, with the same terms or others, and a null one, as the SQL has them."""
+    rows = "(40, 'old rod', 7, 'PROMO', 3), (40, 'old bolt', 7, 'PROMO', 3), (80, 'old gear', 8, 'LARGE', 6), (1, 'old ring', 3, 'SMALL', 2), (1, 'blue rod', 4, 'SMALL', 2), (2, 'old ring', 3, 'SMALL', 2), (2, 'old ring', 3, 'SMALL', 2), (null, 'old rod', 3, 'LARGE', 9), (3, 'rod gear', 1, 'SMALL', 4)"
+    duckdb.execute(f"copy (select k::bigint as p_partkey, name as p_name, 'Brand#' || b as p_brand, kind as p_type, size::int as p_size from (values {rows}) as t(k, name, b, kind, size)) to '{tmp_path}/part.parquet'")
+    found = against_sql(spark, "prompt_targets", tmp_path)
+    assert len(found) == len(set(found))
+
+
 def test_components_are_matched_once_a_file(spark):
     """Patterns of components are evaluated on files: below the joins of edges, not on their rows."""
     plan = carriers.edges(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
