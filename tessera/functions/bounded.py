@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,17 +49,25 @@ def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 @contextmanager
-def parted(spark: SparkSession, n: int) -> Iterator[None]:
-    """Within it, steps that run shuffle into n partitions: for counts that tasks combine before they deal them, where spread would come too early."""
-    key = "spark.sql.shuffle.partitions"
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def parted(spark: SparkSession, n: int) -> AbstractContextManager[None]:
+    """Within it, steps that run shuffle into n partitions: for counts that tasks combine before they deal them, where spread would come too early."""
+    return _held(spark, "spark.sql.shuffle.partitions", str(n))
+
+
+def tidied(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, a step that runs deletes its shuffle files when it is done, not when the driver happens to collect garbage: for steps that are settled, whose shuffles nothing reads again."""
+    return _held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def count_and_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """keys, n and first: how many rows a group has, and its first ones by order as an array of structs of these columns.
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bounded import once, shares, spread
+from ..functions.bounded import once, shares, spread, tidied
 from ..functions.text import tokens
 from ..operators.mapping import component_of
 from ..operators.resolve import normalized
@@ -188,6 +188,12 @@ def _paths(prompt: Column) -> Column:
 LISTED, MEETING, OPENED = 1 << 10, 1 << 15, 1 << 25
 
 
+def _kept(rows: DataFrame, tag: str) -> DataFrame:
+    """The rows settled, without the shuffles that made them."""
+    with tidied(rows.sparkSession):
+        return settle(rows, tag)
+
+
 def _sharing(asked: DataFrame, titles: DataFrame, least: int) -> DataFrame:
     """prompt_id and id: of asked(prompt_id, terms), one row a prompt, and titles(id, terms) those that share at least so many terms.
 
@@ -201,10 +207,10 @@ def _sharing(asked: DataFrame, titles: DataFrame, least: int) -> DataFrame:
     sets = asked.groupBy("terms").agg(F.min("prompt_id").alias("set"), F.count("*").alias("prompts"))
     met = sets.select("set", F.explode("terms").alias("term")).join(classes.select("class", F.explode("terms").alias("term")), "term")
     met = spread(met, "set").groupBy("set", "class").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("set").alias("_set"), "class")
-    links = settle(met.join(sets, F.col("_set").eqNullSafe(F.col("set"))).select("terms", "class", "prompts"), "links")
+    links = _kept(met.join(sets, F.col("_set").eqNullSafe(F.col("set"))).select("terms", "class", "prompts").hint("rebalance"), "links")
     sizes = links.groupBy("class").agg(F.sum("prompts").alias("prompts")).join(classes.select("class", "titles"), "class")
     share = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    deal = settle(sizes.select("class", share("titles", LISTED).alias("lists"), share("prompts", MEETING).alias("groups"), (F.col("titles") * F.col("prompts")).alias("rows")), "deal")
+    deal = _kept(sizes.select("class", share("titles", LISTED).alias("lists"), share("prompts", MEETING).alias("groups"), (F.col("titles") * F.col("prompts")).alias("rows")), "deal")
     n = max(shares(asked), -(-(deal.agg(F.sum("rows")).first()[0] or 0) // OPENED))
     deal, keys = deal.drop("rows"), ("class", "list", "group")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -243,7 +249,7 @@ def prompt_matches(prompts: DataFrame, components: Sequence[Component], titles:
     different terms of three letters or more with the prompt. Prompts of one prompt_id are one. Each prompt is read once,
     what it is about is settled; terms are joined by equality. One row for each thing.
     """
-    about = settle(_about(prompts, components), "about")
+    about = _kept(_about(prompts, components), "about")
     direct = about.select("prompt_id", F.explode("hits").alias("hit")).select("prompt_id", "hit.kind", "hit.id")
     shared = _sharing(about.select("prompt_id", "terms"), titles.select("id", _terms(F.col("title")).alias("terms")), least)
     return direct.union(shared.select("prompt_id", F.lit("decision").alias("kind"), "id"))

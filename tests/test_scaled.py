@@ -72,6 +72,18 @@ def test_terms_of_a_prompt_are_not_dealt_with_it(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30000 * 5
 
 
+def test_shuffles_of_settled_steps_are_deleted(spark):
+    """What a prompt is shuffled as is gone once it is settled, so shuffle files don't add up over the steps."""
+    trackers = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark.sparkContext._jvm.System.gc()
+    before = trackers.shuffleStatuses().size()
+    prompts = spark.range(300).selectExpr("id as prompt_id", "concat('old rod number', id % 7) as prompt")
+    titles = spark.range(60).selectExpr("concat('d', id) as id", "'an old rod' as title")
+    kept = intake.prompt_matches(prompts, (), titles)
+    assert trackers.shuffleStatuses().size() <= before + 1 and kept.count() == 300 * 60
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_matches_are_opened_list_by_list(spark, monkeypatch, tmp_path):
     """A class of titles comes in lists and its prompts in groups, and what a partition opens is bounded; so rows of a file repeat the ids of a few lists. No pair is lost at their ends."""
     for name, most in (("LISTED", 50), ("MEETING", 100), ("OPENED", 10000)):
