@@ -199,7 +199,7 @@ def _sharing(asked: DataFrame, titles: DataFrame, least: int) -> DataFrame:
 
     Titles of the same terms are one class, named by its least id, and so are prompts: classes meet classes, once for all
     their members. A prompt is then dealt to the lists of titles that it matches, by class and list, and opened into rows
-    there. So nothing but the answer grows with prompts x titles; its rows come list by list, which files hold in few bits,
+    there. So only the answer and, about a thousandth of it, what is dealt grow with prompts x titles; its rows come list by list, which files hold in few bits,
     over as many partitions as it needs.
     """
     own = titles.select("id", F.explode("terms").alias("term")).groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
